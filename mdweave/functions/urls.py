@@ -42,8 +42,6 @@ FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]|[^\x00-\x7F]"
 # ---------------------------------------------------------------------------
 
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_DOT = r"(?i)^(\.|%2e)\z"
-_DOTDOT = r"(?i)^(\.|%2e)(\.|%2e)\z"
 
 
 def _c(col) -> Column:
@@ -69,49 +67,27 @@ def percent_encode(col, charset: str) -> Column:
     return F.when(c.rlike(charset), encoded).otherwise(c)
 
 
-def remove_dot_segments(path) -> Column:
-    """WHATWG path-segment handling of ``.``/``..`` (and ``%2e`` forms).
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_QUAD = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
+_SPECIAL_SQL = ", ".join(f"'{x}'" for x in SPECIAL_SCHEMES)
+_SUPPORTED_SQL = ", ".join(f"'{x}'" for x in SUPPORTED_PROTOCOLS)
 
-    ``path`` starts with ``/``.  Only paths that contain a dot segment enter the
-    (interpreted) ``aggregate`` lambda.
-    """
-    p = _c(path)
-    segs = F.split(F.substring(p, 2, 1 << 30), "/")
-    n = F.size(segs)
-
-    def step(acc, x):
-        s = x["s"]
-        last = x["i"] == n - 1
-        pop = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return (F.when(s.rlike(_DOTDOT),
-                       F.when(last, F.concat(pop, F.array(F.lit("")))).otherwise(pop))
-                .when(s.rlike(_DOT),
-                      F.when(last, F.concat(acc, F.array(F.lit("")))).otherwise(acc))
-                .otherwise(F.concat(acc, F.array(s))))
-
-    indexed = F.transform(segs, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    folded = F.aggregate(indexed, F.array().cast("array<string>"), step)
-    has_dots = p.rlike(r"(?i)/(\.|%2e){1,2}(/|\z)")
-    return F.when(has_dots, F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(p)
-
-
-def _host_ok(host: Column, scheme: Column) -> Column:
-    """Validity of a (lower-cased) host under the supported subset."""
-    ipv6 = host.startswith("[")
-    ipv6_ok = host.rlike(r"^\[[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\]\z")
-    last_label = F.regexp_extract(host, r"([^.]*)\.?\z", 1)
-    numeric_last = last_label.rlike(r"^(0[xX][0-9A-Fa-f]*|[0-9]+)\z")
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    dotted_quad = host.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}\z")
-    name_ok = ~host.rlike(FORBIDDEN_HOST) & (~numeric_last | dotted_quad)
-    empty_ok = (scheme == "file") | ~_is_special(scheme)
-    return (F.when(host == "", empty_ok)
-            .when(ipv6, ipv6_ok)
-            .otherwise(name_ok))
-
-
-def _null() -> Column:
-    return F.lit(None).cast("string")
+
+def _raw(pattern: str) -> str:
+    """A Spark SQL raw string literal (no quote may occur in the pattern)."""
+    assert "'" not in pattern
+    return f"r'{pattern}'"
+
+
+def _encode_sql(x: str, charset: str) -> str:
+    cs = _raw(charset.replace("'", r"\x27"))
+    return (f"CASE WHEN {x} RLIKE {cs} THEN array_join(transform(split({x}, ''), "
+            f"ch -> CASE WHEN ch RLIKE {cs} THEN replace(url_encode(ch), '+', '%20') ELSE ch END), '') "
+            f"ELSE {x} END")
+
+
+def _stage(df: DataFrame, exprs: dict) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS `{n}`" for n, e in exprs.items()])
 
 
 def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
@@ -120,155 +96,168 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
 
     ``base`` names a string column with the absolute base URL; ``base_parts``
     instead names a struct column produced by an earlier call (a base shared by
-    many references, e.g. a link index URL, is then parsed once per source
-    rather than once per link).  With neither, ``ref`` must be absolute.
+    many references, e.g. a link index URL, is then parsed once and reused).
+    With neither, ``ref`` must be absolute.
 
-    The work is split into projection stages that reference earlier stages by
-    name; Catalyst collapses them only where that does not duplicate work.
+    The work is a chain of projection stages written as SQL text (one JVM call
+    per stage); each stage references earlier ones by name and Catalyst keeps
+    the stages apart where merging would duplicate work.
     Result: struct<status, href, scheme, userinfo, host, port, path, query>.
     """
     t = f"__{out}_"
-
-    def c(name):
-        return F.col(t + name)
-
     if base is not None and base_parts is None:
         df = resolve_urls(df, base, t + "base", None, None)
         base_parts = t + "base"
     has_base = base_parts is not None
-    b = F.col(base_parts) if has_base else None
-
-    df = df.withColumn(t + "r0", F.regexp_replace(
-        F.regexp_replace(F.col(ref), r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+\z", ""))
-    df = df.withColumns({
-        t + "has_scheme": c("r0").rlike(_SCHEME_RE),
-        t + "r_scheme": F.lower(F.regexp_extract(c("r0"), _SCHEME_RE, 1)),
-        t + "after": F.regexp_replace(c("r0"), _SCHEME_RE, ""),
-        t + "b_scheme": b["scheme"] if has_base else _null(),
-        t + "b_ok": (F.coalesce(b["status"] == "ok", F.lit(False))) if has_base else F.lit(False),
+    B = f"`{base_parts}`" if has_base else None
+    v = {k: f"`{t}{k}`" for k in (
+        "r0 has_scheme r_scheme after b_scheme b_ok scheme special is_file same_scheme body opaque authority "
+        "auth_body auth auth_rest userinfo_a hostport pq_src host_a port_rest p0 q0 host0 userinfo port_str "
+        "port_junk path_raw query_raw rel_possible host port_num path_abs default_port nseg port_ok path_dots "
+        "host_ok path query port status").split()}
+    scheme_re = _raw(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
+    df = _stage(df, {t + "r0": f"regexp_replace(regexp_replace(`{ref}`, {_raw(r'[\t\n\r]')}, ''), "
+                               f"{_raw(r'^[\x00-\x20]+|[\x00-\x20]+\z')}, '')"})
+    df = _stage(df, {
+        t + "has_scheme": f"{v['r0']} RLIKE {scheme_re}",
+        t + "r_scheme": f"lower(regexp_extract({v['r0']}, {scheme_re}, 1))",
+        t + "after": f"regexp_replace({v['r0']}, {scheme_re}, '')",
+        t + "b_scheme": f"{B}.scheme" if has_base else "CAST(NULL AS STRING)",
+        t + "b_ok": f"coalesce({B}.status = 'ok', false)" if has_base else "false",
+    })
+    df = _stage(df, {t + "scheme": f"CASE WHEN {v['has_scheme']} THEN {v['r_scheme']} ELSE {v['b_scheme']} END"})
+    df = _stage(df, {
+        t + "special": f"coalesce({v['scheme']} IN ({_SPECIAL_SQL}), false)",
+        t + "is_file": f"coalesce({v['scheme']} = 'file', false)",
+        t + "same_scheme": f"coalesce({v['scheme']} = {v['b_scheme']}, false)",
     })
-    df = df.withColumn(t + "scheme", F.when(c("has_scheme"), c("r_scheme")).otherwise(c("b_scheme")))
-    df = df.withColumn(t + "special", F.coalesce(_is_special(c("scheme")), F.lit(False)))
-    body0 = F.when(c("has_scheme"), c("after")).otherwise(c("r0"))
-    df = df.withColumn(t + "body", F.when(c("special"), F.translate(body0, "\\", "/")).otherwise(body0))
-    hs, sch, body = c("has_scheme"), c("scheme"), c("body")
-    is_file = F.coalesce(sch == "file", F.lit(False))
-    same_scheme = F.coalesce(sch == c("b_scheme"), F.lit(False))
-    df = df.withColumns({
-        t + "opaque": hs & ~c("special") & ~body.startswith("/"),
-        t + "authority": ((hs & c("special") & ~is_file & ~(same_scheme & c("b_ok") & ~body.startswith("/")))
-                          | (hs & is_file & body.startswith("//"))
-                          | (hs & ~c("special") & body.startswith("//"))
-                          | (~hs & body.startswith("//"))),
-        t + "auth_body": F.when(hs & c("special") & ~is_file,
-                                F.concat(F.lit("//"), F.regexp_replace(body, "^/*", ""))).otherwise(body),
+    body0 = f"CASE WHEN {v['has_scheme']} THEN {v['after']} ELSE {v['r0']} END"
+    df = _stage(df, {t + "body": f"CASE WHEN {v['special']} THEN translate({body0}, chr(92), '/') ELSE {body0} END"})
+    hs, sp, fi, same, body = v["has_scheme"], v["special"], v["is_file"], v["same_scheme"], v["body"]
+    df = _stage(df, {
+        t + "opaque": f"{hs} AND NOT {sp} AND NOT startswith({body}, '/')",
+        t + "authority": (f"({hs} AND {sp} AND NOT {fi} AND NOT ({same} AND {v['b_ok']} AND NOT startswith({body}, '/')))"
+                          f" OR ({hs} AND {fi} AND startswith({body}, '//'))"
+                          f" OR ({hs} AND NOT {sp} AND startswith({body}, '//'))"
+                          f" OR (NOT {hs} AND startswith({body}, '//'))"),
+        t + "auth_body": f"CASE WHEN {hs} AND {sp} AND NOT {fi} THEN concat('//', regexp_replace({body}, '^/*', '')) "
+                         f"ELSE {body} END",
     })
-    df = df.withColumns({
-        t + "auth": F.regexp_extract(c("auth_body"), r"^//([^/?#]*)", 1),
-        t + "auth_rest": F.regexp_replace(c("auth_body"), r"^//[^/?#]*", ""),
+    df = _stage(df, {
+        t + "auth": f"regexp_extract({v['auth_body']}, {_raw(r'^//([^/?#]*)')}, 1)",
+        t + "auth_rest": f"regexp_replace({v['auth_body']}, {_raw(r'^//[^/?#]*')}, '')",
     })
-    df = df.withColumns({
-        t + "userinfo_a": F.when(c("auth").contains("@"), F.regexp_extract(c("auth"), r"^(.*)@", 1))
-        .otherwise(F.lit("")),
-        t + "hostport": F.regexp_replace(c("auth"), r"^.*@", ""),
-        t + "pq_src": F.when(c("authority"), c("auth_rest")).otherwise(body),
+    df = _stage(df, {
+        t + "userinfo_a": f"CASE WHEN contains({v['auth']}, '@') THEN regexp_extract({v['auth']}, {_raw(r'^(.*)@')}, 1) ELSE '' END",
+        t + "hostport": f"regexp_replace({v['auth']}, {_raw(r'^.*@')}, '')",
+        t + "pq_src": f"CASE WHEN {v['authority']} THEN {v['auth_rest']} ELSE {body} END",
     })
-    hp = c("hostport")
-    bracket = hp.startswith("[")
-    df = df.withColumns({
-        t + "host_a": F.when(bracket, F.regexp_extract(hp, r"^(\[[^\]]*\]?)", 1))
-        .otherwise(F.regexp_extract(hp, r"^([^:]*)", 1)),
-        t + "port_rest": F.when(bracket, F.regexp_replace(hp, r"^\[[^\]]*\]?", ""))
-        .otherwise(F.regexp_replace(hp, r"^[^:]*", "")),
-        t + "p0": F.regexp_extract(c("pq_src"), r"^([^?#]*)", 1),
-        t + "q0": F.when(c("pq_src").rlike(r"^[^#]*\?"), F.regexp_extract(c("pq_src"), r"^[^?#]*\?([^#]*)", 1)),
+    hp, pq = v["hostport"], v["pq_src"]
+    df = _stage(df, {
+        t + "host_a": f"CASE WHEN startswith({hp}, '[') THEN regexp_extract({hp}, {_raw(r'^(\[[^\]]*\]?)')}, 1) "
+                      f"ELSE regexp_extract({hp}, {_raw(r'^([^:]*)')}, 1) END",
+        t + "port_rest": f"CASE WHEN startswith({hp}, '[') THEN regexp_replace({hp}, {_raw(r'^\[[^\]]*\]?')}, '') "
+                         f"ELSE regexp_replace({hp}, {_raw(r'^[^:]*')}, '') END",
+        t + "p0": f"regexp_extract({pq}, {_raw(r'^([^?#]*)')}, 1)",
+        t + "q0": f"CASE WHEN {pq} RLIKE {_raw(r'^[^#]*\?')} THEN regexp_extract({pq}, {_raw(r'^[^?#]*\?([^#]*)')}, 1) END",
     })
-    auth = c("authority")
-    p0, q0 = c("p0"), c("q0")
+    au, p0, q0 = v["authority"], v["p0"], v["q0"]
+    port_a = f"CASE WHEN startswith({v['port_rest']}, ':') THEN substring({v['port_rest']}, 2) END"
     if has_base:
-        base_dir = F.regexp_replace(b["path"], r"[^/]*\z", "")
-        path_r = (F.when(p0 == "", b["path"])
-                  .when(p0.startswith("/"), p0)
-                  .otherwise(F.concat(base_dir, p0)))
-        query_r = F.when((p0 == "") & q0.isNull(), b["query"]).otherwise(q0)
-        cross = hs & ~same_scheme
-        host_r = F.when(cross, F.lit("")).otherwise(b["host"])
-        userinfo_r = F.when(cross, F.lit("")).otherwise(b["userinfo"])
-        port_r = F.when(cross, _null()).otherwise(b["port"])
-        rel_possible = (c("b_ok") & (_is_special(c("b_scheme")) | b["path"].startswith("/"))) | (hs & is_file)
-        # a file: reference against a non-file base: path only
-        path_r = F.when(hs & is_file & ~same_scheme,
-                        F.when(p0.startswith("/"), p0).otherwise(F.concat(F.lit("/"), p0))).otherwise(path_r)
+        cross = f"({hs} AND NOT {same})"
+        st10 = {
+            t + "host0": f"CASE WHEN {au} THEN lower({v['host_a']}) WHEN {cross} THEN '' ELSE {B}.host END",
+            t + "userinfo": f"CASE WHEN {au} THEN regexp_replace({v['userinfo_a']}, {_raw(r':\z')}, '') "
+                            f"WHEN {cross} THEN '' ELSE {B}.userinfo END",
+            t + "port_str": f"CASE WHEN {au} THEN {port_a} WHEN {cross} THEN NULL ELSE {B}.port END",
+            t + "path_raw": (f"CASE WHEN {au} THEN {p0} "
+                             f"WHEN {hs} AND {fi} AND NOT {same} THEN "
+                             f"(CASE WHEN startswith({p0}, '/') THEN {p0} ELSE concat('/', {p0}) END) "
+                             f"WHEN {p0} = '' THEN {B}.path WHEN startswith({p0}, '/') THEN {p0} "
+                             f"ELSE concat(regexp_replace({B}.path, {_raw(r'[^/]*\z')}, ''), {p0}) END"),
+            t + "query_raw": f"CASE WHEN {au} THEN {q0} WHEN {p0} = '' AND {q0} IS NULL THEN {B}.query ELSE {q0} END",
+            t + "rel_possible": (f"coalesce(({v['b_ok']} AND ({B}.scheme IN ({_SPECIAL_SQL}) OR startswith({B}.path, '/')))"
+                                 f" OR ({hs} AND {fi}), false)"),
+        }
     else:
-        path_r = F.when(p0.startswith("/"), p0).otherwise(F.concat(F.lit("/"), p0))
-        query_r = q0
-        host_r = F.lit("")
-        userinfo_r = F.lit("")
-        port_r = _null()
-        rel_possible = hs & is_file
-    df = df.withColumns({
-        t + "host0": F.when(auth, F.lower(c("host_a"))).otherwise(host_r),
-        t + "userinfo": F.when(auth, F.regexp_replace(c("userinfo_a"), ":\\z", "")).otherwise(userinfo_r),
-        t + "port_str": F.when(auth, F.when(c("port_rest").startswith(":"), F.substring(c("port_rest"), 2, 1 << 30)))
-        .otherwise(port_r),
-        t + "port_junk": auth & (F.length(c("port_rest")) > 0) & ~c("port_rest").startswith(":"),
-        t + "path_raw": F.when(auth, p0).otherwise(path_r),
-        t + "query_raw": F.when(auth, q0).otherwise(query_r),
-        t + "rel_possible": F.coalesce(rel_possible, F.lit(False)),
-    })
-    ps = c("port_str")
-    default_port = F.coalesce(*[F.when(sch == k, F.lit(v)) for k, v in DEFAULT_PORTS.items()], _null())
-    df = df.withColumns({
-        t + "host": F.when(is_file & (c("host0") == "localhost"), F.lit("")).otherwise(c("host0")),
-        t + "port_num": F.when(ps.rlike(r"^[0-9]{1,5}\z"), ps.try_cast("int")),
-        t + "port_ok": ps.isNull() | (ps == "") | (ps.rlike(r"^[0-9]{1,5}\z") & (ps.try_cast("int") <= 65535)),
+        st10 = {
+            t + "host0": f"CASE WHEN {au} THEN lower({v['host_a']}) ELSE '' END",
+            t + "userinfo": f"CASE WHEN {au} THEN regexp_replace({v['userinfo_a']}, {_raw(r':\z')}, '') ELSE '' END",
+            t + "port_str": f"CASE WHEN {au} THEN {port_a} END",
+            t + "path_raw": f"CASE WHEN {au} THEN {p0} WHEN startswith({p0}, '/') THEN {p0} ELSE concat('/', {p0}) END",
+            t + "query_raw": q0,
+            t + "rel_possible": f"{hs} AND {fi}",
+        }
+    st10[t + "port_junk"] = f"{au} AND length({v['port_rest']}) > 0 AND NOT startswith({v['port_rest']}, ':')"
+    df = _stage(df, st10)
+    ps = v["port_str"]
+    port_re = _raw(r"^[0-9]{1,5}\z")
+    default_port = "CASE " + " ".join(f"WHEN {v['scheme']} = '{k}' THEN '{p}'" for k, p in DEFAULT_PORTS.items()) + " END"
+    df = _stage(df, {
+        t + "host": f"CASE WHEN {fi} AND {v['host0']} = 'localhost' THEN '' ELSE {v['host0']} END",
+        t + "port_num": f"CASE WHEN {ps} RLIKE {port_re} THEN try_cast({ps} AS INT) END",
+        t + "path_abs": f"CASE WHEN {sp} AND {v['path_raw']} = '' THEN '/' ELSE {v['path_raw']} END",
         t + "default_port": default_port,
-        t + "path_abs": F.when(c("special") & (c("path_raw") == ""), F.lit("/")).otherwise(c("path_raw")),
     })
-    df = df.withColumn(t + "path_dots", F.when(c("path_abs").startswith("/"), remove_dot_segments(c("path_abs")))
-                       .otherwise(c("path_abs")))
-    df = df.withColumns({
-        t + "path": percent_encode(c("path_dots"), PATH_ENCODE),
-        t + "query": percent_encode(c("query_raw"), QUERY_ENCODE),
-        t + "port": F.when(c("port_num").isNull() | (c("port_num").cast("string") == c("default_port")), _null())
-        .otherwise(c("port_num").cast("string")),
-        t + "status": (F.when(c("r0") == "", F.lit("empty"))
-                       .when(c("opaque"), F.lit("unsupported"))
-                       .when(~auth & ~c("rel_possible"), F.lit("invalid"))
-                       .when(c("port_junk"), F.lit("invalid"))
-                       .when(~F.coalesce(_host_ok(c("host"), sch), F.lit(False)), F.lit("invalid"))
-                       .when(~c("port_ok"), F.lit("invalid"))
-                       .when(~sch.isin(*SUPPORTED_PROTOCOLS), F.lit("unsupported"))
-                       .otherwise(F.lit("ok"))),
+    pa = v["path_abs"]
+    df = _stage(df, {t + "nseg": f"size(split(substring({pa}, 2), '/'))"})
+    dd, d1 = _raw(r"(?i)^(\.|%2e)(\.|%2e)\z"), _raw(r"(?i)^(\.|%2e)\z")
+    pop = "slice(acc, 1, greatest(size(acc) - 1, 0))"
+    fold = (f"concat('/', array_join(aggregate("
+            f"transform(split(substring({pa}, 2), '/'), (s, i) -> named_struct('s', s, 'i', i)), "
+            f"CAST(array() AS ARRAY<STRING>), "
+            f"(acc, x) -> CASE WHEN x.s RLIKE {dd} THEN "
+            f"(CASE WHEN x.i = {v['nseg']} - 1 THEN concat({pop}, array('')) ELSE {pop} END) "
+            f"WHEN x.s RLIKE {d1} THEN (CASE WHEN x.i = {v['nseg']} - 1 THEN concat(acc, array('')) ELSE acc END) "
+            f"ELSE concat(acc, array(x.s)) END), '/'))")
+    host = v["host"]
+    host_ok = (f"CASE WHEN {host} = '' THEN ({fi} OR NOT {sp}) "
+               f"WHEN startswith({host}, '[') THEN {host} RLIKE {_raw(r'^\[[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\]\z')} "
+               f"ELSE NOT ({host} RLIKE {_raw(FORBIDDEN_HOST)}) AND "
+               f"(NOT (regexp_extract({host}, {_raw(r'([^.]*)\.?\z')}, 1) RLIKE {_raw(r'^(0[xX][0-9A-Fa-f]*|[0-9]+)\z')})"
+               f" OR {host} RLIKE {_raw(_QUAD)}) END")
+    df = _stage(df, {
+        t + "port_ok": f"{ps} IS NULL OR {ps} = '' OR ({v['port_num']} IS NOT NULL AND {v['port_num']} <= 65535)",
+        t + "path_dots": (f"CASE WHEN startswith({pa}, '/') AND {pa} RLIKE {_raw(r'(?i)/(\.|%2e){1,2}(/|\z)')} "
+                          f"THEN {fold} ELSE {pa} END"),
+        t + "host_ok": f"coalesce({host_ok}, false)",
+    })
+    pn = v["port_num"]
+    df = _stage(df, {
+        t + "path": _encode_sql(v["path_dots"], PATH_ENCODE),
+        t + "query": _encode_sql(v["query_raw"], QUERY_ENCODE),
+        t + "port": f"CASE WHEN {pn} IS NULL OR CAST({pn} AS STRING) = {v['default_port']} THEN NULL "
+                    f"ELSE CAST({pn} AS STRING) END",
+        t + "status": (f"CASE WHEN {v['r0']} = '' THEN 'empty' WHEN {v['opaque']} THEN 'unsupported' "
+                       f"WHEN NOT {au} AND NOT {v['rel_possible']} THEN 'invalid' "
+                       f"WHEN {v['port_junk']} THEN 'invalid' WHEN NOT {v['host_ok']} THEN 'invalid' "
+                       f"WHEN NOT {v['port_ok']} THEN 'invalid' "
+                       f"WHEN NOT coalesce({v['scheme']} IN ({_SUPPORTED_SQL}), false) THEN 'unsupported' "
+                       f"ELSE 'ok' END"),
     })
-    st = c("status")
-    cred = F.when(c("userinfo") != "", F.concat(c("userinfo"), F.lit("@"))).otherwise(F.lit(""))
-    port_sfx = F.when(c("port").isNotNull(), F.concat(F.lit(":"), c("port"))).otherwise(F.lit(""))
-    query_sfx = F.when(c("query").isNotNull(), F.concat(F.lit("?"), c("query"))).otherwise(F.lit(""))
-    hier_href = F.concat(sch, F.lit("://"), cred, c("host"), port_sfx, c("path"), query_sfx)
-    href = (F.when(st == "ok", hier_href)
-            .when(st == "unsupported",
-                  F.when(c("opaque"), F.concat(sch, F.lit(":"), F.regexp_replace(c("after"), "#.*\\z", "")))
-                  .otherwise(hier_href))
-            .otherwise(F.regexp_replace(c("r0"), "#.*\\z", "")))
-    ok_like = st.isin("ok", "unsupported") & ~c("opaque")
-    result = F.struct(
-        st.alias("status"),
-        href.alias("href"),
-        F.when(st != "empty", sch).otherwise(_null()).alias("scheme"),
-        F.when(ok_like, c("userinfo")).otherwise(_null()).alias("userinfo"),
-        F.when(ok_like, c("host")).otherwise(_null()).alias("host"),
-        F.when(ok_like, c("port")).otherwise(_null()).alias("port"),
-        F.when(ok_like, c("path")).otherwise(_null()).alias("path"),
-        F.when(ok_like, c("query")).otherwise(_null()).alias("query"),
-    )
+    st, sch = v["status"], v["scheme"]
+    hier = (f"concat({sch}, '://', CASE WHEN {v['userinfo']} <> '' THEN concat({v['userinfo']}, '@') ELSE '' END, "
+            f"{host}, CASE WHEN {v['port']} IS NOT NULL THEN concat(':', {v['port']}) ELSE '' END, {v['path']}, "
+            f"CASE WHEN {v['query']} IS NOT NULL THEN concat('?', {v['query']}) ELSE '' END)")
+    href = (f"CASE WHEN {st} = 'ok' THEN {hier} "
+            f"WHEN {st} = 'unsupported' THEN (CASE WHEN {v['opaque']} THEN concat({sch}, ':', "
+            f"regexp_replace({v['after']}, {_raw(r'#.*\z')}, '')) ELSE {hier} END) "
+            f"ELSE regexp_replace({v['r0']}, {_raw(r'#.*\z')}, '') END")
+    ok_like = f"({st} IN ('ok', 'unsupported') AND NOT {v['opaque']})"
+
+    def part(x):
+        return f"CASE WHEN {ok_like} THEN {x} END"
+
+    result = (f"named_struct('status', {st}, 'href', {href}, "
+              f"'scheme', CASE WHEN {st} <> 'empty' THEN {sch} END, "
+              f"'userinfo', {part(v['userinfo'])}, 'host', {part(host)}, 'port', {part(v['port'])}, "
+              f"'path', {part(v['path'])}, 'query', {part(v['query'])})")
     # The one-element explode is an optimiser barrier: a later filter on the
     # result (e.g. status = 'ok') is not pushed down through the stage
     # projections, where alias substitution would inline every stage into the
-    # predicate (exponential expression growth).  The stages themselves stay
-    # separate projections because they are referenced more than once.
-    keep = [x for x in df.columns if not x.startswith(t)]
-    return df.select(*keep, F.explode(F.array(result)).alias(out))
+    # predicate (exponential expression growth).
+    keep = [f"`{x}`" for x in df.columns if not x.startswith(t)]
+    return df.selectExpr(*keep, f"explode(array({result})) AS `{out}`")
 
 
 def parse_urls(df: DataFrame, url: str, out: str) -> DataFrame:

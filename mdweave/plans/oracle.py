@@ -239,6 +239,117 @@ LEFT JOIN (SELECT source_url, count(*) AS unique_urls, count_if(allowed) AS sele
            FROM policy GROUP BY 1) p USING (source_url)"""
 
 
+def site_selected_ctes() -> str:
+    """V2 link pipeline up to the allowed unique links (entries to fetch)."""
+    return f"""{V2_LINES},
+{links_ctes("v2_lines", "s_").strip()},
+s_unique AS (
+  SELECT source_url, href,
+         arg_min(struct_pack(line_pos := line_pos, match_pos := match_pos, title := title, host := host,
+                             path := path, query := query), line_pos * 1000000 + match_pos) AS f
+  FROM s_links WHERE status = 'ok' GROUP BY source_url, href
+),
+sel AS (
+  SELECT source_url, href, f.line_pos AS line_pos, f.match_pos AS match_pos, f.title AS title,
+         f.path AS path, f.query AS query
+  FROM s_unique
+  WHERE lower(f.host) = lower(regexp_extract(source_url, '^[A-Za-z]+://([^/?#:]*)', 1))
+)"""
+
+
+CANDIDATES = """
+cand0 AS (
+  SELECT *, regexp_extract(href, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin,
+         CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END AS trimmed,
+         coalesce('?' || query, '') AS qs
+  FROM sel
+),
+cand_raw AS (
+  SELECT source_url, href, line_pos, match_pos, unnest(lst) AS candidate_url, generate_subscripts(lst, 1) AS k
+  FROM (SELECT *, [href,
+                   CASE WHEN length(trimmed) > 1 THEN origin || trimmed || '.md' || qs END,
+                   origin || CASE WHEN ends_with(path, '/') THEN path || 'index.md' ELSE path || '/index.md' END || qs,
+                   CASE WHEN length(trimmed) > 1 THEN origin || trimmed || '.html.md' || qs END] AS lst
+        FROM cand0)
+),
+cands AS (
+  SELECT source_url, href, line_pos, match_pos, candidate_url,
+         CAST(row_number() OVER (PARTITION BY source_url, href ORDER BY min(k)) - 1 AS INTEGER) AS rank
+  FROM cand_raw WHERE candidate_url IS NOT NULL
+  GROUP BY source_url, href, line_pos, match_pos, candidate_url
+)"""
+
+RESOURCES = """
+res_pages AS (
+  SELECT page_id, html, regexp_replace(url, '#.*$', '') AS href FROM pages
+),
+res_parts AS (
+  SELECT *, regexp_extract(href, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin,
+         CASE WHEN regexp_extract(href, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+              ELSE regexp_extract(href, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END AS path,
+         CASE WHEN contains(href, '?') THEN '?' || regexp_extract(href, '\\?(.*)$', 1) ELSE '' END AS qs
+  FROM res_pages
+),
+resources AS (
+  SELECT CASE page_id % 5
+           WHEN 0 THEN href
+           WHEN 1 THEN origin || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || '.md' || qs
+           WHEN 2 THEN origin || CASE WHEN ends_with(path, '/') THEN path || 'index.md' ELSE path || '/index.md' END || qs
+           WHEN 3 THEN origin || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || '.html.md' || qs
+           ELSE href END AS url,
+         page_id % 5 <> 4 AS ok,
+         CAST(CASE WHEN page_id % 5 <> 4 THEN 200 WHEN page_id % 2 = 0 THEN 404 END AS INTEGER) AS http_status,
+         CASE WHEN page_id % 5 <> 4 THEN 'OK' WHEN page_id % 2 = 0 THEN 'Not Found' END AS status_text,
+         CASE WHEN page_id % 5 <> 4 THEN CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN ''
+                                               ELSE 'application/octet-stream' END END AS content_type,
+         CASE WHEN page_id % 5 = 4 AND page_id % 2 = 1 THEN 'socket hang up' END AS error,
+         CASE WHEN page_id % 5 <> 4 THEN html END AS body
+  FROM res_parts
+)"""
+
+FIRST_SUCCESS = """
+probe AS (
+  SELECT c.*, r.ok AS res_ok,
+         CASE WHEN NOT r.ok THEN coalesce(r.error, 'HTTP ' || CAST(r.http_status AS VARCHAR) || ' ' || coalesce(r.status_text, '')) END AS res_reason
+  FROM cands c LEFT JOIN resources r ON r.url = c.candidate_url
+),
+fs0 AS (
+  SELECT source_url, href, line_pos, match_pos,
+         bool_or(coalesce(res_ok, false)) AS ok,
+         arg_min(candidate_url, rank) FILTER (WHERE coalesce(res_ok, false)) AS fetched_url,
+         min(rank) FILTER (WHERE coalesce(res_ok, false)) AS rank,
+         string_agg(candidate_url || ' (' || coalesce(res_reason, 'not in snapshot') || ')', '; ' ORDER BY rank) AS all_reasons
+  FROM probe GROUP BY source_url, href, line_pos, match_pos
+),
+fs AS (
+  SELECT source_url, href, line_pos, match_pos, ok, fetched_url, rank,
+         CASE WHEN NOT ok THEN all_reasons END AS reason,
+         CASE WHEN ok AND fetched_url <> href THEN fetched_url WHEN ok THEN '' END AS via
+  FROM fs0
+)"""
+
+
+def q_candidate_urls() -> str:
+    return _with(site_selected_ctes(), CANDIDATES) + """
+SELECT source_url, href, rank, candidate_url FROM cands"""
+
+
+def q_first_success() -> str:
+    return _with(site_selected_ctes(), CANDIDATES, RESOURCES, FIRST_SUCCESS) + """
+SELECT source_url, href, line_pos, match_pos, ok, fetched_url, via, rank FROM fs"""
+
+
+def q_fetch_failures() -> str:
+    return _with(site_selected_ctes(), CANDIDATES, RESOURCES, FIRST_SUCCESS) + """,
+failed AS (SELECT * FROM fs WHERE NOT ok),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_url ORDER BY line_pos, match_pos) AS INTEGER) AS failure_rank
+           FROM failed),
+tot AS (SELECT source_url, count(*) AS failed_total FROM failed GROUP BY 1)
+SELECT r.source_url, href, line_pos, match_pos, reason, failure_rank, failed_total,
+       greatest(failed_total - 5, 0) AS more
+FROM ranked r JOIN tot USING (source_url) WHERE failure_rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "extract_links": q_extract_links(),
@@ -247,4 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_links": q_dedupe_links(),
         "host_policy": q_host_policy(),
         "link_stats": q_link_stats(),
+        "candidate_urls": q_candidate_urls(),
+        "first_success": q_first_success(),
+        "fetch_failures": q_fetch_failures(),
     }

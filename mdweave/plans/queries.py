@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fetch as FE
 from ..operators import links as L
 from . import views as V
 
@@ -60,6 +61,36 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_url", "links_found", "unique_urls", "selected_docs", "blocked_docs", "blocked_hosts")
 
 
+# --- candidates and first success ------------------------------------------------
+
+def _site_selected(spark, sf_dir) -> DataFrame:
+    """Allowed unique links of the site indexes (V2): the entries to fetch."""
+    lines = V.host_index_lines(spark, sf_dir)
+    uniq = L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(lines))))
+    return (L.apply_host_policy(uniq).filter("allowed")
+            .select("source_url", "href", "line_pos", "match_pos", "title", "path", "query"))
+
+
+def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FE.expand_candidates(_site_selected(spark, sf_dir)).select(
+        "source_url", "href", "rank", "candidate_url")
+
+
+def _fetched(spark, sf_dir) -> DataFrame:
+    return FE.first_success(_site_selected(spark, sf_dir), V.crawl_resources(spark, sf_dir))
+
+
+def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetched(spark, sf_dir).select(
+        "source_url", "href", "line_pos", "match_pos", "ok", "fetched_url", "via", "rank")
+
+
+def fetch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = _fetched(spark, sf_dir).filter(~F.col("ok"))
+    return FE.failure_preview(failed).select(
+        "source_url", "href", "line_pos", "match_pos", "reason", "failure_rank", "failed_total", "more")
+
+
 QUERIES = {
     "extract_links": extract_links,
     "resolve_links": resolve_links,
@@ -67,5 +98,8 @@ QUERIES = {
     "dedupe_links": dedupe_links,
     "host_policy": host_policy,
     "link_stats": link_stats,
+    "candidate_urls": candidate_urls,
+    "first_success": first_success,
+    "fetch_failures": fetch_failures,
 }
 FLAGSHIP = link_stats

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import parse_urls
+from ..operators.fetch import candidate_urls
 from ..sources.tables import load_table
 
 # --- fixed values of the derived fixtures -----------------------------------
@@ -81,3 +83,32 @@ def crawl_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One index listing every page; paths collide across hosts."""
     pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return _page_lines(pages, F.lit(CRAWL_INDEX_URL))
+
+
+def crawl_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: the crawl snapshot.  Each page is stored under one of its candidate
+    URLs by ``page_id % 5`` (original, ``.md``, ``/index.md``, ``.html.md``);
+    the fifth variant is a failed fetch (HTTP 404 for even ids, a transport
+    error for odd ids).  Content type by ``page_id % 3``: ``text/html``,
+    missing, ``application/octet-stream``."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    parsed = parse_urls(pages, "url", "u")
+    variant = F.col("page_id") % 5
+    cands = candidate_urls(F.col("u.href"), F.col("u.path"), F.col("u.query"))
+    stored = F.when(variant == 4, F.col("u.href")).otherwise(F.element_at(cands, (variant + 1).cast("int")))
+    ok = variant != 4
+    http404 = (F.col("page_id") % 2) == 0
+    ctype = (F.when(F.col("page_id") % 3 == 0, F.lit("text/html"))
+             .when(F.col("page_id") % 3 == 1, F.lit(""))
+             .otherwise(F.lit("application/octet-stream")))
+    return parsed.select(
+        stored.alias("url"),
+        ok.alias("ok"),
+        F.when(ok, F.lit(200)).when(http404, F.lit(404)).cast("int").alias("http_status"),
+        F.when(ok, F.lit("OK")).when(http404, F.lit("Not Found")).alias("status_text"),
+        F.when(ok, ctype).alias("content_type"),
+        F.when(ok, F.length("html").cast("long")).alias("content_length"),
+        F.when(ok, stored).alias("final_url"),
+        F.when(~ok & ~http404, F.lit("socket hang up")).alias("error"),
+        F.when(ok, F.col("html")).alias("body"),
+    )
