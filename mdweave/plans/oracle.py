@@ -350,6 +350,169 @@ SELECT r.source_url, href, line_pos, match_pos, reason, failure_rank, failed_tot
 FROM ranked r JOIN tot USING (source_url) WHERE failure_rank <= 5"""
 
 
+# --- content ---------------------------------------------------------------------
+
+def _ws_ltrim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+', '')"
+
+
+URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)?([^?#]*)', 2)"
+
+FETCHED = f"""
+v4 AS (
+  SELECT 'https://' || source || '.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url,
+         CASE doc_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN '' ELSE 'text/html' END AS content_type,
+         text AS body
+  FROM documents
+),
+fetched AS (
+  SELECT url, content_type, body FROM resources WHERE ok
+  UNION ALL SELECT url, content_type, body FROM v4
+),
+classified AS (
+  SELECT url, content_type, body,
+    CASE WHEN {jtrim('body')} = '' THEN 'empty'
+         WHEN contains(lower(content_type), 'text/html') OR contains(lower(content_type), 'application/xhtml+xml')
+              OR regexp_matches(lower({URL_PATH}), '\\.html?$')
+              OR regexp_matches({_ws_ltrim('substr(body, 1, 2000)')}, '(?i)^(<!doctype html|<html[{WS}>])')
+              OR regexp_matches({_ws_ltrim('substr(body, 1, 2000)')}, '(?i)<(head|body|article|main)[{WS}>]')
+              THEN 'html'
+         WHEN contains(lower(content_type), 'markdown') OR starts_with(lower(content_type), 'text/plain')
+              OR regexp_matches(lower({URL_PATH}), '\\.(md|markdown|mdx)$')
+              OR regexp_matches(substr(body, 1, 2000),
+                   '(?m)^#{{1,6}}[{WS}]|^[-*+][{WS}]|^[0-9]+\\.[{WS}]|^>[{WS}]|\\[[^\\]]+\\]\\([^)]+\\)')
+              THEN 'markdown'
+         ELSE 'unsupported' END AS kind
+  FROM fetched
+)"""
+
+
+def q_classify_content() -> str:
+    return _with(RESOURCES, FETCHED) + """
+SELECT url, kind FROM classified"""
+
+
+def q_markdown_docs() -> str:
+    return _with(RESOURCES, FETCHED) + f""",
+md AS (
+  SELECT url, kind, CASE WHEN kind = 'markdown' THEN {jtrim_end('body')} END AS c0 FROM classified WHERE kind <> 'html'
+),
+md2 AS (
+  SELECT url, kind, CASE WHEN c0 <> '' THEN CASE WHEN ends_with(c0, chr(10)) THEN c0 ELSE c0 || chr(10) END END AS content
+  FROM md
+)
+SELECT url, kind, content IS NOT NULL AS ok, sha256(content) AS content_sha,
+       CASE WHEN content IS NULL THEN 'unsupported content received from ' || url END AS reason
+FROM md2"""
+
+
+# --- paths -------------------------------------------------------------------------
+
+def _or(x: str, fb: str) -> str:
+    return f"coalesce(nullif({x}, ''), {fb})"
+
+
+def _dirs_file(segs: str, ends_slash: str, stem_fb: str) -> str:
+    all_dirs = f"list_transform({segs}, lambda s: {_or(sanitize('s'), chr(39) + 'section' + chr(39))})"
+    dirs = (f"list_transform({segs}[1:len({segs}) - 1], "
+            f"lambda s: {_or(sanitize('s'), chr(39) + 'section' + chr(39))})")
+    stem = _or(sanitize(strip_ext(f"{segs}[len({segs})]")), stem_fb)
+    return (f"CASE WHEN {ends_slash} THEN array_to_string(list_concat({all_dirs}, ['index.md']), '/') "
+            f"ELSE array_to_string(list_concat({dirs}, [{stem} || '.md']), '/') END")
+
+
+def _segs(x: str) -> str:
+    return f"list_filter(string_split({x}, '/'), lambda s: s <> '')"
+
+
+def remote_path(path: str, title_clean: str) -> str:
+    return (f"CASE WHEN len({_segs(path)}) = 0 THEN 'index.md' ELSE "
+            f"{_dirs_file(_segs(path), f'ends_with({path}, chr(47))', _or(title_clean, chr(39) + 'index' + chr(39)))} END")
+
+
+def url_slug(scheme: str, host: str, path: str) -> str:
+    parts = f"list_filter(list_transform({_segs(path)}, lambda s: {sanitize(strip_ext('s'))}), lambda s: s <> '')"
+    with_host = f"CASE WHEN {scheme} IN ('http', 'https') THEN list_concat([{host}], {parts}) ELSE {parts} END"
+    return f"CASE WHEN len({with_host}) = 0 THEN 'index' ELSE array_to_string({with_host}, '-') END"
+
+
+def flat_name(title_clean: str, scheme: str, host: str, path: str) -> str:
+    return f"{_or(title_clean, sanitize(url_slug(scheme, host, path)))} || '.md'"
+
+
+def title_clean(x: str) -> str:
+    return sanitize(f"strip_accents({x})")
+
+
+def crawl_entries_ctes() -> str:
+    return f"""{V2B_LINES},
+{links_ctes("v2b_lines", "c_").strip()},
+crawl_entries AS (
+  SELECT source_url, href, f.line_pos AS line_pos, f.match_pos AS match_pos, f.title AS title,
+         f.scheme AS scheme, f.host AS host, f.path AS path
+  FROM (SELECT source_url, href,
+               arg_min(struct_pack(line_pos := line_pos, match_pos := match_pos, title := title,
+                                   scheme := scheme, host := host, path := path),
+                       line_pos * 1000000 + match_pos) AS f
+        FROM c_links WHERE status = 'ok' GROUP BY source_url, href)
+),
+crawl_named AS (
+  SELECT *, {remote_path('path', title_clean('title'))} AS nested,
+         {flat_name(title_clean('title'), 'scheme', 'host', 'path')} AS flat
+  FROM crawl_entries
+)"""
+
+
+def q_nested_paths() -> str:
+    return _with(crawl_entries_ctes()) + """
+SELECT source_url, href, nested AS rel_path FROM crawl_named"""
+
+
+def q_flat_paths() -> str:
+    return _with(crawl_entries_ctes()) + """
+SELECT source_url, href, flat AS rel_path FROM crawl_named"""
+
+
+def q_unique_paths() -> str:
+    return _with(crawl_entries_ctes()) + """,
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source_url, nested ORDER BY line_pos, match_pos) AS k FROM crawl_named
+)
+SELECT source_url, href, line_pos, match_pos, nested AS rel_path,
+       CASE WHEN k = 1 THEN nested
+            ELSE regexp_extract(nested, '^(.*?)(\\.[^./]*)?$', 1) || '-' || CAST(k AS VARCHAR)
+                 || regexp_extract(nested, '^.*?(\\.[^./]*)?$', 1) END AS path
+FROM numbered"""
+
+
+def q_local_paths() -> str:
+    host = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
+    dom = f"regexp_extract({host}, '([^.]+\\.[^.]+\\.[^.]+)$', 1)"
+    return f"""WITH anchors AS (
+  SELECT {host} AS host_name, {dom} AS domain, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a
+  FROM pages
+),
+mirror AS (
+  SELECT 'file:///srv/mirror/' || host_name || regexp_extract(a, 'href="([^"]*)"', 1) AS file_url,
+         '/srv/mirror/' || host_name || regexp_extract(a, 'href="([^"]*)"', 1) AS abs_path,
+         regexp_extract(a, '>([^<]*)</a>', 1) AS title,
+         '/srv/mirror/' || domain AS local_root_dir
+  FROM anchors
+),
+rel AS (
+  SELECT *, regexp_replace(CASE WHEN starts_with(abs_path, local_root_dir || '/')
+                                THEN substr(abs_path, length(local_root_dir) + 2) END, '/+$', '') AS rel,
+         {enc('abs_path', PATH_SET)} AS enc_path,
+         {title_clean('title')} AS tclean
+  FROM mirror
+)
+SELECT file_url, title, local_root_dir,
+       CASE WHEN rel IS NOT NULL AND rel <> '' AND NOT starts_with(rel, '..')
+            THEN {_dirs_file(_segs('strip_accents(rel)'), "ends_with(abs_path, '/')", _or('tclean', chr(39) + 'document' + chr(39)))}
+            ELSE {flat_name('tclean', "'file'", "''", 'enc_path')} END AS rel_path
+FROM rel"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "extract_links": q_extract_links(),
@@ -361,4 +524,10 @@ def oracle_sql() -> dict[str, str]:
         "candidate_urls": q_candidate_urls(),
         "first_success": q_first_success(),
         "fetch_failures": q_fetch_failures(),
+        "classify_content": q_classify_content(),
+        "markdown_docs": q_markdown_docs(),
+        "nested_paths": q_nested_paths(),
+        "local_paths": q_local_paths(),
+        "flat_paths": q_flat_paths(),
+        "unique_paths": q_unique_paths(),
     }

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import convert as CV
 from ..operators import fetch as FE
+from ..operators import paths as PA
 from ..operators import links as L
 from . import views as V
 
@@ -91,6 +93,65 @@ def fetch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_url", "href", "line_pos", "match_pos", "reason", "failure_rank", "failed_total", "more")
 
 
+# --- content -----------------------------------------------------------------------
+
+def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CV.classify(V.fetched_resources(spark, sf_dir)).select("url", "kind")
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 native branch: every non-html row (markdown, empty, unsupported)."""
+    c = CV.classify(V.fetched_resources(spark, sf_dir)).filter(F.col("kind") != "html")
+    out = CV.convert_markdown_rows(c)
+    ok = F.col("content").isNotNull()
+    return out.select("url", "kind", ok.alias("ok"),
+                      F.sha2("content", 256).alias("content_sha"),
+                      F.when(~ok, F.concat(F.lit("unsupported content received from "), F.col("url"))).alias("reason"))
+
+
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 html branch (rows-only oracle; golden unit tests pin the dialect)."""
+    c = CV.classify(V.fetched_resources(spark, sf_dir)).filter(F.col("kind") == "html")
+    out = CV.convert_html_rows(c)
+    return out.select("url", F.col("content").isNotNull().alias("ok"),
+                      F.sha2("content", 256).alias("content_sha"),
+                      F.length("content").cast("long").alias("content_chars"))
+
+
+# --- paths ---------------------------------------------------------------------------
+
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PA.add_remote_paths(V.crawl_entries(spark, sf_dir)).select("source_url", "href", "rel_path")
+
+
+def flat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PA.add_flat_paths(V.crawl_entries(spark, sf_dir)).select("source_url", "href", "rel_path")
+
+
+def local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PA.add_local_paths(V.local_mirror_entries(spark, sf_dir)).select(
+        "file_url", "title", "local_root_dir", "rel_path")
+
+
+def unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = PA.add_remote_paths(V.crawl_entries(spark, sf_dir)).drop("path")
+    return PA.unique_paths(nested, ["source_url"]).select(
+        "source_url", "href", "line_pos", "match_pos", "rel_path", "path")
+
+
+def unique_paths_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 on names that collide with naturally numbered ones: every crawl entry
+    is named ``<lang>.md`` or ``<lang>-<n>.md`` (n from its page number), so
+    groups mix duplicates with numbered names and take the greedy branch."""
+    e = V.crawl_entries(spark, sf_dir)
+    lang = F.regexp_extract("path", r"^/([^/]+)/", 1)
+    num = F.regexp_extract("path", r"([0-9]+)", 1).cast("long")
+    name = F.when(num % 3 == 0, F.concat(lang, F.lit(".md"))) \
+        .otherwise(F.concat(lang, F.lit("-"), (num % 4).cast("string"), F.lit(".md")))
+    return PA.unique_paths(e.withColumn("rel_path", name).drop("path"), ["source_url"]).select(
+        "source_url", "href", "line_pos", "match_pos", "rel_path", "path")
+
+
 QUERIES = {
     "extract_links": extract_links,
     "resolve_links": resolve_links,
@@ -101,5 +162,13 @@ QUERIES = {
     "candidate_urls": candidate_urls,
     "first_success": first_success,
     "fetch_failures": fetch_failures,
+    "classify_content": classify_content,
+    "markdown_docs": markdown_docs,
+    "html_to_markdown": html_to_markdown,
+    "nested_paths": nested_paths,
+    "local_paths": local_paths,
+    "flat_paths": flat_paths,
+    "unique_paths": unique_paths,
+    "unique_paths_greedy": unique_paths_greedy,
 }
 FLAGSHIP = link_stats

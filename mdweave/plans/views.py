@@ -112,3 +112,56 @@ def crawl_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~ok & ~http404, F.lit("socket hang up")).alias("error"),
         F.when(ok, F.col("html")).alias("body"),
     )
+
+
+def doc_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: ``documents`` as fetched text resources at
+    ``https://<source>.example.org/<lang>/<doc_id>``; content type by
+    ``doc_id % 3``: ``text/plain``, missing, ``text/html`` (so the classifier
+    meets markdown, unsupported and html rows)."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("lang"), F.lit("/"),
+                   F.col("doc_id").cast("string"))
+    ctype = (F.when(F.col("doc_id") % 3 == 0, F.lit("text/plain"))
+             .when(F.col("doc_id") % 3 == 1, F.lit(""))
+             .otherwise(F.lit("text/html")))
+    return docs.select(F.col("doc_id"), url.alias("url"), F.lit(True).alias("ok"),
+                       F.lit(200).cast("int").alias("http_status"), F.lit("OK").alias("status_text"),
+                       ctype.alias("content_type"), F.length("text").cast("long").alias("content_length"),
+                       url.alias("final_url"), F.lit(None).cast("string").alias("error"),
+                       F.col("text").alias("body"))
+
+
+def fetched_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 ok rows and V4: every successfully fetched body (url, content_type, body)."""
+    v3 = crawl_resources(spark, sf_dir).filter("ok").select("url", "content_type", "body")
+    v4 = doc_resources(spark, sf_dir).select("url", "content_type", "body")
+    return v3.unionByName(v4)
+
+
+def crawl_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique links of the crawl index V2b (host policy allows all: the index
+    host is not a page host).  Columns of the link table."""
+    from ..operators import links as L
+    lines = crawl_index_lines(spark, sf_dir)
+    return L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(lines))))
+
+
+def local_mirror_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 input: every page anchor as a file in a local mirror,
+    ``file:///srv/mirror/<host><href>``, with the index root
+    ``/srv/mirror/<domain>`` -- pages of the site's own host fall inside the
+    root, sub-domain pages outside it."""
+    pages = load_table(spark, sf_dir, "pages").select("url", "html")
+    anchors = pages.select(page_host().alias("host_name"), page_domain().alias("domain"),
+                           F.explode(F.regexp_extract_all("html", F.lit(ANCHOR_RE), 0)).alias("a"))
+    rows = anchors.select(
+        F.concat(F.lit("file:///srv/mirror/"), F.col("host_name"), F.regexp_replace("a", ANCHOR_RE, "$1"))
+        .alias("file_url"),
+        F.regexp_replace("a", ANCHOR_RE, "$2").alias("title"),
+        F.concat(F.lit("/srv/mirror/"), F.col("domain")).alias("local_root_dir"),
+    )
+    parsed = parse_urls(rows, "file_url", "u")
+    return parsed.select("file_url", "title", "local_root_dir", F.col("u.href").alias("href"),
+                         F.col("u.scheme").alias("scheme"), F.col("u.host").alias("host"),
+                         F.col("u.path").alias("path"))
