@@ -513,6 +513,196 @@ SELECT file_url, title, local_root_dir,
 FROM rel"""
 
 
+# --- sync ---------------------------------------------------------------------------
+
+def sync_ctes() -> str:
+    n = "CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER)"
+    return f"""
+base AS (
+  SELECT doc_id, doc_id // 20 AS k, lang, source, {n} AS src_n,
+         'docs-' || CAST({n} % 2 AS VARCHAR) AS collection,
+         'https://' || source || '.example.org/llms.txt' AS source_url,
+         'https://' || source || '.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url,
+         source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path,
+         {jtrim_end('text')} || chr(10) AS content
+  FROM documents
+),
+installed AS (SELECT * FROM base WHERE src_n % 5 <> 4),
+sources AS (SELECT DISTINCT collection, source_url, source, src_n FROM base),
+installs AS (
+  SELECT collection, CAST(row_number() OVER (PARTITION BY collection ORDER BY src_n) - 1 AS INTEGER) AS pos,
+         source_url, source || ' docs (' || source || ')' AS source_label, 'nested' AS layout, source AS path_prefix
+  FROM sources WHERE src_n % 5 <> 4
+),
+run_sources AS (
+  SELECT collection, source_url, source || ' docs (' || source || ')' AS source_label, 'nested' AS layout,
+         source AS path_prefix, src_n AS seq FROM sources
+),
+prev_docs AS (SELECT * FROM installed WHERE k % 10 <> 0),
+ghost AS (
+  SELECT collection, source_url, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '-old.md' AS path
+  FROM installed WHERE k % 11 = 0
+),
+managed AS (SELECT collection, source_url, path FROM prev_docs UNION ALL SELECT * FROM ghost),
+selected_urls AS (SELECT collection, source_url, url FROM prev_docs WHERE src_n % 2 = 1),
+corpus AS (
+  SELECT collection, path, sha256(CASE WHEN k % 7 = 0 THEN content || 'old' ELSE content END) AS content_sha
+  FROM prev_docs WHERE k % 13 <> 0
+  UNION ALL SELECT collection, path, sha256('ghost' || chr(10)) FROM ghost
+  UNION ALL SELECT collection, path, sha256('unmanaged' || chr(10)) FROM base WHERE k % 10 = 0 AND k % 3 = 0
+),
+marked AS (
+  SELECT b.*, s.url IS NOT NULL AS hit,
+         EXISTS (SELECT 1 FROM selected_urls p WHERE p.collection = b.collection AND p.source_url = b.source_url) AS has_prev
+  FROM base b LEFT JOIN selected_urls s USING (collection, source_url, url)
+),
+marked2 AS (
+  SELECT *, has_prev AND bool_or(hit) OVER (PARTITION BY collection, source_url) AS use_prev FROM marked
+),
+selected AS (
+  SELECT *, CASE WHEN use_prev THEN 'previous' ELSE 'all' END AS selection FROM marked2 WHERE NOT use_prev OR hit
+),
+fetched AS (
+  SELECT collection, source_url, url, CAST(doc_id AS BIGINT) AS line_pos, path,
+         NOT (src_n % 5 = 3 AND k % 4 = 0) AS ok,
+         CASE WHEN NOT (src_n % 5 = 3 AND k % 4 = 0) THEN sha256(content) END AS content_sha
+  FROM selected
+),
+docs AS (SELECT collection, source_url, path, content_sha FROM fetched WHERE ok),
+cur_managed AS (SELECT DISTINCT m.collection, m.source_url, m.path FROM managed m),
+readable AS (
+  SELECT m.collection, m.source_url, m.path, c.content_sha AS old_sha
+  FROM cur_managed m JOIN corpus c USING (collection, path)
+),
+facts AS (
+  SELECT f.collection, f.source_url, count_if(ok) AS successes, count_if(NOT ok) AS failures,
+         i.source_url IS NOT NULL AS same_source
+  FROM fetched f LEFT JOIN installs i USING (collection, source_url)
+  GROUP BY f.collection, f.source_url, i.source_url
+),
+plan AS (
+  SELECT d.collection, d.source_url, d.path,
+         CASE WHEN r.old_sha IS NULL THEN 'added' WHEN r.old_sha = d.content_sha THEN 'unchanged' ELSE 'changed' END AS change
+  FROM docs d LEFT JOIN readable r USING (collection, source_url, path)
+  UNION ALL
+  SELECT m.collection, m.source_url, m.path, 'removed'
+  FROM cur_managed m JOIN facts f USING (collection, source_url)
+  WHERE f.same_source AND f.failures = 0
+    AND NOT EXISTS (SELECT 1 FROM docs d WHERE d.collection = m.collection AND d.source_url = m.source_url AND d.path = m.path)
+),
+summary AS (
+  SELECT f.collection, f.source_url, f.successes, f.failures, f.same_source,
+         count(*) FILTER (WHERE p.change = 'added') AS added, count(*) FILTER (WHERE p.change = 'changed') AS changed,
+         count(*) FILTER (WHERE p.change = 'removed') AS removed,
+         count(*) FILTER (WHERE p.change = 'unchanged') AS unchanged
+  FROM facts f LEFT JOIN plan p USING (collection, source_url)
+  GROUP BY f.collection, f.source_url, f.successes, f.failures, f.same_source
+),
+summary2 AS (
+  SELECT *, added + changed + removed AS total_changes,
+         same_source AND added + changed + removed = 0 AND failures = 0 AS up_to_date,
+         failures > 0 AS removals_paused,
+         CASE WHEN successes = 0 THEN 'failed' ELSE 'ok' END AS run_status
+  FROM summary
+)"""
+
+
+def q_previous_selection() -> str:
+    return _with(sync_ctes()) + """
+SELECT collection, source_url, url, CAST(doc_id AS BIGINT) AS line_pos, selection FROM selected"""
+
+
+def q_explicit_selection() -> str:
+    return _with(sync_ctes()) + """
+SELECT collection, source_url, url, CAST(doc_id AS BIGINT) AS line_pos FROM base
+WHERE contains(url, '.example.org/en/')"""
+
+
+def q_install_plan() -> str:
+    return _with(sync_ctes()) + """
+SELECT collection, source_url, path, change FROM plan"""
+
+
+def q_plan_summary() -> str:
+    return _with(sync_ctes()) + """
+SELECT collection, source_url, successes, failures, same_source, added, changed, removed, unchanged,
+       total_changes, up_to_date, removals_paused, run_status FROM summary2"""
+
+
+def q_plan_preview() -> str:
+    return _with(sync_ctes()) + """,
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY collection, source_url, change ORDER BY path) AS INTEGER) AS rank,
+         count(*) OVER (PARTITION BY collection, source_url, change) AS total
+  FROM plan
+)
+SELECT collection, source_url, change, path, rank, total, greatest(total - 25, 0) AS more
+FROM ranked WHERE rank <= 25"""
+
+
+def q_apply_plan() -> str:
+    return _with(sync_ctes()) + """,
+active AS (SELECT collection, source_url FROM summary2 WHERE NOT up_to_date),
+written AS (
+  SELECT f.collection, f.path, f.content_sha FROM fetched f JOIN active USING (collection, source_url) WHERE f.ok
+),
+gone AS (
+  SELECT collection, path FROM written
+  UNION ALL
+  SELECT p.collection, p.path FROM plan p JOIN active USING (collection, source_url) WHERE p.change = 'removed'
+)
+SELECT collection, path, content_sha FROM corpus c
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.collection = c.collection AND g.path = c.path)
+UNION ALL
+SELECT collection, path, content_sha FROM written"""
+
+
+def q_manifest_upsert() -> str:
+    return _with(sync_ctes()) + """,
+runs AS (
+  SELECT r.*, s.failures FROM run_sources r JOIN summary2 s USING (collection, source_url) WHERE NOT s.up_to_date
+),
+kept AS (
+  SELECT i.* FROM installs i
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.collection = i.collection AND r.source_url = i.source_url)
+),
+last_pos AS (SELECT collection, max(pos) AS last FROM installs GROUP BY 1),
+new_installs AS (
+  SELECT collection, pos, source_url, source_label, layout, coalesce(path_prefix, '') AS path_prefix FROM kept
+  UNION ALL
+  SELECT r.collection, i.pos, r.source_url, r.source_label, r.layout, r.path_prefix
+  FROM runs r JOIN installs i USING (collection, source_url)
+  UNION ALL
+  SELECT r.collection,
+         CAST(coalesce(l.last, -1) + row_number() OVER (PARTITION BY r.collection ORDER BY r.seq, r.source_url) AS INTEGER),
+         r.source_url, r.source_label, r.layout, r.path_prefix
+  FROM runs r LEFT JOIN last_pos l USING (collection)
+  WHERE NOT EXISTS (SELECT 1 FROM installs i WHERE i.collection = r.collection AND i.source_url = r.source_url)
+),
+new_managed AS (
+  SELECT DISTINCT collection, source_url, path FROM (
+    SELECT f.collection, f.source_url, f.path FROM fetched f JOIN runs USING (collection, source_url) WHERE f.ok
+    UNION ALL
+    SELECT m.collection, m.source_url, m.path FROM managed m JOIN runs r USING (collection, source_url) WHERE r.failures > 0
+    UNION ALL
+    SELECT m.collection, m.source_url, m.path FROM managed m JOIN kept USING (collection, source_url)
+  )
+),
+new_sel AS (
+  SELECT DISTINCT collection, source_url, url FROM (
+    SELECT s.collection, s.source_url, s.url FROM selected s JOIN runs USING (collection, source_url)
+    UNION ALL
+    SELECT u.collection, u.source_url, u.url FROM selected_urls u JOIN kept USING (collection, source_url)
+  )
+),
+m AS (SELECT collection, source_url, count(*) AS n_managed, min(path) AS first_managed, max(path) AS last_managed
+      FROM new_managed GROUP BY 1, 2),
+u AS (SELECT collection, source_url, count(*) AS n_selected FROM new_sel GROUP BY 1, 2)
+SELECT i.collection, i.pos, i.source_url, i.source_label, i.layout, i.path_prefix,
+       coalesce(m.n_managed, 0) AS n_managed, m.first_managed, m.last_managed, coalesce(u.n_selected, 0) AS n_selected
+FROM new_installs i LEFT JOIN m USING (collection, source_url) LEFT JOIN u USING (collection, source_url)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "extract_links": q_extract_links(),
@@ -530,4 +720,11 @@ def oracle_sql() -> dict[str, str]:
         "local_paths": q_local_paths(),
         "flat_paths": q_flat_paths(),
         "unique_paths": q_unique_paths(),
+        "previous_selection": q_previous_selection(),
+        "explicit_selection": q_explicit_selection(),
+        "install_plan": q_install_plan(),
+        "plan_summary": q_plan_summary(),
+        "plan_preview": q_plan_preview(),
+        "apply_plan": q_apply_plan(),
+        "manifest_upsert": q_manifest_upsert(),
     }

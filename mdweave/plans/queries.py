@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import convert as CV
 from ..operators import fetch as FE
 from ..operators import paths as PA
+from ..operators import sync as SY
 from ..operators import links as L
+from ..session import materialize
 from . import views as V
 
 
@@ -25,7 +27,7 @@ def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark, sf_dir) -> DataFrame:
-    return L.resolve_links(L.extract_links(_all_lines(spark, sf_dir)))
+    return materialize(L.resolve_links(L.extract_links(_all_lines(spark, sf_dir))))
 
 
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +71,8 @@ def _site_selected(spark, sf_dir) -> DataFrame:
     """Allowed unique links of the site indexes (V2): the entries to fetch."""
     lines = V.host_index_lines(spark, sf_dir)
     uniq = L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(lines))))
-    return (L.apply_host_policy(uniq).filter("allowed")
-            .select("source_url", "href", "line_pos", "match_pos", "title", "path", "query"))
+    return materialize(L.apply_host_policy(uniq).filter("allowed")
+                       .select("source_url", "href", "line_pos", "match_pos", "title", "path", "query"))
 
 
 def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fetched(spark, sf_dir) -> DataFrame:
-    return FE.first_success(_site_selected(spark, sf_dir), V.crawl_resources(spark, sf_dir))
+    return materialize(FE.first_success(_site_selected(spark, sf_dir), V.crawl_resources(spark, sf_dir)))
 
 
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +154,70 @@ def unique_paths_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_url", "href", "line_pos", "match_pos", "rel_path", "path")
 
 
+# --- sync --------------------------------------------------------------------------
+
+def _sync(spark, sf_dir):
+    d = V.sync_inputs(spark, sf_dir)
+    d["selected"] = materialize(SY.select_previous(d["entries"], d["installs"], d["selected_urls"]))
+    d["fetched"] = materialize(V.fetch_selected(d["selected"]))
+    d["plan"] = materialize(SY.install_plan(d["fetched"], d["installs"], d["managed_files"], d["corpus"]))
+    return d
+
+
+def previous_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.sync_inputs(spark, sf_dir)
+    return SY.select_previous(d["entries"], d["installs"], d["selected_urls"]).select(
+        "collection", "source_url", "url", "line_pos", "selection")
+
+
+def explicit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interactive choice as a URL table: the English documents."""
+    d = V.sync_inputs(spark, sf_dir)
+    chosen = d["entries"].filter(F.col("url").contains(".example.org/en/")).select("collection", "source_url", "url")
+    return SY.select_explicit(d["entries"], chosen).select("collection", "source_url", "url", "line_pos")
+
+
+def install_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir)["plan"].select("collection", "source_url", "path", "change")
+
+
+def _summary(d):
+    return SY.plan_summary(d["plan"], d["fetched"], d["installs"])
+
+
+def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(_sync(spark, sf_dir)).select(
+        "collection", "source_url", "successes", "failures", "same_source", "added", "changed", "removed",
+        "unchanged", "total_changes", "up_to_date", "removals_paused", "run_status")
+
+
+def plan_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SY.plan_preview(_sync(spark, sf_dir)["plan"]).select(
+        "collection", "source_url", "change", "path", "rank", "total", "more")
+
+
+def apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _sync(spark, sf_dir)
+    return SY.apply_plan(d["corpus"], d["fetched"], d["plan"], _summary(d)).select(
+        "collection", "path", "content_sha")
+
+
+def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Installs after the upsert with their managed-file and selected-URL
+    lists summarised (count, first and last path; count of URLs)."""
+    d = _sync(spark, sf_dir)
+    inst, managed, sel = SY.upsert_manifest(d["installs"], d["managed_files"], d["selected_urls"],
+                                            d["fetched"], d["selected"], _summary(d), d["run_sources"])
+    m = managed.groupBy("collection", "source_url").agg(
+        F.count(F.lit(1)).alias("n_managed"), F.min("path").alias("first_managed"),
+        F.max("path").alias("last_managed"))
+    u = sel.groupBy("collection", "source_url").agg(F.count(F.lit(1)).alias("n_selected"))
+    return (inst.join(m, ["collection", "source_url"], "left").join(u, ["collection", "source_url"], "left")
+            .fillna(0, ["n_managed", "n_selected"])
+            .select("collection", "pos", "source_url", "source_label", "layout", "path_prefix",
+                    "n_managed", "first_managed", "last_managed", "n_selected"))
+
+
 QUERIES = {
     "extract_links": extract_links,
     "resolve_links": resolve_links,
@@ -170,5 +236,12 @@ QUERIES = {
     "flat_paths": flat_paths,
     "unique_paths": unique_paths,
     "unique_paths_greedy": unique_paths_greedy,
+    "previous_selection": previous_selection,
+    "explicit_selection": explicit_selection,
+    "install_plan": install_plan,
+    "plan_summary": plan_summary,
+    "plan_preview": plan_preview,
+    "apply_plan": apply_plan,
+    "manifest_upsert": manifest_upsert,
 }
 FLAGSHIP = link_stats

@@ -11,11 +11,12 @@ snapshot differed), they never cut rows from the work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import parse_urls
 from ..operators.fetch import candidate_urls
+from ..session import materialize
 from ..sources.tables import load_table
 
 # --- fixed values of the derived fixtures -----------------------------------
@@ -144,7 +145,7 @@ def crawl_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     host is not a page host).  Columns of the link table."""
     from ..operators import links as L
     lines = crawl_index_lines(spark, sf_dir)
-    return L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(lines))))
+    return materialize(L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(lines)))))
 
 
 def local_mirror_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,3 +166,86 @@ def local_mirror_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("file_url", "title", "local_root_dir", F.col("u.href").alias("href"),
                          F.col("u.scheme").alias("scheme"), F.col("u.host").alias("host"),
                          F.col("u.path").alias("path"))
+
+
+# --- V6: previous snapshot and manifest for the sync queries -----------------------
+
+def _doc_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry per document, grouped in sources and two collections.
+
+    ``k`` = doc_id div 20 numbers the documents inside their source (the
+    driver assigns sources by doc_id modulo 20); the variant rules below use it.
+
+    source_url = https://<source>.example.org/llms.txt, collection =
+    docs-<n % 2> (n = the number in the source name), path prefix = source,
+    path = <source>/<lang>/<doc_id>.md, content = text without trailing
+    whitespace plus one newline."""
+    from ..functions.text import ensure_trailing_newline, js_trim_end
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    n = F.regexp_extract("source", r"[0-9]+", 0).cast("int")
+    return docs.select(
+        "doc_id", (F.col("doc_id") / 20).cast("long").alias("k"), "lang", "source", n.alias("src_n"),
+        F.concat(F.lit("docs-"), (n % 2).cast("string")).alias("collection"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/llms.txt")).alias("source_url"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("lang"), F.lit("/"),
+                 F.col("doc_id").cast("string")).alias("url"),
+        F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+        .alias("path"),
+        ensure_trailing_newline(js_trim_end("text")).alias("content"),
+    )
+
+
+def sync_inputs(spark: SparkSession, sf_dir: str) -> dict:
+    """Entries of this run and the previous manifest + corpus (V6).
+
+    * sources whose number n has n % 5 = 4 are new (no install);
+    * the previous install of a source managed every doc with k % 10 != 0,
+      plus a ghost path <source>/<lang>/<doc_id>-old.md for k % 11 = 0;
+    * its selection: empty for even n (take all), else its managed doc URLs;
+    * the corpus lacks managed docs with k % 13 = 0 (deleted by hand),
+      holds an older content for k % 7 = 0 and unmanaged files for the
+      docs with k % 10 = 0 and k % 3 = 0;
+    * this run fails the fetch of k % 4 = 0 in sources with n % 5 = 3.
+    """
+    base = materialize(_doc_base(spark, sf_dir))
+    installed = base.filter(F.col("src_n") % 5 != 4)
+    entries = base.select("collection", "source_url", "url", F.col("doc_id").cast("long").alias("line_pos"),
+                          F.lit(0).alias("match_pos"), "path", "content", "src_n", "doc_id", "k")
+    sources = base.select("collection", "source_url", "source", "src_n").distinct()
+    run_sources = sources.select(
+        "collection", "source_url",
+        F.concat(F.col("source"), F.lit(" docs (") , F.col("source"), F.lit(")")).alias("source_label"),
+        F.lit("nested").alias("layout"), F.col("source").alias("path_prefix"), F.col("src_n").alias("seq"))
+    w = Window.partitionBy("collection").orderBy("src_n")
+    installs = (sources.filter(F.col("src_n") % 5 != 4)
+                .withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+                .select("collection", "pos", "source_url",
+                        F.concat(F.col("source"), F.lit(" docs (") , F.col("source"), F.lit(")")).alias("source_label"),
+                        F.lit("nested").alias("layout"), F.col("source").alias("path_prefix")))
+    prev_docs = installed.filter(F.col("k") % 10 != 0)
+    ghost = installed.filter(F.col("k") % 11 == 0).select(
+        "collection", "source_url", "doc_id",
+        F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("-old.md"))).alias("path"))
+    managed_files = prev_docs.select("collection", "source_url", "path").unionByName(
+        ghost.select("collection", "source_url", "path"))
+    selected_urls = prev_docs.filter(F.col("src_n") % 2 == 1).select(
+        "collection", "source_url", "url", F.col("doc_id").cast("long").alias("ord"))
+    old_content = F.when(F.col("k") % 7 == 0, F.concat(F.col("content"), F.lit("old"))).otherwise(F.col("content"))
+    corpus = (prev_docs.filter(F.col("k") % 13 != 0)
+              .select("collection", "path", F.sha2(old_content, 256).alias("content_sha"))
+              .unionByName(ghost.select("collection", "path", F.sha2(F.lit("ghost\n"), 256).alias("content_sha")))
+              .unionByName(base.filter((F.col("k") % 10 == 0) & (F.col("k") % 3 == 0))
+                           .select("collection", "path", F.sha2(F.lit("unmanaged\n"), 256).alias("content_sha"))))
+    out = {"entries": entries, "installs": installs, "managed_files": managed_files,
+           "selected_urls": selected_urls, "corpus": corpus, "run_sources": run_sources}
+    return {k: materialize(v) for k, v in out.items()}
+
+
+def fetch_selected(selected: DataFrame) -> DataFrame:
+    """This run's fetch outcome for the selected entries (see sync_inputs)."""
+    failed = (F.col("src_n") % 5 == 3) & (F.col("k") % 4 == 0)
+    return selected.select(
+        "collection", "source_url", "url", "line_pos", "match_pos", "path",
+        (~failed).alias("ok"),
+        F.when(~failed, F.sha2("content", 256)).alias("content_sha"),
+        F.when(failed, F.concat(F.col("url"), F.lit(" (HTTP 404 Not Found)"))).alias("reason"))

@@ -23,6 +23,8 @@ _BASE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of materialised stages are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -66,3 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def materialize(df, how: str | None = None):
+    """Materialise a stage output that several later steps read.
+
+    ``checkpoint`` (default) writes the rows to the shared checkpoint directory
+    and cuts the lineage: the plans built on top stay small (fast to analyse and
+    optimise) and a lost executor does not recompute the upstream stages.
+    ``cache`` keeps them in executor memory/disk instead; ``none`` leaves the
+    plan lazy.  Chosen per session with ``mdweave.materialize``.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    how = how or spark.conf.get("mdweave.materialize", "checkpoint")
+    if how == "checkpoint":
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    if how == "cache":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
