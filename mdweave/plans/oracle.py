@@ -303,9 +303,11 @@ resources AS (
          CASE WHEN page_id % 5 <> 4 THEN CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN ''
                                                ELSE 'application/octet-stream' END END AS content_type,
          CASE WHEN page_id % 5 = 4 AND page_id % 2 = 1 THEN 'socket hang up' END AS error,
-         CASE WHEN page_id % 5 <> 4 THEN html END AS body
+         CASE WHEN page_id % 5 <> 4 THEN html END AS body,
+         CASE WHEN page_id % 5 <> 4 THEN CAST(length(html) AS BIGINT) END AS content_length
   FROM res_parts
-)"""
+),
+resources_f AS (SELECT *, CASE WHEN ok THEN url END AS final_url FROM resources)"""
 
 FIRST_SUCCESS = """
 probe AS (
@@ -703,6 +705,230 @@ SELECT i.collection, i.pos, i.source_url, i.source_label, i.layout, i.path_prefi
 FROM new_installs i LEFT JOIN m USING (collection, source_url) LEFT JOIN u USING (collection, source_url)"""
 
 
+# --- registry -------------------------------------------------------------------------
+
+REG_HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
+
+REGISTRY = f"""
+reg_lines AS (
+  SELECT 0 AS line_no, '# slug|label|url' AS text
+  UNION ALL
+  SELECT CAST(page_id + 1 AS INTEGER), concat_ws('|', {REG_HOST}, {PAGE_TITLE}, url) FROM pages
+),
+reg0 AS (SELECT line_no, {jtrim('text')} AS l FROM reg_lines),
+reg AS (
+  SELECT line_no,
+         coalesce({jtrim("string_split(l, '|')[1]")}, '') AS slug,
+         coalesce({jtrim("string_split(l, '|')[2]")}, '') AS label,
+         coalesce({jtrim("string_split(l, '|')[3]")}, '') AS url
+  FROM reg0 WHERE l <> '' AND NOT starts_with(l, '#')
+),
+reg_v AS (SELECT *, slug <> '' AND label <> '' AND url <> '' AS valid FROM reg),
+dup AS (
+  SELECT *, count(*) OVER (PARTITION BY lower(slug)) > 1 AS duplicate_slug,
+            count(*) OVER (PARTITION BY lower(url)) > 1 AS duplicate_url
+  FROM reg
+),
+rparse0 AS (
+  SELECT *, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS has_scheme,
+         lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
+         regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS after
+  FROM dup
+),
+rparse AS (
+  SELECT *,
+    CASE WHEN NOT has_scheme THEN false
+         WHEN scheme NOT IN ('http', 'https', 'ws', 'wss', 'ftp', 'file') THEN true
+         ELSE regexp_matches(after, '^//[^/?#@\\[\\]<>^| %]+([/?#]|$)') END AS parsed,
+    lower(regexp_extract(after, '^//([^/?#:]*)', 1)) AS host,
+    CASE WHEN scheme IN ('http', 'https', 'ws', 'wss', 'ftp', 'file')
+         THEN CASE WHEN regexp_extract(after, '^//[^/?#]*([^?#]*)', 1) = '' THEN '/'
+                   ELSE regexp_extract(after, '^//[^/?#]*([^?#]*)', 1) END
+         ELSE regexp_replace(after, '[?#].*$', '') END AS upath,
+    CASE WHEN regexp_matches(after, '^[^#]*\\?') THEN '?' || regexp_extract(after, '^[^?#]*\\?([^#]*)', 1) ELSE '' END AS uq
+  FROM rparse0
+),
+static AS (
+  SELECT line_no, slug, label, url, parsed,
+    CASE WHEN parsed THEN host END AS parsed_host,
+    CASE WHEN parsed THEN scheme || '://' || host || upath || uq END AS parsed_href,
+    list_filter([
+      CASE WHEN slug = '' OR label = '' OR url = '' THEN 'Registry line must contain slug, label, and URL.' END,
+      CASE WHEN duplicate_slug THEN 'Duplicate slug.' END,
+      CASE WHEN NOT parsed THEN 'URL is not valid.' END,
+      CASE WHEN parsed AND scheme <> 'https' THEN 'Registry URLs must use HTTPS.' END,
+      CASE WHEN parsed AND (host = 'localhost' OR ends_with(host, '.local') OR ends_with(host, '.internal')
+                            OR regexp_matches(host, '^(0|10|127)\\.[0-9]+\\.[0-9]+\\.[0-9]+$')
+                            OR regexp_matches(host, '^169\\.254\\.[0-9]+\\.[0-9]+$')
+                            OR regexp_matches(host, '^172\\.(1[6-9]|2[0-9]|3[01])\\.[0-9]+\\.[0-9]+$')
+                            OR regexp_matches(host, '^192\\.168\\.[0-9]+\\.[0-9]+$'))
+           THEN 'Registry URLs must point to a public hostname.' END
+    ], lambda x: x IS NOT NULL) AS issues,
+    list_filter([
+      CASE WHEN duplicate_url THEN 'Duplicate URL already exists in the registry.' END,
+      CASE WHEN parsed AND NOT ends_with(lower(upath), 'llms.txt') THEN 'URL does not end with llms.txt.' END
+    ], lambda x: x IS NOT NULL) AS warnings
+  FROM rparse
+),
+probe AS (
+  SELECT s.*, len(s.issues) = 0 AS do_fetch, r.ok AS r_ok, r.http_status AS r_status,
+         r.content_type AS r_type, r.content_length AS r_len, r.final_url AS r_final, r.error AS r_error, r.body AS r_body
+  FROM static s LEFT JOIN resources_f r ON len(s.issues) = 0 AND r.url = s.parsed_href
+),
+probe2 AS (
+  SELECT *, do_fetch AND r_ok IS NOT NULL AS fetched, do_fetch AND coalesce(r_ok, false) AS okf,
+         CASE WHEN do_fetch AND r_ok IS NOT NULL THEN coalesce(r_len, 0) ELSE 0 END AS header_len,
+         coalesce(r_type, '') AS ctype
+  FROM probe
+),
+probe3 AS (SELECT *, CASE WHEN header_len > 0 THEN header_len ELSE length(r_body) END AS eff FROM probe2),
+reviewed AS (
+  SELECT line_no, slug, label, url,
+    CASE WHEN fetched THEN coalesce(r_final, parsed_href) ELSE url END AS final_url,
+    CAST(CASE WHEN fetched THEN coalesce(r_status, 0) ELSE 0 END AS INTEGER) AS status_code,
+    CASE WHEN fetched THEN ctype ELSE '' END AS content_type,
+    CAST(header_len AS BIGINT) AS content_length,
+    list_concat(issues, list_filter([
+      CASE WHEN do_fetch AND r_ok IS NULL THEN 'not in snapshot'
+           WHEN fetched AND NOT r_ok AND r_error IS NOT NULL THEN r_error
+           WHEN fetched AND NOT r_ok THEN 'Fetch failed with HTTP ' || CAST(r_status AS VARCHAR) || '.'
+           WHEN okf AND NOT (starts_with(lower(ctype), 'text/') OR contains(lower(ctype), 'markdown')
+                             OR contains(lower(ctype), 'json') OR contains(lower(ctype), 'xml'))
+             THEN 'Unexpected content type: ' || CASE WHEN ctype = '' THEN 'unknown' ELSE ctype END || '.' END
+    ], lambda x: x IS NOT NULL)) AS issues,
+    list_concat(warnings, CASE WHEN okf THEN list_filter([
+      CASE WHEN lower(regexp_extract(r_final, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) <> parsed_host
+           THEN 'Request redirected to a different hostname.' END,
+      CASE WHEN eff > 1048576 THEN 'Response is larger than 1 MB.' END,
+      CASE WHEN regexp_matches({_ws_ltrim('r_body')}, '(?i)^(<!doctype html|<html[{WS}>])')
+           THEN 'Endpoint returned HTML instead of plain text/markdown.' END,
+      CASE WHEN NOT regexp_matches(r_body, '\\[[^\\]]+\\]\\([^)]+\\)') THEN 'Response did not contain any markdown links.' END
+    ], lambda x: x IS NOT NULL) ELSE [] END) AS warnings,
+    CASE WHEN okf THEN ['Fetched ' || format('{{:,}}', eff) || ' bytes.'] ELSE [] END AS notes
+  FROM probe3
+),
+reviewed2 AS (
+  SELECT *, CASE WHEN len(issues) > 0 THEN 'unsafe' WHEN len(warnings) > 0 THEN 'needs-review' ELSE 'safe' END AS verdict
+  FROM reviewed
+)"""
+
+
+def q_registry_scan() -> str:
+    return _with(REGISTRY) + """
+SELECT line_no, slug, label, url, valid FROM reg_v"""
+
+
+def q_registry_duplicates() -> str:
+    return _with(REGISTRY) + """
+SELECT line_no, slug, url, duplicate_slug, duplicate_url FROM dup"""
+
+
+def q_registry_static_review() -> str:
+    return _with(REGISTRY) + """
+SELECT line_no, slug, array_to_string(issues, ' ') AS issues, array_to_string(warnings, ' ') AS warnings FROM static"""
+
+
+def q_registry_review() -> str:
+    return _with(RESOURCES, REGISTRY) + """
+SELECT line_no, slug, url, final_url, status_code, content_type, content_length,
+       array_to_string(issues, ' ') AS issues, array_to_string(warnings, ' ') AS warnings,
+       array_to_string(notes, ' ') AS notes, verdict
+FROM reviewed2"""
+
+
+def q_verdict_counts() -> str:
+    return _with(RESOURCES, REGISTRY) + """
+SELECT count_if(verdict = 'safe') AS safe, count_if(verdict = 'needs-review') AS needs_review,
+       count_if(verdict = 'unsafe') AS unsafe
+FROM reviewed2"""
+
+
+def q_review_report() -> str:
+    esc = "replace(regexp_replace(d, '\\r?\\n', ' ', 'g'), '|', '\\|')"
+    return _with(RESOURCES, REGISTRY) + f""",
+counts AS (
+  SELECT count_if(verdict = 'safe') AS safe, count_if(verdict = 'needs-review') AS nr,
+         count_if(verdict = 'unsafe') AS unsafe FROM reviewed2
+),
+details AS (
+  SELECT *, CASE WHEN array_to_string(list_concat(issues, warnings, notes), ' ') = '' THEN 'Looks good.'
+                 ELSE array_to_string(list_concat(issues, warnings, notes), ' ') END AS d
+  FROM reviewed2
+)
+SELECT 0 AS section, CAST(x.o AS BIGINT) AS ord, 0 AS sub, x.l AS line
+FROM (SELECT unnest([
+  {{'o': 0, 'l': '<!-- mdweave-registry-review -->'}}, {{'o': 1, 'l': '## mdweave Registry Review'}},
+  {{'o': 2, 'l': ''}}, {{'o': 3, 'l': '- Safe: ' || CAST(safe AS VARCHAR)}},
+  {{'o': 4, 'l': '- Needs review: ' || CAST(nr AS VARCHAR)}}, {{'o': 5, 'l': '- Unsafe: ' || CAST(unsafe AS VARCHAR)}},
+  {{'o': 6, 'l': ''}}, {{'o': 7, 'l': '| Slug | Verdict | Status | Notes |'}}, {{'o': 8, 'l': '| --- | --- | --- | --- |'}}
+]) AS x FROM counts)
+UNION ALL
+SELECT 1, CAST(line_no AS BIGINT), 0,
+       '| ' || slug || ' | ' || verdict || ' | ' || CASE WHEN status_code <> 0 THEN CAST(status_code AS VARCHAR) ELSE 'n/a' END
+       || ' | ' || {esc} || ' |'
+FROM details
+UNION ALL SELECT 2, 0, 0, '' UNION ALL SELECT 2, 1, 0, '### Checked URLs' UNION ALL SELECT 2, 2, 0, ''
+UNION ALL
+SELECT 3, CAST(line_no AS BIGINT), 0, '- ' || slug || ': ' || url FROM reviewed2
+UNION ALL
+SELECT 3, CAST(line_no AS BIGINT), 1, '- Final URL for ' || slug || ': ' || final_url FROM reviewed2
+WHERE final_url IS NOT NULL AND final_url <> '' AND final_url <> url
+UNION ALL SELECT 4, 0, 0, ''
+UNION ALL SELECT 4, 1, 0, 'This review is automated and should be treated as a safety pre-check, not a trust guarantee.'"""
+
+
+def q_source_resolution() -> str:
+    title_label = jtrim(f"regexp_extract({PAGE_TITLE}, '^([^|]*)', 1)")
+    return _with(REGISTRY) + f""",
+inputs AS (
+  SELECT page_id AS input_id,
+         CASE page_id % 4 WHEN 0 THEN upper({REG_HOST}) WHEN 1 THEN '  ' || {title_label} || ' ' WHEN 2 THEN url
+              ELSE 'docs/' || regexp_extract(url, '^[A-Za-z]+://[^/]+/([^/?#]+)', 1) || '/' || CAST(page_id AS VARCHAR) || '.txt'
+         END AS input
+  FROM pages
+),
+strict AS (SELECT * FROM reg_v WHERE valid),
+keyed AS (
+  SELECT *, CASE WHEN NOT (contains(input, '/') OR contains(input, ':') OR starts_with(input, '.') OR starts_with(input, '~'))
+                 THEN lower({jtrim('input')}) END AS k
+  FROM inputs
+),
+hits AS (
+  SELECT k.input_id, arg_min(struct_pack(slug := s.slug, label := s.label, url := s.url),
+                             struct_pack(a := icu_sort_key(s.label, 'und'), b := s.line_no)) AS f
+  FROM keyed k JOIN strict s ON lower(s.slug) = k.k OR lower(s.label) = k.k
+  GROUP BY k.input_id
+),
+res AS (
+  SELECT i.input_id, i.input, h.f,
+         regexp_matches(i.input, '^https?://[^/?#@\\[\\]<>^| %]+([/?#]|$)') AS is_url,
+         regexp_replace(CASE WHEN starts_with(i.input, '/') THEN i.input ELSE '/work/project/' || i.input END, '/+$', '') AS abs
+  FROM inputs i LEFT JOIN hits h USING (input_id)
+)
+SELECT input_id, input,
+  CASE WHEN f IS NOT NULL THEN 'registry' WHEN is_url THEN 'url' ELSE 'path' END AS kind,
+  CASE WHEN f IS NOT NULL THEN f.slug END AS slug,
+  CASE WHEN f IS NOT NULL THEN f.label || ' (' || f.slug || ')'
+       WHEN is_url THEN lower(regexp_extract(input, '^([A-Za-z]+://[^/?#]*)', 1))
+            || CASE WHEN regexp_extract(input, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+                    ELSE regexp_extract(input, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END
+            || regexp_extract(input, '^[^?#]*(\\?[^#]*)?', 1) || regexp_extract(input, '(#.*)$', 1)
+       ELSE abs END AS label,
+  CASE WHEN f IS NOT NULL THEN
+         CASE WHEN regexp_matches(f.url, '^https?://[^/?#@\\[\\]<>^| %]+([/?#]|$)')
+              THEN lower(regexp_extract(f.url, '^([A-Za-z]+://[^/?#]*)', 1))
+                   || CASE WHEN regexp_extract(f.url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+                           ELSE regexp_extract(f.url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END
+                   || regexp_extract(f.url, '^[^?#]*(\\?[^#]*)?', 1) || regexp_extract(f.url, '(#.*)$', 1) END
+       WHEN is_url THEN lower(regexp_extract(input, '^([A-Za-z]+://[^/?#]*)', 1))
+            || CASE WHEN regexp_extract(input, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+                    ELSE regexp_extract(input, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END
+            || regexp_extract(input, '^[^?#]*(\\?[^#]*)?', 1) || regexp_extract(input, '(#.*)$', 1)
+       ELSE 'file://' || {enc('abs', PATH_SET)} END AS url,
+  CASE WHEN f IS NULL AND NOT is_url THEN regexp_replace(abs, '/[^/]*$', '') END AS local_root_dir
+FROM res"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "extract_links": q_extract_links(),
@@ -727,4 +953,11 @@ def oracle_sql() -> dict[str, str]:
         "plan_preview": q_plan_preview(),
         "apply_plan": q_apply_plan(),
         "manifest_upsert": q_manifest_upsert(),
+        "registry_scan": q_registry_scan(),
+        "source_resolution": q_source_resolution(),
+        "registry_duplicates": q_registry_duplicates(),
+        "registry_static_review": q_registry_static_review(),
+        "registry_review": q_registry_review(),
+        "verdict_counts": q_verdict_counts(),
+        "review_report": q_review_report(),
     }

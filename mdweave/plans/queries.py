@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import convert as CV
 from ..operators import fetch as FE
 from ..operators import paths as PA
+from ..operators import review as RV
 from ..operators import sync as SY
 from ..operators import links as L
 from ..session import materialize
@@ -218,6 +219,51 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_managed", "first_managed", "last_managed", "n_selected"))
 
 
+# --- registry ----------------------------------------------------------------------
+
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 rows with the S2 validity flag (strict rows = valid, rejects = not)."""
+    return RV.scan_registry(V.registry_lines(spark, sf_dir)).select("line_no", "slug", "label", "url", "valid")
+
+
+def source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = RV.strict_registry(V.registry_lines(spark, sf_dir))
+    return RV.resolve_sources(V.source_inputs(spark, sf_dir), reg).select(
+        "input_id", "input", "kind", "slug", "label", "url", "local_root_dir")
+
+
+def registry_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = RV.scan_registry(V.registry_lines(spark, sf_dir))
+    return RV.duplicate_flags(reg).select("line_no", "slug", "url", "duplicate_slug", "duplicate_url")
+
+
+def registry_static_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = RV.scan_registry(V.registry_lines(spark, sf_dir))
+    return RV.static_review(reg).select(
+        "line_no", "slug", F.array_join("issues", " ").alias("issues"),
+        F.array_join("warnings", " ").alias("warnings"))
+
+
+def _reviewed(spark, sf_dir):
+    reg = RV.scan_registry(V.registry_lines(spark, sf_dir))
+    return materialize(RV.review(reg, V.crawl_resources(spark, sf_dir)))
+
+
+def registry_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(spark, sf_dir).select(
+        "line_no", "slug", "url", "final_url", "status_code", "content_type", "content_length",
+        F.array_join("issues", " ").alias("issues"), F.array_join("warnings", " ").alias("warnings"),
+        F.array_join("notes", " ").alias("notes"), "verdict")
+
+
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RV.verdict_counts(_reviewed(spark, sf_dir))
+
+
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RV.report_lines(_reviewed(spark, sf_dir)).select("section", "ord", "sub", "line")
+
+
 QUERIES = {
     "extract_links": extract_links,
     "resolve_links": resolve_links,
@@ -243,5 +289,12 @@ QUERIES = {
     "plan_preview": plan_preview,
     "apply_plan": apply_plan,
     "manifest_upsert": manifest_upsert,
+    "registry_scan": registry_scan,
+    "source_resolution": source_resolution,
+    "registry_duplicates": registry_duplicates,
+    "registry_static_review": registry_static_review,
+    "registry_review": registry_review,
+    "verdict_counts": verdict_counts,
+    "review_report": review_report,
 }
 FLAGSHIP = link_stats

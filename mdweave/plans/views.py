@@ -249,3 +249,33 @@ def fetch_selected(selected: DataFrame) -> DataFrame:
         (~failed).alias("ok"),
         F.when(~failed, F.sha2("content", 256)).alias("content_sha"),
         F.when(failed, F.concat(F.col("url"), F.lit(" (HTTP 404 Not Found)"))).alias("reason"))
+
+
+# --- V5: registry ------------------------------------------------------------------
+
+def registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: a registry text with one ``slug|label|url`` line per page (slug =
+    host, label = page title, url = page url), after a comment header.  Titles
+    may contain ``|``, which gives malformed and shifted lines, and hosts
+    repeat, which gives duplicate slugs."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = pages.select((F.col("page_id") + 1).cast("int").alias("line_no"),
+                        F.concat_ws("|", page_host(), page_title(), F.col("url")).alias("text"))
+    header = spark.range(1).select(F.lit(0).alias("line_no"), F.lit("# slug|label|url").alias("text"))
+    return header.unionByName(rows)
+
+
+def source_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs for source resolution, one per page by ``page_id % 4``: the
+    upper-cased host (a slug), the title part before any ``|`` padded with
+    spaces (a label), the page URL, or a relative path ``docs/<lang>/<page_id>.txt``."""
+    from ..functions.text import js_trim
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    v = F.col("page_id") % 4
+    label = js_trim(F.regexp_extract(page_title(), r"^([^|]*)", 1))
+    lang = F.regexp_extract("url", r"^[A-Za-z]+://[^/]+/([^/?#]+)", 1)
+    inp = (F.when(v == 0, F.upper(page_host()))
+           .when(v == 1, F.concat(F.lit("  "), label, F.lit(" ")))
+           .when(v == 2, F.col("url"))
+           .otherwise(F.concat(F.lit("docs/"), lang, F.lit("/"), F.col("page_id").cast("string"), F.lit(".txt"))))
+    return pages.select(F.col("page_id").alias("input_id"), inp.alias("input"))
