@@ -929,6 +929,17 @@ SELECT input_id, input,
 FROM res"""
 
 
+def q_path_prefixes() -> str:
+    host = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
+    return f"""WITH hosts AS (
+  SELECT {PAGE_DOMAIN} AS collection, {host} AS host, min(page_id) AS seq FROM pages GROUP BY 1, 2
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY seq) AS rn FROM hosts)
+SELECT collection, 'https://' || host || '/llms.txt' AS source_url, seq,
+       CASE WHEN rn = 1 THEN '' ELSE {_or(sanitize("regexp_replace(host, '\\.+', '-', 'g')"), "'docs'")} END AS path_prefix
+FROM ranked"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "extract_links": q_extract_links(),
@@ -946,6 +957,7 @@ def oracle_sql() -> dict[str, str]:
         "local_paths": q_local_paths(),
         "flat_paths": q_flat_paths(),
         "unique_paths": q_unique_paths(),
+        "path_prefixes": q_path_prefixes(),
         "previous_selection": q_previous_selection(),
         "explicit_selection": q_explicit_selection(),
         "install_plan": q_install_plan(),

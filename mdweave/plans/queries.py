@@ -16,6 +16,7 @@ from ..operators import review as RV
 from ..operators import sync as SY
 from ..operators import links as L
 from ..session import materialize
+from . import ingest as IN
 from . import views as V
 
 
@@ -155,6 +156,12 @@ def unique_paths_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_url", "href", "line_pos", "match_pos", "rel_path", "path")
 
 
+def path_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.site_sources(spark, sf_dir)
+    return PA.assign_prefixes(d["sources"], d["installs"], d["top_level"]).select(
+        "collection", "source_url", "seq", "path_prefix")
+
+
 # --- sync --------------------------------------------------------------------------
 
 def _sync(spark, sf_dir):
@@ -264,6 +271,20 @@ def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RV.report_lines(_reviewed(spark, sf_dir)).select("section", "ord", "sub", "line")
 
 
+# --- flagship ------------------------------------------------------------------------
+
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole DAG over the site indexes (V2) and the crawl snapshot (V3): one
+    row per source (rows-only oracle; its parts are checked one by one)."""
+    lines = V.host_index_lines(spark, sf_dir)
+    sources = (lines.select("source_url").distinct()
+               .select(F.concat(F.lit("site:"), F.regexp_extract("source_url", r"://([^/]+)/", 1)).alias("collection"),
+                       "source_url", F.lit("nested").alias("layout"), F.lit("").alias("path_prefix"),
+                       F.lit(False).alias("allow_external")))
+    out = IN.ingest(lines, sources, V.crawl_resources(spark, sf_dir))
+    return IN.ingest_summary(out)
+
+
 QUERIES = {
     "extract_links": extract_links,
     "resolve_links": resolve_links,
@@ -282,6 +303,7 @@ QUERIES = {
     "flat_paths": flat_paths,
     "unique_paths": unique_paths,
     "unique_paths_greedy": unique_paths_greedy,
+    "path_prefixes": path_prefixes,
     "previous_selection": previous_selection,
     "explicit_selection": explicit_selection,
     "install_plan": install_plan,
@@ -296,5 +318,6 @@ QUERIES = {
     "registry_review": registry_review,
     "verdict_counts": verdict_counts,
     "review_report": review_report,
+    "ingest_summary": ingest_summary,
 }
-FLAGSHIP = link_stats
+FLAGSHIP = ingest_summary

@@ -279,3 +279,28 @@ def source_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(v == 2, F.col("url"))
            .otherwise(F.concat(F.lit("docs/"), lang, F.lit("/"), F.col("page_id").cast("string"), F.lit(".txt"))))
     return pages.select(F.col("page_id").alias("input_id"), inp.alias("input"))
+
+
+def site_sources(spark: SparkSession, sf_dir: str) -> dict:
+    """W2 input: every page host is a source (``https://<host>/llms.txt``)
+    installed into the collection of its site (last three labels), in the
+    order of its first page.  The site's first host was installed before with
+    prefix '' and its pages' first path segments (the language directories)
+    exist in the output directory."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = (pages.groupBy(page_domain().alias("collection"), page_host().alias("host"))
+             .agg(F.min("page_id").alias("seq")))
+    sources = hosts.select("collection", F.concat(F.lit("https://"), F.col("host"), F.lit("/llms.txt"))
+                           .alias("source_url"), "seq", F.lit(None).cast("string").alias("slug"),
+                           F.lit("https").alias("scheme"), "host", F.lit("/llms.txt").alias("path"))
+    w = Window.partitionBy("collection").orderBy("seq")
+    first = hosts.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
+    installs = first.select("collection", F.lit(0).alias("pos"),
+                            F.concat(F.lit("https://"), F.col("host"), F.lit("/llms.txt")).alias("source_url"),
+                            F.lit("").alias("path_prefix"))
+    top = (pages.join(first.select(F.col("collection").alias("c"), F.col("host").alias("h")),
+                      (page_domain() == F.col("c")) & (page_host() == F.col("h")), "inner")
+           .select(F.col("c").alias("collection"),
+                   F.regexp_extract("url", r"^[A-Za-z]+://[^/]+/([^/?#]+)", 1).alias("name"))
+           .filter(F.col("name") != "").distinct())
+    return {"sources": sources, "installs": installs, "top_level": top}

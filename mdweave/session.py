@@ -85,7 +85,18 @@ def materialize(df, how: str | None = None):
     how = how or spark.conf.get("mdweave.materialize", "checkpoint")
     if how == "checkpoint":
         ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
+        import time
+        t = time.time()
+        # persist first so that the checkpoint write reads the computed rows
+        # instead of running the upstream stages a second time
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist(blocking=False)
+        if os.environ.get("MDWEAVE_TIMING"):
+            import traceback
+            caller = traceback.extract_stack(limit=3)[0]
+            print(f"[materialize] {caller.name}:{caller.lineno} {time.time() - t:.2f}s", flush=True)
+        return out
     if how == "cache":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
