@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming behaviour (no watermarks, windows, state or
+late data): every run is a batch over one snapshot, and an "update" is the
+snapshot diff of ``operators.sync``.  Nothing is added here.
+"""
