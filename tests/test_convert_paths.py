@@ -124,3 +124,19 @@ def test_assign_prefixes(spark):
     assert got == {"https://a.example.com/llms.txt": "stored", "https://supabase.com/llms.txt": "supabase",
                    "https://example.com/llms.txt": "example-com-2", "https://first.com/llms.txt": "",
                    "https://second.com/llms.txt": "second-com"}
+
+
+def test_unique_paths_hot_group_path(spark):
+    spark.conf.set("mdweave.w1.hot_group_rows", "3")
+    try:
+        names = ["a.md"] * 40 + ["b.md"] * 2 + ["c/x.md"] * 9
+        order = list(range(len(names)))
+        import random
+        random.Random(7).shuffle(order)
+        df = spark.createDataFrame([("s", order[i], 0, n) for i, n in enumerate(names)],
+                                   "source_url string, line_pos long, match_pos int, rel_path string")
+        out = PA.unique_paths(df, ["source_url"]).orderBy("line_pos").collect()
+        by_order = sorted(zip(order, names))
+        assert [r["path"] for r in out] == PA.greedy_names([n for _, n in by_order])
+    finally:
+        spark.conf.unset("mdweave.w1.hot_group_rows")
