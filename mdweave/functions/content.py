@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, js_trim, js_trim_start
+from .text import WS, js_trim_start
 
 # --- fixed values -----------------------------------------------------------
 SNIFF_CHARS = 2000
@@ -55,7 +55,9 @@ def is_markdown(body, content_type, path) -> Column:
 def content_kind(body, content_type, path) -> Column:
     """P5: empty / html / markdown / unsupported (html is tested first)."""
     b = _c(body)
-    return (F.when(js_trim(b) == "", F.lit("empty"))
+    # blank = no character outside the whitespace class (stops at the first
+    # such character instead of rewriting the whole body)
+    return (F.when(~b.rlike(f"[^{WS}]"), F.lit("empty"))
             .when(is_html(b, content_type, path), F.lit("html"))
             .when(is_markdown(b, content_type, path), F.lit("markdown"))
             .otherwise(F.lit("unsupported")))

@@ -32,17 +32,23 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# the same whitespace class as a character set for the trim functions, which
+# only look at the ends of a string (a regex would be tried at every position)
+WS_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(col) -> Column:
     """String.prototype.trim with the JS whitespace class."""
-    return F.regexp_replace(_c(col), f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def js_trim_end(col) -> Column:
-    return F.regexp_replace(_c(col), f"[{WS}]+\\z", "")
+    return F.rtrim(_c(col), F.lit(WS_CHARS))
 
 
 def js_trim_start(col) -> Column:
-    return F.regexp_replace(_c(col), f"^[{WS}]+", "")
+    return F.ltrim(_c(col), F.lit(WS_CHARS))
 
 
 def normalize_href(col) -> Column:

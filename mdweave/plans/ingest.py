@@ -76,7 +76,7 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     flat = PA.add_flat_paths(docs_ok.filter(F.col("layout") == "flat"))
     named = materialize(nested.unionByName(flat))
     numbered = PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path")
-    docs = materialize(numbered.withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path"))
+    docs = numbered.withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path")
 
     fetch_fail = fetched.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
     convert_fail = converted.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")

@@ -166,7 +166,7 @@ def path_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sync(spark, sf_dir):
     d = V.sync_inputs(spark, sf_dir)
-    d["selected"] = materialize(SY.select_previous(d["entries"], d["installs"], d["selected_urls"]))
+    d["selected"] = SY.select_previous(d["entries"], d["installs"], d["selected_urls"])
     d["fetched"] = materialize(V.fetch_selected(d["selected"]))
     d["plan"] = materialize(SY.install_plan(d["fetched"], d["installs"], d["managed_files"], d["corpus"]))
     return d

@@ -238,7 +238,7 @@ def sync_inputs(spark: SparkSession, sf_dir: str) -> dict:
                            .select("collection", "path", F.sha2(F.lit("unmanaged\n"), 256).alias("content_sha"))))
     out = {"entries": entries, "installs": installs, "managed_files": managed_files,
            "selected_urls": selected_urls, "corpus": corpus, "run_sources": run_sources}
-    return {k: materialize(v) for k, v in out.items()}
+    return out
 
 
 def fetch_selected(selected: DataFrame) -> DataFrame:
