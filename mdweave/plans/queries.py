@@ -29,7 +29,7 @@ def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark, sf_dir) -> DataFrame:
-    return materialize(L.resolve_links(L.extract_links(_all_lines(spark, sf_dir))))
+    return L.resolve_links(L.extract_links(_all_lines(spark, sf_dir)))
 
 
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def host_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = _resolved(spark, sf_dir)
+    resolved = materialize(_resolved(spark, sf_dir))  # read twice below
     policy = L.apply_host_policy(L.dedupe_links(L.valid_links(resolved)))
     return L.link_stats(resolved, policy).select(
         "source_url", "links_found", "unique_urls", "selected_docs", "blocked_docs", "blocked_hosts")
@@ -73,8 +73,8 @@ def _site_selected(spark, sf_dir) -> DataFrame:
     """Allowed unique links of the site indexes (V2): the entries to fetch."""
     lines = V.host_index_lines(spark, sf_dir)
     uniq = L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(lines))))
-    return materialize(L.apply_host_policy(uniq).filter("allowed")
-                       .select("source_url", "href", "line_pos", "match_pos", "title", "path", "query"))
+    return (L.apply_host_policy(uniq).filter("allowed")
+            .select("source_url", "href", "line_pos", "match_pos", "title", "path", "query"))
 
 
 def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fetched(spark, sf_dir) -> DataFrame:
-    return materialize(FE.first_success(_site_selected(spark, sf_dir), V.crawl_resources(spark, sf_dir)))
+    return FE.first_success(_site_selected(spark, sf_dir), V.crawl_resources(spark, sf_dir))
 
 
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = _fetched(spark, sf_dir).filter(~F.col("ok"))
+    failed = materialize(_fetched(spark, sf_dir).filter(~F.col("ok")))  # read twice by the preview
     return FE.failure_preview(failed).select(
         "source_url", "href", "line_pos", "match_pos", "reason", "failure_rank", "failed_total", "more")
 
@@ -138,7 +138,8 @@ def local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = PA.add_remote_paths(V.crawl_entries(spark, sf_dir)).drop("path")
+    # the numbering reads its input twice (group statistics, rows)
+    nested = materialize(PA.add_remote_paths(V.crawl_entries(spark, sf_dir)).drop("path"))
     return PA.unique_paths(nested, ["source_url"]).select(
         "source_url", "href", "line_pos", "match_pos", "rel_path", "path")
 
@@ -152,7 +153,8 @@ def unique_paths_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = F.regexp_extract("path", r"([0-9]+)", 1).cast("long")
     name = F.when(num % 3 == 0, F.concat(lang, F.lit(".md"))) \
         .otherwise(F.concat(lang, F.lit("-"), (num % 4).cast("string"), F.lit(".md")))
-    return PA.unique_paths(e.withColumn("rel_path", name).drop("path"), ["source_url"]).select(
+    named = materialize(e.withColumn("rel_path", name).drop("path"))
+    return PA.unique_paths(named, ["source_url"]).select(
         "source_url", "href", "line_pos", "match_pos", "rel_path", "path")
 
 
@@ -253,7 +255,7 @@ def registry_static_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reviewed(spark, sf_dir):
     reg = RV.scan_registry(V.registry_lines(spark, sf_dir))
-    return materialize(RV.review(reg, V.crawl_resources(spark, sf_dir)))
+    return RV.review(reg, V.crawl_resources(spark, sf_dir))
 
 
 def registry_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +270,8 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RV.report_lines(_reviewed(spark, sf_dir)).select("section", "ord", "sub", "line")
+    # the report reads the reviewed rows three times (counts, rows, URLs)
+    return RV.report_lines(materialize(_reviewed(spark, sf_dir))).select("section", "ord", "sub", "line")
 
 
 # --- flagship ------------------------------------------------------------------------
