@@ -18,6 +18,9 @@ _BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # a bloom filter of the small side (e.g. the winning candidate URLs)
+    # prunes the big side (the crawl snapshot with bodies) before its shuffle
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # html bodies are large: keep Arrow batches small for the pandas steps
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",

@@ -35,3 +35,15 @@ def read_local_files(spark: SparkSession, root: str) -> DataFrame:
         guess_local_content_type(F.col("__p")).alias("content_type"),
         F.col("length").cast("long").alias("content_length"), url.alias("final_url"),
         F.lit(None).cast("string").alias("error"), F.decode("content", "UTF-8").alias("body"))
+
+
+def write_bucketed_snapshot(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Store a crawl snapshot bucketed and sorted by ``url``.
+
+    Joins on ``url`` with a side hash-partitioned into the same number of
+    buckets then read the snapshot without shuffling its bodies (the probe and
+    the winner-body joins of ``operators.fetch``)."""
+    w = df.write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").format("parquet")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
