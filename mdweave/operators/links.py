@@ -125,8 +125,7 @@ def link_stats(resolved: DataFrame, policy: DataFrame) -> DataFrame:
     (small) per-source results.
     """
     found = (resolved.filter(F.col("status") == "ok").groupBy("source_url")
-             .agg(F.count(F.lit(1)).alias("links_found"),
-                  F.count_if(F.lit(True)).alias("_x")).drop("_x"))
+             .agg(F.count(F.lit(1)).alias("links_found")))
     per = (policy.groupBy("source_url")
            .agg(F.count(F.lit(1)).alias("unique_urls"),
                 F.count_if(F.col("allowed")).alias("selected_docs"),

@@ -9,7 +9,6 @@ previous version stays readable while the next one is written.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
