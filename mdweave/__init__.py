@@ -15,3 +15,19 @@ streaming/  nothing: the reference has no streaming behaviour (see its docstring
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so that executors run the
+    pandas steps (html conversion, NFKD fold, greedy numbering) without having
+    the package installed or on their path."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark always ships it
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
