@@ -85,7 +85,8 @@ def link_rejects(resolved: DataFrame) -> DataFrame:
 
 
 def dedupe_links(links_ok: DataFrame) -> DataFrame:
-    """A1: first occurrence per ``(source_url, href)`` wins, order kept.
+    """A1 (a W3 first-wins pick): first occurrence per ``(source_url, href)``
+    wins, order kept.
 
     A group-by with ``min`` of the order struct (map-side partial aggregation),
     not a window: a repeated href collapses before the shuffle.

@@ -75,6 +75,7 @@ def resolve_sources(inputs: DataFrame, registry: DataFrame, base_dir: str = "/wo
     Output: input_id, input, kind, slug, label, url, local_root_dir.
     """
     norm = F.lower(js_trim("input"))
+    # Inputs that look like paths never match the registry
     looks_path = (F.col("input").contains("/") | F.col("input").contains(":")
                   | F.col("input").startswith(".") | F.col("input").startswith("~"))
     cand = inputs.withColumn("__key", F.when(~looks_path, norm))

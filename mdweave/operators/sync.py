@@ -28,7 +28,8 @@ SRC = ["collection", "source_url"]
 
 
 def same_source(installs: DataFrame) -> DataFrame:
-    """The first install per (collection, source_url) in manifest order."""
+    """J3 (a W3 first-wins pick): the first install per (collection, source_url)
+    in manifest order."""
     w = Window.partitionBy(*SRC).orderBy("pos")
     return (installs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn"))
 
@@ -82,7 +83,7 @@ def install_plan(fetched: DataFrame, installs: DataFrame, managed_files: DataFra
     """J5 + J6: (collection, source_url, path, change).
 
     added / changed / unchanged: next docs left-joined with the readable
-    managed contents (hash compare).  removed: managed paths of the same source
+    managed contents (hash compare).  removed (U2): managed paths of the same source
     absent from the next docs, only when the source had no failure (the gate is
     per source, never global) -- also when the file is already gone.
     """
@@ -145,7 +146,8 @@ def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary:
 def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls: DataFrame,
                     fetched: DataFrame, selected: DataFrame, summary: DataFrame,
                     run_sources: DataFrame):
-    """U1-U4, A9, A10 in long form.  Returns (installs, managed_files, selected_urls).
+    """U1-U4 (U3 = the upsert itself), A9, A10 in long form.  Returns
+    (installs, managed_files, selected_urls).
 
     * a source that ran (and is not up to date) replaces its install in place
       (same ``pos``) or is appended after the last position in ``seq`` order;
