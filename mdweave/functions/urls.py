@@ -91,7 +91,7 @@ def _stage(df: DataFrame, exprs: dict) -> DataFrame:
 
 
 def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
-                 base_parts: str | None = None) -> DataFrame:
+                 base_parts: str | None = None, keep_base: str | None = None) -> DataFrame:
     """Add struct column ``out`` = ``ref`` resolved against ``base``.
 
     ``base`` names a string column with the absolute base URL; ``base_parts``
@@ -103,6 +103,7 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
     per stage); each stage references earlier ones by name and Catalyst keeps
     the stages apart where merging would duplicate work.
     Result: struct<status, href, scheme, userinfo, host, port, path, query>.
+    ``keep_base`` names a column that receives the parsed base (same struct).
     """
     t = f"__{out}_"
     if base is not None and base_parts is None:
@@ -257,6 +258,8 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
     # projections, where alias substitution would inline every stage into the
     # predicate (exponential expression growth).
     keep = [f"`{x}`" for x in df.columns if not x.startswith(t)]
+    if keep_base and has_base:
+        keep.append(f"{B} AS `{keep_base}`")
     return df.selectExpr(*keep, f"explode(array({result})) AS `{out}`")
 
 

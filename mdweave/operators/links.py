@@ -63,9 +63,12 @@ def resolve_links(links: DataFrame, base_col: str = "source_url") -> DataFrame:
 
     Adds status (ok / invalid / unsupported), href, scheme, host, path, query.
     """
-    df = resolve_urls(links, "href_in", "__u", base=base_col)
+    df = resolve_urls(links, "href_in", "__u", base=base_col, keep_base="__src")
     return df.select(
         *[c for c in links.columns],
+        # the index URL's parts, parsed once here and reused by the host policy
+        F.col("__src.scheme").alias("src_scheme"),
+        F.col("__src.host").alias("src_host"),
         F.col("__u.status").alias("status"),
         F.col("__u.href").alias("href"),
         F.col("__u.scheme").alias("scheme"),
@@ -92,9 +95,10 @@ def dedupe_links(links_ok: DataFrame) -> DataFrame:
     not a window: a repeated href collapses before the shuffle.
     """
     first = F.min(F.struct("line_pos", "match_pos", "title", "scheme", "host", "path", "query"))
-    return (links_ok.groupBy("source_url", "href")
+    # src_scheme / src_host depend on source_url only: grouping by them adds no groups
+    return (links_ok.groupBy("source_url", "src_scheme", "src_host", "href")
             .agg(first.alias("f"), F.count(F.lit(1)).alias("occurrences"))
-            .select("source_url",
+            .select("source_url", "src_scheme", "src_host",
                     F.col("f.line_pos").alias("line_pos"), F.col("f.match_pos").alias("match_pos"),
                     F.col("f.title").alias("title"), "href",
                     F.col("f.scheme").alias("scheme"), F.col("f.host").alias("host"),
@@ -107,14 +111,19 @@ def apply_host_policy(unique_links: DataFrame, allow_external=False) -> DataFram
 
     Only for http(s) sources without the allow flag; local sources and the
     allow flag keep everything.  ``allow_external`` is a bool or a column name.
-    Adds ``allowed`` and ``src_host``.
+    Uses the index URL parts carried from ``resolve_links`` (parsing them only
+    when absent).  Adds ``allowed``.
     """
-    df = resolve_urls(unique_links, "source_url", "__src")
+    if "src_scheme" in unique_links.columns and "src_host" in unique_links.columns:
+        df = unique_links
+    else:
+        df = resolve_urls(unique_links, "source_url", "__src")
+        df = (df.withColumn("src_scheme", F.col("__src.scheme")).withColumn("src_host", F.col("__src.host"))
+              .drop("__src"))
     allow = F.col(allow_external) if isinstance(allow_external, str) else F.lit(bool(allow_external))
-    remote = F.col("__src.scheme").isin("http", "https")
-    allowed = ~remote | allow | (F.lower(F.col("host")) == F.lower(F.col("__src.host")))
-    return df.withColumn("allowed", F.coalesce(allowed, F.lit(False))) \
-             .withColumn("src_host", F.col("__src.host")).drop("__src")
+    remote = F.col("src_scheme").isin("http", "https")
+    allowed = ~remote | allow | (F.lower(F.col("host")) == F.lower(F.col("src_host")))
+    return df.withColumn("allowed", F.coalesce(allowed, F.lit(False)))
 
 
 def link_stats(resolved: DataFrame, policy: DataFrame) -> DataFrame:
