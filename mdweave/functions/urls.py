@@ -79,11 +79,32 @@ def _raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+# ASCII characters that url_encode (java.net.URLEncoder) escapes besides space
+_URLENCODER_ESCAPED = "!\"#$%&'()+,/:;<=>?@[\\]^`{|}~"
+
+
+def _kept_ascii(charset: str) -> list[str]:
+    """Printable ASCII characters escaped by url_encode that ``charset`` keeps."""
+    import re
+    return [c for c in _URLENCODER_ESCAPED if c != "%" and not re.fullmatch(
+        charset.replace(r"\x", r"\x"), c)]
+
+
 def _encode_sql(x: str, charset: str) -> str:
+    """Percent-encode the characters of ``charset`` (which must contain the C0
+    controls, space, DEL and all non-ASCII) as UTF-8 ``%XX``.
+
+    ``url_encode`` escapes a superset; the escapes of the ASCII characters the
+    set keeps are turned back with plain ``replace`` calls (native, inside
+    codegen) and ``%25`` -> ``%`` last, so no escape is decoded twice.  Rows
+    without any such character skip the whole chain."""
     cs = _raw(charset.replace("'", r"\x27"))
-    return (f"CASE WHEN {x} RLIKE {cs} THEN array_join(transform(split({x}, ''), "
-            f"ch -> CASE WHEN ch RLIKE {cs} THEN replace(url_encode(ch), '+', '%20') ELSE ch END), '') "
-            f"ELSE {x} END")
+    e = f"replace(url_encode({x}), '+', '%20')"
+    for c in _kept_ascii(charset):
+        lit = c.replace("\\", "\\\\").replace("'", "\\'")
+        e = f"replace({e}, '%{ord(c):02X}', '{lit}')"
+    e = f"replace({e}, '%25', '%')"
+    return f"CASE WHEN {x} RLIKE {cs} THEN {e} ELSE {x} END"
 
 
 def _stage(df: DataFrame, exprs: dict) -> DataFrame:

@@ -87,3 +87,27 @@ def test_private_and_text_like(spark):
     paths = spark.createDataFrame([("/a.HTML",), ("/a.mdx",), ("/a.txt",)], "p string")
     assert [r["x"] for r in paths.select(U.guess_local_content_type("p").alias("x")).collect()] == [
         "text/html", "text/markdown", "text/plain"]
+
+
+def _model_encode(s, charset):
+    import re
+    out = []
+    for ch in s:
+        if re.fullmatch(charset, ch):
+            out.append("".join(f"%{b:02X}" for b in ch.encode("utf-8")))
+        else:
+            out.append(ch)
+    return "".join(out)
+
+
+def test_percent_encoding_matches_model(spark):
+    import random
+    rnd = random.Random(3)
+    alphabet = [chr(c) for c in range(0x20, 0x7F)] + ["\x01", "\x7f", "é", "ß", "€", "😀", "%2F", "%25", "+", " "]
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    samples += ["/f%C3%BCr", "/a b", "/%2F%", "/x+y", "/\\\\q", "/'\"<>`{}|^~"]
+    df = spark.createDataFrame([(x,) for x in samples], "v string")
+    for charset in (U.PATH_ENCODE, U.QUERY_ENCODE):
+        sql = U._encode_sql("v", charset)
+        got = [r["e"] for r in df.selectExpr("v", f"{sql} AS e").collect()]
+        assert got == [_model_encode(x, charset) for x in samples], charset
