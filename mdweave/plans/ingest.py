@@ -36,7 +36,8 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     """Run the import for every source of ``sources``.
 
     index_lines (source_url, line_pos, line)
-    sources     (collection, source_url, layout, path_prefix, allow_external)
+    sources     (collection, source_url, layout, path_prefix, allow_external[, slug, seq]);
+                a NULL path_prefix is assigned by W2 (see ``_prefixes``)
     resources   crawl snapshot (see operators.fetch)
     installs / managed_files / selected_urls / corpus: previous snapshot
     (see operators.sync); omitted = first install.
@@ -75,8 +76,11 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     nested = PA.add_remote_paths(docs_ok.filter(F.col("layout") != "flat"))
     flat = PA.add_flat_paths(docs_ok.filter(F.col("layout") == "flat"))
     named = materialize(nested.unionByName(flat))
-    numbered = PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path")
-    docs = numbered.withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path")
+    # W1 is independent of the prefix: number first, then assign prefixes
+    numbered = materialize(PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path"))
+    prefixes = _prefixes(sources, installs, corpus, numbered)
+    docs = (numbered.drop("path_prefix").join(prefixes, SRC, "left")
+            .withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path"))
 
     fetch_fail = fetched.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
     convert_fail = converted.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
@@ -94,6 +98,33 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
             "docs": docs, "failures": failures, "results": results, "plan": plan, "summary": summary}
 
 
+def _prefixes(sources: DataFrame, installs: DataFrame, corpus: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Path prefix per source (W2): a prefix given in ``sources`` is used as is;
+    sources without one get the stored prefix, '' as the first install of an
+    empty collection, or their default prefix numbered past every stored
+    prefix and every existing top-level entry (file or directory) -- the corpus
+    inventory plus the first path segments that unprefixed sources write in
+    this run."""
+    from ..functions.urls import parse_urls
+
+    given = sources.filter(F.col("path_prefix").isNotNull()).select(*SRC, "path_prefix")
+    todo = sources.filter(F.col("path_prefix").isNull())
+    # batch order of new sources: the caller's ``seq`` (e.g. registry order), else a stable hash
+    seq = F.col("seq").cast("long") if "seq" in sources.columns else F.xxhash64("source_url")
+    parsed = parse_urls(todo.withColumn("__seq", seq), "source_url", "__p")
+    cand = parsed.select(*SRC, F.col("__seq").alias("seq"),
+                         (F.col("slug") if "slug" in sources.columns else F.lit(None).cast("string")).alias("slug"),
+                         F.col("__p.scheme").alias("scheme"), F.col("__p.host").alias("host"),
+                         F.col("__p.path").alias("path"))
+    top = corpus.select("collection", F.regexp_extract("path", r"^([^/]+)", 1).alias("name"))
+    unprefixed = (numbered.join(given.filter(F.col("path_prefix") == ""), SRC, "left_semi")
+                  .select("collection", F.regexp_extract("doc_path", r"^([^/]+)", 1).alias("name")))
+    top_level = top.unionByName(unprefixed).filter(F.col("name") != "").distinct()
+    assigned = PA.assign_prefixes(cand, installs.select("collection", "pos", "source_url", "path_prefix"),
+                                  top_level).select(*SRC, "path_prefix")
+    return given.unionByName(assigned)
+
+
 def ingest_summary(out: dict) -> DataFrame:
     """One row per source: link statistics, fetch results and change counts."""
     s = out["summary"].select(*SRC, "successes", "failures", "same_source", "added", "changed", "removed",

@@ -146,3 +146,25 @@ def test_source_resolution(spark):
     assert got[3][0] == "path"
     assert got[4] == ("url", "https://e.com/x#top", "https://e.com/x#top", None)
     assert got[5] == ("registry", "Local (local)", "file:///srv/docs/llms.txt", "/srv/docs")
+
+
+def test_ingest_assigns_prefixes(spark):
+    from mdweave.plans import ingest as IN
+    lines = spark.createDataFrame([
+        ("https://a.com/llms.txt", 0, "- [Guide](https://a.com/guide)"),
+        ("https://b.org/llms.txt", 0, "- [Intro](https://b.org/guide)"),
+    ], "source_url string, line_pos long, line string")
+    sources = spark.createDataFrame([
+        ("c", "https://a.com/llms.txt", "nested", None, False, 1),
+        ("c", "https://b.org/llms.txt", "nested", None, False, 2),
+    ], "collection string, source_url string, layout string, path_prefix string, allow_external boolean, seq long")
+    res = spark.createDataFrame([
+        ("https://a.com/guide", True, 200, "OK", "text/markdown", 3, "https://a.com/guide", None, "# A"),
+        ("https://b.org/guide", True, 200, "OK", "text/markdown", 3, "https://b.org/guide", None, "# B"),
+    ], "url string, ok boolean, http_status int, status_text string, content_type string, content_length long, "
+       "final_url string, error string, body string")
+    out = IN.ingest(lines, sources, res)
+    got = {r["source_url"]: r["path"] for r in out["docs"].collect()}
+    assert got == {"https://a.com/llms.txt": "guide.md", "https://b.org/llms.txt": "b-org/guide.md"}
+    s = {r["source_url"]: (r["added"], r["run_status"]) for r in IN.ingest_summary(out).collect()}
+    assert s == {"https://a.com/llms.txt": (1, "ok"), "https://b.org/llms.txt": (1, "ok")}
