@@ -77,10 +77,13 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     flat = PA.add_flat_paths(docs_ok.filter(F.col("layout") == "flat"))
     named = materialize(nested.unionByName(flat))
     # W1 is independent of the prefix: number first, then assign prefixes
-    numbered = materialize(PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path"))
-    prefixes = _prefixes(sources, installs, corpus, numbered)
-    docs = (numbered.drop("path_prefix").join(prefixes, SRC, "left")
-            .withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path"))
+    numbered = PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path")
+    # (a one-row probe of the small sources table decides whether W2 runs)
+    if sources.filter(F.col("path_prefix").isNull()).limit(1).count() > 0:
+        numbered = materialize(numbered)
+        prefixes = _prefixes(sources, installs, corpus, numbered)
+        numbered = numbered.drop("path_prefix").join(prefixes, SRC, "left")
+    docs = numbered.withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path")
 
     fetch_fail = fetched.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
     convert_fail = converted.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
