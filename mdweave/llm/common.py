@@ -76,6 +76,25 @@ def write_file(uri: str, parts) -> int:
     return size
 
 
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "group_size") -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per ``key``, with the number
+    of its ``rows`` in ``size``), without a task that holds a hot group.
+
+    A group with more than 1/1000 of all rows is hot.  There are at most 1,000 such groups,
+    which bounds the broadcast that joins their rows where they are; the other
+    rows shuffle, in groups that are small.  Both inputs are read more than
+    once and should be written tables."""
+    least = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n // HOT_SHARE
+    hot = groups.where(F.col(size) > least)
+    few = groups.where(F.col(size) <= least)
+    spread = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(few, key)
+    return spread.unionByName(others)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``edges(a long, b long)``.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_groups, stage
 
 # fixed value: the characters of [\x20\x09-\x0D]
 DELETED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -117,13 +117,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha", "row_key")
     # repeated rows count first, so that no task holds a group
-    rows = flagged.where("maybe").groupBy("sha", "doc_id", "n_code_points", "row_key").agg(F.count("*").alias("copies"))
-    groups = rows.groupBy("sha").agg(
+    rows = stage(flagged.where("maybe").groupBy("sha", "doc_id", "n_code_points", "row_key")
+                 .agg(F.count("*").alias("copies")))
+    groups = stage(rows.groupBy("sha").agg(
         F.sum("copies").alias("group_size"),
-        F.max(F.struct("n_code_points", F.bitwise_not("doc_id").alias("not_id"), "row_key")).alias("best"))
+        F.max(F.struct("n_code_points", F.bitwise_not("doc_id").alias("not_id"), "row_key")).alias("best")))
     stays = ((F.col("n_code_points") == F.col("best.n_code_points")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
              & (F.col("row_key") == F.col("best.row_key")))
-    multiple = (rows.join(groups, "sha").withColumn("keep_id", F.bitwise_not("best.not_id"))
+    multiple = (join_groups(rows, groups, "sha").withColumn("keep_id", F.bitwise_not("best.not_id"))
                 .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
                 .select("doc_id", "keep_id", "group_size", (stays & (F.col("copy") == 1)).alias("kept"), "sha", "row_key"))
     return single.unionByName(multiple).select(
