@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, stage
+from .common import connected_components, join_groups, shuffle_partitions, stage
 
 BLOCK = 1 << 15
 TILE = 512
@@ -172,13 +172,13 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int
     ``row_key``, ``kept`` (the row, or one of equal rows, that stands for its component)."""
     rows = stage(fingerprints(docs, words_per_shingle, doc_id, text))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
-    distinct = stage(rows.groupBy("fp").agg(first))
+    distinct = stage(rows.groupBy("fp").agg(first, F.count("*").alias("n_rows")))
     nodes = connected_components(linked_fingerprints(distinct, radius))
     classes = stage(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
-                    .select("fp", "first", F.coalesce("component", "fp").alias("component")))
+                    .select("fp", "first", "n_rows", F.coalesce("component", "fp").alias("component")))
     least = classes.groupBy("component").agg(F.min("first").alias("least"))
-    classes = classes.join(least, "component").select("fp", F.col("least.doc_id").alias("component_id"),
-                                                      F.col("least.row_key").alias("least_key"))
+    classes = stage(classes.join(least, "component").select("fp", "n_rows", F.col("least.doc_id").alias("component_id"),
+                                                      F.col("least.row_key").alias("least_key")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("least_key"))
-    return rows.join(classes, "fp").select(
+    return join_groups(rows, classes, "fp", "n_rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key", kept.alias("kept"))
