@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_filesystem, shared_folder, stage
+from .common import join_groups, open_filesystem, shared_folder, stage
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"  # crawl times are not part of the table
@@ -92,8 +92,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                         F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha1"))
     narrow = stage(rows.select("page_id", "sha1"))
-    largest = narrow.groupBy("sha1").agg(F.max("page_id").alias("refers_to"))
-    revisits = stage(narrow.distinct().join(largest, "sha1")
+    # a payload that occurs once needs no look-up
+    largest = stage(narrow.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("group_size"))
+                    .where("group_size > 1"))
+    revisits = stage(join_groups(narrow, largest, "sha1").distinct()
                      .where("refers_to is not null and (page_id is null or page_id <> refers_to)"))
     r = revisits.select(F.col("sha1").alias("r_sha1"), F.col("page_id").alias("r_page_id"), "refers_to")
     return (rows.join(r, (F.col("sha1") == F.col("r_sha1")) & F.col("page_id").eqNullSafe(F.col("r_page_id")), "left")
