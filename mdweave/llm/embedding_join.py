@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, stage
+from .common import connected_components, join_groups, shuffle_partitions, stage
 
 SEQUENCE = 2048
 LEAF = 256
@@ -228,9 +228,9 @@ def embedding_components(vectors: DataFrame, least_cosine: float = 0.98, leading
                    .join(nodes.withColumnRenamed("node", "class"), "class", "left")
                    .withColumn("component", F.coalesce("component", "class")))
     least = merged.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = merged.join(least, "component").select(
-        F.col("key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = rows.where("key is not null").select("vec_id", "key").join(known, F.col("key") == F.col("class_key"))
+    known = stage(merged.join(least, "component").select(
+        "key", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
+    linked = join_groups(rows.where("key is not null").select("vec_id", "key"), known, "key", "weight")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (linked.select("vec_id", "n_links", "component_id").unionByName(alone)
             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
