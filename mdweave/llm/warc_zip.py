@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, open_filesystem, shared_folder, stage
+from .common import join_groups, open_filesystem, shared_folder, shuffle_partitions, stage
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"  # crawl times are not part of the table
@@ -242,8 +242,10 @@ def read_archives(archives: DataFrame, bytes_per_range: int = 4 << 20) -> DataFr
                     [pa.array(v, pa.string() if k in ("payload_digest", "record_type") else pa.int64())
                      for k, v in columns.items()], list(columns))
 
-    ranges = archives.select("path").repartition("path").mapInArrow(index, "path string, start long, lengths array<long>")
-    return ranges.repartition("path", "start").mapInArrow(
+    ranges = archives.select("path").repartition(
+        shuffle_partitions(archives.sparkSession), "path").mapInArrow(index, "path string, start long, lengths array<long>")
+    # a number of its own, as AQE would join these short rows that stand for long reads
+    return ranges.repartition(shuffle_partitions(archives.sparkSession), "path", "start").mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
