@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_filesystem, shared_folder, stage, texts_of, write_file
+from .common import open_filesystem, shared_folder, shuffle_partitions, stage, texts_of, write_file
 from .wordtokens import word_tokens
 
 MAGIC = b"MDWTOK1\n"
@@ -170,7 +170,7 @@ def read_token_files(shards: DataFrame, documents_per_task: int = 4096) -> DataF
     ``ids`` (array).  Every task reads some ranges of documents through the index."""
     last = F.greatest(F.floor((F.col("documents") - 1) / documents_per_task), F.lit(0)).cast("long")
     ranges = shards.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), last))) \
-        .repartition("path", "range")
+        .repartition(shuffle_partitions(shards.sparkSession), "path", "range")
 
     def read(batches):
         for batch in batches:
