@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, shuffle_partitions, slices, texts_of, worker_cache
+from .common import parts_of, shared_folder, shuffle_partitions, slices, texts_of, worker_cache
 from .pretokens import split_spaced
 from .wordtokens import Numbered, gather
 
@@ -92,7 +92,7 @@ def exploded(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         block, numbers, groups, chars = TaskContext.get().partitionId() << 32, Numbered(), [], 0
-        for batch in batches:
+        for batch in parts_of(batches):
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for a, b in slices(texts, GROUP_CHARS):
                 words, sizes = split_spaced(texts[a:b])
@@ -204,11 +204,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, bytes`` of rows ``doc_id, ids``."""
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, len(batch), 256):  # bounds the bytes at once
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), token_bytes(ranks_path).decode(part.column("ids"))],
-                                                 ["doc_id", "bytes"])
+        for part in parts_of(batches, 256):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), token_bytes(ranks_path).decode(part.column("ids"))],
+                                             ["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
@@ -219,14 +217,13 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFr
 
     def run(batches):
         table = token_bytes(ranks_path)
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                ids = batch.column("ids").slice(k, 256)
-                own = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(k, 256), pa.array([len(x) for x in own], pa.int64()),
-                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in own]),
-                     pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in table.decode(ids)])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in parts_of(batches, 256):
+            ids = part.column("ids")
+            own = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()),
+                 pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in own]),
+                 pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in table.decode(ids)])],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

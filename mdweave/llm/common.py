@@ -43,6 +43,13 @@ def texts_of(batch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def parts_of(batches, rows: int = 512):
+    """Arrow batches in smaller ones, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def slices(texts: list[str], chars: int):
     """(first, last) index pairs of consecutive texts of about ``chars`` code
     points; a longer text is a slice of its own."""

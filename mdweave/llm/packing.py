@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import texts_of
+from .common import parts_of, texts_of
 from .wordtokens import word_tokens
 
 
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
 
     def run(batches):
         encoder = word_tokens(tokenizer)
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
                 ids = np.append(ids, end_id).astype("<u4")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_of
+
 PIECE = 1024
 PIECES_PER_TEXT = 16
 PIECES_PER_LABEL = 4000
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000) -> Model
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
 
     def cut(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             for row in batch.to_pylist():
                 parts = pieces_of((row["text"] or "").encode())

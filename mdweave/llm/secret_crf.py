@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_of
+
 KINDS = ("assign", "access", "hex", "crf")
 TAGS = O, B, I = 0, 1, 2
 # fixed values: the patterns
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, most_documents: int = 20_000, most_chains: int = 3000)
     ids = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             for row in batch.to_pylist():
                 text = row["text"] or ""
@@ -253,7 +255,7 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             every = [spans_of(t or "", field) for t in batch.column("text").to_pylist()]
             counts = [pa.array([sum(k == kind for _, k, _ in s) for s in every], pa.int64()) for kind in range(3)]
             sha = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in every]

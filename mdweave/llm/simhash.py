@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_groups, shuffle_partitions, stage
+from .common import connected_components, join_groups, parts_of, shuffle_partitions, stage
 
 BLOCK = 1 << 15
 TILE = 512
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, doc_id: str = "doc
     (the fingerprint as a signed long)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             fp = [fingerprint(t, words_per_shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"),
                                               pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "row_key", "fp"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, worker_cache
+from .common import parts_of, slices, texts_of, worker_cache
 from .pretokens import split_words
 from .wordtokens import byte_spelling
 
@@ -60,7 +60,7 @@ def merged_count(symbols: list[str], ranks: dict) -> int:
 class WordCounts(dict):
     """Tokens of each word; a word is counted when it is first asked for."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -84,7 +84,7 @@ class WordCounts(dict):
     def of(self, texts: list[str]) -> np.ndarray:
         """Tokens of every text; a special string in a text is one token."""
         out = np.zeros(len(texts), np.int64)
-        for a, b in slices(texts, 2_000_000):
+        for a, b in slices(texts, 1_000_000):
             if len(self) > self.most:
                 self.clear()
             parts = [self.segments(t) for t in texts[a:b]]
@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048,
         if ("word_counts", vocabulary) not in cache:
             cache["word_counts", vocabulary] = WordCounts(vocabulary)
         counts = cache["word_counts", vocabulary]
-        for batch in batches:
+        for batch in parts_of(batches):
             n = counts.of(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n),
                                               pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

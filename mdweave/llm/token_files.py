@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_filesystem, shared_folder, shuffle_partitions, stage, texts_of, write_file
+from .common import open_filesystem, parts_of, shared_folder, shuffle_partitions, stage, texts_of, write_file
 from .wordtokens import word_tokens
 
 MAGIC = b"MDWTOK1\n"
@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
         def parts():
             total = 0
-            for batch in batches:
+            for batch in parts_of(batches):
                 for i, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
                     total += len(tokens) + 1
                     ids.append(i)

@@ -48,7 +48,7 @@ def byte_spelling() -> dict[int, int]:
 class WordTokens:
     """Encoder of one worker for a byte-level tokenizers file."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -81,7 +81,7 @@ class WordTokens:
             else:
                 plain.append(i)
         chosen = [texts[i] for i in plain]
-        for a, b in slices(chosen, 2_000_000):
+        for a, b in slices(chosen, 1_000_000):
             if len(self.words) > self.most:
                 self.clear()
             words, counts = split_spaced(chosen[a:b])
