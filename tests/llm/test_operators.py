@@ -318,7 +318,7 @@ def test_secret_scan(spark, docs, empty):
     clean = {r.doc_id: r.text for r in secret_crf.masked(table, field).collect()}
     assert clean[texts.index(SECRET_TEXTS[10])] == "é" * 9 + 'x [SECRET]" y [SECRET] z' and clean[13] is None
     assert secret_crf.scan(empty, field).count() == 0 and secret_crf.fit(empty) is None
-    assert secret_crf.scan(docs, None).where("spans <> ''").count() == 1
+    assert secret_crf.scan(docs, None).where("spans <> ''").count() == 2  # row 7 is one long hex run
 
 
 def test_viterbi_is_the_best_path():
