@@ -52,19 +52,9 @@ def _is_special(scheme: Column) -> Column:
     return scheme.isin(*SPECIAL_SCHEMES)
 
 
-def percent_encode(col, charset: str) -> Column:
-    """Encode each character of ``charset`` as UTF-8 ``%XX``.
-
-    ASCII-clean strings skip the per-character lambda (which runs outside
-    whole-stage codegen) thanks to the short-circuiting ``when``.
-    """
-    c = _c(col)
-    chars = F.split(c, "")
-    encoded = F.array_join(
-        F.transform(chars, lambda ch: F.when(ch.rlike(charset),
-                                             F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20")))
-                    .otherwise(ch)), "")
-    return F.when(c.rlike(charset), encoded).otherwise(c)
+def percent_encode(x: str, charset: str) -> Column:
+    """The SQL expression ``x`` with the characters of ``charset`` as UTF-8 ``%XX``."""
+    return F.expr(_encode_sql(x, charset))
 
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -213,7 +203,7 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
     st10[t + "port_junk"] = f"{au} AND length({v['port_rest']}) > 0 AND NOT startswith({v['port_rest']}, ':')"
     df = _stage(df, st10)
     ps = v["port_str"]
-    port_re = _raw(r"^[0-9]{1,5}\z")
+    port_re = _raw(r"^0*[0-9]{1,5}\z")  # WHATWG accepts zeros in front
     default_port = "CASE " + " ".join(f"WHEN {v['scheme']} = '{k}' THEN '{p}'" for k, p in DEFAULT_PORTS.items()) + " END"
     df = _stage(df, {
         t + "host": f"CASE WHEN {fi} AND {v['host0']} = 'localhost' THEN '' ELSE {v['host0']} END",
@@ -294,18 +284,6 @@ def hostname(host) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(host), r"^\[", ""), r"\]\z", "")
 
 
-def origin_of(parts: Column) -> Column:
-    port_sfx = F.when(parts["port"].isNotNull(), F.concat(F.lit(":"), parts["port"])).otherwise(F.lit(""))
-    cred = F.when(parts["userinfo"] != "", F.concat(parts["userinfo"], F.lit("@"))).otherwise(F.lit(""))
-    return F.concat(parts["scheme"], F.lit("://"), cred, parts["host"], port_sfx)
-
-
-def with_pathname(parts: Column, new_path) -> Column:
-    """Same origin and query, new (already encoded) pathname."""
-    query_sfx = F.when(parts["query"].isNotNull(), F.concat(F.lit("?"), parts["query"])).otherwise(F.lit(""))
-    return F.concat(origin_of(parts), percent_encode(_c(new_path), PATH_ENCODE), query_sfx)
-
-
 def guess_local_content_type(path) -> Column:
     """E10."""
     p = F.lower(_c(path))

@@ -126,20 +126,34 @@ def apply_host_policy(unique_links: DataFrame, allow_external=False) -> DataFram
     return df.withColumn("allowed", F.coalesce(allowed, F.lit(False)))
 
 
-def link_stats(resolved: DataFrame, policy: DataFrame) -> DataFrame:
-    """A6 + A7 per source: links found, unique URLs, selected and blocked docs,
-    blocked hosts (distinct, sorted, joined with ', ').
-
-    ``resolved`` is the resolved link table, ``policy`` the deduped table with
-    ``allowed``.  Both sides are aggregated per source first, then joined on the
-    (small) per-source results.
+def link_stats(resolved: DataFrame, policy: DataFrame, selected: DataFrame | None = None,
+               keys=("source_url",)) -> DataFrame:
+    """A6 per source: links found, unique URLs, selected and blocked docs, and
+    how many hosts are blocked (``blocked_hosts`` lists them).
+
+    ``resolved`` is the resolved link table (per ``source_url``), ``policy`` the
+    deduped table with ``allowed``, ``selected`` the entries left after the
+    previous selection (J4; without it, all allowed ones).  ``keys`` are
+    ``source_url``, with ``collection`` where a source is in several.
     """
+    keys = list(keys)
     found = (resolved.filter(F.col("status") == "ok").groupBy("source_url")
              .agg(F.count(F.lit(1)).alias("links_found")))
-    per = (policy.groupBy("source_url")
+    per = (policy.groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("unique_urls"),
                 F.count_if(F.col("allowed")).alias("selected_docs"),
-                F.count_if(~F.col("allowed")).alias("blocked_docs"),
-                F.array_join(F.array_sort(F.collect_set(F.when(~F.col("allowed"), F.col("host")))), ", ")
-                .alias("blocked_hosts")))
+                F.count_if(~F.col("allowed")).alias("blocked_docs")))
+    hosts = blocked_hosts(policy, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("blocked_hosts"))
+    per = per.join(hosts, keys, "left").fillna(0, ["blocked_hosts"])
+    if selected is not None:
+        left = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("__selected"))
+        per = (per.join(left, keys, "left")
+               .withColumn("selected_docs", F.coalesce("__selected", F.lit(0).cast("long"))).drop("__selected"))
     return found.join(per, "source_url", "left")
+
+
+def blocked_hosts(policy: DataFrame, keys=("source_url",)) -> DataFrame:
+    """A7 in long form: one row per source and blocked host, so that no source's
+    list is ever one value."""
+    return (policy.filter(~F.col("allowed") & F.col("host").isNotNull()).groupBy(*keys, "host")
+            .agg(F.count(F.lit(1)).alias("blocked_links")))

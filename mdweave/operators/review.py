@@ -9,7 +9,7 @@ not with a window, so one very common slug does not become one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.content import has_markdown_link, looks_html
@@ -64,14 +64,15 @@ def label_order():
     return [F.collate("label", "UNICODE"), F.col("line_no")]
 
 
-def resolve_sources(inputs: DataFrame, registry: DataFrame, base_dir: str = "/work/project") -> DataFrame:
+def resolve_sources(inputs: DataFrame, registry: DataFrame, base_dir: str) -> DataFrame:
     """J1 + P15 for ``inputs(input_id, input)`` against the strict registry.
 
     Registry hit (trimmed lower-cased input equals the lower-cased slug or
     label; never for inputs that look like paths): first entry in label order,
     label ``Label (slug)``.  Else an absolute http(s) URL.  Else a local path
     resolved against ``base_dir`` (a parameter, not the process directory).
-    Two equi-joins (slug, label) unioned -- not an OR join.
+    The registry is reduced to its first entry per lower-cased slug and per
+    lower-cased label before two equi-joins, so an input has at most two hits.
     Output: input_id, input, kind, slug, label, url, local_root_dir.
     """
     norm = F.lower(js_trim("input"))
@@ -80,18 +81,21 @@ def resolve_sources(inputs: DataFrame, registry: DataFrame, base_dir: str = "/wo
                   | F.col("input").startswith(".") | F.col("input").startswith("~"))
     cand = inputs.withColumn("__key", F.when(~looks_path, norm))
     reg = registry.select("line_no", "slug", "label", F.col("url").alias("reg_url"))
-    by_slug = cand.join(reg.withColumn("__key", F.lower("slug")), "__key", "inner")
-    by_label = cand.join(reg.withColumn("__key", F.lower("label")), "__key", "inner")
-    hits = by_slug.unionByName(by_label).dropDuplicates(["input_id", "line_no"])
-    w = Window.partitionBy("input_id").orderBy(*label_order())
-    first = (hits.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
-             .select("input_id", "slug", "label", "reg_url"))
+    entry = F.struct("line_no", "slug", "label", "reg_url")
+
+    def first_by(column):
+        return (reg.groupBy(F.lower(column).alias("__key")).agg(F.min_by(entry, F.struct(*label_order())).alias("e"))
+                .select("__key", "e.*"))
+
+    hits = cand.join(first_by("slug"), "__key", "inner").unionByName(cand.join(first_by("label"), "__key", "inner"))
+    first = (hits.groupBy("input_id").agg(F.min_by(entry, F.struct(*label_order())).alias("e"))
+             .select("input_id", "e.slug", "e.label", "e.reg_url"))
     df = inputs.join(first, "input_id", "left")
     df = parse_urls(df, "reg_url", "__reg")
     df = parse_urls(df, "input", "__in")
     def with_fragment(parts, raw):
         # WHATWG href keeps the fragment (fragment percent-encode set)
-        frag = percent_encode(F.regexp_extract(raw, "#(.*)$", 1), r'[^\x21-\x7E]|["<>`]')
+        frag = percent_encode(f"regexp_extract(`{raw}`, '#(.*)$', 1)", r'[^\x21-\x7E]|["<>`]')
         return F.concat(F.col(parts + ".href"),
                         F.when(F.col(raw).contains("#"), F.concat(F.lit("#"), frag)).otherwise(F.lit("")))
 
@@ -180,16 +184,19 @@ def review(registry: DataFrame, resources: DataFrame) -> DataFrame:
     res = resources.select(F.col("url").alias("parsed_href"), F.col("ok").alias("r_ok"),
                            F.col("http_status").alias("r_status"), F.col("content_type").alias("r_type"),
                            F.col("content_length").alias("r_len"), F.col("final_url").alias("r_final"),
-                           F.col("error").alias("r_error"), F.col("body").alias("r_body"))
+                           F.col("error").alias("r_error"),
+                           # what the rules need of the body; the body itself stays out of the shuffle
+                           F.length("body").cast("long").alias("r_body_len"), looks_html(F.col("body")).alias("r_html"),
+                           has_markdown_link(F.col("body")).alias("r_links"))
     probe = s.withColumn("__fetch", F.size("issues") == 0)
-    # only entries without issues reach the join (null key for the others)
-    probe = probe.withColumn("__key", F.when(F.col("__fetch"), F.col("parsed_href")))
-    d = probe.join(res.withColumnRenamed("parsed_href", "__key"), "__key", "left")
+    # entries with issues pass the join by: no reducer gets them all under a null key
+    d = (probe.filter("__fetch").join(res, "parsed_href", "left")
+         .unionByName(probe.filter("NOT __fetch"), allowMissingColumns=True))
     fetched = F.col("__fetch") & F.col("r_ok").isNotNull()
     ok = fetched & F.col("r_ok")
     header_len = F.when(fetched, F.coalesce(F.col("r_len"), F.lit(0))).otherwise(F.lit(0)).cast("long")
-    eff = F.when(header_len > 0, header_len).otherwise(F.length("r_body").cast("long"))
-    final_host = F.expr("regexp_extract(r_final, '^[A-Za-z][A-Za-z0-9+.\\\\-]*://([^/?#:]*)', 1)")
+    eff = F.when(header_len > 0, header_len).otherwise(F.col("r_body_len"))
+    final_host = F.expr("regexp_extract(r_final, '^[A-Za-z][A-Za-z0-9+.\\\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)")
     ctype = F.coalesce(F.col("r_type"), F.lit(""))
     fetch_issue = (F.when(F.col("__fetch") & F.col("r_ok").isNull(), F.lit(NOT_IN_SNAPSHOT))
                    .when(fetched & ~F.col("r_ok") & F.col("r_error").isNotNull(), F.col("r_error"))
@@ -202,8 +209,8 @@ def review(registry: DataFrame, resources: DataFrame) -> DataFrame:
     warnings = F.concat(F.col("warnings"), F.when(ok, _msgs(
         (F.lower(final_host) != F.col("parsed_host"), MSG_REDIRECT),
         (eff > LARGE_BYTES, MSG_LARGE),
-        (looks_html(F.col("r_body")), MSG_HTML),
-        (~has_markdown_link(F.col("r_body")), MSG_NO_LINKS))).otherwise(F.array().cast("array<string>")))
+        (F.col("r_html"), MSG_HTML),
+        (~F.col("r_links"), MSG_NO_LINKS))).otherwise(F.array().cast("array<string>")))
     notes = F.when(ok, F.array(F.concat(F.lit("Fetched "), F.format_number(eff, 0), F.lit(" bytes."))))\
         .otherwise(F.array().cast("array<string>"))
     d = d.withColumn("issues", issues).withColumn("warnings", warnings).withColumn("notes", notes)
@@ -211,7 +218,9 @@ def review(registry: DataFrame, resources: DataFrame) -> DataFrame:
                .when(F.size("warnings") > 0, F.lit("needs-review")).otherwise(F.lit("safe")))
     return d.select(
         "line_no", "slug", "label", "url",
-        F.when(fetched, F.coalesce(F.col("r_final"), F.col("parsed_href"))).otherwise(F.col("url")).alias("final_url"),
+        # after a transport error the entry's own URL stays
+        F.when(fetched & (F.col("r_ok") | F.col("r_error").isNull()), F.coalesce(F.col("r_final"), F.col("parsed_href")))
+        .otherwise(F.col("url")).alias("final_url"),
         F.when(fetched, F.coalesce(F.col("r_status"), F.lit(0))).otherwise(F.lit(0)).cast("int").alias("status_code"),
         F.when(fetched, ctype).otherwise(F.lit("")).alias("content_type"),
         header_len.alias("content_length"),

@@ -30,8 +30,29 @@ SRC = ["collection", "source_url"]
 def same_source(installs: DataFrame) -> DataFrame:
     """J3 (a W3 first-wins pick): the first install per (collection, source_url)
     in manifest order."""
-    w = Window.partitionBy(*SRC).orderBy("pos")
-    return (installs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn"))
+    rest = [c for c in installs.columns if c not in SRC]
+    # an install without a source URL is never the install of a source
+    return (installs.filter(F.col("source_url").isNotNull()).groupBy(*SRC)
+            .agg(F.min_by(F.struct(*rest), "pos").alias("__i")).select(*SRC, "__i.*").select(*installs.columns))
+
+
+def first_documents(fetched: DataFrame) -> DataFrame:
+    """The document that is written at each (collection, path): the first by source
+    and link order.  The others are the rows of ``path_clashes``."""
+    order = F.struct("source_url", "line_pos", "match_pos", "url", "content_sha")
+    return (fetched.filter("ok").groupBy("collection", "path").agg(F.min(order).alias("__d"))
+            .select("collection", "path", "__d.source_url", "__d.url", "__d.content_sha"))
+
+
+def path_clashes(fetched: DataFrame) -> DataFrame:
+    """Documents that are not written because another one has their path:
+    (collection, path, source_url, url, content_sha, written_source_url, written_url)."""
+    docs = fetched.filter("ok").select("collection", "path", "source_url", "url", "content_sha")
+    often = docs.groupBy("collection", "path").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    first = (first_documents(fetched).join(often, ["collection", "path"], "left_semi")
+             .select("collection", "path", F.col("source_url").alias("written_source_url"), F.col("url").alias("written_url")))
+    return (docs.join(first, ["collection", "path"])
+            .filter((F.col("source_url") != F.col("written_source_url")) | (F.col("url") != F.col("written_url"))))
 
 
 def select_previous(entries: DataFrame, installs: DataFrame, selected_urls: DataFrame) -> DataFrame:
@@ -87,7 +108,8 @@ def install_plan(fetched: DataFrame, installs: DataFrame, managed_files: DataFra
     absent from the next docs, only when the source had no failure (the gate is
     per source, never global) -- also when the file is already gone.
     """
-    docs = fetched.filter("ok").select(*SRC, "path", "content_sha").dropDuplicates(SRC + ["path"])
+    docs = (fetched.filter("ok").groupBy(*SRC, "path")
+            .agg(F.min_by("content_sha", F.struct("line_pos", "match_pos", "url")).alias("content_sha")))
     readable = readable_managed(installs, managed_files, corpus)
     nxt = (docs.join(readable, SRC + ["path"], "left")
            .withColumn("change", F.when(F.col("old_sha").isNull(), F.lit("added"))
@@ -133,14 +155,23 @@ def plan_preview(plan: DataFrame, k: int = 25) -> DataFrame:
 
 def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary: DataFrame) -> DataFrame:
     """Next snapshot = previous corpus without (written paths and removed
-    paths) + every successful doc of the sources that are not up to date.
-    Up-to-date sources write nothing (A11)."""
+    paths) + every successful doc of the sources that are not up to date
+    (the first one where paths clash, see ``path_clashes``).  Up-to-date sources
+    write nothing (A11).  Where ``corpus`` and ``fetched`` have ``content``, the snapshot
+    has it too; it is joined to the documents chosen on narrow rows."""
     active = summary.filter(~F.col("up_to_date")).select(*SRC)
-    written = fetched.filter("ok").join(active, SRC, "left_semi").select("collection", "path", "content_sha")
+    docs = fetched.filter("ok").join(active, SRC, "left_semi")
+    written = first_documents(docs)
+    cols = ["collection", "path", "content_sha"]
+    if "content" in fetched.columns and "content" in corpus.columns:
+        cols.append("content")
+        body = docs.select(*SRC, "path", "url", "content").dropDuplicates(SRC + ["path", "url"])  # of one URL, one body
+        written = written.join(body, SRC + ["path", "url"])
+    written = written.select(*cols)
     removed = plan.filter(F.col("change") == "removed").join(active, SRC, "left_semi").select("collection", "path")
     gone = written.select("collection", "path").unionByName(removed)
-    kept = corpus.select("collection", "path", "content_sha").join(gone, ["collection", "path"], "left_anti")
-    return kept.unionByName(written.dropDuplicates(["collection", "path"]))
+    kept = corpus.select(*cols).join(gone, ["collection", "path"], "left_anti")
+    return kept.unionByName(written)
 
 
 def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls: DataFrame,
@@ -156,7 +187,8 @@ def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls
     * selected URLs: all selected entries in entry order, failed ones included;
     * all other installs are kept, normalised (layout 'flat' or 'nested',
       prefix default '', distinct lists).  Duplicate install records of one
-      source collapse to the first (documented deviation).
+      source collapse to the first (documented deviation); installs without a
+      source URL are kept, each with its place, and so are their lists.
 
     ``run_sources``: (collection, source_url, source_label, layout, path_prefix, seq).
     """
@@ -166,25 +198,30 @@ def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls
     norm = cur.select(*SRC, "pos", "source_label",
                       F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested")).alias("layout"),
                       F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
+    nameless = installs.filter(F.col("source_url").isNull()).select(
+        *SRC, "pos", "source_label", F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested")).alias("layout"),
+        F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
     kept = norm.join(runs.select(*SRC), SRC, "left_anti")
     replaced = runs.join(cur.select(*SRC, "pos"), SRC, "inner")
-    last = norm.groupBy("collection").agg(F.max("pos").alias("__last"))
+    last = installs.groupBy("collection").agg(F.max("pos").alias("__last"))
     wnew = Window.partitionBy("collection").orderBy("seq", "source_url")
     appended = (runs.join(cur.select(*SRC), SRC, "left_anti").join(last, "collection", "left")
                 .withColumn("pos", F.coalesce("__last", F.lit(-1)) + F.row_number().over(wnew))
                 .drop("__last"))
     cols = SRC + ["pos", "source_label", "layout", "path_prefix"]
-    new_installs = kept.select(*cols).unionByName(replaced.select(*cols)).unionByName(appended.select(*cols))
+    new_installs = kept.unionByName(nameless).select(*cols).unionByName(replaced.select(*cols)).unionByName(appended.select(*cols))
 
     run_paths = fetched.filter("ok").join(runs.select(*SRC), SRC, "left_semi").select(*SRC, "path")
     prev_paths = (managed_files.join(runs.filter(F.col("failures") > 0).select(*SRC), SRC, "left_semi")
                   .select(*SRC, "path"))
-    other_paths = managed_files.join(kept.select(*SRC), SRC, "left_semi").select(*SRC, "path")
+    other_paths = (managed_files.join(kept.select(*SRC), SRC, "left_semi").select(*SRC, "path")
+                   .unionByName(managed_files.filter(F.col("source_url").isNull()).select(*SRC, "path")))
     new_managed = run_paths.unionByName(prev_paths).unionByName(other_paths).distinct()
 
     run_sel = (selected.join(runs.select(*SRC), SRC, "left_semi")
                .select(*SRC, "url", F.struct("line_pos", "match_pos").alias("ord")))
     other_sel = (selected_urls.join(kept.select(*SRC), SRC, "left_semi")
+                 .unionByName(selected_urls.filter(F.col("source_url").isNull()))
                  .select(*SRC, "url", F.struct(F.col("ord").cast("long").alias("line_pos"),
                                                 F.lit(0).alias("match_pos")).alias("ord")))
     new_sel = (run_sel.unionByName(other_sel).groupBy(*SRC, "url").agg(F.min("ord").alias("ord")))

@@ -32,18 +32,20 @@ def _empty_like(df: DataFrame, cols: dict) -> DataFrame:
 
 def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
            installs: DataFrame | None = None, managed_files: DataFrame | None = None,
-           selected_urls: DataFrame | None = None, corpus: DataFrame | None = None) -> dict:
+           selected_urls: DataFrame | None = None, corpus: DataFrame | None = None,
+           chosen: DataFrame | None = None) -> dict:
     """Run the import for every source of ``sources``.
 
     index_lines (source_url, line_pos, line)
     sources     (collection, source_url, layout, path_prefix, allow_external[, slug, seq]);
-                a NULL path_prefix is assigned by W2 (see ``_prefixes``)
+                a NULL path_prefix is assigned by W2 (see ``_prefixes``); with a
+                ``local_root_dir``, documents get their path below it (P8)
     resources   crawl snapshot (see operators.fetch)
     installs / managed_files / selected_urls / corpus: previous snapshot
     (see operators.sync); omitted = first install.
+    chosen      explicit selection (collection, source_url, url), instead of the previous one
     Returns the named intermediate and final DataFrames.
     """
-    spark = index_lines.sparkSession
     installs = installs if installs is not None else _empty_like(
         index_lines, {"collection": "string", "pos": "int", "source_url": "string", "source_label": "string",
                       "layout": "string", "path_prefix": "string"})
@@ -52,20 +54,21 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     selected_urls = selected_urls if selected_urls is not None else _empty_like(
         index_lines, {"collection": "string", "source_url": "string", "url": "string", "ord": "bigint"})
     corpus = corpus if corpus is not None else _empty_like(
-        index_lines, {"collection": "string", "path": "string", "content_sha": "string"})
-    del spark
+        index_lines, {"collection": "string", "path": "string", "content_sha": "string", "content": "string"})
+    if "local_root_dir" not in sources.columns:
+        sources = sources.withColumn("local_root_dir", F.lit(None).cast("string"))
 
     resolved = materialize(L.resolve_links(L.extract_links(index_lines)))
     unique = L.dedupe_links(L.valid_links(resolved))
-    opts = sources.select("source_url", "collection", "layout", "path_prefix", "allow_external")
+    opts = sources.select("source_url", "collection", "layout", "path_prefix", "allow_external", "local_root_dir")
     policy = materialize(L.apply_host_policy(unique.join(opts, "source_url", "inner"), "allow_external"))
-    stats = L.link_stats(resolved, policy)
-
     entries = policy.filter("allowed").withColumn("url", F.col("href"))
-    selected = SY.select_previous(entries, installs, selected_urls)
+    selected = (SY.select_explicit(entries, chosen) if chosen is not None
+                else SY.select_previous(entries, installs, selected_urls))
+    stats = L.link_stats(resolved, policy, selected, SRC)
     fetched = materialize(FE.first_success(
         selected.select("collection", "source_url", "href", "url", "line_pos", "match_pos", "title", "scheme",
-                        "host", "path", "query", "layout", "path_prefix"),
+                        "host", "path", "query", "layout", "path_prefix", "local_root_dir"),
         resources))
     bodies = FE.fetch_bodies(fetched, resources).withColumnRenamed("fetched_url", "fetched")
     converted = CV.to_markdown(bodies.withColumnRenamed("url", "entry_url").withColumnRenamed("fetched", "url"),
@@ -73,8 +76,11 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     converted = materialize(converted.withColumnRenamed("url", "fetched_url").withColumnRenamed("entry_url", "url"))
 
     docs_ok = converted.filter("ok")
-    nested = PA.add_remote_paths(docs_ok.filter(F.col("layout") != "flat"))
-    flat = PA.add_flat_paths(docs_ok.filter(F.col("layout") == "flat"))
+    narrow = docs_ok.drop("content")  # names need no contents
+    tree = narrow.filter(F.col("layout") != "flat")
+    nested = (PA.add_remote_paths(tree.filter(F.col("local_root_dir").isNull()))
+              .unionByName(PA.add_local_paths(tree.filter(F.col("local_root_dir").isNotNull()))))
+    flat = PA.add_flat_paths(narrow.filter(F.col("layout") == "flat"))
     named = materialize(nested.unionByName(flat))
     # W1 is independent of the prefix: number first, then assign prefixes
     numbered = PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path")
@@ -95,9 +101,23 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
                                             F.lit(None).cast("string").alias("path"),
                                             F.lit(None).cast("string").alias("content_sha"), "reason")))
     results = materialize(results)
-    plan = SY.install_plan(results, installs, managed_files, corpus)
-    summary = SY.plan_summary(plan, results, installs)
-    return {"resolved": resolved, "policy": policy, "stats": stats, "selected": selected, "fetched": fetched,
+    plan = materialize(SY.install_plan(results, installs, managed_files, corpus))
+    summary = materialize(SY.plan_summary(plan, results, installs))
+    # the snapshot holds the documents; their contents join the rows chosen by hash
+    full = results.join(docs_ok.select(*SRC, "url", "content"), [*SRC, "url"], "left") if "content" in corpus.columns else results
+    snapshot = SY.apply_plan(corpus, full, plan, summary)
+    seq = (F.col("seq") if "seq" in sources.columns else F.xxhash64("source_url")).cast("long")
+    label = (F.col("source_label") if "source_label" in sources.columns else F.col("source_url"))
+    given = docs.groupBy(*SRC).agg(F.first("path_prefix", ignorenulls=True).alias("__prefix"))
+    run_sources = (sources.join(given, SRC, "left")
+                   .select(*SRC, label.alias("source_label"), "layout",
+                           F.coalesce("path_prefix", "__prefix", F.lit("")).alias("path_prefix"), seq.alias("seq")))
+    new_installs, new_managed, new_selected = SY.upsert_manifest(
+        installs, managed_files, selected_urls, results, selected, summary, run_sources)
+    return {"source_failures": source_failures(sources, index_lines, resolved, policy),
+            "path_clashes": SY.path_clashes(results), "snapshot": snapshot, "installs": new_installs,
+            "managed_files": new_managed, "selected_urls": new_selected, "sources": sources.select(*SRC),
+            "resolved": resolved, "policy": policy, "stats": stats, "selected": selected, "fetched": fetched,
             "docs": docs, "failures": failures, "results": results, "plan": plan, "summary": summary}
 
 
@@ -120,7 +140,9 @@ def _prefixes(sources: DataFrame, installs: DataFrame, corpus: DataFrame, number
                          F.col("__p.scheme").alias("scheme"), F.col("__p.host").alias("host"),
                          F.col("__p.path").alias("path"))
     top = corpus.select("collection", F.regexp_extract("path", r"^([^/]+)", 1).alias("name"))
-    unprefixed = (numbered.join(given.filter(F.col("path_prefix") == ""), SRC, "left_semi")
+    # first the prefixes that need no look at names; the sources that get '' write top-level entries too
+    early = PA.early_prefixes(cand, installs).select(*SRC, "path_prefix")
+    unprefixed = (numbered.join(given.unionByName(early).filter(F.col("path_prefix") == ""), SRC, "left_semi")
                   .select("collection", F.regexp_extract("doc_path", r"^([^/]+)", 1).alias("name")))
     top_level = top.unionByName(unprefixed).filter(F.col("name") != "").distinct()
     assigned = PA.assign_prefixes(cand, installs.select("collection", "pos", "source_url", "path_prefix"),
@@ -128,10 +150,26 @@ def _prefixes(sources: DataFrame, installs: DataFrame, corpus: DataFrame, number
     return given.unionByName(assigned)
 
 
+def source_failures(sources: DataFrame, index_lines: DataFrame, resolved: DataFrame, policy: DataFrame) -> DataFrame:
+    """Sources that give no document to fetch: (collection, source_url, reason)."""
+    has_lines = index_lines.select("source_url").distinct().withColumn("__lines", F.lit(True))
+    has_links = resolved.filter(F.col("status") == "ok").select("source_url").distinct().withColumn("__links", F.lit(True))
+    has_docs = policy.filter("allowed").select(*SRC).distinct().withColumn("__docs", F.lit(True))
+    reason = (F.when(F.col("__lines").isNull(), F.lit("no index"))
+              .when(F.col("__links").isNull(), F.lit("no links in the index"))
+              .when(F.col("__docs").isNull(), F.lit("no link is allowed")))
+    return (sources.select(*SRC).join(has_lines, "source_url", "left").join(has_links, "source_url", "left")
+            .join(has_docs, SRC, "left").select(*SRC, reason.alias("reason")).filter("reason IS NOT NULL"))
+
+
 def ingest_summary(out: dict) -> DataFrame:
-    """One row per source: link statistics, fetch results and change counts."""
-    s = out["summary"].select(*SRC, "successes", "failures", "same_source", "added", "changed", "removed",
-                              "unchanged", "total_changes", "up_to_date", "run_status")
-    st = out["stats"].select("source_url", "links_found", "unique_urls", "selected_docs", "blocked_docs",
-                             "blocked_hosts")
-    return s.join(st, "source_url", "inner")
+    """One row per source, those that failed as a whole included: link
+    statistics, fetch results and change counts."""
+    counts = ["successes", "failures", "added", "changed", "removed", "unchanged", "total_changes"]
+    links = ["links_found", "unique_urls", "selected_docs", "blocked_docs", "blocked_hosts"]
+    s = out["summary"].select(*SRC, *counts, "same_source", "up_to_date", "run_status")
+    st = out["stats"].select(*SRC, *links)
+    f = out["source_failures"].select(*SRC, F.col("reason").alias("source_failure"))
+    return (out["sources"].join(s, SRC, "left").join(st, SRC, "left").join(f, SRC, "left").fillna(0, counts + links)
+            .fillna(False, ["same_source", "up_to_date"])
+            .withColumn("run_status", F.coalesce("run_status", F.lit("failed"))))

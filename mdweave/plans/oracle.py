@@ -228,14 +228,20 @@ def q_host_policy() -> str:
 SELECT source_url, href, line_pos, match_pos, host, allowed FROM policy"""
 
 
+def q_blocked_hosts() -> str:
+    return _with(all_lines_cte(), links_ctes("all_lines"), DEDUPE, POLICY) + """
+SELECT source_url, host, count(*) AS blocked_links FROM policy
+WHERE NOT allowed AND host IS NOT NULL GROUP BY source_url, host"""
+
+
 def q_link_stats() -> str:
     return _with(all_lines_cte(), links_ctes("all_lines"), DEDUPE, POLICY) + """
 SELECT f.source_url, f.links_found, p.unique_urls, p.selected_docs, p.blocked_docs,
-       coalesce(p.blocked_hosts, '') AS blocked_hosts
+       p.blocked_hosts
 FROM (SELECT source_url, count(*) AS links_found FROM links WHERE status = 'ok' GROUP BY 1) f
 LEFT JOIN (SELECT source_url, count(*) AS unique_urls, count_if(allowed) AS selected_docs,
                   count_if(NOT allowed) AS blocked_docs,
-                  array_to_string(list_sort(list_distinct(list(host) FILTER (WHERE NOT allowed))), ', ') AS blocked_hosts
+                  count(DISTINCT host) FILTER (WHERE NOT allowed) AS blocked_hosts
            FROM policy GROUP BY 1) p USING (source_url)"""
 
 
@@ -784,7 +790,7 @@ probe2 AS (
 probe3 AS (SELECT *, CASE WHEN header_len > 0 THEN header_len ELSE length(r_body) END AS eff FROM probe2),
 reviewed AS (
   SELECT line_no, slug, label, url,
-    CASE WHEN fetched THEN coalesce(r_final, parsed_href) ELSE url END AS final_url,
+    CASE WHEN fetched AND (r_ok OR r_error IS NULL) THEN coalesce(r_final, parsed_href) ELSE url END AS final_url,
     CAST(CASE WHEN fetched THEN coalesce(r_status, 0) ELSE 0 END AS INTEGER) AS status_code,
     CASE WHEN fetched THEN ctype ELSE '' END AS content_type,
     CAST(header_len AS BIGINT) AS content_length,
@@ -948,6 +954,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_links": q_dedupe_links(),
         "host_policy": q_host_policy(),
         "link_stats": q_link_stats(),
+        "blocked_hosts": q_blocked_hosts(),
         "candidate_urls": q_candidate_urls(),
         "first_success": q_first_success(),
         "fetch_failures": q_fetch_failures(),

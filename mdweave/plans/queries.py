@@ -67,6 +67,10 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_url", "links_found", "unique_urls", "selected_docs", "blocked_docs", "blocked_hosts")
 
 
+def blocked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.blocked_hosts(L.apply_host_policy(_unique(spark, sf_dir))).select("source_url", "host", "blocked_links")
+
+
 # --- candidates and first success ------------------------------------------------
 
 def _site_selected(spark, sf_dir) -> DataFrame:
@@ -237,7 +241,7 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = RV.strict_registry(V.registry_lines(spark, sf_dir))
-    return RV.resolve_sources(V.source_inputs(spark, sf_dir), reg).select(
+    return RV.resolve_sources(V.source_inputs(spark, sf_dir), reg, "/work/project").select(
         "input_id", "input", "kind", "slug", "label", "url", "local_root_dir")
 
 
@@ -295,6 +299,7 @@ QUERIES = {
     "dedupe_links": dedupe_links,
     "host_policy": host_policy,
     "link_stats": link_stats,
+    "blocked_hosts": blocked_hosts,
     "candidate_urls": candidate_urls,
     "first_success": first_success,
     "fetch_failures": fetch_failures,

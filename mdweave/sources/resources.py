@@ -28,7 +28,7 @@ def read_local_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` as an ok resource at its ``file:`` URL."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
           .select(F.regexp_replace("path", "^file:(//)?", "").alias("__p"), "content", "length"))
-    url = F.concat(F.lit("file://"), percent_encode(F.col("__p"), PATH_ENCODE))
+    url = F.concat(F.lit("file://"), percent_encode("`__p`", PATH_ENCODE))
     return df.select(
         url.alias("url"), F.lit(True).alias("ok"), F.lit(None).cast("int").alias("http_status"),
         F.lit(None).cast("string").alias("status_text"),

@@ -1,31 +1,48 @@
 """Sinks: corpus snapshot (S6), manifest (S7) and review reports.
 
 Snapshots are never overwritten in place: each run writes a new version
-directory, then replaces the small ``_CURRENT`` pointer.  Readers resolve the
+directory, then adds a small pointer file.  Readers take the newest
 pointer first, so a failed or running write is never observed, and the
 previous version stays readable while the next one is written.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
+    """The newest pointer of ``root``; None only if it has no pointers yet."""
     try:
-        row = spark.read.text(f"{root}/_CURRENT").first()
-    except Exception:  # noqa: BLE001 - no snapshot yet
+        pointers = spark.read.text(f"{root}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return row[0].strip() if row else None
+    row = pointers.agg(F.max("value")).first()
+    return row[0].split("\t")[1] if row and row[0] else None
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    """Add a pointer file; the ones before stay as they are, and a pointer
+    appears as a whole or not at all."""
+    try:
+        number = spark.read.text(f"{root}/pointers").count() + 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        number = 1
+    spark.createDataFrame([(f"{number:012d}\tv={version}",)], "value string").coalesce(1) \
+        .write.mode("append").text(f"{root}/pointers")
 
 
 def write_snapshot(df: DataFrame, root: str, version: str, partition_by=("collection",)) -> str:
-    """Write ``df`` to ``root/v=<version>`` and point ``_CURRENT`` at it."""
+    """Write ``df`` to ``root/v=<version>``, then point at it."""
     path = f"{root}/v={version}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(f"v={version}",)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root}/_CURRENT")
+    _point(df.sparkSession, root, version)
     return path
 
 
@@ -34,11 +51,22 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{v}") if v else None
 
 
+MANIFEST_TABLES = ("installs", "managed_files", "selected_urls")
+
+
 def write_manifest(tables: dict, root: str, version: str) -> None:
     """The three long-form manifest tables as parquet (not byte-compatible
-    with the reference's JSON; the content is the same)."""
-    for name in ("installs", "managed_files", "selected_urls"):
-        write_snapshot(tables[name], f"{root}/{name}", version)
+    with the reference's JSON; the content is the same), under one pointer, so that
+    a reader never sees tables of two runs."""
+    for name in MANIFEST_TABLES:
+        tables[name].write.mode("errorifexists").parquet(f"{root}/v={version}/{name}")
+    _point(tables["installs"].sparkSession, root, version)
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The manifest tables of the newest complete run, or None before the first."""
+    v = current_version(spark, root)
+    return {name: spark.read.parquet(f"{root}/{v}/{name}") for name in MANIFEST_TABLES} if v else None
 
 
 def write_review(reviewed: DataFrame, report: DataFrame, json_path: str, markdown_path: str) -> None:

@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,12 +102,24 @@ def test_unique_paths_literals(spark):
     assert numbered(spark, ["a.md", "a.md", "a-2.md"]) == ["a.md", "a-2.md", "a-2-2.md"]
 
 
+def sequential(names):
+    """The rule stated row by row: the first of name, name-2, name-3 ... not used yet."""
+    used = []
+    for n in names:
+        k, free = 1, n
+        while free in used:
+            k += 1
+            free = re.sub(r"\.md$", f"-{k}.md", n)
+        used.append(free)
+    return used
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.sampled_from(["a.md", "a-2.md", "a-2-2.md", "b.md", "x/a.md", "a-3.md"]), min_size=1,
                 max_size=12))
 def test_unique_paths_matches_sequential_model(spark, names):
     got = numbered(spark, names)
-    assert got == PA.greedy_names(names)
+    assert got == sequential(names)
     assert len(set(got)) == len(got)
 
 
@@ -127,16 +141,27 @@ def test_assign_prefixes(spark):
 
 
 def test_unique_paths_hot_group_path(spark):
-    spark.conf.set("mdweave.w1.hot_group_rows", "3")
-    try:
-        names = ["a.md"] * 40 + ["b.md"] * 2 + ["c/x.md"] * 9
-        order = list(range(len(names)))
-        import random
-        random.Random(7).shuffle(order)
-        df = spark.createDataFrame([("s", order[i], 0, n) for i, n in enumerate(names)],
-                                   "source_url string, line_pos long, match_pos int, rel_path string")
-        out = PA.unique_paths(df, ["source_url"]).orderBy("line_pos").collect()
-        by_order = sorted(zip(order, names))
-        assert [r["path"] for r in out] == PA.greedy_names([n for _, n in by_order])
-    finally:
-        spark.conf.unset("mdweave.w1.hot_group_rows")
+    names = ["a.md"] * 40 + ["b.md"] * 2 + ["c/x.md"] * 9
+    order = list(range(len(names)))
+    import random
+    random.Random(7).shuffle(order)
+    df = spark.createDataFrame([("s", order[i], 0, n) for i, n in enumerate(names)],
+                               "source_url string, line_pos long, match_pos int, rel_path string")
+    out = PA.unique_paths(df, ["source_url"]).orderBy("line_pos").collect()
+    by_order = sorted(zip(order, names))
+    assert [r["path"] for r in out] == sequential([n for _, n in by_order])
+
+
+def test_one_duplicate_does_not_gather_numbered_names(spark):
+    names = [f"release-{k}.md" for k in range(300)] + ["release-5.md"]
+    df = spark.createDataFrame([("s", k, 0, n) for k, n in enumerate(names)],
+                               "source_url string, line_pos long, match_pos int, rel_path string")
+    ups = PA._with_ancestors(df.select("rel_path").distinct(), "rel_path")
+    assert {r["__up"] for r in ups.filter("rel_path = 'release-5.md'").collect()} == {"release.md", "release-5.md"}
+    got = [r["path"] for r in PA.unique_paths(df, ["source_url"]).orderBy("line_pos").collect()]
+    assert got == sequential(names) and got[-1] == "release-5-2.md"
+
+
+def test_many_equal_names_are_linear():
+    names = ["a.md"] * 30000 + ["a-2.md"]
+    assert list(PA.claimed_names(names))[-2:] == ["a-30000.md", "a-2-2.md"]

@@ -40,7 +40,8 @@ def test_host_policy(spark):
         ("https://cdn.example.com/b", False), ("https://example.com/a", True)]
     assert all(r["allowed"] for r in L.apply_host_policy(u, True).collect())
     stats = L.link_stats(L.resolve_links(L.extract_links(lines)), p).first()
-    assert (stats["selected_docs"], stats["blocked_docs"], stats["blocked_hosts"]) == (1, 1, "cdn.example.com")
+    assert (stats["selected_docs"], stats["blocked_docs"], stats["blocked_hosts"]) == (1, 1, 1)
+    assert [(r["host"], r["blocked_links"]) for r in L.blocked_hosts(p).collect()] == [("cdn.example.com", 1)]
 
 
 def entries(spark, hrefs):

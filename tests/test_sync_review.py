@@ -139,7 +139,7 @@ def test_source_resolution(spark):
     inputs = spark.createDataFrame([(0, "stripe"), (1, " STRIPE DOCS "), (2, "./stripe"), (3, "unknown"),
                                     (4, "https://e.com/x#top"), (5, "local")], "input_id int, input string")
     got = {r["input_id"]: (r["kind"], r["label"], r["url"], r["local_root_dir"])
-           for r in RV.resolve_sources(inputs, reg).collect()}
+           for r in RV.resolve_sources(inputs, reg, "/work/project").collect()}
     assert got[0] == ("registry", "Stripe Docs (stripe)", "https://docs.stripe.com/llms.txt", None)
     assert got[1][0] == "registry"
     assert got[2] == ("path", "/work/project/stripe", "file:///work/project/stripe", "/work/project")
