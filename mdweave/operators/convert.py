@@ -10,7 +10,8 @@
   ``unsupported content received from {url}``; no other candidate is tried.
 
 The html dialect (our own, documented): ATX headings, fenced code blocks,
-``script``/``style``/``noscript``/``head`` dropped, paragraphs and block
+``script``/``style``/``noscript``/``title`` dropped (only up to their end tag:
+without one, what follows is kept), paragraphs and block
 elements separated by blank lines, ``-`` bullets and ``1.`` numbers, inline
 ``[text](href)`` links, ``![alt](src)`` images, ``_em_``, ``**strong**``,
 `` `code` ``, ``>`` quotes, ``---`` rules, table cells joined by `` | ``, HTML
@@ -22,6 +23,7 @@ byte-identical to the reference's third-party converter (only ``<h1>Hello</h1>``
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ from ..functions.content import content_kind, url_path
 from ..functions.text import ensure_trailing_newline, js_trim_end
 
 # --- fixed values -----------------------------------------------------------
-DROP_TAGS = {"script", "style", "noscript", "head", "template"}
+DROP_TAGS = {"script", "style", "noscript", "title", "template"}
 BLOCK_TAGS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside",
               "ul", "ol", "li", "table", "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6",
               "hr", "figure", "figcaption", "dl", "dt", "dd", "form", "address", "body", "html"}
@@ -61,13 +63,18 @@ def _escape(text: str) -> str:
 
 
 class _Converter(HTMLParser):
-    """Streaming html -> Markdown; tolerant of unclosed ``<p>``/``<b>``."""
+    """Streaming html -> Markdown; tolerant of unclosed tags: no text is lost by one."""
 
-    def __init__(self):
+    def __init__(self, body: str):
         super().__init__(convert_charrefs=True)
+        # end tags still to come, so that a dropped element without one drops nothing
+        self.ends = Counter(t.lower() for t in re.findall(r"</([A-Za-z]+)", body) if t.lower() in DROP_TAGS)
+        self.dropping: list[str] = []
+        self.code = 0
+        self.language = ""
+        self.marker = ""                  # of the list item whose first block is still to come
         self.out: list[str] = []          # finished blocks
         self.line: list[str] = []         # inline buffer of the current block
-        self.drop = 0
         self.pre = 0
         self.lists: list[list] = []       # stack of [kind, counter]
         self.quote = 0
@@ -81,23 +88,40 @@ class _Converter(HTMLParser):
         self.line = []
         if self.pre:
             return
-        text = re.sub(r"[ \t\r\n\f]+", " ", text).strip()
+        text = re.sub(r"[ \t\r\n\f]+", " ", text)
+        text = re.sub(r" *\x00 *", "  \n", text).strip()
         if not text:
             return
-        prefix = ""
-        if self.heading:
-            prefix = "#" * self.heading + " "
-        block = prefix + text
+        if text == "[":  # a link around a block
+            self.line = ["["]
+            return
+        block = "#" * self.heading + " " * bool(self.heading) + text
+        block = self._in_list(block)
         if self.quote:
             block = "\n".join("> " + ln for ln in block.split("\n"))
         self.out.append(block)
 
+    def _in_list(self, block):
+        """The block behind its list marker, or below the item that it continues."""
+        if self.marker:
+            block, self.marker = self.marker + block.replace("\n", "\n" + " " * len(self.marker)), ""
+        elif self.lists:
+            block = "  " * len(self.lists) + block.replace("\n", "\n" + "  " * len(self.lists))
+        return block
+
+    def _end_pre(self):
+        code = "".join(self.line).strip("\n")
+        self.line = []
+        self.out.append(self._in_list("```" + self.language + "\n" + code + "\n```"))
+        self.language = ""
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in DROP_TAGS:
-            self.drop += 1
+            if self.ends[tag] > 0:
+                self.dropping.append(tag)
             return
-        if self.drop:
+        if self.dropping:
             return
         if tag in BLOCK_TAGS and not self.pre:
             self._flush()
@@ -110,14 +134,16 @@ class _Converter(HTMLParser):
             kind = self.lists[-1] if self.lists else ["ul", 0]
             kind[1] += 1
             marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
-            self.line.append("  " * depth + marker)
+            self.marker = "  " * depth + marker
         elif tag == "blockquote":
             self.quote += 1
         elif tag == "pre":
+            if not self.pre:
+                self._flush()
+                self.line = []
             self.pre += 1
-            self.line = []
         elif tag == "br":
-            self.line.append("  \n" if not self.pre else "\n")
+            self.line.append("\x00" if not self.pre else "\n")
         elif tag == "hr":
             self.out.append("---")
         elif tag == "img":
@@ -133,26 +159,33 @@ class _Converter(HTMLParser):
             self.open_inline.append(tag)
             self.line.append("**")
         elif tag == "code" and not self.pre:
+            self.code += 1
             self.line.append("`")
+        elif tag == "code":
+            named = re.search(r"(?:^|\s)lang(?:uage)?-([^\s`]+)", a.get("class") or "")
+            self.language = named[1] if named else self.language
         elif tag in ("td", "th"):
             if self.line and "".join(self.line).strip():
                 self.line.append(" | ")
 
     def handle_endtag(self, tag):
         if tag in DROP_TAGS:
-            self.drop = max(self.drop - 1, 0)
+            self.ends[tag] -= 1
+            if tag in self.dropping:
+                del self.dropping[self.dropping.index(tag):]
             return
-        if self.drop:
+        if self.dropping:
             return
         if tag == "pre" and self.pre:
-            code = "".join(self.line).strip("\n")
-            self.line = []
             self.pre -= 1
-            self.out.append("```\n" + code + "\n```")
+            if not self.pre:
+                self._end_pre()
             return
         if tag == "a" and self.links:
             href = self.links.pop()
-            if href:
+            if href and not self.line and self.out and not self.pre:  # the link's text was a block
+                self.out[-1] += f"]({href})"
+            elif href:
                 self.line.append(f"]({href})")
             return
         if tag in ("em", "i"):
@@ -162,6 +195,7 @@ class _Converter(HTMLParser):
                 self.open_inline.remove(tag)
                 self.line.append("**")
         elif tag == "code" and not self.pre:
+            self.code = max(self.code - 1, 0)
             self.line.append("`")
         if tag in BLOCK_TAGS and not self.pre:
             for t in reversed(self.open_inline):
@@ -170,17 +204,22 @@ class _Converter(HTMLParser):
             self._flush()
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 self.heading = 0
+            elif tag == "li":
+                self.marker = ""
             elif tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
             elif tag == "blockquote":
                 self.quote = max(self.quote - 1, 0)
 
     def handle_data(self, data):
-        if self.drop:
+        if self.dropping:
             return
-        self.line.append(data if self.pre else _escape(data))
+        self.line.append(data if self.pre or self.code else _escape(data.replace("\x00", "")))
 
     def result(self) -> str:
+        if self.pre:
+            self.pre = 0
+            self._end_pre()
         for _ in self.open_inline:
             self.line.append("**")
         self._flush()
@@ -193,7 +232,7 @@ def html_to_markdown_text(body: str | None) -> str | None:
         return None
     if not body.strip():
         return ""
-    conv = _Converter()
+    conv = _Converter(body)
     conv.feed(body)
     conv.close()
     return conv.result()

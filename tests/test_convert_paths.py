@@ -165,3 +165,14 @@ def test_one_duplicate_does_not_gather_numbered_names(spark):
 def test_many_equal_names_are_linear():
     names = ["a.md"] * 30000 + ["a-2.md"]
     assert list(PA.claimed_names(names))[-2:] == ["a-30000.md", "a-2-2.md"]
+
+
+def test_html_keeps_all_text():
+    md = CV.html_to_markdown_text
+    assert md("<head><meta x><p>one<noscript>two") == "onetwo"
+    assert md("<title>t</title><p>a<br>b</p>") == "a  \nb"
+    assert md("<pre><code class='language-py'>x = 1\n  y") == "```py\nx = 1\n  y\n```"
+    assert md("<p><code>a_b</code> c_d</p>") == "`a_b` c\\_d"
+    assert md("<ul><li>a<ul><li><p>b</p></li></ul></li><li>c</li></ul>") == "- a\n\n  - b\n\n- c"
+    assert md("<a href='/x'><h2>T</h2></a>") == "## [T](/x)"
+    assert md("<p>k</p><script>var x</script><p>l</p>") == "k\n\nl"
