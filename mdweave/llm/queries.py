@@ -59,4 +59,45 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_embedding_dedup, op4_best_fit_packing,
                                    op5_exact_dedup, op6_quality, op7_simhash_dedup, op8_secret_crf,
                                    op9_token_counts, op10_warc_zip)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: The others need a tokenizer, xxHash, a trained model or files, which SQL doesn't have;
+#: tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m ON m.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id""",
+    "op5_exact_dedup": r"""
+WITH n AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h, length(coalesce(text, '')) AS size
+  FROM documents),
+g AS (
+  SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY size DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY h) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g""",
+    "op10_warc_zip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string([
+        ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+        [strpos('0123456789abcdef', h[k])] FOR k IN range(1, 41)], '') AS bits, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, strlen(t) AS payload_bytes,
+       array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + 16 * bits[5 * k + 1]::INT + 8 * bits[5 * k + 2]::INT + 4 * bits[5 * k + 3]::INT + 2 * bits[5 * k + 4]::INT
+         + bits[5 * k + 5]::INT] FOR k IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b""",
+}
