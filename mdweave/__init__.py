@@ -11,7 +11,7 @@ sources/    scans and sinks: registry text, link indexes, crawl snapshot,
 operators/  the dataflow steps as DataFrame -> DataFrame functions.
 plans/      the derived input views over the driver tables and the registered
             queries (plus their DuckDB oracle SQL).
-streaming/  nothing: the reference has no streaming behaviour (see its docstring).
+llm/        operators for training-data pipelines (optional; nothing else imports it).
 """
 
 __version__ = "0.1.0"
