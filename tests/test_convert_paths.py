@@ -1,7 +1,9 @@
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mdweave.operators import convert as CV
 from mdweave.operators import paths as PA
@@ -80,7 +82,6 @@ def test_local_paths(spark):
 
 
 def test_default_prefix(spark):
-    from pyspark.sql import functions as F
     rows = [("supabase", "https", "docs.example.com", "/llms.txt"), (None, "https", "docs.example.com", "/x"),
             (None, "file", "", "/tmp/x/llms.txt"), ("!!!", "https", "a.com", "/"), (None, "https", "...", "/"),
             (None, "file", "", "/tmp/!!!/---")]
@@ -90,11 +91,18 @@ def test_default_prefix(spark):
     assert got == ["supabase", "docs-example-com", "llms", "docs", "docs", "docs"]
 
 
-def numbered(spark, names):
-    df = spark.createDataFrame([("s", i, 0, n) for i, n in enumerate(names)],
+def numbered_all(spark, lists):
+    """The paths of several lists of names, one source each, by one call."""
+    df = spark.createDataFrame([(str(s), i, 0, n) for s, names in enumerate(lists) for i, n in enumerate(names)],
                                "source_url string, line_pos long, match_pos int, rel_path string")
-    out = PA.unique_paths(df, ["source_url"]).orderBy("line_pos").collect()
-    return [r["path"] for r in out]
+    out = [[None] * len(names) for names in lists]
+    for r in PA.unique_paths(df, ["source_url"]).collect():
+        out[int(r["source_url"])][r["line_pos"]] = r["path"]
+    return out
+
+
+def numbered(spark, names):
+    return numbered_all(spark, [names])[0]
 
 
 def test_unique_paths_literals(spark):
@@ -114,13 +122,13 @@ def sequential(names):
     return used
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.sampled_from(["a.md", "a-2.md", "a-2-2.md", "b.md", "x/a.md", "a-3.md"]), min_size=1,
-                max_size=12))
-def test_unique_paths_matches_sequential_model(spark, names):
-    got = numbered(spark, names)
-    assert got == sequential(names)
-    assert len(set(got)) == len(got)
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a.md", "a-2.md", "a-2-2.md", "b.md", "x/a.md", "a-3.md"]), min_size=1,
+                         max_size=12), min_size=1, max_size=40))
+def test_unique_paths_matches_sequential_model(spark, lists):
+    got = numbered_all(spark, lists)
+    assert got == [sequential(names) for names in lists]
+    assert all(len(set(paths)) == len(paths) for paths in got)
 
 
 def test_assign_prefixes(spark):
@@ -143,7 +151,6 @@ def test_assign_prefixes(spark):
 def test_unique_paths_hot_group_path(spark):
     names = ["a.md"] * 40 + ["b.md"] * 2 + ["c/x.md"] * 9
     order = list(range(len(names)))
-    import random
     random.Random(7).shuffle(order)
     df = spark.createDataFrame([("s", order[i], 0, n) for i, n in enumerate(names)],
                                "source_url string, line_pos long, match_pos int, rel_path string")
@@ -152,19 +159,39 @@ def test_unique_paths_hot_group_path(spark):
     assert [r["path"] for r in out] == sequential([n for _, n in by_order])
 
 
-def test_one_duplicate_does_not_gather_numbered_names(spark):
+def test_one_duplicate_among_numbered_names(spark):
     names = [f"release-{k}.md" for k in range(300)] + ["release-5.md"]
-    df = spark.createDataFrame([("s", k, 0, n) for k, n in enumerate(names)],
-                               "source_url string, line_pos long, match_pos int, rel_path string")
-    ups = PA._with_ancestors(df.select("rel_path").distinct(), "rel_path")
-    assert {r["__up"] for r in ups.filter("rel_path = 'release-5.md'").collect()} == {"release.md", "release-5.md"}
-    got = [r["path"] for r in PA.unique_paths(df, ["source_url"]).orderBy("line_pos").collect()]
+    got = numbered(spark, names)
     assert got == sequential(names) and got[-1] == "release-5-2.md"
+    names = ["release.md"] + [f"release-{k}.md" for k in range(2, 300)] + ["release.md", "release.md"]
+    assert numbered(spark, names)[-2:] == ["release-300.md", "release-301.md"]
+
+
+def test_many_equal_names(spark):
+    df = spark.range(30001).selectExpr("'s' AS source_url", "id AS line_pos", "0 AS match_pos",
+                                       "if(id < 30000, 'a.md', 'a-2.md') AS rel_path")
+    out = PA.unique_paths(df, ["source_url"])
+    assert out.agg(F.countDistinct("path")).first()[0] == 30001
+    assert [r["path"] for r in out.filter("line_pos > 29998").orderBy("line_pos").collect()] == ["a-30000.md", "a-2-2.md"]
 
 
-def test_many_equal_names_are_linear():
-    names = ["a.md"] * 30000 + ["a-2.md"]
-    assert list(PA.claimed_names(names))[-2:] == ["a-30000.md", "a-2-2.md"]
+def test_chains_of_numbered_names_match_sequential_model(spark):
+    forms = [f"a{x}{y}.md" for x in ["", *(f"-{k}" for k in range(1, 9))] for y in ["", "-2", "-3", "-2-2"]]
+    weights = [40 if len(f) == 4 else 3 if len(f) == 6 else 1 for f in forms]
+    lists = [random.Random(seed).choices(forms, weights, k=20 + 5 * seed) for seed in range(40)]
+    got = numbered_all(spark, lists)
+    assert got == [sequential(names) for names in lists]
+
+
+def test_prefixes_past_taken_and_earlier_ones(spark):
+    sources = spark.createDataFrame(
+        [("c", f"https://x{k}.com/", k, s, "https", f"x{k}.com", "/") for k, s in enumerate(["a", "a", "a-2", "a", "a.md", "a.md"])],
+        "collection string, source_url string, seq long, slug string, scheme string, host string, path string")
+    installs = spark.createDataFrame([("c", 0, "https://old.com/", "a-3")],
+                                     "collection string, pos int, source_url string, path_prefix string")
+    top = spark.createDataFrame([("c", "a"), ("c", "z")], "collection string, name string")
+    got = [r["path_prefix"] for r in PA.assign_prefixes(sources, installs, top).orderBy("seq").collect()]
+    assert got == ["a-2", "a-4", "a-2-2", "a-5", "a.md", "a.md-2"]
 
 
 def test_html_keeps_all_text():
