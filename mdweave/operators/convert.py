@@ -2,10 +2,10 @@
 
 * ``markdown`` rows stay in Catalyst: trailing whitespace removed, one final
   newline added (E9).
-* ``html`` rows -- and only those, selected by a ``filter`` before any Python
-  runs -- go through ``mapInPandas`` with a small ``html.parser`` converter
-  (iterator of Arrow batches, bounded memory; keep
-  ``spark.sql.execution.arrow.maxRecordsPerBatch`` low because bodies are large).
+* the bodies of ``html`` rows -- and only those, other rows hand a null to
+  Python -- go through a pandas UDF with a small ``html.parser`` converter
+  (Arrow batches; keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` low
+  because bodies are large).  So the bodies are read and joined once.
 * ``empty`` and ``unsupported`` rows become failures with reason
   ``unsupported content received from {url}``; no other candidate is tried.
 
@@ -26,9 +26,9 @@ import re
 from collections import Counter
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.content import content_kind, url_path
 from ..functions.text import ensure_trailing_newline, js_trim_end
@@ -238,11 +238,13 @@ def html_to_markdown_text(body: str | None) -> str | None:
     return conv.result()
 
 
-def _convert_batches(batches):
-    for pdf in batches:
-        pdf = pdf.copy()
-        pdf["content"] = [html_to_markdown_text(b) for b in pdf["body"]]
-        yield pdf.drop(columns=["body"])
+def _converted(kind: str, body: str) -> F.Column:
+    """The Markdown of the html rows (null in all others): the other bodies never go to Python."""
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(html_to_markdown_text, na_action="ignore")
+
+    return run(F.when(F.col(kind) == "html", F.col(body)))
 
 
 def classify(df: DataFrame, url: str = "url", body: str = "body", content_type: str = "content_type") -> DataFrame:
@@ -258,19 +260,19 @@ def convert_markdown_rows(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def convert_html_rows(df: DataFrame) -> DataFrame:
-    """P6 html branch: ``mapInPandas`` over the html rows only."""
-    schema = StructType(list(df.drop("body").schema.fields) + [StructField("content", StringType())])
-    out = df.mapInPandas(_convert_batches, schema)
+    """P6 html branch of classified rows: html -> content, others -> null."""
+    out = df.withColumn("content", _converted("kind", "body")).drop("body")
     return out.withColumn("content", F.when(F.col("content") != "", ensure_trailing_newline("content")))
 
 
 def to_markdown(df: DataFrame, url: str = "url") -> DataFrame:
     """P5 + P6 over (url, content_type, body, ...): adds kind, content, ok,
-    reason, content_sha.  Html rows are routed to Python, the rest stays native."""
-    classified = classify(df, url)
-    native = convert_markdown_rows(classified.filter(F.col("kind") != "html"), url)
-    html = convert_html_rows(classified.filter(F.col("kind") == "html"))
-    out = native.unionByName(html)
+    reason, content_sha.  One pass over the bodies: both branches are columns of
+    the same rows, and only html bodies are handed to Python."""
+    classified = classify(df, url).withColumn("__html", _converted("kind", "body"))
+    native = convert_markdown_rows(classified, url)
+    html = F.when(F.col("__html") != "", ensure_trailing_newline("__html"))
+    out = native.withColumn("content", F.coalesce(html, F.col("content"))).drop("__html")
     ok = F.col("content").isNotNull()
     return (out.withColumn("ok", ok)
             .withColumn("reason", F.when(~ok, F.concat(F.lit("unsupported content received from "), F.col(url))))

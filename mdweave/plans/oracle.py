@@ -946,8 +946,116 @@ SELECT collection, 'https://' || host || '/llms.txt' AS source_url, seq,
 FROM ranked"""
 
 
+def q_unique_paths_greedy() -> str:
+    """W1 row by row: step i gives row i of each source the first free name."""
+    return "WITH RECURSIVE" + _with(crawl_entries_ctes()).removeprefix("WITH") + """,
+lang AS (
+  SELECT *, regexp_extract(path, '^/([^/]+)/', 1) AS lang, CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS num
+  FROM crawl_entries
+),
+claims AS (
+  SELECT source_url, href, line_pos, match_pos,
+         CASE WHEN num % 3 = 0 THEN lang || '.md' ELSE lang || '-' || CAST(num % 4 AS VARCHAR) || '.md' END AS rel_path,
+         row_number() OVER (PARTITION BY source_url ORDER BY line_pos, match_pos) AS i
+  FROM lang
+),
+claimed AS (
+  SELECT source_url, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used FROM claims GROUP BY 1
+  UNION ALL
+  SELECT source_url, i, list_prepend(list_filter(names, lambda x: NOT list_contains(used, x))[1], used)
+  FROM (SELECT c.source_url, c.i, s.used,
+               list_prepend(c.rel_path, list_transform(range(2, c.i + 2),
+                 lambda k: regexp_replace(c.rel_path, '\\.md$', '-' || CAST(k AS VARCHAR) || '.md'))) AS names
+        FROM claimed s JOIN claims c ON c.source_url = s.source_url AND c.i = s.i + 1)
+)
+SELECT c.source_url, c.href, c.line_pos, c.match_pos, c.rel_path, s.used[1] AS path
+FROM claims c JOIN claimed s USING (source_url, i)"""
+
+
+def shown_text(body: str) -> str:
+    """Letters and digits that an html body shows, without its markup."""
+    dropped = "title|script|style|noscript|template"
+    shown = (f"regexp_replace({body}, '(?is)<({dropped})(\\s[^>]*)?>.*?</({dropped})\\s*>|<!--.*?-->"
+             "|<!doctype[^>]*>|</?[a-z][^>]*>', '', 'g')")
+    for name, char in [("middot", "·"), ("copy", "©"), ("nbsp", " "), ("quot", '"'), ("gt", ">"), ("lt", "<"), ("amp", "&")]:
+        shown = f"replace({shown}, '&{name};', '{char}')"
+    return f"regexp_replace({shown}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def q_html_text() -> str:
+    return _with(RESOURCES, FETCHED) + f""",
+shown AS (SELECT url, {shown_text('body')} AS t FROM classified WHERE kind = 'html')
+SELECT url, sha256(t) AS text_sha, length(t) AS text_chars FROM shown"""
+
+
+def q_corpus_snapshot() -> str:
+    return _with(site_selected_ctes(), CANDIDATES, RESOURCES, FIRST_SUCCESS) + f""",
+named AS (
+  SELECT fs.source_url, fs.line_pos, fs.match_pos, {shown_text('r.body')} AS t,
+         {remote_path('s.path', title_clean('s.title'))} AS nested
+  FROM fs JOIN sel s ON s.source_url = fs.source_url AND s.href = fs.href
+  JOIN resources r ON r.url = fs.fetched_url WHERE fs.ok AND r.ok
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source_url, nested ORDER BY line_pos, match_pos) AS k FROM named WHERE t <> ''
+)
+SELECT 'site:' || regexp_extract(source_url, '://([^/]+)/', 1) AS collection,
+       CASE WHEN k = 1 THEN nested ELSE regexp_replace(nested, '\\.md$', '-' || CAST(k AS VARCHAR) || '.md') END AS path,
+       sha256(t) AS text_sha
+FROM numbered"""
+
+
+def q_source_failures() -> str:
+    return _with(site_selected_ctes()) + """
+SELECT 'site:' || regexp_extract(v.source_url, '://([^/]+)/', 1) AS collection, v.source_url,
+       CASE WHEN NOT v.listed THEN 'no index' WHEN l.source_url IS NULL THEN 'no links in the index'
+            ELSE 'no link is allowed' END AS reason
+FROM (SELECT source_url, bool_or(listed) AS listed
+      FROM (SELECT source_url, true AS listed FROM v2_lines
+            UNION ALL SELECT 'https://' || source || '.example.org/llms.txt', false FROM documents) GROUP BY 1) v
+LEFT JOIN (SELECT DISTINCT source_url FROM s_links WHERE status = 'ok') l ON l.source_url = v.source_url
+WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.source_url = v.source_url)"""
+
+
+def q_ingest_summary() -> str:
+    """A first install of every site: all documents that are fetched and have text are added."""
+    visible = "regexp_replace(regexp_replace(body, '(?s)<(title|script|style|noscript|template)[^>]*>.*?</(title|script|style|noscript|template)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+    return _with(site_selected_ctes(), CANDIDATES, RESOURCES, FIRST_SUCCESS) + f""",
+texts AS (SELECT url, {jtrim(visible)} <> '' AS has_text FROM resources WHERE ok),
+runs AS (
+  SELECT fs.source_url, count_if(fs.ok AND t.has_text) AS successes, count_if(NOT (fs.ok AND t.has_text)) AS failures
+  FROM fs LEFT JOIN texts t ON t.url = fs.fetched_url GROUP BY 1
+),
+found AS (SELECT source_url, count(*) AS links_found FROM s_links WHERE status = 'ok' GROUP BY 1),
+uniq AS (
+  SELECT u.source_url, count(*) AS unique_urls, count(s.href) AS selected_docs, count(*) - count(s.href) AS blocked_docs,
+         count(DISTINCT u.f.host) FILTER (WHERE s.href IS NULL) AS blocked_hosts
+  FROM s_unique u LEFT JOIN sel s ON s.source_url = u.source_url AND s.href = u.href GROUP BY 1
+),
+sums AS (
+  SELECT v.source_url, coalesce(r.successes, 0) AS successes, coalesce(r.failures, 0) AS failures,
+         coalesce(f.links_found, 0) AS links_found, coalesce(u.unique_urls, 0) AS unique_urls,
+         coalesce(u.selected_docs, 0) AS selected_docs, coalesce(u.blocked_docs, 0) AS blocked_docs,
+         coalesce(u.blocked_hosts, 0) AS blocked_hosts
+  FROM (SELECT DISTINCT source_url FROM v2_lines) v LEFT JOIN runs r USING (source_url)
+  LEFT JOIN found f USING (source_url) LEFT JOIN uniq u USING (source_url)
+)
+SELECT 'site:' || regexp_extract(source_url, '://([^/]+)/', 1) AS collection, source_url, successes, failures,
+       successes AS added, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS unchanged,
+       successes AS total_changes, false AS same_source, false AS up_to_date,
+       CASE WHEN successes = 0 THEN 'failed' ELSE 'ok' END AS run_status,
+       links_found, unique_urls, selected_docs, blocked_docs, blocked_hosts,
+       CASE WHEN links_found = 0 THEN 'no links in the index' WHEN selected_docs = 0 THEN 'no link is allowed' END AS source_failure
+FROM sums"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "unique_paths_greedy": q_unique_paths_greedy(),
+        "html_text": q_html_text(),
+        "ingest_summary": q_ingest_summary(),
+        "corpus_snapshot": q_corpus_snapshot(),
+        "source_failures": q_source_failures(),
         "extract_links": q_extract_links(),
         "resolve_links": q_resolve_links(),
         "link_rejects": q_link_rejects(),

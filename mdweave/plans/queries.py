@@ -126,6 +126,21 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("content").cast("long").alias("content_chars"))
 
 
+def _shown(content: str) -> F.Column:
+    """Letters and digits of Markdown, without link targets, list numbers and fence languages."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    for mark in (r"\]\([^)]*\)", r"(?m)^ *[0-9]+\. ", r"(?m)^ *```.*$", r"[^\p{L}\p{N}]"):
+        text = F.regexp_replace(text, mark, "")
+    return text
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the conversion keeps of the text of every html row."""
+    c = CV.classify(V.fetched_resources(spark, sf_dir)).filter(F.col("kind") == "html")
+    out = CV.convert_html_rows(c).select("url", _shown("content").alias("t"))
+    return out.select("url", F.sha2("t", 256).alias("text_sha"), F.length("t").cast("long").alias("text_chars"))
+
+
 # --- paths ---------------------------------------------------------------------------
 
 def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,16 +295,38 @@ def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- flagship ------------------------------------------------------------------------
 
+def _site_sources(lines: DataFrame) -> DataFrame:
+    return (lines.select("source_url").distinct()
+            .select(F.concat(F.lit("site:"), F.regexp_extract("source_url", r"://([^/]+)/", 1)).alias("collection"),
+                    "source_url", F.lit("nested").alias("layout"), F.lit("").alias("path_prefix"),
+                    F.lit(False).alias("allow_external")))
+
+
+def _ingest(spark, sf_dir) -> dict:
+    """Whole DAG over the site indexes (V2) and the crawl snapshot (V3)."""
+    lines = V.host_index_lines(spark, sf_dir)
+    return IN.ingest(lines, _site_sources(lines), V.crawl_resources(spark, sf_dir))
+
+
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole DAG over the site indexes (V2) and the crawl snapshot (V3): one
-    row per source (rows-only oracle; its parts are checked one by one)."""
+    """One row per source of the whole import."""
+    return IN.ingest_summary(_ingest(spark, sf_dir))
+
+
+def corpus_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the import stores: path, and a hash of the text in the stored content."""
+    out = _ingest(spark, sf_dir)["snapshot"].select("collection", "path", _shown("content").alias("t"))
+    return out.select("collection", "path", F.sha2("t", 256).alias("text_sha"))
+
+
+def source_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that give nothing to fetch, among the sites and the document sources (which have no index)."""
     lines = V.host_index_lines(spark, sf_dir)
-    sources = (lines.select("source_url").distinct()
-               .select(F.concat(F.lit("site:"), F.regexp_extract("source_url", r"://([^/]+)/", 1)).alias("collection"),
-                       "source_url", F.lit("nested").alias("layout"), F.lit("").alias("path_prefix"),
-                       F.lit(False).alias("allow_external")))
-    out = IN.ingest(lines, sources, V.crawl_resources(spark, sf_dir))
-    return IN.ingest_summary(out)
+    listed = V.doc_resources(spark, sf_dir).select(F.concat(F.regexp_extract("url", "^https://[^/]+", 0), F.lit("/llms.txt")).alias("source_url"))
+    sources = _site_sources(lines.select("source_url").unionByName(listed))
+    resolved = materialize(L.resolve_links(L.extract_links(lines)))
+    policy = L.apply_host_policy(L.dedupe_links(L.valid_links(resolved)).join(sources, "source_url"), "allow_external")
+    return IN.source_failures(sources, lines, resolved, policy)
 
 
 QUERIES = {
@@ -306,6 +343,7 @@ QUERIES = {
     "classify_content": classify_content,
     "markdown_docs": markdown_docs,
     "html_to_markdown": html_to_markdown,
+    "html_text": html_text,
     "nested_paths": nested_paths,
     "local_paths": local_paths,
     "flat_paths": flat_paths,
@@ -327,5 +365,7 @@ QUERIES = {
     "verdict_counts": verdict_counts,
     "review_report": review_report,
     "ingest_summary": ingest_summary,
+    "corpus_snapshot": corpus_snapshot,
+    "source_failures": source_failures,
 }
 FLAGSHIP = ingest_summary
