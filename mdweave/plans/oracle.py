@@ -978,7 +978,8 @@ def shown_text(body: str) -> str:
     shown = (f"regexp_replace({body}, '(?is)<({dropped})(\\s[^>]*)?>.*?</({dropped})\\s*>|<!--.*?-->"
              "|<!doctype[^>]*>|</?[a-z][^>]*>', '', 'g')")
     for name, char in [("middot", "·"), ("copy", "©"), ("nbsp", " "), ("quot", '"'), ("gt", ">"), ("lt", "<"), ("amp", "&")]:
-        shown = f"replace({shown}, '&{name};', '{char}')"
+        # HTML reads these names without their semicolon too
+        shown = f"regexp_replace({shown}, '&{name};?', '{char}', 'g')"
     return f"regexp_replace({shown}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
