@@ -174,6 +174,13 @@ def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary:
     return kept.unionByName(written)
 
 
+def normalised(installs: DataFrame) -> DataFrame:
+    """U4 on install rows: layout 'flat' or 'nested', prefix default ''."""
+    layout = F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested"))
+    return installs.select(*SRC, "pos", "source_label", layout.alias("layout"),
+                           F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
+
+
 def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls: DataFrame,
                     fetched: DataFrame, selected: DataFrame, summary: DataFrame,
                     run_sources: DataFrame):
@@ -195,12 +202,8 @@ def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls
     active = summary.filter(~F.col("up_to_date")).select(*SRC, "failures")
     runs = run_sources.join(active, SRC, "inner")
     cur = same_source(installs)
-    norm = cur.select(*SRC, "pos", "source_label",
-                      F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested")).alias("layout"),
-                      F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
-    nameless = installs.filter(F.col("source_url").isNull()).select(
-        *SRC, "pos", "source_label", F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested")).alias("layout"),
-        F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
+    norm = normalised(cur)
+    nameless = normalised(installs.filter(F.col("source_url").isNull()))
     kept = norm.join(runs.select(*SRC), SRC, "left_anti")
     replaced = runs.join(cur.select(*SRC, "pos"), SRC, "inner")
     last = installs.groupBy("collection").agg(F.max("pos").alias("__last"))

@@ -14,10 +14,12 @@ Python only assembles strings; every value is computed by DuckDB.
 from __future__ import annotations
 
 from ..functions.text import WS
+from .views import MANIFEST_FORMS
 
 # --- fixed values (same as plans/views.py) ----------------------------------
 CRAWL_INDEX_URL = "https://crawl.example.org/llms.txt"
 EXTRA_LINE_BASE = 1_000_000_000
+LOCAL_EXTENSIONS = (".html", ".HTM", ".md", ".MDX", ".markdown", ".txt", "")
 # ---------------------------------------------------------------------------
 
 
@@ -711,6 +713,64 @@ SELECT i.collection, i.pos, i.source_url, i.source_label, i.layout, i.path_prefi
 FROM new_installs i LEFT JOIN m USING (collection, source_url) LEFT JOIN u USING (collection, source_url)"""
 
 
+def q_manifest_selection() -> str:
+    return _with(sync_ctes()) + """,
+runs AS (SELECT collection, source_url FROM summary2 WHERE NOT up_to_date)
+SELECT s.collection, s.source_url, s.url, CAST(s.doc_id AS BIGINT) AS line_pos, 0 AS match_pos
+FROM selected s JOIN runs USING (collection, source_url)
+UNION ALL
+SELECT p.collection, p.source_url, p.url, CAST(p.doc_id AS BIGINT), 0 FROM prev_docs p ANTI JOIN runs USING (collection, source_url)
+WHERE p.src_n % 2 = 1"""
+
+
+def manifest_ctes() -> str:
+    def filled(form: str) -> str:
+        return " || ".join(p if p in ("id", "lang", "site") else f"'{p}'" for p in form.split("~") if p)
+
+    cases = " ".join(f"WHEN {v} THEN {filled(form)}" for v, form in enumerate(MANIFEST_FORMS))
+    keys = ", ".join(f"'{k}'" for k in ("source", "managedFiles", "selectedUrls", "layout", "pathPrefix"))
+
+    def text(path: str) -> str:
+        return f"CASE WHEN json_type(i, '{path}') = 'VARCHAR' THEN i ->> '{path}' END"
+
+    return f"""
+m0 AS (
+  SELECT 'm-' || id AS collection, CASE v {cases} END AS text
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 6 AS v, lang, 'https://' || source || '.example.org' AS site FROM documents)
+),
+m1 AS (SELECT collection, CAST(text AS JSON) AS j FROM m0 WHERE json_valid(text)),
+m2 AS (
+  SELECT collection, CASE WHEN json_type(j, '$.installs') = 'ARRAY'
+           THEN list_filter(CAST(j -> '$.installs' AS JSON[]), lambda x: json_type(x) IN ('OBJECT', 'ARRAY'))
+         WHEN len(list_intersect(json_keys(j), [{keys}])) > 0 THEN [j] ELSE [] END AS installs
+  FROM m1
+),
+m3 AS (SELECT collection, unnest(range(len(installs))) AS pos, unnest(installs) AS i FROM m2),
+m AS (SELECT collection, CAST(pos AS INTEGER) AS pos, i, {text('$.source.url')} AS source_url, {text('$.source.label')} AS source_label,
+             {text('$.layout')} AS layout, {text('$.pathPrefix')} AS path_prefix FROM m3)"""
+
+
+def q_manifest_scan() -> str:
+    return _with(manifest_ctes()) + """
+SELECT collection, pos, source_url, source_label, CASE WHEN layout = 'flat' THEN 'flat' ELSE 'nested' END AS layout,
+       coalesce(path_prefix, '') AS path_prefix FROM m"""
+
+
+def q_manifest_lists() -> str:
+    def entries(key: str) -> str:
+        return (f"SELECT collection, source_url, unnest(list_filter(CAST(i -> '$.{key}' AS JSON[]), "
+                f"lambda x: json_type(x) = 'VARCHAR')) AS x, generate_subscripts(list_filter(CAST(i -> '$.{key}' AS JSON[]), "
+                f"lambda x: json_type(x) = 'VARCHAR'), 1) - 1 AS n FROM m WHERE json_type(i, '$.{key}') = 'ARRAY'")
+
+    return _with(manifest_ctes()) + f""",
+entries AS (
+  SELECT collection, source_url, 'managed' AS list, x ->> '$' AS value, 0 AS n FROM ({entries('managedFiles')})
+  UNION ALL
+  SELECT collection, source_url, 'selected', x ->> '$', n FROM ({entries('selectedUrls')})
+)
+SELECT collection, source_url, list, value, CAST(min(n) AS BIGINT) AS ord FROM entries GROUP BY ALL"""
+
+
 # --- registry -------------------------------------------------------------------------
 
 REG_HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
@@ -824,6 +884,44 @@ def q_registry_scan() -> str:
 SELECT line_no, slug, label, url, valid FROM reg_v"""
 
 
+def q_registry_order() -> str:
+    return _with(REGISTRY) + """
+SELECT line_no, label, row_number() OVER (ORDER BY icu_sort_key(label, 'en'), line_no) AS position
+FROM reg_v WHERE valid"""
+
+
+def q_private_hosts() -> str:
+    host = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
+    return f"""WITH p AS (
+  SELECT page_id, {host} AS h, CAST(page_id % 256 AS VARCHAR) AS a, CAST(page_id // 256 % 256 AS VARCHAR) AS b,
+         CAST(page_id % 64 AS VARCHAR) AS c FROM pages
+),
+f AS (
+  SELECT page_id, [h, h || '.INTERNAL', h || '.local', h || '.locale', 'LocalHost', a || '.' || b || '.' || c || '.' || a,
+         '172.' || c || '.0.' || a, '192.' || a || '.7.' || b, '169.' || a || '.1.1', '10.' || (page_id % 512) || '.0.1',
+         'fd00::' || hex(page_id), 'FE80::' || hex(page_id), '2001:db8::' || hex(page_id), '10.0.' || a] AS forms FROM p
+),
+e AS (SELECT page_id, unnest(range(14)) AS form, unnest(forms) AS host FROM f),
+q AS (SELECT *, lower(host) AS l, [TRY_CAST(x AS INTEGER) FOR x IN string_split(host, '.')] AS o FROM e)
+SELECT page_id, CAST(form AS INTEGER) AS form, host,
+       l = 'localhost' OR ends_with(l, '.local') OR ends_with(l, '.internal')
+       OR starts_with(l, 'fd') AND contains(l, ':') OR starts_with(l, 'fe80:')
+       OR coalesce(len(o) = 4 AND list_max(o) < 256 AND len(list_filter(o, lambda x: x IS NULL)) = 0
+                   AND (o[1] IN (0, 10, 127) OR o[1] = 169 AND o[2] = 254 OR o[1] = 172 AND o[2] BETWEEN 16 AND 31
+                        OR o[1] = 192 AND o[2] = 168), false) AS private
+FROM q"""
+
+
+def q_local_content_types() -> str:
+    ext = ", ".join(f"'{x}'" for x in LOCAL_EXTENSIONS)
+    return f"""WITH p AS (
+  SELECT page_id, '/srv/mirror/' || regexp_extract(url, '//([^?#]*)', 1) || [{ext}][page_id % 7 + 1] AS path FROM pages
+)
+SELECT page_id, path, CASE WHEN path ILIKE '%.html' OR path ILIKE '%.htm' THEN 'text/html'
+       WHEN path ILIKE '%.md' OR path ILIKE '%.markdown' OR path ILIKE '%.mdx' THEN 'text/markdown' ELSE 'text/plain' END AS content_type
+FROM p"""
+
+
 def q_registry_duplicates() -> str:
     return _with(REGISTRY) + """
 SELECT line_no, slug, url, duplicate_slug, duplicate_url FROM dup"""
@@ -946,6 +1044,14 @@ SELECT collection, 'https://' || host || '/llms.txt' AS source_url, seq,
 FROM ranked"""
 
 
+def q_prefixed_paths() -> str:
+    return _with(crawl_entries_ctes()) + f""",
+prefixes AS ({q_path_prefixes()})
+SELECT 'https://' || c.host || '/llms.txt' AS source_url, c.href,
+       CASE WHEN coalesce(p.path_prefix, '') <> '' THEN p.path_prefix || '/' || c.nested ELSE c.nested END AS path
+FROM crawl_named c LEFT JOIN prefixes p ON p.source_url = 'https://' || c.host || '/llms.txt'"""
+
+
 def q_unique_paths_greedy() -> str:
     """W1 row by row: step i gives row i of each source the first free name."""
     return "WITH RECURSIVE" + _with(crawl_entries_ctes()).removeprefix("WITH") + """,
@@ -1052,6 +1158,13 @@ FROM sums"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "manifest_selection": q_manifest_selection(),
+        "manifest_scan": q_manifest_scan(),
+        "manifest_lists": q_manifest_lists(),
+        "registry_order": q_registry_order(),
+        "private_hosts": q_private_hosts(),
+        "local_content_types": q_local_content_types(),
+        "prefixed_paths": q_prefixed_paths(),
         "unique_paths_greedy": q_unique_paths_greedy(),
         "html_text": q_html_text(),
         "ingest_summary": q_ingest_summary(),

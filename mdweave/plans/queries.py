@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import guess_local_content_type, is_private_hostname
 from ..operators import convert as CV
 from ..operators import fetch as FE
 from ..operators import paths as PA
@@ -16,6 +17,7 @@ from ..operators import review as RV
 from ..operators import sync as SY
 from ..operators import links as L
 from ..session import materialize
+from ..sources import manifest as MF
 from . import ingest as IN
 from . import views as V
 
@@ -183,6 +185,17 @@ def path_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "collection", "source_url", "seq", "path_prefix")
 
 
+def prefixed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the path of every crawled page below the prefix of its host."""
+    d = V.site_sources(spark, sf_dir)
+    prefixes = PA.assign_prefixes(d["sources"], d["installs"], d["top_level"]).select("source_url", "path_prefix")
+    docs = PA.add_remote_paths(V.crawl_entries(spark, sf_dir)).select(
+        F.concat(F.lit("https://"), F.regexp_replace("host", ":[0-9]+$", ""), F.lit("/llms.txt")).alias("source_url"),
+        "href", "rel_path")
+    return docs.join(prefixes, "source_url", "left").select(
+        "source_url", "href", PA.with_prefix("rel_path", "path_prefix").alias("path"))
+
+
 # --- sync --------------------------------------------------------------------------
 
 def _sync(spark, sf_dir):
@@ -247,6 +260,29 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_managed", "first_managed", "last_managed", "n_selected"))
 
 
+def manifest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the selected URLs after the upsert, each with its place in the list."""
+    d = _sync(spark, sf_dir)
+    selected = SY.upsert_manifest(d["installs"], d["managed_files"], d["selected_urls"],
+                                  d["fetched"], d["selected"], _summary(d), d["run_sources"])[2]
+    return selected.select("collection", "source_url", "url", "ord.line_pos", "ord.match_pos")
+
+
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The installs of manifest files of both versions, normalised."""
+    return SY.normalised(MF.manifest_tables(V.manifest_texts(spark, sf_dir))["installs"])
+
+
+def manifest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct managed files and selected URLs of manifest files."""
+    t = MF.manifest_tables(V.manifest_texts(spark, sf_dir))
+    managed = t["managed_files"].select("collection", "source_url", F.lit("managed").alias("list"),
+                                        F.col("path").alias("value"), F.lit(0).cast("long").alias("ord"))
+    chosen = t["selected_urls"].select("collection", "source_url", F.lit("selected").alias("list"),
+                                       F.col("url").alias("value"), "ord")
+    return managed.unionByName(chosen).groupBy("collection", "source_url", "list", "value").agg(F.min("ord").alias("ord"))
+
+
 # --- registry ----------------------------------------------------------------------
 
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +290,20 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RV.scan_registry(V.registry_lines(spark, sf_dir)).select("line_no", "slug", "label", "url", "valid")
 
 
+def registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every strict registry row in label order (no task holds all rows)."""
+    reg = RV.strict_registry(V.registry_lines(spark, sf_dir)).select("line_no", "label")
+    return PA.positions(reg, RV.label_order()).select("line_no", "label", "position")
+
+
+def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.private_host_names(spark, sf_dir).select("page_id", "form", "host", is_private_hostname("host").alias("private"))
+
+
+def local_content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.local_files(spark, sf_dir).select("page_id", "path", guess_local_content_type("path").alias("content_type"))
+
+
 def source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = RV.strict_registry(V.registry_lines(spark, sf_dir))
     return RV.resolve_sources(V.source_inputs(spark, sf_dir), reg, "/work/project").select(
@@ -350,6 +400,7 @@ QUERIES = {
     "unique_paths": unique_paths,
     "unique_paths_greedy": unique_paths_greedy,
     "path_prefixes": path_prefixes,
+    "prefixed_paths": prefixed_paths,
     "previous_selection": previous_selection,
     "explicit_selection": explicit_selection,
     "install_plan": install_plan,
@@ -357,7 +408,13 @@ QUERIES = {
     "plan_preview": plan_preview,
     "apply_plan": apply_plan,
     "manifest_upsert": manifest_upsert,
+    "manifest_selection": manifest_selection,
+    "manifest_scan": manifest_scan,
+    "manifest_lists": manifest_lists,
     "registry_scan": registry_scan,
+    "registry_order": registry_order,
+    "private_hosts": private_hosts,
+    "local_content_types": local_content_types,
     "source_resolution": source_resolution,
     "registry_duplicates": registry_duplicates,
     "registry_static_review": registry_static_review,

@@ -24,6 +24,17 @@ ANCHOR_RE = r'<a href="([^"]*)">([^<]*)</a>'
 TITLE_RE = r"<title>([^<]*)</title>"
 CRAWL_INDEX_URL = "https://crawl.example.org/llms.txt"
 EXTRA_LINE_BASE = 1_000_000_000  # line positions of the per-index extra lines
+LOCAL_EXTENSIONS = (".html", ".HTM", ".md", ".MDX", ".markdown", ".txt", "")
+MANIFEST_FORMS = (  # ~id~ stands for the document's id, ~site~ for its source
+    '{"version":2,"installs":[{"source":{"label":"~lang~","url":"~site~/llms.txt"},"managedFiles":["b/~id~.md",~id~,"a/~id~.md",'
+    '"b/~id~.md",null],"selectedUrls":["~site~/b/~id~",null,"~site~/a/~id~",true,"~site~/b/~id~"],"layout":"flat","pathPrefix":"~lang~"},'
+    '{"source":{"label":"no url"},"managedFiles":["n/~id~.md"],"layout":"other"},null,7]}',
+    '{"source":{"label":~id~,"url":"~site~/llms.txt"},"managedFiles":["c/~id~.md"],"selectedUrls":"~site~/c","pathPrefix":5}',
+    '{"layout":null}',
+    '{"installs":[{"source":{"url":"~site~/llms.txt"}',
+    '{"version":2,"installs":"~id~"}',
+    '{"installs":{},"source":{"url":"~site~/~id~/llms.txt"},"selectedUrls":["~id~",~id~]}',
+)
 # ---------------------------------------------------------------------------
 
 
@@ -251,6 +262,48 @@ def fetch_selected(selected: DataFrame) -> DataFrame:
         F.when(failed, F.concat(F.col("url"), F.lit(" (HTTP 404 Not Found)"))).alias("reason"))
 
 
+def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest files, one per document, by ``doc_id % 6``: a version-2 record whose lists
+    hold numbers, nulls and repeats, with an install without a URL and entries that are no
+    installs; a legacy record with values of wrong types; a legacy record known by
+    one key with a null; cut off text; ``installs`` that is a string; and ``installs``
+    that is an object beside a legacy key."""
+    docs = load_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 6).alias("v"), "lang",
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org")).alias("site"))
+
+    def filled(template):
+        parts = [F.col(p) if p in ("id", "lang", "site") else F.lit(p) for p in template.split("~")]
+        return F.concat(*parts)
+
+    text = F.when(F.col("v") == 0, filled(MANIFEST_FORMS[0]))
+    for v, form in enumerate(MANIFEST_FORMS[1:], 1):
+        text = text.when(F.col("v") == v, filled(form))
+    return docs.select(F.concat(F.lit("m-"), F.col("id")).alias("collection"), text.alias("text"))
+
+
+def private_host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host names, 14 per page: its own, and private, public and malformed forms with
+    numbers from ``page_id``."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url")
+    n = F.col("page_id")
+    a, b, c = ((n % 256).cast("string"), ((n / 256).cast("long") % 256).cast("string"), (n % 64).cast("string"))
+    forms = [page_host(), F.concat(page_host(), F.lit(".INTERNAL")), F.concat(page_host(), F.lit(".local")),
+             F.concat(page_host(), F.lit(".locale")), F.lit("LocalHost"), F.concat_ws(".", a, b, c, a),
+             F.concat(F.lit("172."), c, F.lit(".0."), a), F.concat(F.lit("192."), a, F.lit(".7."), b),
+             F.concat(F.lit("169."), a, F.lit(".1.1")), F.concat(F.lit("10."), (n % 512).cast("string"), F.lit(".0.1")),
+             F.concat(F.lit("fd00::"), F.hex(n)), F.concat(F.lit("FE80::"), F.hex(n)),
+             F.concat(F.lit("2001:db8::"), F.hex(n)), F.concat(F.lit("10.0."), a)]
+    return pages.select("page_id", F.posexplode(F.array(*forms)).alias("form", "host"))
+
+
+def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of local files, one per page, with an extension by ``page_id % 7``."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url")
+    ext = F.get(F.array(*[F.lit(x) for x in LOCAL_EXTENSIONS]), (F.col("page_id") % 7).cast("int"))
+    return pages.select("page_id", F.concat(F.lit("/srv/mirror/"), F.regexp_extract("url", "//([^?#]*)", 1), ext).alias("path"))
+
+
 # --- V5: registry ------------------------------------------------------------------
 
 def registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,40 +2,48 @@
 ``operators.sync`` (installs, managed_files, selected_urls).
 
 A manifest file is JSON: version 2 ``{"installs": [...]}`` or a legacy
-version-1 record that *is* the single install.  Missing or corrupt files give
-no installs.  Parsed with one explicit schema covering both versions
-(PERMISSIVE), so no schema inference pass over the files.  Deviation: JSON
-numbers inside the file lists are coerced to strings by ``from_json`` instead
-of being dropped.
+version-1 record that *is* the single install, told by the presence of one of its
+keys, whatever the value.  Missing or corrupt files give no installs.  The text is
+parsed once into a VARIANT, so every value keeps its JSON type: list
+entries and fields of another type than expected are dropped, not coerced.
+Deviation: an object that repeats a key counts as corrupt.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-_INSTALL = StructType([
-    StructField("source", StructType([StructField("label", StringType()), StructField("url", StringType())])),
-    StructField("managedFiles", ArrayType(StringType())),
-    StructField("selectedUrls", ArrayType(StringType())),
-    StructField("layout", StringType()),
-    StructField("pathPrefix", StringType()),
-])
-MANIFEST_SCHEMA = StructType([StructField("installs", ArrayType(_INSTALL)), StructField("version", StringType())]
-                             + list(_INSTALL.fields))
+# fixed values: the keys that make a record without ``installs`` an install
+LEGACY_KEYS = ("source", "managedFiles", "selectedUrls", "layout", "pathPrefix")
+
+
+def _text(path: str) -> F.Column:
+    """The value at ``path`` of the install if it is a JSON string."""
+    return F.expr(f"CASE WHEN schema_of_variant(try_variant_get(i, '{path}', 'variant')) = 'STRING' "
+                  f"THEN try_variant_get(i, '{path}', 'string') END")
+
+
+def _texts(path: str) -> F.Column:
+    """The strings of the list at ``path`` of the install, in order."""
+    return F.expr(f"transform(filter(try_variant_get(i, '{path}', 'array<variant>'), "
+                  "x -> schema_of_variant(x) = 'STRING'), x -> CAST(x AS STRING))")
 
 
 def manifest_installs(manifests: DataFrame) -> DataFrame:
     """(collection, text) -> one row per install with its position."""
-    p = manifests.select("collection", F.from_json("text", MANIFEST_SCHEMA, {"mode": "PERMISSIVE"}).alias("m"))
-    legacy = (F.col("m.source").isNotNull() | F.col("m.managedFiles").isNotNull()
-              | F.col("m.selectedUrls").isNotNull() | F.col("m.layout").isNotNull()
-              | F.col("m.pathPrefix").isNotNull())
-    one = F.array(F.struct(*[F.col(f"m.{f.name}").alias(f.name) for f in _INSTALL.fields]))
-    installs = (F.when(F.col("m.installs").isNotNull(), F.filter("m.installs", lambda x: x.isNotNull()))
-                .when(legacy, one))
-    return p.select("collection", F.posexplode(installs).alias("pos", "i"))
+    parsed = manifests.select("collection", F.try_parse_json("text").alias("m"))
+    legacy = " OR ".join(f"try_variant_get(m, '$.{k}', 'variant') IS NOT NULL" for k in LEGACY_KEYS)
+    installs = F.expr(
+        "CASE WHEN try_variant_get(m, '$.installs', 'array<variant>') IS NOT NULL "
+        "THEN filter(try_variant_get(m, '$.installs', 'array<variant>'), "
+        "x -> startswith(schema_of_variant(x), 'OBJECT') OR startswith(schema_of_variant(x), 'ARRAY')) "
+        f"WHEN {legacy} THEN array(m) END")
+    one = parsed.select("collection", F.posexplode(installs).alias("pos", "i"))
+    return one.select("collection", F.col("pos").cast("int").alias("pos"), _text("$.source.url").alias("source_url"),
+                      _text("$.source.label").alias("source_label"), _text("$.layout").alias("layout"),
+                      _text("$.pathPrefix").alias("path_prefix"), _texts("$.managedFiles").alias("managed"),
+                      _texts("$.selectedUrls").alias("selected"))
 
 
 def read_manifests(spark: SparkSession, paths, collection_of=None) -> dict:
@@ -48,12 +56,7 @@ def read_manifests(spark: SparkSession, paths, collection_of=None) -> dict:
 def manifest_tables(manifests: DataFrame) -> dict:
     """Long-form tables from (collection, text)."""
     inst = manifest_installs(manifests)
-    installs = inst.select("collection", F.col("pos").cast("int").alias("pos"),
-                           F.col("i.source.url").alias("source_url"), F.col("i.source.label").alias("source_label"),
-                           F.col("i.layout").alias("layout"), F.col("i.pathPrefix").alias("path_prefix"))
-    managed = inst.select("collection", F.col("i.source.url").alias("source_url"),
-                          F.explode_outer("i.managedFiles").alias("path")).filter(F.col("path").isNotNull())
-    selected = inst.select("collection", F.col("i.source.url").alias("source_url"),
-                           F.posexplode("i.selectedUrls").alias("ord", "url")).filter(F.col("url").isNotNull())
-    return {"installs": installs, "managed_files": managed,
-            "selected_urls": selected.withColumn("ord", F.col("ord").cast("long"))}
+    return {"installs": inst.drop("managed", "selected"),
+            "managed_files": inst.select("collection", "source_url", F.explode("managed").alias("path")),
+            "selected_urls": inst.select("collection", "source_url", F.posexplode("selected").alias("ord", "url"))
+            .withColumn("ord", F.col("ord").cast("long"))}

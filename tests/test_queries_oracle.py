@@ -14,7 +14,9 @@ from tools.oracle_check import digest
 SF = "/root/testdata/sf0.001"
 NAMES = ["extract_links", "resolve_links", "link_rejects", "dedupe_links", "link_stats", "blocked_hosts", "first_success", "classify_content",
          "nested_paths", "flat_paths", "unique_paths", "install_plan", "registry_review", "source_resolution",
-         "unique_paths_greedy", "path_prefixes", "html_text", "corpus_snapshot", "ingest_summary", "source_failures"]
+         "unique_paths_greedy", "path_prefixes", "html_text", "corpus_snapshot", "ingest_summary", "source_failures",
+         "manifest_selection", "manifest_scan", "manifest_lists", "registry_order", "private_hosts", "local_content_types",
+         "prefixed_paths"]
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from mdweave.operators import review as RV
+from mdweave.operators import paths as PA
 from mdweave.sources import link_index as LI
+from mdweave.sources import manifest as MF
 from mdweave.sources import resources as RS
 from mdweave.sources import sinks as SK
 
@@ -59,3 +61,23 @@ def test_label_locale_order(spark):
     got = [r["label"] for r in df.orderBy(*RV.label_order()).collect()]
     assert got == ["a", "b", "B", "e", "é", "Z"]  # locale order, not code-unit order
     assert [r["label"] for r in df.orderBy(F.col("label")).collect()] != got
+
+
+def test_manifest_keeps_json_types(spark):
+    raw = spark.createDataFrame([
+        ("a", '{"installs":[{"source":{"url":"u"},"managedFiles":["b",1,"a",null,["c"]],"selectedUrls":["y",2,"x"]},null,"s"]}'),
+        ("b", '{"pathPrefix":null}'), ("c", '{"installs":[{'), ("d", '[1]'), ("e", None), ("f", '{"version":2}'),
+        ("g", '{"source":"text","layout":3,"managedFiles":"one"}')], "collection string, text string")
+    t = MF.manifest_tables(raw)
+    assert sorted((r.collection, r.pos, r.source_url, r.layout, r.path_prefix) for r in t["installs"].collect()) == [
+        ("a", 0, "u", None, None), ("b", 0, None, None, None), ("g", 0, None, None, None)]
+    assert sorted(r.path for r in t["managed_files"].collect()) == ["a", "b"]
+    assert sorted((r.ord, r.url) for r in t["selected_urls"].collect()) == [(0, "y"), (1, "x")]
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([(i, str(i * 7 % 40)) for i in range(200)], "n int, s string")
+    got = {r.n: r.position for r in PA.positions(df, [F.col("s"), F.col("n")]).collect()}
+    model = sorted(range(200), key=lambda i: (str(i * 7 % 40), i))
+    assert got == {n: k for k, n in enumerate(model, 1)}
+    assert PA.positions(df.filter("n < 0"), [F.col("n")]).count() == 0
