@@ -64,6 +64,9 @@ def resource_status(resources: DataFrame) -> DataFrame:
 def first_success(entries: DataFrame, resources: DataFrame) -> DataFrame:
     """J2 + A8 for entries keyed by (source_url, href).
 
+    Where the snapshot has several rows of one URL, one that is ok counts; if none
+    is, each different reason is listed.
+
     Output: entry columns + ok, fetched_url, via, rank, reason (null when ok).
     """
     carried = [c for c in entries.columns if c not in ENTRY_KEYS]
@@ -81,7 +84,7 @@ def first_success(entries: DataFrame, resources: DataFrame) -> DataFrame:
     # costs no extra groups and saves a join back to the entries
     picked = (probed.groupBy(*ENTRY_KEYS, *carried)
               .agg(F.min(F.when(is_ok, F.struct(F.col("rank"), F.col("candidate_url")))).alias("w"),
-                   F.array_sort(F.collect_list(F.struct(F.col("rank"), msg.alias("m")))).alias("fails")))
+                   F.array_sort(F.collect_set(F.struct(F.col("rank"), msg.alias("m")))).alias("fails")))
     result = picked.select(
         *ENTRY_KEYS, *carried,
         F.col("w").isNotNull().alias("ok"),
@@ -94,9 +97,17 @@ def first_success(entries: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def fetch_bodies(fetched: DataFrame, resources: DataFrame) -> DataFrame:
-    """Second join: body and content type for the winners only."""
-    res = resources.select(F.col("url").alias("fetched_url"), "content_type", "body")
-    return fetched.filter("ok").join(res, "fetched_url", "inner")
+    """Second join: body and content type for the winners only.
+
+    Of several ok rows of one URL, the first by content type and body hash is
+    taken.  The reduction is grouped by the join key and the entry's columns, so
+    after a sort-merge join it needs no further shuffle of the bodies."""
+    res = resources.filter("ok").select(F.col("url").alias("fetched_url"), "content_type", "body")
+    keys = ["fetched_url", *(c for c in fetched.columns if c != "fetched_url")]
+    found = fetched.filter("ok").join(res, "fetched_url", "inner")
+    order = F.struct("content_type", F.sha2("body", 256))
+    return (found.groupBy(*keys).agg(F.min_by(F.struct("content_type", "body"), order).alias("__r"))
+            .select(*keys, "__r.*"))
 
 
 def failure_preview(failures: DataFrame, keys=("source_url",), k: int = 5) -> DataFrame:

@@ -188,6 +188,10 @@ def review(registry: DataFrame, resources: DataFrame) -> DataFrame:
                            # what the rules need of the body; the body itself stays out of the shuffle
                            F.length("body").cast("long").alias("r_body_len"), looks_html(F.col("body")).alias("r_html"),
                            has_markdown_link(F.col("body")).alias("r_links"))
+    # one row per URL: an ok one first, then the first by its values
+    values = [c for c in res.columns if c != "parsed_href"]
+    rank = F.struct((~F.col("r_ok")).alias("failed"), *(c for c in values if c != "r_ok"))
+    res = res.groupBy("parsed_href").agg(F.min_by(F.struct(*values), rank).alias("__r")).select("parsed_href", "__r.*")
     probe = s.withColumn("__fetch", F.size("issues") == 0)
     # entries with issues pass the join by: no reducer gets them all under a null key
     d = (probe.filter("__fetch").join(res, "parsed_href", "left")

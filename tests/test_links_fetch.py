@@ -88,3 +88,26 @@ def test_failure_preview(spark):
     f = spark.createDataFrame([("s", i, 0) for i in range(6)], "source_url string, line_pos long, match_pos int")
     out = FE.failure_preview(f).collect()
     assert len(out) == 5 and {r["more"] for r in out} == {1} and {r["failed_total"] for r in out} == {6}
+
+
+def test_snapshot_with_repeated_urls(spark):
+    from mdweave.operators import review as RV
+    schema = ("url string, ok boolean, http_status int, status_text string, content_type string, content_length long, "
+              "final_url string, error string, body string")
+    page = "https://r.test/guide"
+    snapshot = spark.createDataFrame(
+        [(page, False, 500, "Broken", None, None, None, None, None),
+         (page, True, 200, "OK", "text/plain", 5, page, None, "# two [a](b)"),
+         (page, True, 200, "OK", "text/markdown", 5, page, None, "# one [a](b)"),
+         ("https://r.test/gone", False, 404, "Not Found", None, None, None, None, None),
+         ("https://r.test/gone", False, 404, "Not Found", None, None, None, None, None)], schema)
+    entries = spark.createDataFrame([("s", page, "/guide", None), ("s", "https://r.test/gone", "/gone", None)],
+                                    "source_url string, href string, path string, query string")
+    fetched = FE.first_success(entries, snapshot)
+    reason = fetched.filter("NOT ok").first()["reason"]
+    assert fetched.count() == 2 and reason.count("https://r.test/gone (HTTP 404 Not Found)") == 1
+    assert [(r.href, r.content_type, r.body) for r in FE.fetch_bodies(fetched, snapshot).collect()] == [
+        (page, "text/markdown", "# one [a](b)")]
+    registry = RV.scan_registry(spark.createDataFrame([(0, f"r|R|{page}")], "line_no int, text string"))
+    reviewed = RV.review(registry, snapshot).collect()
+    assert [(r.status_code, r.content_type) for r in reviewed] == [(200, "text/markdown")]
