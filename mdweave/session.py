@@ -26,7 +26,7 @@ _BASE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of materialised stages are removed once unreferenced
+    # RDD checkpoint files are removed once unreferenced; stage tables by remove_stages()
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -75,6 +75,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def remove_stages(spark: SparkSession) -> bool:
+    """Delete the stage tables of this application under ``spark.checkpoint.dir``, and
+    say whether there were any.  For the end of a run, once its results are
+    written: DataFrames that still read stage tables can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{ensure_checkpoint_dir(spark).rstrip('/')}/mdweave-stages/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df, how: str | None = None):
     """Materialise a stage output that several later steps read.
 
@@ -96,7 +105,7 @@ def materialize(df, how: str | None = None):
     t = time.time()
     if how == "table":
         base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/mdweave-stages/{uuid.uuid4().hex}"
+        path = f"{base}/mdweave-stages/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(path)
         out = spark.read.parquet(path)
     elif how == "checkpoint":

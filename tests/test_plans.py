@@ -58,3 +58,14 @@ def test_python_only_behind_filters(lazy):
     py = p[p.index("ArrowEvalPython"):]
     below = py[py.index("+-"):]
     assert below.lstrip("+- ").startswith("Filter") and "[^\\x00-\\x7F]" in below.split("\n")[0]
+
+
+def test_bodies_shuffle_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fetched = spark.createDataFrame([("s", "h", True, "u")], "source_url string, href string, ok boolean, fetched_url string")
+        bodies = spark.createDataFrame([("u", True, "text/plain", "b")], "url string, ok boolean, content_type string, body string")
+        p = plan_of(FE.fetch_bodies(fetched, bodies))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert p.count("Exchange") == 2 and p.count("Exchange hashpartitioning(fetched_url") == 2

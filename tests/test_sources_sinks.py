@@ -6,6 +6,7 @@ from mdweave.sources import link_index as LI
 from mdweave.sources import manifest as MF
 from mdweave.sources import resources as RS
 from mdweave.sources import sinks as SK
+from mdweave.session import materialize, remove_stages
 
 
 def test_index_files_and_failures(spark, tmp_path):
@@ -81,3 +82,22 @@ def test_positions(spark):
     model = sorted(range(200), key=lambda i: (str(i * 7 % 40), i))
     assert got == {n: k for k, n in enumerate(model, 1)}
     assert PA.positions(df.filter("n < 0"), [F.col("n")]).count() == 0
+
+
+def test_stage_tables_are_removed(spark):
+    df = materialize(spark.range(3), "table")
+    assert df.count() == 3 and spark.sparkContext.applicationId in df.inputFiles()[0]
+    assert remove_stages(spark) and not remove_stages(spark)
+
+
+def test_no_scratch_folder_on_a_cluster():
+    import types
+
+    from mdweave.session import ensure_checkpoint_dir
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    try:
+        ensure_checkpoint_dir(session)
+    except RuntimeError:
+        return
+    raise AssertionError("a machine-local folder was accepted")
