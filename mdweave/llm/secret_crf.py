@@ -1,15 +1,16 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field.
 
-The patterns (``assign``, ``access``, ``hex``) always count.  The field tags the tokens
-of a text as begin (B), inside (I) or outside (O) of a secret, from their shape, the words
-and characters beside them and features of the file, and Viterbi finds the best
-tags; its spans that touch no pattern's span are added as ``crf``.
-
-A token is a run of ``A-Za-z0-9+/_-.``.  One without a digit, or of fewer than 8
-characters, is always outside: that is a constraint of the model, and it cuts a text into
-short chains, so that only their tokens need features.  The field is trained here,
-with the patterns' spans as labels, on a bounded sample: the chains of ``most_documents``
-documents in the order of a hash, at most ``most_chains`` of them.
+The patterns (``assign``, ``access``, ``hex``) always count.  The field tags every token
+of a text as begin (B), inside (I) or outside (O) of a secret, from its shape (digits, letters
+and length are features), the words and characters beside it and features of the file, and
+Viterbi finds the best tags; its spans that touch no pattern's span are added as ``crf``.
+
+A token is a run of ``A-Za-z0-9+/_`` with ``.`` and ``-`` inside, or a run of other letters;
+a chain is the tokens of a line or a sentence, however many.  What a token adds to the score of a tag is
+kept by distinct token; a chain in which no token can be worth a tag but O, whatever stands
+beside it, needs no Viterbi (``Tagger``).  The field is trained here, with the patterns' spans as
+labels, on a bounded sample: chains of ``most_documents`` documents in the order of
+a hash, at most ``most_chains`` of them, each cut to its first ``most_tokens`` tokens.
 
 Defined results: null text is empty (no spans, the hash of an empty string); null ids and
 repeated rows are scanned as they come; without a secret in the sample, the field adds
@@ -21,13 +22,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of
+from .common import parts_of, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 TAGS = O, B, I = 0, 1, 2
@@ -36,8 +40,11 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KEYWORDS = ("password", "passwd", "secret", "token", "key", "auth", "bearer", "credential", "pwd", "pass", "login")
-IN_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
-LEAST_TOKEN = 8
+TOKEN = re.compile(r"([A-Za-z0-9+/_]+(?:[.-]+[A-Za-z0-9+/_]+)*|[^\W\x00-\x7f]+)")
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SHAPE = str.maketrans({c: k for k, cs in (("l", "abcdefghijklmnopqrstuvwxyz"), ("u", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("d", "0123456789"),
+                                          ("s", "+/_"), ("p", ".-")) for c in cs})
+BREAK = re.compile(r"[\n\r]|[.!?][\"')\]]*\s|[。！？]")
 FORBIDDEN = -1e9
 
 
@@ -53,23 +60,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens that may be secret."""
-    out, upto = [], 0
-    for m in re.finditer(r"[0-9][A-Za-z0-9+/_.-]*", text):
-        begin, end = m.span()
-        while begin > upto and text[begin - 1] in IN_TOKEN:
-            begin -= 1
-        upto = end
-        while text[end - 1] in ".-":  # a full stop or dash after it
-            end -= 1
-        if end - begin >= LEAST_TOKEN:
-            out.append((begin, end))
-    return out
+def split(text: str, begin: int = 0, end: int | None = None) -> tuple[list[str | None], list[str]]:
+    """What stands before, between and after the tokens, and the tokens (None: an end of the text)."""
+    found = TOKEN.split(text[begin:end] if begin or end is not None else text)
+    between = found[::2]
+    if not begin:
+        between[0] = between[0] or None
+    if end is None or end == len(text):
+        between[-1] = between[-1] or None
+    return between, found[1::2]
 
 
 def bucket(x: float, *cuts: float) -> int:
-    return sum(x >= c for c in cuts)
+    return bisect_right(cuts, x)
 
 
 def file_features(text: str) -> list[str]:
@@ -79,44 +82,70 @@ def file_features(text: str) -> list[str]:
             f"file word {any(k in low for k in KEYWORDS[:5])}", f"file size {bucket(len(text), 500, 5000, 50000)}"]
 
 
-def token_features(text: str, begin: int, end: int) -> list[str]:
-    """Shape of a token, and what stands beside it."""
-    t = text[begin:end]
-    digits = sum(c.isdigit() for c in t)
-    kinds = "".join(n for n, p in (("l", "[a-z]"), ("u", "[A-Z]"), ("d", "[0-9]"), ("s", "[+/_]"), ("p", "[.-]")) if re.search(p, t))
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:]))
-    before, after = text[max(0, begin - 32):begin], text[end:end + 2]
-    word = re.search(r"([A-Za-z]+)[^A-Za-z]*\Z", before)
-    word = word[1].lower() if word else ""
-    near = before[-1:], after[:1]
-    side = ["quote" if c in "\"'`" and c else "space" if c.isspace() else "end" if not c else c if c in "=:@()+,;<>#$%&" else "x"
-            for c in near]
-    return [f"kinds {kinds}", f"length {bucket(len(t), 12, 16, 20, 24, 32, 40, 64)}", f"digits {bucket(digits / len(t), .2, .4, .6, .8, 1)}",
+def token_features(t: str) -> list[str]:
+    """Shape of a token."""
+    shape = t.translate(SHAPE) if t.isascii() else "o" * len(t)
+    digits, runs = shape.count("d"), len(re.findall("d+", shape)) if "d" in shape else 0
+    kinds = "".join(k for k in "ludspo" if k in shape)
+    changes = 2 * runs - shape.startswith("d") - shape.endswith("d")  # from a digit to another character or back
+    cases = shape.count("lu")
+    return [f"kinds {kinds}", f"length {bucket(len(t), 4, 8, 12, 16, 20, 24, 32, 40, 64)}",
+            f"digits {bucket(digits / len(t), 1e-9, .2, .4, .6, .8, 1)}",
             f"distinct {bucket(len(set(t)) / len(t), .2, .35, .5, .7, .9)}", f"changes {bucket(changes / len(t), .05, .15, .3, .45)}",
-            f"hex {not t.lower().strip('0123456789abcdef')}", f"number {not t.strip('0123456789.-+/')}", f"before {side[0]}",
-            f"after {side[1]}", f"word {next((k for k in KEYWORDS if word.endswith(k)), 'none')}",
-            f"assigned {bool(re.search(r'[:=][^A-Za-z0-9]*$', before))}", f"capital start {t[:4].isupper() and t[:4].isalpha()}"]
+            f"cases {bucket(cases / len(t), 1e-9, .1, .2)}", f"hex {not t.lower().strip('0123456789abcdef')}",
+            f"number {not t.strip('0123456789.-+/')}", f"capital start {t[:4].isupper() and t[:4].isalpha()}"]
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens that follow each other with nothing but a little punctuation or space between."""
-    out: list[list[tuple[int, int]]] = []
-    for begin, end in tokens(text):
-        if out and begin - out[-1][-1][1] <= 3 and not re.search(r"[A-Za-z0-9\n]", text[out[-1][-1][1]:begin]):
-            out[-1].append((begin, end))
-        else:
-            out.append([(begin, end)])
-    return out
+def key_of(t: str) -> str | None:
+    """The key word that the last word of a token ends with, or none; None if it has no letter."""
+    if not t.isascii():
+        return "none"
+    end = len(t)
+    while end and t[end - 1] not in LETTERS:
+        end -= 1
+    begin = end
+    while begin and t[begin - 1] in LETTERS:
+        begin -= 1
+    word = t[begin:end].lower()
+    return next((k for k in KEYWORDS if word.endswith(k)), "none") if word else None
 
 
-def chain_features(text: str, chain: list[tuple[int, int]], of_file: list[str]) -> list[list[str]]:
-    """Features of the tokens of a chain, with the shape of both neighbours."""
-    own = [token_features(text, a, b) for a, b in chain]
-    out = []
+def side(c: str | None) -> str:
+    """Kind of the character beside a token (None: an end of the text)."""
+    return "end" if c is None else "quote" if c and c in "\"'`" else "space" if c.isspace() else c if c and c in "=:@()+,;<>#$%&" else "x"
+
+
+def assigns(between: str | None) -> bool:
+    return between is not None and (":" in between or "=" in between)
+
+
+def ends(between: str | None) -> bool:
+    """Whether a line or a sentence ends there."""
+    return between is not None and BREAK.search(between) is not None
+
+
+def key_features(key: str, assigned: bool) -> list[str]:
+    """The word before a token, and whether an equals sign or a colon stands between."""
+    return [f"word {key}", f"assigned {assigned}", f"key word {key != 'none'}", f"key assigned {key != 'none' and assigned}"]
+
+
+def chains(between: list[str | None], found: list[str]) -> list[tuple[int, int]]:
+    """(first, last) of the tokens of each line or sentence."""
+    starts = [k for k in range(len(found)) if not k or ends(between[k])]
+    return list(zip(starts, [*starts[1:], len(found)]))
+
+
+def chain_features(between: list[str | None], found: list[str], key: str, of_file: list[str]) -> list[list[str]]:
+    """Features of the tokens of a chain, with the shape of both neighbours; ``between`` has
+    one entry more than ``found``, ``key`` is that of the last word before the chain."""
+    own, out = [token_features(t) for t in found], []
     for k, f in enumerate(own):
         left = own[k - 1][0] if k else "none"
         right = own[k + 1][0] if k + 1 < len(own) else "none"
-        out.append(["bias", *f, f"left {left}", f"right {right}", *of_file])
+        before, after = between[k], between[k + 1]
+        out.append(["bias", *f, f"before {side(before and before[-1:])}", f"after {side(after and after[:1])}",
+                    *key_features(key, assigns(before)), f"left {left}", f"right {right}", *of_file])
+        key = key_of(found[k]) or key
     return out
 
 
@@ -134,7 +163,10 @@ class Field:
 
     def best(self, features: list[list[str]]) -> list[int]:
         """The best tags, by Viterbi."""
-        e, between = self.emissions(features), np.array(self.between)
+        return self.best_of(self.emissions(features))
+
+    def best_of(self, e: np.ndarray) -> list[int]:
+        between = np.array(self.between)
         score, back = e[0], []
         for row in e[1:]:
             every = score[:, None] + between
@@ -145,50 +177,104 @@ class Field:
             tags.append(int(step[tags[-1]]))
         return tags[::-1]
 
+    def sure(self) -> float:
+        """By how much O must lead at every token of a chain for O to be best at all of them.
+
+        A stretch of other tags gains at most ``enter`` and ``leave`` at its ends and ``stay``
+        between two of its tokens; a lead over both at each token outweighs that."""
+        b = self.between
+        enter, leave = b[O][B] - b[O][O], max(b[B][O], b[I][O]) - b[O][O]
+        stay = max(b[x][y] for x in (B, I) for y in (B, I)) - b[O][O]
+        return max(stay, max(enter, 0) + max(leave, 0), 0) + 1e-6
+
 
-def train(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate: float = 0.3, shrink: float = 1e-3) -> Field:
-    """Maximum likelihood by adaptive gradient steps over (features, tags) of chains."""
+def train(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate: float = 0.3, shrink: float = 1e-3,
+          at_once: int = 16) -> Field:
+    """Maximum likelihood by adaptive gradient steps over (features, tags) of chains, ``at_once`` a step."""
     names = sorted({f for fs, _ in samples for token in fs for f in token})
     number = {f: k for k, f in enumerate(names)}
-    w, between = np.zeros((len(names), 3)), np.zeros((3, 3))
+    # the last row stands for what fills up the shorter chains of a step
+    w, between = np.zeros((len(names) + 1, 3)), np.zeros((3, 3))
     between[O, I] = FORBIDDEN
     sum_w, sum_b = np.full(w.shape, 1e-6), np.full(between.shape, 1e-6)
-    coded = [([np.array([number[f] for f in token]) for token in fs], tags) for fs, tags in samples]
+    coded = sorted(((np.array([[number[f] for f in token] for token in fs]), np.array(tags)) for fs, tags in samples),
+                   key=lambda x: len(x[1]))
     random = np.random.default_rng(7)
 
     def soft(x, axis):
         top = x.max(axis=axis, keepdims=True)
         return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
+    steps = []
+    for k in range(0, len(coded), at_once):  # chains of about one length
+        part = coded[k:k + at_once]
+        size, longest = np.array([len(t) for _, t in part]), len(part[-1][1])
+        fs = np.full((len(part), longest, part[0][0].shape[1]), len(names))
+        tags = np.zeros((len(part), longest), int)
+        for i, (f, t) in enumerate(part):
+            fs[i, :len(t)], tags[i, :len(t)] = f, t
+        steps.append((fs, tags, size, np.arange(longest)[None] < size[:, None]))
     for _ in range(rounds):
-        for k in random.permutation(len(coded)):
-            fs, tags = coded[k]
-            e = np.array([w[f].sum(axis=0) for f in fs])
-            e[0, I] += FORBIDDEN
-            n = len(tags)
-            forward, backward = e.copy(), np.zeros((n, 3))
-            for i in range(1, n):
-                forward[i] += soft(forward[i - 1][:, None] + between, 0)
-            for i in range(n - 2, -1, -1):
-                backward[i] = soft(between + (e[i + 1] + backward[i + 1])[None], 1)
-            total = soft(forward[-1], 0)
-            likely = np.exp(forward + backward - total)
-            for i, f in enumerate(fs):
-                g = -likely[i]
-                g[tags[i]] += 1
-                g = g - shrink * w[f]
-                sum_w[f] += g * g
-                w[f] += rate * g / np.sqrt(sum_w[f])
-            for i in range(1, n):
-                g = -np.exp(forward[i - 1][:, None] + between + (e[i] + backward[i])[None] - total)
-                g[tags[i - 1], tags[i]] += 1
+        for k in random.permutation(len(steps)):
+            fs, tags, size, there = steps[k]
+            e = w[fs].sum(axis=2)
+            e[:, 0, I] += FORBIDDEN
+            forward, backward = e.copy(), np.zeros(e.shape)
+            for i in range(1, e.shape[1]):
+                forward[:, i] += soft(forward[:, i - 1, :, None] + between, 1)
+            for i in range(e.shape[1] - 2, -1, -1):
+                step = soft(between + (e[:, i + 1] + backward[:, i + 1])[:, None], 2)
+                backward[:, i] = np.where(there[:, i + 1, None], step, 0)
+            total = soft(forward[np.arange(len(size)), size - 1], 1)[:, None, None]
+            g = (np.eye(3)[tags] - np.exp(np.minimum(forward + backward - total, 0))) * there[..., None]
+            flat, each = fs.reshape(-1), np.repeat(g.reshape(-1, 3), fs.shape[2], axis=0)
+            g = np.stack([np.bincount(flat, each[:, t], len(w)) for t in range(3)], axis=1)
+            g -= shrink * w * np.bincount(flat, minlength=len(w))[:, None]
+            g[-1] = 0
+            sum_w += g * g
+            w += rate * g / np.sqrt(sum_w)
+            if e.shape[1] > 1:
+                both = np.exp(np.minimum(forward[:, :-1, :, None] + between + (e[:, 1:] + backward[:, 1:])[:, :, None]
+                                         - total[..., None], 0))
+                g = -(both * there[:, 1:, None, None]).sum(axis=(0, 1))
+                np.add.at(g, (tags[:, :-1][there[:, 1:]], tags[:, 1:][there[:, 1:]]), 1)
                 sum_b += g * g
                 between += rate * g / np.sqrt(sum_b)
                 between[O, I] = FORBIDDEN
     return Field({f: w[k].tolist() for f, k in number.items()}, between.tolist())
 
 
-def fit(docs: DataFrame, most_documents: int = 20_000, most_chains: int = 3000) -> Field | None:
+def labels(between: list[str | None], found: list[str], known: list[tuple[int, int]]) -> list[int]:
+    """Tags of the tokens of a text from the spans of its secrets (without their key words)."""
+    spans: list[list[int]] = []
+    for a, b in sorted(known):
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    tags, at, k, last = [], 0, 0, -1
+    for gap, t in zip(between, found):
+        at += len(gap or "")
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        if k < len(spans) and spans[k][0] < at + len(t):
+            tags.append(I if last == k and tags[-1] != O else B)
+            last = k
+        else:
+            tags.append(O)
+        at += len(t)
+    return tags
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """The spans of the patterns' matches, of assignments the value only."""
+    out = []
+    for a, kind, b in base_spans(text):
+        out.append((re.compile(ASSIGN, re.I | re.A).match(text, a, b).start(2) if kind == 0 else a, b))
+    return out
+
+
+def fit(docs: DataFrame, most_documents: int = 20_000, most_chains: int = 3000, most_tokens: int = 64) -> Field | None:
     """Train the field on a bounded sample of ``docs(doc_id, text)``; None if it has no secret."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     # the sample is bounded, and so is what is broadcast
@@ -199,52 +285,182 @@ def fit(docs: DataFrame, most_documents: int = 20_000, most_chains: int = 3000)
             rows = []
             for row in batch.to_pylist():
                 text = row["text"] or ""
-                found = chains(text)
-                if found:
-                    known, of_file = base_spans(text), file_features(text)
-                    for chain in found:
-                        inside = [any(a < e and s < b for s, _, e in known) for a, b in chain]
-                        tags = [(I if k and inside[k - 1] else B) if x else O for k, x in enumerate(inside)]
-                        rows.append((row["doc_id"], chain[0][0], tags, chain_features(text, chain[:64], of_file)))
+                between, found = split(text)
+                tags, of_file, key = labels(between, found, values(text)), file_features(text), "none"
+                for a, b in chains(between, found):
+                    end = min(b, a + most_tokens)
+                    rows.append((row["doc_id"], a, tags[a:end], between[a:end + 1], found[a:end], key, of_file))
+                    for t in found[a:b]:
+                        key = key_of(t) or key
             if rows:
-                ids, at, tags, fs = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array([t[:64] for t in tags], pa.list_(pa.int32())),
-                     pa.array(fs, pa.list_(pa.list_(pa.string())))], ["doc_id", "at", "tags", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names)
 
+    names, types = zip(*(("doc_id", pa.int64()), ("at", pa.int32()), ("tags", pa.list_(pa.int32())), ("between", pa.list_(pa.string())),
+                         ("found", pa.list_(pa.string())), ("key", pa.string()), ("of_file", pa.list_(pa.string()))))
     found = (texts.join(F.broadcast(ids), "doc_id", "left_semi")
-             .mapInArrow(run, "doc_id long, at int, tags array<int>, features array<array<string>>"))
+             .mapInArrow(run, "doc_id long, at int, tags array<int>, between array<string>, found array<string>, key string, "
+                              "of_file array<string>"))
     # half of the sample with a secret, half without
     secret = F.exists("tags", lambda t: t > 0)
     samples = [r for part in (found.where(secret), found.where(~secret)) for r in
                part.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(most_chains // 2).collect()]
     if not any(any(r.tags) for r in samples):
         return None
-    return train([(r.features, r.tags) for r in samples])
-
-
-def spans_of(text: str, field: Field | None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the patterns' spans and of those that the field adds."""
-    found = base_spans(text)
-    if field is None:
-        return found
-    added, of_file, at = [], None, 0
-    for chain in chains(text):
-        of_file = of_file or file_features(text)
-        tags = field.best(chain_features(text, chain, of_file))
-        k = 0
-        while k < len(chain):
-            last = k
-            if tags[k] == B:
-                while last + 1 < len(chain) and tags[last + 1] == I:
-                    last += 1
-                a, b = chain[k][0], chain[last][1]
-                while at < len(found) and max(e for _, _, e in found[at:at + 1]) <= a:
-                    at += 1
-                if not any(s < b and a < e for s, _, e in found[max(0, at - 3):at + 8]):
-                    added.append((a, 3, b))
-            k = last + 1
-    return sorted(found + added)
+    return train([(chain_features(r.between, r.found, r.key, r.of_file), r.tags) for r in samples])
+
+
+class Rows(dict):
+    """Numbers of distinct strings, and a table with a row of figures of each."""
+
+    def __init__(self, row, width: int):
+        super().__init__()
+        self.row, self.width, self.table, self.chars = row, width, np.zeros((1024, width)), 0
+
+    def __missing__(self, what: str | None) -> int:
+        n = self[what] = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros(self.table.shape)])
+        self.table[n] = self.row(what)
+        self.chars += len(what or "")
+        return n
+
+    def figures(self, every: list) -> np.ndarray:
+        if len(self) > 300_000 or self.chars > 20_000_000:  # what is kept is bounded
+            self.clear()
+            self.table, self.chars = np.zeros((1024, self.width)), 0
+        numbers = np.fromiter(map(self.__getitem__, every), np.int64, len(every))
+        return self.table[numbers]
+
+
+class Tagger:
+    """Tags of the tokens of whole texts.  A feature belongs to a token, to what stands between two, to the
+    word before or to the file, so that their weights are added up once for each distinct one."""
+
+    CHARS = 1 << 20
+
+    def __init__(self, field: Field):
+        self.field, self.sure = field, field.sure()
+        self.keys = [*KEYWORDS, "none"]
+        self.by_key = np.array([[self.weight(key_features(k, a)) for a in (False, True)] for k in self.keys])
+        self.alone = np.array([self.weight(["left none"]), self.weight(["right none"])])
+        self.shapes: dict[tuple, list[float]] = {}  # there are few: their features are counts of buckets
+        # own weights, those as left and as right neighbour, key word (-1: no letter), length
+        self.tokens = Rows(self.token_row, 11)
+        # weights before and after a token, whether it assigns, whether a chain ends, length
+        self.gaps = Rows(self.gap_row, 9)
+
+    def weight(self, features: list[str]) -> np.ndarray:
+        return np.sum([self.field.weights.get(f, (0.0, 0.0, 0.0)) for f in features], axis=0)
+
+    def token_row(self, t: str) -> list[float]:
+        own, key = tuple(token_features(t)), key_of(t)
+        if own not in self.shapes:
+            self.shapes[own] = [*self.weight(["bias", *own]), *self.weight([f"left {own[0]}"]), *self.weight([f"right {own[0]}"])]
+        return [*self.shapes[own], -1 if key is None else self.keys.index(key), len(t)]
+
+    def gap_row(self, gap: str | None) -> list[float]:
+        return [*self.weight([f"before {side(gap and gap[-1:])}"]), *self.weight([f"after {side(gap and gap[:1])}"]),
+                assigns(gap), ends(gap), len(gap or "")]
+
+    def cuts(self, text: str) -> list[tuple[int, int]]:
+        """Parts of a long text that end with a chain; what stands between two is in both."""
+        out, begin = [], 0
+        while m := BREAK.search(text, begin + self.CHARS):
+            last, following = m.start(), TOKEN.search(text, m.end())
+            if not following:
+                break
+            while last > begin and not TOKEN.match(text[last - 1]):
+                last -= 1
+            out.append((begin, following.start()))
+            begin = last
+        return [*out, (begin, len(text))]
+
+    def tagged(self, parts: list[tuple[str, int, int]], of_files: list[list[str]], key: int) -> tuple[list[list[tuple[int, int]]], int]:
+        """Spans (from the start of the text) in each part (text, begin, end), and the key word after the last;
+        ``key`` is the one before each."""
+        gaps, found, sizes = [], [], []
+        for text, begin, end in parts:
+            g, f = split(text, begin, end)
+            gaps += g
+            found += f
+            sizes.append(len(f))
+        n, spans = len(found), [[] for _ in parts]
+        if not n:
+            return spans, key
+        sizes = np.array(sizes)
+        of = np.repeat(np.arange(len(parts)), sizes)
+        first = (np.cumsum(sizes) - sizes)[of]
+        at, token, gap = np.arange(n), self.tokens.figures(found), self.gaps.figures(gaps)
+        before, after = gap[at + of], gap[at + of + 1]
+        start = (at == first) | (before[:, 7] > 0)
+        # the last token with a letter before this one
+        seen = np.maximum.accumulate(np.where(token[:, 9] >= 0, at, -1))
+        last = np.concatenate([[-1], seen[:-1]])
+        word = np.where(last >= first, token[last, 9], key).astype(int)
+        e = token[:, :3] + before[:, :3] + after[:, 3:6] + self.by_key[word, before[:, 6].astype(int)]
+        e += np.array([self.weight(f) for f in of_files])[of]
+        left = np.concatenate([self.alone[:1], token[:-1, 3:6]])
+        right = np.concatenate([token[1:, 6:9], self.alone[1:]])
+        left[start] = self.alone[0]
+        right[:-1][start[1:]] = self.alone[1]
+        e += left + right
+        e[start, I] += FORBIDDEN
+        unsure = np.flatnonzero(e[:, O] - np.maximum(e[:, B], e[:, I]) <= self.sure)
+        starts = np.flatnonzero(start)
+        for c in np.unique(np.searchsorted(starts, unsure, "right") - 1):
+            a, b = int(starts[c]), int(starts[c + 1]) if c + 1 < len(starts) else n
+            tags = self.field.best_of(e[a:b])
+            if any(tags):
+                p = int(of[a])
+                text, begin, _ = parts[p]
+                k0 = int(first[a])
+                # where the tokens of the chain begin and end
+                lead = begin + int(gap[k0 + p:a + p, 8].sum() + token[k0:a, 10].sum())
+                own, size = token[a:b, 10].astype(int), before[a:b, 8].astype(int)
+                stop = lead + np.cumsum(own + size)
+                k = 0
+                while k < len(tags):
+                    end = k
+                    if tags[k] == B:
+                        while end + 1 < len(tags) and tags[end + 1] == I:
+                            end += 1
+                        x = int(stop[k] - own[k])
+                        while x and text[x - 1] in ".-":
+                            x -= 1
+                        spans[p].append((x, int(stop[end])))
+                    k = end + 1
+        final = int(seen[-1])
+        return spans, int(token[final, 9]) if final >= first[-1] else key
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """The spans of the field in every text, in order."""
+        out, none = [], len(self.keys) - 1
+        for i, j in slices(texts, self.CHARS):
+            if j - i == 1 and len(texts[i]) > self.CHARS:
+                of_file, key, every = file_features(texts[i]), none, []
+                for begin, end in self.cuts(texts[i]):
+                    got, key = self.tagged([(texts[i], begin, end)], [of_file], key)
+                    every += got[0]
+                out.append(every)
+            else:
+                out += self.tagged([(t, 0, len(t)) for t in texts[i:j]], [file_features(t) for t in texts[i:j]], none)[0]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(start, kind, end) of the patterns' spans and of those that the field adds."""
+        out = []
+        for t, more in zip(texts, self.spans(texts)):
+            found = base_spans(t)
+            if more:
+                # ends of the spans up to each one, so that the last before a place tells
+                begins, reach = [a for a, _, _ in found], list(np.maximum.accumulate([0, *(b for _, _, b in found)]))
+                found = sorted(found + [(a, 3, b) for a, b in more if reach[bisect_right(begins, b - 1)] <= a])
+            out.append(found)
+        return out
+
+
+def spans_in(texts: list[str], tagger: Tagger | None) -> list[list[tuple[int, int, int]]]:
+    return [base_spans(t) for t in texts] if tagger is None else tagger(texts)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -255,8 +471,9 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every text."""
 
     def run(batches):
+        tagger = field and Tagger(field)
         for batch in parts_of(batches):
-            every = [spans_of(t or "", field) for t in batch.column("text").to_pylist()]
+            every = spans_in(texts_of(batch), tagger)
             counts = [pa.array([sum(k == kind for _, k, _ in s) for s in every], pa.int64()) for kind in range(3)]
             sha = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in every]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(sha, pa.string()),
@@ -267,10 +484,10 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def mask(text: str, field: Field | None, by: str = "[SECRET]") -> str:
+def mask(text: str, spans: list[tuple[int, int, int]], by: str = "[SECRET]") -> str:
     """The text with every span replaced (overlapping spans by one mark)."""
     out, at = [], 0
-    for a, _, b in spans_of(text, field):
+    for a, _, b in spans:
         if b > at:
             if a >= at:
                 out += [text[at:a], by]
@@ -281,10 +498,14 @@ def mask(text: str, field: Field | None, by: str = "[SECRET]") -> str:
 def masked(docs: DataFrame, field: Field | None) -> DataFrame:
     """``docs`` with secrets masked in ``text`` (and ``n_chars`` counted again where a text changed)."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else mask(t, field))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = field and Tagger(field)
+        for texts in batches:
+            every = texts.tolist()
+            spans = spans_in([t or "" for t in every], tagger)
+            yield pd.Series([None if t is None else mask(t, s) for t, s in zip(every, spans)], dtype=object)
 
+    clean = F.pandas_udf(clean, "string")
     out = docs.withColumn("__clean", clean("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__clean").eqNullSafe(F.col("text")), F.col("n_chars"))
