@@ -9,8 +9,10 @@ A token is a run of ``A-Za-z0-9+/_`` with ``.`` and ``-`` inside, or a run of ot
 a chain is the tokens of a line or a sentence, however many.  What a token adds to the score of a tag is
 kept by distinct token; a chain in which no token can be worth a tag but O, whatever stands
 beside it, needs no Viterbi (``Tagger``).  The field is trained here, with the patterns' spans as
-labels, on a bounded sample: chains of ``most_documents`` documents in the order of
-a hash, at most ``most_chains`` of them, each cut to its first ``most_tokens`` tokens.
+labels, on a bounded sample of distinct chains of all rows, in the order of a hash: up to half of ``most_chains`` from
+every chain that touches a pattern's span, and as many others, one half of them with a digit: of each
+text the chain after a place and that of the first digit from there.  Of a longer chain, training
+sees a part of ``most_tokens`` tokens: around each secret, or the first.
 
 Defined results: null text is empty (no spans, the hash of an empty string); null ids and
 repeated rows are scanned as they come; without a secret in the sample, the field adds
@@ -20,8 +22,9 @@ nothing; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
+import json
 import re
+import zlib
 from bisect import bisect_right
 from typing import Iterator
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, slices, texts_of
+from .common import parts_of, slices, stage, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 TAGS = O, B, I = 0, 1, 2
@@ -274,39 +277,114 @@ def values(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def fit(docs: DataFrame, most_documents: int = 20_000, most_chains: int = 3000, most_tokens: int = 64) -> Field | None:
-    """Train the field on a bounded sample of ``docs(doc_id, text)``; None if it has no secret."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    # the sample is bounded, and so is what is broadcast
-    ids = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
+def widened(text: str, begin: int, end: int) -> tuple[int, int]:
+    """Both ends moved, over what stands between tokens, to the next token or the end of the text."""
+    while begin and not TOKEN.match(text[begin - 1]):
+        begin -= 1
+    following = TOKEN.search(text, end)
+    return begin, following.start() if following else len(text)
+
+
+def key_before(text: str, at: int) -> str:
+    """The key word before a place that no token goes over."""
+    size = 100
+    while True:
+        begin = max(0, at - size)
+        found = TOKEN.findall(text[begin:at])
+        for t in reversed(found[bool(begin):]):  # the first one may be cut
+            if key := key_of(t):
+                return key
+        if not begin:
+            return "none"
+        size *= 4
+
+
+def chains_between(text: str, begin: int):
+    """(begin, end) of the lines and sentences of a text from ``begin``, where one starts."""
+    for m in BREAK.finditer(text, begin):
+        yield begin, m.start()
+        begin = m.end()
+    yield begin, len(text)
+
+
+SECRET, DIGIT, OTHER = range(3)
+
+
+def candidates(text: str, most_tokens: int) -> list[tuple[int, str]]:
+    """(kind, what to train with as JSON) of the chains of a text that may be in the sample."""
+    known, of_file, places = values(text), file_features(text), set()
+    if known:
+        ahead = sorted(known)
+        for begin, end in chains_between(text, 0):
+            while ahead and ahead[0][1] <= begin:
+                ahead.pop(0)
+            if not ahead:
+                break
+            if ahead[0][0] < end:
+                places.add((begin, end))
+    # a place that the text gives; the chain after it, and that of the first digit from there
+    m = BREAK.search(text, zlib.crc32(text.encode()) % max(1, len(text)))
+    after = m.end() if m else 0
+    places.add(next(chains_between(text, after)))
+    if digit := re.compile("[0-9]").search(text, after):
+        places.add(next(c for c in chains_between(text, after) if c[1] > digit.start()))
+    out = []
+    for place in sorted(places):
+        begin, end = widened(text, *place)
+        between, found = split(text, begin, end)
+        tags = labels(between, found, [(a - begin, b - begin) for a, b in known])
+        key, at, seen = key_before(text, begin), 0, 0
+        while at < len(found):
+            # the part around the next secret, which starts with no token inside of one; without any, the first
+            first = next((k for k in range(at, len(tags)) if tags[k]), None)
+            if first is None and at:
+                break
+            first = max(at, first - most_tokens // 2) if first is not None else 0
+            while tags[first] == I:
+                first += 1
+            at = min(len(found), first + most_tokens)
+            for t in found[seen:first]:
+                key = key_of(t) or key
+            seen = first
+            kind = SECRET if any(tags[first:at]) else DIGIT if any(re.search("[0-9]", t) for t in found[first:at]) else OTHER
+            out.append((kind, json.dumps([between[first:at + 1], found[first:at], key, of_file, tags[first:at]])))
+    return out
+
+
+def fit(docs: DataFrame, most_chains: int = 3000, most_tokens: int = 64) -> Field | None:
+    """Train the field on a bounded sample of ``docs(doc_id, text)``; None if no text has a secret."""
+    most = {SECRET: most_chains // 2, DIGIT: most_chains // 4 + 1, OTHER: most_chains // 4 + 1}
 
     def run(batches):
+        # the first of each kind that this task has met, by hash
+        kept: dict[int, dict[str, int]] = {kind: {} for kind in most}
+
+        def cut(kind):
+            kept[kind] = dict(sorted(kept[kind].items(), key=lambda x: x[::-1])[:most[kind]])
+
         for batch in parts_of(batches):
-            rows = []
-            for row in batch.to_pylist():
-                text = row["text"] or ""
-                between, found = split(text)
-                tags, of_file, key = labels(between, found, values(text)), file_features(text), "none"
-                for a, b in chains(between, found):
-                    end = min(b, a + most_tokens)
-                    rows.append((row["doc_id"], a, tags[a:end], between[a:end + 1], found[a:end], key, of_file))
-                    for t in found[a:b]:
-                        key = key_of(t) or key
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names)
-
-    names, types = zip(*(("doc_id", pa.int64()), ("at", pa.int32()), ("tags", pa.list_(pa.int32())), ("between", pa.list_(pa.string())),
-                         ("found", pa.list_(pa.string())), ("key", pa.string()), ("of_file", pa.list_(pa.string()))))
-    found = (texts.join(F.broadcast(ids), "doc_id", "left_semi")
-             .mapInArrow(run, "doc_id long, at int, tags array<int>, between array<string>, found array<string>, key string, "
-                              "of_file array<string>"))
-    # half of the sample with a secret, half without
-    secret = F.exists("tags", lambda t: t > 0)
-    samples = [r for part in (found.where(secret), found.where(~secret)) for r in
-               part.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(most_chains // 2).collect()]
-    if not any(any(r.tags) for r in samples):
+            for text in texts_of(batch):
+                for kind, sample in candidates(text, most_tokens):
+                    kept[kind][sample] = int.from_bytes(hashlib.blake2b(sample.encode(), digest_size=7).digest())
+                    if len(kept[kind]) > 2 * most[kind]:
+                        cut(kind)
+        for kind in most:
+            cut(kind)
+        rows = [(kind, order, sample) for kind in most for sample, order in kept[kind].items()]
+        for k in range(0, len(rows), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 512]), (pa.int32(), pa.int64(), pa.string()))],
+                                             ["kind", "order", "sample"])
+
+    found = stage(docs.select(F.col("text").alias("text")).mapInArrow(run, "kind int, order long, sample string").distinct())
+    def first(kind, n):
+        rows = found.where(F.col("kind") == kind).orderBy("order", "sample").limit(n).collect()
+        return [(chain_features(*x), tags) for *x, tags in (json.loads(r.sample) for r in rows)]
+
+    secret = first(SECRET, most[SECRET])
+    if not secret:
         return None
-    return train([(chain_features(r.between, r.found, r.key, r.of_file), r.tags) for r in samples])
+    others = (len(secret) + 1) // 2
+    return train(secret + first(DIGIT, others) + first(OTHER, others))
 
 
 class Rows(dict):
@@ -366,12 +444,10 @@ class Tagger:
         """Parts of a long text that end with a chain; what stands between two is in both."""
         out, begin = [], 0
         while m := BREAK.search(text, begin + self.CHARS):
-            last, following = m.start(), TOKEN.search(text, m.end())
-            if not following:
+            last, following = widened(text, m.start(), m.end())
+            if following == len(text):
                 break
-            while last > begin and not TOKEN.match(text[last - 1]):
-                last -= 1
-            out.append((begin, following.start()))
+            out.append((begin, following))
             begin = last
         return [*out, (begin, len(text))]
 
