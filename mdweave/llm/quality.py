@@ -8,8 +8,10 @@ length of the text, becomes a probability by logistic calibration.
 Only rows whose ``crc32(doc_id as text) mod 4`` is not 2 are learned from: remainders 0 and
 1 give the dictionaries and remainder 3 the calibration.  Both use a bounded sample of
 labelled documents in the order of a hash (``most_documents`` of each label for the
-dictionaries, ``most_documents`` in all for the calibration), at most ``PIECES_PER_TEXT``
-evenly spaced pieces of each for the dictionaries.  Every text is scored as a whole.
+dictionaries, ``most_documents`` in all for the calibration).  Each dictionary learns from at most
+``most_pieces`` pieces: ``pieces_per_text`` evenly spaced ones of a text, the first of every text in the order
+of a hash before the second of any, so that every document counts before one counts twice.
+Every text is scored as a whole.
 
 Defined results: null and empty texts have difference 0; a null ``doc_id`` is scored and
 not held out; labels that are null, not 0 or 1, or contradict each other are left
@@ -20,6 +22,7 @@ exist; repeated rows are scored each; an empty table gives no row.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +33,6 @@ from pyspark.sql import functions as F
 from .common import parts_of
 
 PIECE = 1024
-PIECES_PER_TEXT = 16
-PIECES_PER_LABEL = 4000
 DICTIONARY_BYTES = 65536
 LEVEL = 3
 
@@ -112,8 +113,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000) -> Model:
-    """Learn the model from ``labels(doc_id, quality)`` of ``docs(doc_id, text)``."""
+def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, pieces_per_text: int = 16,
+        most_pieces: int = 4000) -> Model:
+    """Learn the model from ``labels(doc_id, quality)`` of ``docs(doc_id, text)``; the bounds are those of its sample."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where("doc_id is not null and quality in (0, 1)")
              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
@@ -130,16 +132,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000) -> Model
             rows = []
             for row in batch.to_pylist():
                 parts = pieces_of((row["text"] or "").encode())
-                at = np.unique(np.linspace(0, len(parts) - 1, PIECES_PER_TEXT).astype(int)) if parts else []
-                rows += [(row["quality"], row["hash"], int(i), parts[i]) for i in at]
+                at = [int(i) for i in np.unique(np.linspace(0, len(parts) - 1, pieces_per_text).astype(int))] if parts else []
+                # in an order that the text gives, so that the first piece is not always the start
+                at.sort(key=lambda i: (zlib.crc32(parts[i]), i))
+                rows += [(row["quality"], row["hash"], turn, i, parts[i]) for turn, i in enumerate(at)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                    zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["quality", "hash", "at", "piece"])
+                    zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["quality", "hash", "turn", "at", "piece"])
 
-    pieces = (sample.select("quality", "hash", "text").mapInArrow(cut, "quality int, hash long, at int, piece binary")
+    pieces = (sample.select("quality", "hash", "text").mapInArrow(cut, "quality int, hash long, turn int, at int, piece binary")
               .withColumn("order", F.xxhash64("hash", "at")))
-    found = [[bytes(r.piece) for r in pieces.where(F.col("quality") == q).orderBy("order", "hash", "at", "piece")
-              .limit(PIECES_PER_LABEL).collect()] for q in (0, 1)]
+    found = [[bytes(r.piece) for r in pieces.where(F.col("quality") == q).orderBy("turn", "order", "hash", "at", "piece")
+              .limit(most_pieces).collect()] for q in (0, 1)]
     if not all(found):
         return Model(constant=0.0 if found[0] else 1.0)
     model = Model(dictionary(found[1]), dictionary(found[0]))

@@ -272,6 +272,22 @@ def test_quality(spark, empty):
     assert quality.scored(docs.where("doc_id > 99999"), model).count() == 0
 
 
+def test_quality_learns_from_every_document_first(spark, monkeypatch):
+    """With fewer pieces than the long documents have, each document gives one before any gives two."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 < 2]
+    docs = spark.createDataFrame([(i, f"<{i:04d}> " * 3000) for i in ids], "doc_id long, text string")
+    table = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    learned = []
+    monkeypatch.setattr(quality, "dictionary", lambda pieces: learned.append(pieces) or b"".join(pieces)[:4096])
+    few = min(sum(i % 2 == q for i in ids) for q in (0, 1))
+    quality.fit(docs, table, pieces_per_text=8, most_pieces=few)
+    for pieces in learned:
+        assert len(pieces) == few == len({re.search(rb"<(\d{4})>", p)[1] for p in pieces})
+    learned.clear()
+    quality.fit(docs, table, pieces_per_text=2, most_pieces=10000)
+    assert [len(p) for p in learned] == [2 * sum(i % 2 == q for i in ids) for q in (1, 0)]
+
+
 KINDS = [(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A),
          (r"AKIA[A-Z0-9]+", 0), (r"[0-9a-f]+", 0)]
 
