@@ -15,7 +15,8 @@ Every text is scored as a whole.
 
 Defined results: null and empty texts have difference 0; a null ``doc_id`` is scored and
 not held out; labels that are null, not 0 or 1, or contradict each other are left
-out; if one of the labels is missing from the sample, every score is 1.0, or 0.0 if only bad ones
+out; an id that repeats calibrates once, by the text of the smallest hash, and its copies give
+their pieces once; if one of the labels is missing from the sample, every score is 1.0, or 0.0 if only bad ones
 exist; repeated rows are scored each; an empty table gives no row.
 """
 
@@ -141,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, pieces_p
                     zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["quality", "hash", "turn", "at", "piece"])
 
     pieces = (sample.select("quality", "hash", "text").mapInArrow(cut, "quality int, hash long, turn int, at int, piece binary")
+              .distinct()  # copies under one id count once
               .withColumn("order", F.xxhash64("hash", "at")))
     found = [[bytes(r.piece) for r in pieces.where(F.col("quality") == q).orderBy("turn", "order", "hash", "at", "piece")
               .limit(most_pieces).collect()] for q in (0, 1)]
@@ -148,7 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, pieces_p
         return Model(constant=0.0 if found[0] else 1.0)
     model = Model(dictionary(found[1]), dictionary(found[0]))
     held = known.where(F.col("part") == 3).orderBy("hash", "doc_id").limit(most_documents)
-    rows = differences(texts.join(F.broadcast(held), "doc_id"), model, ["quality"]).collect()
+    # one row of each id, so that the rows are bounded as the ids are
+    rows = (differences(texts.join(F.broadcast(held), "doc_id").withColumn("text_hash", F.xxhash64("text")), model,
+                        ["doc_id", "quality", "text_hash"])
+            .groupBy("doc_id", "quality").agg(F.min(F.struct("text_hash", "difference")).alias("least"))
+            .select("doc_id", "quality", "least.difference").orderBy("doc_id").collect())
     y = np.array([r.quality for r in rows], float)
     if len(set(y)) < 2:  # too few to calibrate: one half at no difference
         return Model(model.good, model.bad, 50.0, 0.0)

@@ -288,6 +288,21 @@ def test_quality_learns_from_every_document_first(spark, monkeypatch):
     assert [len(p) for p in learned] == [2 * sum(i % 2 == q for i in ids) for q in (1, 0)]
 
 
+def test_quality_counts_an_id_once(spark, monkeypatch):
+    """An id that repeats in most rows, with one text or with several, weighs as much as any other."""
+    random = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(random.choice(["tion", "er", "the", "an"], 3)) for _ in range(n))
+    rows = [(i, words(60) if i % 2 else words(60).upper().replace(" ", "!! ")) for i in range(120)]
+    often = next(i for i in range(120) if zlib.crc32(str(i).encode()) % 4 == 3)
+    table = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    used = []
+    monkeypatch.setattr(quality, "logistic", lambda x, y: used.append(len(x)) or (float(x.sum()), 0.0))
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), table)
+    copies = quality.fit(spark.createDataFrame(rows + [rows[often]] * 300, "doc_id long, text string"), table)
+    quality.fit(spark.createDataFrame(rows + [(often, words(5)) for _ in range(300)], "doc_id long, text string"), table)
+    assert used == [sum(zlib.crc32(str(i).encode()) % 4 == 3 for i, _ in rows)] * 3 and copies == once
+
+
 KINDS = [(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A),
          (r"AKIA[A-Z0-9]+", 0), (r"[0-9a-f]+", 0)]
 
