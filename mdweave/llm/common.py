@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import types
 import uuid
@@ -102,6 +103,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "group
     return spread.unionByName(others)
 
 
+def rounds_of(shards: DataFrame, keys: list[str], image: str, most_bytes: int) -> tuple[DataFrame, int]:
+    """``shards`` with the number of the round that broadcasts each, and how many rounds there
+    are; the images of a round have at most ``most_bytes`` in all, or it holds one shard."""
+    size = F.length(image) + 100
+    n = max(1, math.ceil((shards.agg(F.sum(size)).first()[0] or 0) / most_bytes))
+    while True:
+        dealt = shards.withColumn("round", F.pmod(F.xxhash64(*keys, F.lit("round")), F.lit(n)).cast("int"))
+        worst = dealt.groupBy("round").agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).where("n > 1").agg(F.max("bytes")).first()[0]
+        if (worst or 0) <= most_bytes:
+            return dealt, n
+        n *= 2
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``edges(a long, b long)``.
 

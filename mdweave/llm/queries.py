@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load_table
-from . import bpe_codec, embedding_join, exact_dedup, packing, quality, secret_crf, simhash, token_counts, token_files, warc_zip
+from . import bpe_codec, divergence, embedding_join, exact_dedup, packing, quality, secret_crf, simhash, spelling, token_counts
+from . import token_files, warc_zip
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +57,17 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_round_trip(load_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load_table(spark, sf_dir, "documents"), least_length=7, least_count=2, times=10, one_in=31)
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load_table(spark, sf_dir, "documents"), least_documents=3, top=200)
+
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_embedding_dedup, op4_best_fit_packing,
                                    op5_exact_dedup, op6_quality, op7_simhash_dedup, op8_secret_crf,
-                                   op9_token_counts, op10_warc_zip)}
+                                   op9_token_counts, op10_warc_zip, op11_spelling_variants, op13_divergence_audit)}
 
 #: The others need a tokenizer, xxHash, a trained model or files, which SQL doesn't have;
 #: tests/llm holds them against brute force.
@@ -100,4 +109,69 @@ SELECT page_id, strlen(t) AS payload_bytes,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM b""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], repeat([0], 8)), lambda c, x:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(concat(doc_id::VARCHAR, ':', run), ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM own),
+h AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)])), 4294967295) AS h
+  FROM bytes, crc_table),
+spelled AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+edits AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+shorter AS (SELECT DISTINCT word, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS near FROM edits),
+holes AS (SELECT word, left(word, (i - 1)::INT) || '_' || substr(word, (i + 1)::INT) AS hole FROM edits),
+pairs AS (
+  SELECT s.word AS a, w.word AS b FROM shorter s JOIN w ON w.word = s.near
+  UNION SELECT w.word, s.word FROM shorter s JOIN w ON w.word = s.near
+  UNION SELECT x.word, y.word FROM holes x JOIN holes y ON x.hole = y.hole AND x.word <> y.word),
+best AS (
+  SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS near, max(w.n) AS near_n FROM pairs JOIN w ON w.word = b GROUP BY a),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+path AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN path p USING (word) JOIN forms last ON last.word = p.at WHERE last.form IS NULL""",
+    "op13_divergence_audit": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+own AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(own.total, 0) + v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+  LEFT JOIN own ON own.lang = g.lang AND own.source = g.source),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 1)::HUGEINT) // (sum(sum(n)) OVER (PARTITION BY lang) + v)::HUGEINT AS q
+  FROM c JOIN sizes USING (lang) GROUP BY lang, term, v),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
