@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load_table
-from . import bpe_codec, divergence, embedding_join, exact_dedup, packing, quality, secret_crf, simhash, spelling, token_counts
-from . import token_files, warc_zip
+from . import bpe_codec, divergence, embedding_join, exact_dedup, packing, pii, quality, secret_crf, simhash, spelling
+from . import token_counts, token_files, warc_zip
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(load_table(spark, sf_dir, "documents"), least_length=7, least_count=2, times=10, one_in=31)
 
 
+def op12_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load_table(spark, sf_dir, "documents"), least_documents=3, top=200)
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_embedding_dedup, op4_best_fit_packing,
                                    op5_exact_dedup, op6_quality, op7_simhash_dedup, op8_secret_crf,
-                                   op9_token_counts, op10_warc_zip, op11_spelling_variants, op13_divergence_audit)}
+                                   op9_token_counts, op10_warc_zip, op11_spelling_variants, op12_pii_crf, op13_divergence_audit)}
 
 #: The others need a tokenizer, xxHash, a trained model or files, which SQL doesn't have;
 #: tests/llm holds them against brute force.

@@ -11,10 +11,10 @@ TABLES = {3: "embeddings", 10: "pages"}
 
 def test_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
-@pytest.mark.parametrize("number", [n for n in range(1, 11) if n != 4])
+@pytest.mark.parametrize("number", [n for n in range(1, 14) if n not in (4, 11, 13)])
 def test_one_row_per_row(spark, number):
     name = next(n for n in E.queries() if n.startswith(f"op{number}_"))
     rows = spark.read.parquet(f"{SF}/{TABLES.get(number, 'documents')}.parquet").count()
