@@ -12,7 +12,10 @@ beside it, needs no Viterbi (``Tagger``).  The field is trained here, with the p
 labels, on a bounded sample of distinct chains of all rows, in the order of a hash: up to half of ``most_chains`` from
 every chain that touches a pattern's span, and as many others, one half of them with a digit: of each
 text the chain after a place and that of the first digit from there.  Of a longer chain, training
-sees a part of ``most_tokens`` tokens: around each secret, or the first.
+sees a part of ``most_tokens`` tokens: around each secret, or the first; of a secret with more tokens, what
+is left behind the part is skipped.  The patterns' matches are all alike, so each of the others is also seen with
+a secret that no pattern has put in (``invented``: other alphabets, several tokens, other key words or none),
+and with ordinary text beside such words (``ordinary``).
 
 Defined results: null text is empty (no spans, the hash of an empty string); null ids and
 repeated rows are scanned as they come; without a secret in the sample, the field adds
@@ -308,6 +311,7 @@ def chains_between(text: str, begin: int):
 
 
 SECRET, DIGIT, OTHER = range(3)
+LEAST_OTHERS = 200  # chains of either other kind, if there are so many, however few have a secret
 
 
 def candidates(text: str, most_tokens: int) -> list[tuple[int, str]]:
@@ -340,8 +344,10 @@ def candidates(text: str, most_tokens: int) -> list[tuple[int, str]]:
             if first is None and at:
                 break
             first = max(at, first - most_tokens // 2) if first is not None else 0
-            while tags[first] == I:
+            while first < len(tags) and tags[first] == I:  # the rest of a secret that was too long for the part before
                 first += 1
+            if first == len(tags):
+                break
             at = min(len(found), first + most_tokens)
             for t in found[seen:first]:
                 key = key_of(t) or key
@@ -351,6 +357,64 @@ def candidates(text: str, most_tokens: int) -> list[tuple[int, str]]:
     return out
 
 
+def invented(random: np.random.Generator) -> tuple[str, str, str]:
+    """What stands before a secret, a secret that no pattern has, and what stands behind it."""
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    letters = lower + lower.upper()
+
+    def some(alphabet, least, most):
+        return "".join(random.choice(list(alphabet), random.integers(least, most)))
+
+    strong = [some(letters + digits, 16, 41), some(lower + digits, 16, 41), some(lower.upper() + digits, 16, 33), some(digits + "abcdef", 16, 24),
+              some(letters + digits, 12, 30) + some("+/", 1, 3) + some(letters + digits, 8, 20) + "==",
+              "-".join(some(letters + digits, 5, 9) for _ in range(4)), " ".join(some(digits + "abcdef", 4, 5) for _ in range(6)),
+              ":".join(some(digits + "ABCDEF", 4, 5) for _ in range(6)), " ".join(some(lower.upper() + digits, 5, 6) for _ in range(5))]
+    weak = [some(letters, 16, 33), some(lower, 18, 33), some(lower.upper(), 16, 33)]
+    word = str(random.choice(["auth", "Auth", "pwd", "PWD", "pass", "key", "access key", "private_key", "bearer", "Bearer", "user pass", "AUTH"]))
+    quote = str(random.choice(["", "", '"', '"', "'", "`"]))
+    if random.random() < 0.2:  # by itself
+        return quote, str(random.choice(strong)), quote
+    value = str(random.choice(strong if random.random() < 0.6 else weak))
+    mark = " " if word.lower() == "bearer" else str(random.choice([" = ", ": ", "=", ":", " := "]))
+    return word + mark + quote, value, quote
+
+
+def ordinary(random: np.random.Generator) -> str:
+    """Key words, marks and quotes with no secret."""
+    n = lambda a, b: int(random.integers(a, b))
+    word = str(random.choice(["key", "pass", "auth", "login", "bearer", "credential", "pwd", "password", "secret", "token"]))
+    plain = str(random.choice(["something", "Something", "standard", "the first one", "on", "none", "international", "responsibilities", "see below"]))
+    return str(random.choice([f"the {word} of", f"{word} {plain}", f'title = "{plain}"', f"name: {plain}", f"{n(1, 32)}.{n(1, 13)}.{n(1900, 2100)}",
+                              f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}", f"no. {n(1, 10**8)}", f"+1 ({n(100, 1000)}) 555-{n(1000, 10000)}", f"{n(10**15, 10**16)}",
+                              f"https://example{n(1, 10)}.org/{plain.replace(' ', '-')}/{n(1, 1000)}", f"v{n(1, 10)}.{n(0, 10)}.{n(0, 10)}", f"'{plain}'",
+                              f"{n(1, 256)}.{n(1, 256)}.{n(1, 256)}.{n(1, 256)}", f"user{n(1, 100)}@mail.example.com", f"{plain} = {n(1, 1000)}",
+                              f"color: #{n(0, 2**24):06x}", f"{word}: {plain}" if len(plain) < 6 else f"{word}s"]))
+
+
+def put_in(between: list[str | None], found: list[str], key: str, of_file: list[str], before: str, what: str, after: str,
+           secret: bool, random: np.random.Generator) -> tuple[list[list[str]], list[int]]:
+    """(features, tags) of a chain without secrets with ``what`` between two of its tokens."""
+    at = int(random.integers(0, len(found) + 1))
+    left = "".join((g or "") + t for g, t in zip(between[:at], found[:at]))
+    left += (between[at] or " ") if at else ""
+    right = "".join(t + (g or "") for t, g in zip(found[at:], between[at + 1:]))
+    start = len(left) + len(before)
+    gaps, tokens = split(f"{left}{before}{what}{after}{' ' if right else ''}{right}")
+    tags = labels(gaps, tokens, [(start, start + len(what))] if secret else [])
+    return chain_features(gaps, tokens, key, of_file), tags
+
+
+def with_more(others: list[tuple], seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
+    """Chains without secrets, each also with a secret and with ordinary text put in."""
+    random, out = np.random.default_rng(seed), []
+    for between, found, key, of_file, tags in others:
+        out.append((chain_features(between, found, key, of_file), tags))
+        if not any(tags):
+            out.append(put_in(between, found, key, of_file, *invented(random), True, random))
+            out.append(put_in(between, found, key, of_file, "", ordinary(random), "", False, random))
+    return out
+
+
 def fit(docs: DataFrame, most_chains: int = 3000, most_tokens: int = 64) -> Field | None:
     """Train the field on a bounded sample of ``docs(doc_id, text)``; None if no text has a secret."""
     most = {SECRET: most_chains // 2, DIGIT: most_chains // 4 + 1, OTHER: most_chains // 4 + 1}
@@ -377,14 +441,13 @@ def fit(docs: DataFrame, most_chains: int = 3000, most_tokens: int = 64) -> Fiel
 
     found = stage(docs.select(F.col("text").alias("text")).mapInArrow(run, "kind int, order long, sample string").distinct())
     def first(kind, n):
-        rows = found.where(F.col("kind") == kind).orderBy("order", "sample").limit(n).collect()
-        return [(chain_features(*x), tags) for *x, tags in (json.loads(r.sample) for r in rows)]
+        return [json.loads(r.sample) for r in found.where(F.col("kind") == kind).orderBy("order", "sample").limit(n).collect()]
 
     secret = first(SECRET, most[SECRET])
     if not secret:
         return None
-    others = (len(secret) + 1) // 2
-    return train(secret + first(DIGIT, others) + first(OTHER, others))
+    others = max(LEAST_OTHERS, (len(secret) + 1) // 2)
+    return train([(chain_features(*x), tags) for *x, tags in secret] + with_more(first(DIGIT, others) + first(OTHER, others)))
 
 
 class Rows(dict):
