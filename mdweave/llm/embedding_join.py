@@ -6,7 +6,9 @@ sorted by the cells of a grid of that size over these dimensions and cut into
 sequences.  Two sequences are joined only if their leading cells touch and their
 bounding boxes are near enough; the join halves both intervals again and again,
 leaves out pairs of intervals that are provably too far apart, and compares the rest
-by matrix products in double precision.
+by matrix products in double precision.  Sequences travel in blocks of ``BLOCK``, so that one of them goes once to
+each block that it meets.  Every vector is scaled by a power of two first, which is exact and keeps its cosines, so
+that no square or product overflows or vanishes.
 
 Equal vectors are one class with a weight, and a pair of sequences gives link counts
 and a spanning forest, so a large group of copies is never written as pairs.
@@ -28,9 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_groups, shuffle_partitions, stage
+from .common import connected_components, join_groups, parts_of, shuffle_partitions, stage
 
 SEQUENCE = 2048
+BLOCK = 4
 LEAF = 256
 SAMPLE = 4096  # vectors that the principal dimensions are fitted on
 
@@ -47,8 +50,8 @@ def keyed(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
                     x = v.values.to_numpy(zero_copy_only=False) + 0.0  # -0.0 becomes 0.0
                     if not (len(x) and np.isfinite(x).all() and x.any()):
                         x = None
-                data.append(x.tobytes() if x is not None else None)
-                keys.append(hashlib.sha256(b"%d:" % k + data[-1]).digest() if x is not None else None)
+                data.append(scaled(x).tobytes() if x is not None else None)
+                keys.append(hashlib.sha256(b"%d:" % k + x.tobytes()).digest() if x is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"),
                                               pa.array(keys, pa.binary()), pa.array(data, pa.binary())],
                                              ["vec_id", "label", "key", "data"])
@@ -58,6 +61,11 @@ def keyed(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
     return rows.mapInArrow(run, "vec_id long, label long, key binary, data binary")
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """By a power of two, so that the largest component is from 0.5 to 1."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
 def unit(data) -> np.ndarray:
     x = np.frombuffer(data, "<f8")
     x = x / np.abs(x).max()
@@ -186,17 +194,24 @@ def linked_classes(classes: DataFrame, least: float, leading: int) -> DataFrame:
     left = sequences.select(F.col("number").alias("a"), "label", "size",
                             F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)).alias("cell"))
     right = sequences.select(F.col("number").alias("b"), "label", "size", F.explode(F.sequence("low", "high")).alias("cell"))
-    pairs = stage(left.join(right, ["label", "size", "cell"]).where("a <= b").select("a", "b").distinct())
+    block = lambda c: F.expr(f"shiftright({c}, 32) div {BLOCK}")
+    pairs = stage(left.join(right, ["label", "size", "cell"]).where("a <= b").select("a", "b").distinct()
+                  .withColumn("i", block("a")).withColumn("j", block("b")))
     parts = ["classes", "weights", "data", "boxes"]
+    kind = {"classes": "<i8", "weights": "<i8", "data": "<f8", "boxes": "<f8"}
 
     def compare(batches):
-        for batch in batches:
+        blocks, held = None, {}
+        for batch in parts_of(batches, 4):
             for row in batch.to_pylist():
-                same = row["a"] == row["b"]
-                kind = {"classes": "<i8", "weights": "<i8", "data": "<f8", "boxes": "<f8"}
-                (ci, wi, xi, bi), (cj, wj, xj, bj) = ([np.frombuffer(row[f"{p}_{s}"], kind[p]) for p in parts] for s in "ab")
-                xi, xj = xi.reshape(len(ci), -1), xj.reshape(len(cj), -1)
-                bi, bj = bi.reshape(len(ci), -1), bj.reshape(len(cj), -1)
+                if blocks != (row["i"], row["j"]):
+                    blocks, held = (row["i"], row["j"]), {}
+                if row["a"] is None:
+                    c, *others = (np.frombuffer(row[p], kind[p]) for p in parts)
+                    held[row["number"]] = (c, others[0], *(x.reshape(len(c), -1) for x in others[1:]))
+                    continue
+                same = row["a"] == row["number"]
+                (ci, wi, xi, bi), (cj, wj, xj, bj) = held[row["a"]], held[row["number"]]
                 joined = SequenceJoin(xi, xj, wi, wj, bi, bj, eps, least, same)
                 joined.join(0, len(ci), 0, len(cj))
                 every = ci if same else np.r_[ci, cj]
@@ -208,9 +223,14 @@ def linked_classes(classes: DataFrame, least: float, leading: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())],
                                                  ["a", "b", "links"])
 
-    side = lambda s: sequences.select(F.col("number").alias(s), *(F.col(p).alias(f"{p}_{s}") for p in parts))
-    tasks = max(shuffle_partitions(spark), math.ceil(pairs.count() / 4))
-    return (pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", "b")
+    # what meets: the sequences of two blocks, then the pairs of them
+    meetings = stage(pairs.select("i", "j").distinct())
+    needed = meetings.select("i", "j", F.col("i").alias("block")).unionByName(meetings.where("i <> j").select("i", "j", F.col("j").alias("block")))
+    placed = sequences.withColumn("block", block("number")).join(needed, "block").select(
+        "i", "j", F.lit(None).cast("long").alias("a"), "number", *parts)
+    rows = placed.unionByName(pairs.select("i", "j", "a", F.col("b").alias("number"), *(F.lit(None).cast("binary").alias(p) for p in parts)))
+    tasks = max(shuffle_partitions(spark), meetings.count())
+    return (rows.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", F.col("a").asc_nulls_first())
             .mapInArrow(compare, "a long, b long, links long"))
 
 

@@ -376,6 +376,8 @@ def invented(random: np.random.Generator) -> tuple[str, str, str]:
         return quote, str(random.choice(strong)), quote
     value = str(random.choice(strong if random.random() < 0.6 else weak))
     mark = " " if word.lower() == "bearer" else str(random.choice([" = ", ": ", "=", ":", " := "]))
+    if random.random() < 0.3:  # a word of the patterns, with what they don't expect behind it
+        word, mark = str(random.choice(["token", "secret", "password", "passwd", "api key"])), str(random.choice([" is ", " -> ", ' ("', "; "]))
     return word + mark + quote, value, quote
 
 

@@ -17,6 +17,8 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -240,6 +242,26 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_join.embedding_components(table.where("vec_id > 9999")).count() == 0
 
 
+def test_embeddings_of_all_magnitudes(spark):
+    """Cosines don't depend on lengths, from the smallest numbers of double precision to the largest."""
+    random = np.random.default_rng(8)
+    rows = [([1e200, 2e200], 1), ([1e200, 2.0001e200], 1), ([1e-200, 0.0], 1), ([0.1, 1.0], 1), ([5e-324, 1e-323], 1), ([1e308, -1.7e308], 1)]
+    centres = random.normal(size=(8, 4))
+    for k in range(200):
+        rows.append((((centres[k % 8] + random.normal(size=4) * 0.1) * 10.0 ** random.integers(-300, 300)).tolist(), k % 2))
+    unit = []
+    for v, _ in rows:
+        m = max(map(abs, v))
+        x = np.array([a / m for a in v])
+        unit.append(x / np.linalg.norm(x))
+    links = [sum(j != k and w[1] == rows[k][1] and len(w[0]) == len(rows[k][0]) and unit[j] @ unit[k] >= 0.98 for j, w in enumerate(rows))
+             for k in range(len(rows))]
+    table = spark.createDataFrame([(k, v, label) for k, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.embedding_components(table, 0.98, leading=3).collect()}
+    assert [got[k][0] for k in range(len(rows))] == links and sum(links) > 100
+    assert got[0] == got[1] == (links[0], 0) and got[2][0] == 0
+
+
 def test_quality(spark, empty):
     random = np.random.default_rng(1)
     parts = ["tion", "er", "the", "an", "re", "on", "is", "at"]
@@ -456,6 +478,44 @@ def test_secret_candidates():
     assert secret_crf.key_before("a token " + "1 " * 500, 1008) == "token" and secret_crf.key_before("12 ", 3) == "none"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token=", "password: ", "ab=", "x.y=", CODE, " ", "\n", ". ", "word ", "é", "1", "AKIA" + "Q" * 20, '"', "="]),
+                max_size=60), st.integers(1, 12))
+def test_secret_candidates_of_any_text(parts, most_tokens):
+    """Also where a secret has more tokens than a part, with and without text behind it."""
+    for _, sample in secret_crf.candidates("".join(parts), most_tokens):
+        between, found, key, of_file, tags = json.loads(sample)
+        assert len(between) == len(found) + 1 and len(tags) == len(found) <= most_tokens and (not tags or tags[0] != secret_crf.I)
+
+
+def test_secret_longer_than_a_part(spark):
+    long = "token=" + "ab=" * 200
+    rows = [(1, long), (2, "plain text"), (3, f"{long} and more {CODE} behind"), (4, None), (5, ""), (6, "=" * 70)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_crf.scan(table, secret_crf.fit(table)).collect()}
+    assert got[1] == f"assign:0:{len(long)}" and got[2] == "" and got[3].count(":") == 4
+
+
+def test_secrets_that_no_pattern_has(spark):
+    """Held out: other documents, key words that training hasn't seen; letters, digits and several tokens."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = secret_crf.Tagger(secret_crf.fit(docs.where("doc_id < 500")))
+    texts = [r.text[:500] for r in docs.where("doc_id >= 500").orderBy("doc_id").select("text").collect()]
+    texts = [t for t in texts if len(t) > 300 and not secret_crf.base_spans(t)]
+    random, hits = np.random.default_rng(6), []
+    for k, t in enumerate(texts):
+        before, value, after = secret_crf.invented(random)
+        before = 'login = "' if k % 2 else "credential: "
+        at = t.rfind(" ", 0, 250) + 1
+        place = at + len(before)
+        spans = tagger([f'{t[:at]}{before}{value}{'"' if k % 2 else ""} {t[at:]}'])[0]
+        hits.append(any(a < place + len(value) and place < b for a, _, b in spans))
+    assert np.mean(hits) > 0.9
+    assert sum(any(k == 3 for _, k, _ in s) for s in tagger(texts)) <= len(texts) // 100
+    words = {len(t) for t in tagger(['x login: "a1b2 c3d4 e5f6 0718 29ab cdef" y'])[0]}
+    assert words == {3}  # one span of several tokens
+
+
 def test_token_counts(docs, empty):
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
