@@ -4,9 +4,13 @@ A11), previews (T2-T4), apply (S6) and manifest upsert (U1-U4, A9, A10).
 Manifest data model (long form, so that no install's file list is ever one
 array row or one task):
 
-installs       (collection, pos, source_url, source_label, layout, path_prefix)
-managed_files  (collection, source_url, path)
-selected_urls  (collection, source_url, url, ord)
+installs       (collection, pos, source_url, source_label, layout, path_prefix, source)
+managed_files  (collection, pos, source_url, path)
+selected_urls  (collection, pos, source_url, url, ord STRUCT<line_pos, match_pos>)
+
+An install is ``(collection, pos)``, its place in the manifest, also in its lists: a source may have
+several installs, and an install needs no source URL.  ``source`` is its source record as JSON text, with
+fields that nothing here reads.
 
 A run of many sources is described by
 
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SRC = ["collection", "source_url"]
+INSTALL = ["collection", "pos"]
+ORD = "struct<line_pos:bigint,match_pos:int>"
 
 
 def same_source(installs: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def select_previous(entries: DataFrame, installs: DataFrame, selected_urls: Data
     Left join with the (small per source) selection, a per-source flag computed
     by aggregation, no window over a whole source.
     """
-    prev = (selected_urls.join(same_source(installs).select(*SRC), SRC, "left_semi")
+    prev = (selected_urls.join(same_source(installs).select(*INSTALL), INSTALL, "left_semi")
             .select(*SRC, "url").distinct().withColumn("__hit", F.lit(True)))
     marked = entries.join(prev, SRC + ["url"], "left")
     per_src = (marked.groupBy(*SRC)
@@ -81,12 +87,16 @@ def select_explicit(entries: DataFrame, chosen: DataFrame) -> DataFrame:
     return entries.join(chosen.select(*SRC, "url").distinct(), SRC + ["url"], "left_semi")
 
 
+def managed_paths(installs: DataFrame, managed_files: DataFrame) -> DataFrame:
+    """(collection, source_url, path) of the files of each source's (first) install."""
+    first = same_source(installs).select(*INSTALL)
+    return managed_files.join(first, INSTALL, "left_semi").select(*SRC, "path").distinct()
+
+
 def readable_managed(installs: DataFrame, managed_files: DataFrame, corpus: DataFrame) -> DataFrame:
     """Managed paths of the current install of each source that exist in the
     corpus: (collection, source_url, path, old_sha)."""
-    cur = same_source(installs).select(*SRC)
-    managed = managed_files.join(cur, SRC, "left_semi").select(*SRC, "path").distinct()
-    return managed.join(corpus.select("collection", "path", F.col("content_sha").alias("old_sha")),
+    return managed_paths(installs, managed_files).join(corpus.select("collection", "path", F.col("content_sha").alias("old_sha")),
                         ["collection", "path"], "inner")
 
 
@@ -118,9 +128,7 @@ def install_plan(fetched: DataFrame, installs: DataFrame, managed_files: DataFra
            .select(*SRC, "path", "change"))
     facts = run_facts(fetched, installs)
     gate = facts.filter(F.col("same_source") & (F.col("failures") == 0)).select(*SRC)
-    cur = same_source(installs).select(*SRC)
-    managed = managed_files.join(cur, SRC, "left_semi").select(*SRC, "path").distinct()
-    removed = (managed.join(gate, SRC, "left_semi")
+    removed = (managed_paths(installs, managed_files).join(gate, SRC, "left_semi")
                .join(docs.select(*SRC, "path"), SRC + ["path"], "left_anti")
                .withColumn("change", F.lit("removed")))
     return nxt.unionByName(removed)
@@ -175,57 +183,54 @@ def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary:
 
 
 def normalised(installs: DataFrame) -> DataFrame:
-    """U4 on install rows: layout 'flat' or 'nested', prefix default ''."""
+    """U4 on install rows: layout 'flat' or 'nested', prefix default '', source default {}."""
     layout = F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested"))
     return installs.select(*SRC, "pos", "source_label", layout.alias("layout"),
-                           F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
+                           F.coalesce("path_prefix", F.lit("")).alias("path_prefix"), F.coalesce("source", F.lit("{}")).alias("source"))
 
 
 def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls: DataFrame,
                     fetched: DataFrame, selected: DataFrame, summary: DataFrame,
                     run_sources: DataFrame):
     """U1-U4 (U3 = the upsert itself), A9, A10 in long form.  Returns
-    (installs, managed_files, selected_urls).
+    (installs, managed_files, selected_urls), which the next run takes as they are.
 
-    * a source that ran (and is not up to date) replaces its install in place
-      (same ``pos``) or is appended after the last position in ``seq`` order;
+    * a source that ran (and is not up to date) replaces every install it has, in place
+      (all get the run's lists), or is appended after the last position in ``seq`` order;
     * managed files: the run's paths, or with failures the distinct union with
-      the previous list (U1);
+      the list of the source's first install (U1);
     * selected URLs: all selected entries in entry order, failed ones included;
-    * all other installs are kept, normalised (layout 'flat' or 'nested',
-      prefix default '', distinct lists).  Duplicate install records of one
-      source collapse to the first (documented deviation); installs without a
-      source URL are kept, each with its place, and so are their lists.
+    * all other installs are kept, normalised (layout 'flat' or 'nested', prefix default '', distinct lists),
+      each with its place and its own lists, repeated and nameless ones too.
 
     ``run_sources``: (collection, source_url, source_label, layout, path_prefix, seq).
     """
+    from .paths import numbered_within
+
     active = summary.filter(~F.col("up_to_date")).select(*SRC, "failures")
-    runs = run_sources.join(active, SRC, "inner")
-    cur = same_source(installs)
-    norm = normalised(cur)
-    nameless = normalised(installs.filter(F.col("source_url").isNull()))
-    kept = norm.join(runs.select(*SRC), SRC, "left_anti")
-    replaced = runs.join(cur.select(*SRC, "pos"), SRC, "inner")
+    record = F.to_json(F.struct(F.col("source_label").alias("label"), F.col("source_url").alias("url")))
+    runs = run_sources.join(active, SRC, "inner").withColumn("source", record)
+    kept = normalised(installs).join(runs.select(*SRC), SRC, "left_anti")
+    replaced = runs.join(installs.select(*INSTALL, "source_url"), SRC, "inner")
     last = installs.groupBy("collection").agg(F.max("pos").alias("__last"))
-    wnew = Window.partitionBy("collection").orderBy("seq", "source_url")
-    appended = (runs.join(cur.select(*SRC), SRC, "left_anti").join(last, "collection", "left")
-                .withColumn("pos", F.coalesce("__last", F.lit(-1)) + F.row_number().over(wnew))
-                .drop("__last"))
-    cols = SRC + ["pos", "source_label", "layout", "path_prefix"]
-    new_installs = kept.unionByName(nameless).select(*cols).unionByName(replaced.select(*cols)).unionByName(appended.select(*cols))
-
-    run_paths = fetched.filter("ok").join(runs.select(*SRC), SRC, "left_semi").select(*SRC, "path")
-    prev_paths = (managed_files.join(runs.filter(F.col("failures") > 0).select(*SRC), SRC, "left_semi")
-                  .select(*SRC, "path"))
-    other_paths = (managed_files.join(kept.select(*SRC), SRC, "left_semi").select(*SRC, "path")
-                   .unionByName(managed_files.filter(F.col("source_url").isNull()).select(*SRC, "path")))
-    new_managed = run_paths.unionByName(prev_paths).unionByName(other_paths).distinct()
-
-    run_sel = (selected.join(runs.select(*SRC), SRC, "left_semi")
-               .select(*SRC, "url", F.struct("line_pos", "match_pos").alias("ord")))
-    other_sel = (selected_urls.join(kept.select(*SRC), SRC, "left_semi")
-                 .unionByName(selected_urls.filter(F.col("source_url").isNull()))
-                 .select(*SRC, "url", F.struct(F.col("ord").cast("long").alias("line_pos"),
-                                                F.lit(0).alias("match_pos")).alias("ord")))
-    new_sel = (run_sel.unionByName(other_sel).groupBy(*SRC, "url").agg(F.min("ord").alias("ord")))
+    new = runs.join(installs.select(*SRC).distinct(), SRC, "left_anti")
+    appended = (numbered_within(new, ["collection"], ["seq", "source_url"], "__place").join(last, "collection", "left")
+                .withColumn("pos", (F.coalesce("__last", F.lit(-1)) + F.col("__place")).cast("int")))
+    cols = [*SRC, "pos", "source_label", "layout", "path_prefix", "source"]
+    new_installs = kept.select(*cols).unionByName(replaced.select(*cols)).unionByName(appended.select(*cols))
+
+    # the lists of a run go to every place of its source
+    places = replaced.select(*SRC, "pos", "failures").unionByName(appended.select(*SRC, "pos", "failures"))
+    run_paths = fetched.filter("ok").select(*SRC, "path").join(places.select(*SRC, "pos"), SRC)
+    prev_paths = managed_paths(installs, managed_files).join(places.filter(F.col("failures") > 0).select(*SRC, "pos"), SRC)
+    paths = [*INSTALL, "source_url", "path"]
+    kept_places = kept.select(*INSTALL)
+    new_managed = (run_paths.select(*paths).unionByName(prev_paths.select(*paths))
+                   .unionByName(managed_files.join(kept_places, INSTALL, "left_semi").select(*paths)).distinct())
+
+    urls = [*INSTALL, "source_url", "url"]
+    run_sel = selected.select(*SRC, "url", F.struct(F.col("line_pos").cast("long").alias("line_pos"), F.col("match_pos").cast("int").alias("match_pos"))
+                              .alias("ord")).join(places.select(*SRC, "pos"), SRC)
+    new_sel = (run_sel.select(*urls, "ord").unionByName(selected_urls.join(kept_places, INSTALL, "left_semi").select(*urls, "ord"))
+               .groupBy(*urls).agg(F.min("ord").alias("ord")))
     return new_installs, new_managed, new_sel

@@ -48,11 +48,11 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     """
     installs = installs if installs is not None else _empty_like(
         index_lines, {"collection": "string", "pos": "int", "source_url": "string", "source_label": "string",
-                      "layout": "string", "path_prefix": "string"})
+                      "layout": "string", "path_prefix": "string", "source": "string"})
     managed_files = managed_files if managed_files is not None else _empty_like(
-        index_lines, {"collection": "string", "source_url": "string", "path": "string"})
+        index_lines, {"collection": "string", "pos": "int", "source_url": "string", "path": "string"})
     selected_urls = selected_urls if selected_urls is not None else _empty_like(
-        index_lines, {"collection": "string", "source_url": "string", "url": "string", "ord": "bigint"})
+        index_lines, {"collection": "string", "pos": "int", "source_url": "string", "url": "string", "ord": SY.ORD})
     corpus = corpus if corpus is not None else _empty_like(
         index_lines, {"collection": "string", "path": "string", "content_sha": "string", "content": "string"})
     if "local_root_dir" not in sources.columns:

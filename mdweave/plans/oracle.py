@@ -525,6 +525,16 @@ FROM rel"""
 
 # --- sync ---------------------------------------------------------------------------
 
+#: n % 5, first pos, source_url, label, k % 2 and folder of the installs behind the first ones
+OTHER_INSTALLS = ((0, 1000, "'https://' || source || '.example.org/llms.txt'", "second", 0, "second"), (1, 2000, None, "nameless", 0, "one"),
+                  (1, 3000, None, "nameless", 1, "two"), (2, 4000, "'https://' || source || '.old.example.org/llms.txt'", "old", 0, "old"),
+                  (2, 5000, "'https://' || source || '.old.example.org/llms.txt'", "old", 1, "older"))
+OTHERS = " UNION ALL ".join(
+    f"SELECT collection, src_n + {pos} AS pos, {url or 'CAST(NULL AS VARCHAR)'} AS source_url, '{label}' AS source_label, "
+    f"json_object('label', '{label}', 'seen', '{folder}'{f', \'url\', {url}' if url else ''}) AS source, '{folder}/' || path AS path, "
+    f"url || '#{folder}' AS url, doc_id FROM base WHERE src_n % 5 = {n} AND k % 2 = {k}" for n, pos, url, label, k, folder in OTHER_INSTALLS)
+
+
 def sync_ctes() -> str:
     n = "CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER)"
     return f"""
@@ -539,11 +549,17 @@ base AS (
 ),
 installed AS (SELECT * FROM base WHERE src_n % 5 <> 4),
 sources AS (SELECT DISTINCT collection, source_url, source, src_n FROM base),
-installs AS (
+first_installs AS (
   SELECT collection, CAST(row_number() OVER (PARTITION BY collection ORDER BY src_n) - 1 AS INTEGER) AS pos,
-         source_url, source || ' docs (' || source || ')' AS source_label, 'nested' AS layout, source AS path_prefix
+         source_url, source || ' docs (' || source || ')' AS source_label, 'nested' AS layout, source AS path_prefix,
+         json_object('label', source, 'url', source_url) AS source
   FROM sources WHERE src_n % 5 <> 4
 ),
+others AS ({OTHERS}),
+installs AS (
+  SELECT * FROM first_installs
+  UNION ALL SELECT DISTINCT collection, pos, source_url, source_label, 'flat', CAST(NULL AS VARCHAR), source FROM others
+),
 run_sources AS (
   SELECT collection, source_url, source || ' docs (' || source || ')' AS source_label, 'nested' AS layout,
          source AS path_prefix, src_n AS seq FROM sources
@@ -554,7 +570,7 @@ ghost AS (
   FROM installed WHERE k % 11 = 0
 ),
 managed AS (SELECT collection, source_url, path FROM prev_docs UNION ALL SELECT * FROM ghost),
-selected_urls AS (SELECT collection, source_url, url FROM prev_docs WHERE src_n % 2 = 1),
+selected_urls AS (SELECT collection, source_url, url, doc_id FROM prev_docs WHERE src_n % 2 = 1),
 corpus AS (
   SELECT collection, path, sha256(CASE WHEN k % 7 = 0 THEN content || 'old' ELSE content END) AS content_sha
   FROM prev_docs WHERE k % 13 <> 0
@@ -587,7 +603,7 @@ readable AS (
 facts AS (
   SELECT f.collection, f.source_url, count_if(ok) AS successes, count_if(NOT ok) AS failures,
          i.source_url IS NOT NULL AS same_source
-  FROM fetched f LEFT JOIN installs i USING (collection, source_url)
+  FROM fetched f LEFT JOIN first_installs i USING (collection, source_url)
   GROUP BY f.collection, f.source_url, i.source_url
 ),
 plan AS (
@@ -667,60 +683,66 @@ UNION ALL
 SELECT collection, path, content_sha FROM written"""
 
 
-def q_manifest_upsert() -> str:
+def upsert_ctes() -> str:
+    """The manifest after the upsert; its lists by place."""
     return _with(sync_ctes()) + """,
 runs AS (
-  SELECT r.*, s.failures FROM run_sources r JOIN summary2 s USING (collection, source_url) WHERE NOT s.up_to_date
+  SELECT r.*, s.failures, json_object('label', r.source_label, 'url', r.source_url) AS source
+  FROM run_sources r JOIN summary2 s USING (collection, source_url) WHERE NOT s.up_to_date
 ),
 kept AS (
   SELECT i.* FROM installs i
   WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.collection = i.collection AND r.source_url = i.source_url)
 ),
 last_pos AS (SELECT collection, max(pos) AS last FROM installs GROUP BY 1),
-new_installs AS (
-  SELECT collection, pos, source_url, source_label, layout, coalesce(path_prefix, '') AS path_prefix FROM kept
-  UNION ALL
-  SELECT r.collection, i.pos, r.source_url, r.source_label, r.layout, r.path_prefix
-  FROM runs r JOIN installs i USING (collection, source_url)
+places AS (
+  SELECT r.*, i.pos FROM runs r JOIN installs i ON i.collection = r.collection AND i.source_url = r.source_url
   UNION ALL
-  SELECT r.collection,
-         CAST(coalesce(l.last, -1) + row_number() OVER (PARTITION BY r.collection ORDER BY r.seq, r.source_url) AS INTEGER),
-         r.source_url, r.source_label, r.layout, r.path_prefix
+  SELECT r.*,
+         CAST(coalesce(l.last, -1) + row_number() OVER (PARTITION BY r.collection ORDER BY r.seq, r.source_url) AS INTEGER)
   FROM runs r LEFT JOIN last_pos l USING (collection)
   WHERE NOT EXISTS (SELECT 1 FROM installs i WHERE i.collection = r.collection AND i.source_url = r.source_url)
 ),
+new_installs AS (
+  SELECT collection, pos, source_url, source_label, layout, coalesce(path_prefix, '') AS path_prefix, source FROM kept
+  UNION ALL
+  SELECT collection, pos, source_url, source_label, layout, path_prefix, source FROM places
+),
 new_managed AS (
-  SELECT DISTINCT collection, source_url, path FROM (
-    SELECT f.collection, f.source_url, f.path FROM fetched f JOIN runs USING (collection, source_url) WHERE f.ok
+  SELECT DISTINCT collection, pos, path FROM (
+    SELECT p.collection, p.pos, f.path FROM fetched f JOIN places p USING (collection, source_url) WHERE f.ok
     UNION ALL
-    SELECT m.collection, m.source_url, m.path FROM managed m JOIN runs r USING (collection, source_url) WHERE r.failures > 0
+    SELECT p.collection, p.pos, m.path FROM managed m JOIN places p USING (collection, source_url) WHERE p.failures > 0
     UNION ALL
-    SELECT m.collection, m.source_url, m.path FROM managed m JOIN kept USING (collection, source_url)
+    SELECT k.collection, k.pos, m.path FROM managed m JOIN kept k USING (collection, source_url) JOIN first_installs USING (collection, pos)
+    UNION ALL
+    SELECT k.collection, k.pos, o.path FROM others o JOIN kept k USING (collection, pos)
   )
 ),
 new_sel AS (
-  SELECT DISTINCT collection, source_url, url FROM (
-    SELECT s.collection, s.source_url, s.url FROM selected s JOIN runs USING (collection, source_url)
+  SELECT collection, pos, source_url, url, min(line_pos) AS line_pos FROM (
+    SELECT p.collection, p.pos, p.source_url, s.url, s.doc_id AS line_pos FROM selected s JOIN places p USING (collection, source_url)
     UNION ALL
-    SELECT u.collection, u.source_url, u.url FROM selected_urls u JOIN kept USING (collection, source_url)
-  )
-),
-m AS (SELECT collection, source_url, count(*) AS n_managed, min(path) AS first_managed, max(path) AS last_managed
+    SELECT k.collection, k.pos, k.source_url, u.url, u.doc_id FROM selected_urls u JOIN kept k USING (collection, source_url) JOIN first_installs USING (collection, pos)
+    UNION ALL
+    SELECT k.collection, k.pos, k.source_url, o.url, o.doc_id FROM others o JOIN kept k USING (collection, pos)
+  ) GROUP BY ALL
+)"""
+
+
+def q_manifest_upsert() -> str:
+    return upsert_ctes() + """,
+m AS (SELECT collection, pos, count(*) AS n_managed, min(path) AS first_managed, max(path) AS last_managed
       FROM new_managed GROUP BY 1, 2),
-u AS (SELECT collection, source_url, count(*) AS n_selected FROM new_sel GROUP BY 1, 2)
-SELECT i.collection, i.pos, i.source_url, i.source_label, i.layout, i.path_prefix,
+u AS (SELECT collection, pos, count(*) AS n_selected FROM new_sel GROUP BY 1, 2)
+SELECT i.collection, i.pos, i.source_url, i.source_label, i.layout, i.path_prefix, i.source,
        coalesce(m.n_managed, 0) AS n_managed, m.first_managed, m.last_managed, coalesce(u.n_selected, 0) AS n_selected
-FROM new_installs i LEFT JOIN m USING (collection, source_url) LEFT JOIN u USING (collection, source_url)"""
+FROM new_installs i LEFT JOIN m USING (collection, pos) LEFT JOIN u USING (collection, pos)"""
 
 
 def q_manifest_selection() -> str:
-    return _with(sync_ctes()) + """,
-runs AS (SELECT collection, source_url FROM summary2 WHERE NOT up_to_date)
-SELECT s.collection, s.source_url, s.url, CAST(s.doc_id AS BIGINT) AS line_pos, 0 AS match_pos
-FROM selected s JOIN runs USING (collection, source_url)
-UNION ALL
-SELECT p.collection, p.source_url, p.url, CAST(p.doc_id AS BIGINT), 0 FROM prev_docs p ANTI JOIN runs USING (collection, source_url)
-WHERE p.src_n % 2 = 1"""
+    return upsert_ctes() + """
+SELECT collection, pos, source_url, url, CAST(line_pos AS BIGINT) AS line_pos, 0 AS match_pos FROM new_sel"""
 
 
 def manifest_ctes() -> str:
@@ -747,28 +769,29 @@ m2 AS (
 ),
 m3 AS (SELECT collection, unnest(range(len(installs))) AS pos, unnest(installs) AS i FROM m2),
 m AS (SELECT collection, CAST(pos AS INTEGER) AS pos, i, {text('$.source.url')} AS source_url, {text('$.source.label')} AS source_label,
-             {text('$.layout')} AS layout, {text('$.pathPrefix')} AS path_prefix FROM m3)"""
+             {text('$.layout')} AS layout, {text('$.pathPrefix')} AS path_prefix,
+             CASE WHEN json_type(i, '$.source') = 'OBJECT' THEN CAST(i -> '$.source' AS VARCHAR) ELSE '{{}}' END AS source FROM m3)"""
 
 
 def q_manifest_scan() -> str:
     return _with(manifest_ctes()) + """
 SELECT collection, pos, source_url, source_label, CASE WHEN layout = 'flat' THEN 'flat' ELSE 'nested' END AS layout,
-       coalesce(path_prefix, '') AS path_prefix FROM m"""
+       coalesce(path_prefix, '') AS path_prefix, source FROM m"""
 
 
 def q_manifest_lists() -> str:
     def entries(key: str) -> str:
-        return (f"SELECT collection, source_url, unnest(list_filter(CAST(i -> '$.{key}' AS JSON[]), "
+        return (f"SELECT collection, pos, source_url, unnest(list_filter(CAST(i -> '$.{key}' AS JSON[]), "
                 f"lambda x: json_type(x) = 'VARCHAR')) AS x, generate_subscripts(list_filter(CAST(i -> '$.{key}' AS JSON[]), "
                 f"lambda x: json_type(x) = 'VARCHAR'), 1) - 1 AS n FROM m WHERE json_type(i, '$.{key}') = 'ARRAY'")
 
     return _with(manifest_ctes()) + f""",
 entries AS (
-  SELECT collection, source_url, 'managed' AS list, x ->> '$' AS value, 0 AS n FROM ({entries('managedFiles')})
+  SELECT collection, pos, source_url, 'managed' AS list, x ->> '$' AS value, 0 AS n FROM ({entries('managedFiles')})
   UNION ALL
-  SELECT collection, source_url, 'selected', x ->> '$', n FROM ({entries('selectedUrls')})
+  SELECT collection, pos, source_url, 'selected', x ->> '$', n FROM ({entries('selectedUrls')})
 )
-SELECT collection, source_url, list, value, CAST(min(n) AS BIGINT) AS ord FROM entries GROUP BY ALL"""
+SELECT collection, pos, source_url, list, value, CAST(min(n) AS BIGINT) AS ord FROM entries GROUP BY ALL"""
 
 
 # --- registry -------------------------------------------------------------------------

@@ -245,18 +245,18 @@ def apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Installs after the upsert with their managed-file and selected-URL
-    lists summarised (count, first and last path; count of URLs)."""
+    """Installs after the upsert, repeated and nameless ones too, with their managed-file and
+    selected-URL lists summarised (count, first and last path; count of URLs)."""
     d = _sync(spark, sf_dir)
     inst, managed, sel = SY.upsert_manifest(d["installs"], d["managed_files"], d["selected_urls"],
                                             d["fetched"], d["selected"], _summary(d), d["run_sources"])
-    m = managed.groupBy("collection", "source_url").agg(
+    m = managed.groupBy("collection", "pos").agg(
         F.count(F.lit(1)).alias("n_managed"), F.min("path").alias("first_managed"),
         F.max("path").alias("last_managed"))
-    u = sel.groupBy("collection", "source_url").agg(F.count(F.lit(1)).alias("n_selected"))
-    return (inst.join(m, ["collection", "source_url"], "left").join(u, ["collection", "source_url"], "left")
+    u = sel.groupBy("collection", "pos").agg(F.count(F.lit(1)).alias("n_selected"))
+    return (inst.join(m, ["collection", "pos"], "left").join(u, ["collection", "pos"], "left")
             .fillna(0, ["n_managed", "n_selected"])
-            .select("collection", "pos", "source_url", "source_label", "layout", "path_prefix",
+            .select("collection", "pos", "source_url", "source_label", "layout", "path_prefix", "source",
                     "n_managed", "first_managed", "last_managed", "n_selected"))
 
 
@@ -265,7 +265,7 @@ def manifest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _sync(spark, sf_dir)
     selected = SY.upsert_manifest(d["installs"], d["managed_files"], d["selected_urls"],
                                   d["fetched"], d["selected"], _summary(d), d["run_sources"])[2]
-    return selected.select("collection", "source_url", "url", "ord.line_pos", "ord.match_pos")
+    return selected.select("collection", "pos", "source_url", "url", "ord.line_pos", "ord.match_pos")
 
 
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,11 +276,11 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct managed files and selected URLs of manifest files."""
     t = MF.manifest_tables(V.manifest_texts(spark, sf_dir))
-    managed = t["managed_files"].select("collection", "source_url", F.lit("managed").alias("list"),
+    managed = t["managed_files"].select("collection", "pos", "source_url", F.lit("managed").alias("list"),
                                         F.col("path").alias("value"), F.lit(0).cast("long").alias("ord"))
-    chosen = t["selected_urls"].select("collection", "source_url", F.lit("selected").alias("list"),
-                                       F.col("url").alias("value"), "ord")
-    return managed.unionByName(chosen).groupBy("collection", "source_url", "list", "value").agg(F.min("ord").alias("ord"))
+    chosen = t["selected_urls"].select("collection", "pos", "source_url", F.lit("selected").alias("list"),
+                                       F.col("url").alias("value"), F.col("ord.line_pos").alias("ord"))
+    return managed.unionByName(chosen).groupBy("collection", "pos", "source_url", "list", "value").agg(F.min("ord").alias("ord"))
 
 
 # --- registry ----------------------------------------------------------------------

@@ -26,9 +26,11 @@ CRAWL_INDEX_URL = "https://crawl.example.org/llms.txt"
 EXTRA_LINE_BASE = 1_000_000_000  # line positions of the per-index extra lines
 LOCAL_EXTENSIONS = (".html", ".HTM", ".md", ".MDX", ".markdown", ".txt", "")
 MANIFEST_FORMS = (  # ~id~ stands for the document's id, ~site~ for its source
-    '{"version":2,"installs":[{"source":{"label":"~lang~","url":"~site~/llms.txt"},"managedFiles":["b/~id~.md",~id~,"a/~id~.md",'
+    '{"version":2,"installs":[{"source":{"label":"~lang~","seen":{"by":~id~},"url":"~site~/llms.txt"},"managedFiles":["b/~id~.md",~id~,"a/~id~.md",'
     '"b/~id~.md",null],"selectedUrls":["~site~/b/~id~",null,"~site~/a/~id~",true,"~site~/b/~id~"],"layout":"flat","pathPrefix":"~lang~"},'
-    '{"source":{"label":"no url"},"managedFiles":["n/~id~.md"],"layout":"other"},null,7]}',
+    '{"source":{"label":"no url"},"managedFiles":["n/~id~.md"],"layout":"other"},null,7,'
+    '{"source":{"label":"twice","url":"~site~/llms.txt"},"managedFiles":["t/~id~.md"],"selectedUrls":["~site~/t/~id~"]},'
+    '{"managedFiles":["o/~id~.md"],"selectedUrls":["~site~/o/~id~","~site~/n/~id~"]}]}',
     '{"source":{"label":~id~,"url":"~site~/llms.txt"},"managedFiles":["c/~id~.md"],"selectedUrls":"~site~/c","pathPrefix":5}',
     '{"layout":null}',
     '{"installs":[{"source":{"url":"~site~/llms.txt"}',
@@ -206,6 +208,26 @@ def _doc_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: n % 5, first pos, source_url (~source~ stands for the source) and label, k % 2 of the documents in its lists, their folder
+OTHER_INSTALLS = ((0, 1000, "https://~source~.example.org/llms.txt", "second", 0, "second"), (1, 2000, None, "nameless", 0, "one"),
+                  (1, 3000, None, "nameless", 1, "two"), (2, 4000, "https://~source~.old.example.org/llms.txt", "old", 0, "old"),
+                  (2, 5000, "https://~source~.old.example.org/llms.txt", "old", 1, "older"))
+
+
+def _other_installs(base: DataFrame) -> DataFrame:
+    """(collection, pos, source_url, source_label, source, src_n, path, url, doc_id): a row for every entry of their lists."""
+    out = None
+    for n, pos, url, label, k, folder in OTHER_INSTALLS:
+        source_url = F.concat(*(F.col("source") if x == "source" else F.lit(x) for x in url.split("~"))) if url else F.lit(None).cast("string")
+        fields = [F.lit(label).alias("label"), F.lit(folder).alias("seen"), *([source_url.alias("url")] if url else [])]
+        rows = base.filter((F.col("src_n") % 5 == n) & (F.col("k") % 2 == k)).select(
+            "collection", (F.col("src_n") + pos).cast("int").alias("pos"), source_url.alias("source_url"), F.lit(label).alias("source_label"),
+            F.to_json(F.struct(*fields)).alias("source"), F.concat_ws("/", F.lit(folder), "path").alias("path"),
+            F.concat("url", F.lit(f"#{folder}")).alias("url"), "doc_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def sync_inputs(spark: SparkSession, sf_dir: str) -> dict:
     """Entries of this run and the previous manifest + corpus (V6).
 
@@ -216,7 +238,10 @@ def sync_inputs(spark: SparkSession, sf_dir: str) -> dict:
     * the corpus lacks managed docs with k % 13 = 0 (deleted by hand),
       holds an older content for k % 7 = 0 and unmanaged files for the
       docs with k % 10 = 0 and k % 3 = 0;
-    * this run fails the fetch of k % 4 = 0 in sources with n % 5 = 3.
+    * this run fails the fetch of k % 4 = 0 in sources with n % 5 = 3;
+    * behind those, the manifest has a second install of sources with n % 5 = 0 (pos 1000 + n), two
+      nameless ones for n % 5 = 1 (pos 2000 + n and 3000 + n) and two of a source that doesn't
+      run for n % 5 = 2 (pos 4000 + n and 5000 + n), each with lists of its own (``OTHER_INSTALLS``).
     """
     base = materialize(_doc_base(spark, sf_dir))
     installed = base.filter(F.col("src_n") % 5 != 4)
@@ -232,15 +257,21 @@ def sync_inputs(spark: SparkSession, sf_dir: str) -> dict:
                 .withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
                 .select("collection", "pos", "source_url",
                         F.concat(F.col("source"), F.lit(" docs (") , F.col("source"), F.lit(")")).alias("source_label"),
-                        F.lit("nested").alias("layout"), F.col("source").alias("path_prefix")))
+                        F.lit("nested").alias("layout"), F.col("source").alias("path_prefix"),
+                        F.to_json(F.struct(F.col("source").alias("label"), F.col("source_url").alias("url"))).alias("source")))
+    places = installs.select("collection", "source_url", "pos")
+    others = _other_installs(base)
+    installs = installs.unionByName(others.select("collection", "pos", "source_url", "source_label", F.lit("flat").alias("layout"),
+                                                  F.lit(None).cast("string").alias("path_prefix"), "source").distinct())
     prev_docs = installed.filter(F.col("k") % 10 != 0)
     ghost = installed.filter(F.col("k") % 11 == 0).select(
         "collection", "source_url", "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("-old.md"))).alias("path"))
-    managed_files = prev_docs.select("collection", "source_url", "path").unionByName(
-        ghost.select("collection", "source_url", "path"))
-    selected_urls = prev_docs.filter(F.col("src_n") % 2 == 1).select(
-        "collection", "source_url", "url", F.col("doc_id").cast("long").alias("ord"))
+    managed_files = (prev_docs.select("collection", "source_url", "path").unionByName(ghost.select("collection", "source_url", "path"))
+                     .join(places, ["collection", "source_url"]).unionByName(others.select("collection", "source_url", "path", "pos")))
+    selected_urls = (prev_docs.filter(F.col("src_n") % 2 == 1).select("collection", "source_url", "url", "doc_id")
+                     .join(places, ["collection", "source_url"]).unionByName(others.select("collection", "source_url", "url", "doc_id", "pos"))
+                     .withColumn("ord", F.struct(F.col("doc_id").cast("long").alias("line_pos"), F.lit(0).alias("match_pos"))).drop("doc_id"))
     old_content = F.when(F.col("k") % 7 == 0, F.concat(F.col("content"), F.lit("old"))).otherwise(F.col("content"))
     corpus = (prev_docs.filter(F.col("k") % 13 != 0)
               .select("collection", "path", F.sha2(old_content, 256).alias("content_sha"))

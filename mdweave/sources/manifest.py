@@ -6,6 +6,7 @@ version-1 record that *is* the single install, told by the presence of one of it
 keys, whatever the value.  Missing or corrupt files give no installs.  The text is
 parsed once into a VARIANT, so every value keeps its JSON type: list
 entries and fields of another type than expected are dropped, not coerced.
+Lists carry the place of their install, and an install its whole source record as JSON text.
 Deviation: an object that repeats a key counts as corrupt.
 """
 
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 # fixed values: the keys that make a record without ``installs`` an install
 LEGACY_KEYS = ("source", "managedFiles", "selectedUrls", "layout", "pathPrefix")
+# the whole source record, whatever its fields
+SOURCE = ("CASE WHEN startswith(schema_of_variant(try_variant_get(i, '$.source', 'variant')), 'OBJECT') "
+          "THEN to_json(try_variant_get(i, '$.source', 'variant')) END")
 
 
 def _text(path: str) -> F.Column:
@@ -42,7 +46,7 @@ def manifest_installs(manifests: DataFrame) -> DataFrame:
     one = parsed.select("collection", F.posexplode(installs).alias("pos", "i"))
     return one.select("collection", F.col("pos").cast("int").alias("pos"), _text("$.source.url").alias("source_url"),
                       _text("$.source.label").alias("source_label"), _text("$.layout").alias("layout"),
-                      _text("$.pathPrefix").alias("path_prefix"), _texts("$.managedFiles").alias("managed"),
+                      _text("$.pathPrefix").alias("path_prefix"), F.expr(SOURCE).alias("source"), _texts("$.managedFiles").alias("managed"),
                       _texts("$.selectedUrls").alias("selected"))
 
 
@@ -56,7 +60,8 @@ def read_manifests(spark: SparkSession, paths, collection_of=None) -> dict:
 def manifest_tables(manifests: DataFrame) -> dict:
     """Long-form tables from (collection, text)."""
     inst = manifest_installs(manifests)
+    place = ["collection", "pos", "source_url"]
+    ord_ = F.struct(F.col("__ord").cast("long").alias("line_pos"), F.lit(0).alias("match_pos")).alias("ord")
     return {"installs": inst.drop("managed", "selected"),
-            "managed_files": inst.select("collection", "source_url", F.explode("managed").alias("path")),
-            "selected_urls": inst.select("collection", "source_url", F.posexplode("selected").alias("ord", "url"))
-            .withColumn("ord", F.col("ord").cast("long"))}
+            "managed_files": inst.select(*place, F.explode("managed").alias("path")),
+            "selected_urls": inst.select(*place, F.posexplode("selected").alias("__ord", "url")).select(*place, "url", ord_)}

@@ -55,8 +55,7 @@ def test_ingest(spark, tmp_path):
     SK.write_snapshot(out["snapshot"], str(tmp_path / "s"), "1")
     manifest = SK.read_manifest(spark, str(tmp_path / "m"))
     corpus = SK.read_snapshot(spark, str(tmp_path / "s"))
-    selected = manifest["selected_urls"].withColumn("ord", F.col("ord.line_pos").cast("long"))
-    again = run(spark, installs=manifest["installs"], managed_files=manifest["managed_files"], selected_urls=selected, corpus=corpus)
+    again = run(spark, **manifest, corpus=corpus)
     assert {r.source_url: r.up_to_date for r in again["summary"].collect()} == {
         "https://a.test/llms.txt": True, "https://b.org/llms.txt": True, "file:///srv/tw/llms.txt": True}
     assert again["snapshot"].count() == 4
@@ -71,19 +70,47 @@ def test_clashing_documents_are_reported(spark):
     assert [(r.path, r.url, r.written_url) for r in SY.path_clashes(docs).collect()] == [("x.md", "u2", "u1")]
 
 
-def test_installs_without_a_source_are_kept(spark):
-    installs = spark.createDataFrame([("c", 0, None, "A", "flat", "a"), ("c", 1, None, "B", None, None), ("c", 2, "u", "C", "nested", "")],
-                                     "collection string, pos int, source_url string, source_label string, layout string, path_prefix string")
-    managed = spark.createDataFrame([("c", None, "a/1.md"), ("c", None, "b/1.md"), ("c", "u", "c.md")], "collection string, source_url string, path string")
-    selected = spark.createDataFrame([("c", None, "https://x/1", 0)], "collection string, source_url string, url string, ord long")
-    fetched = spark.createDataFrame([], "collection string, source_url string, url string, line_pos int, match_pos int, ok boolean, path string, "
-                                        "content_sha string, reason string")
-    runs = spark.createDataFrame([], "collection string, source_url string, source_label string, layout string, path_prefix string, seq long")
-    plan = spark.createDataFrame([], "collection string, source_url string, path string, change string")
-    new, files, urls = SY.upsert_manifest(installs, managed, selected, fetched, fetched, SY.plan_summary(plan, fetched, installs), runs)
-    assert sorted((r.pos, r.source_label, r.layout, r.path_prefix) for r in new.collect()) == [
-        (0, "A", "flat", "a"), (1, "B", "nested", ""), (2, "C", "nested", "")]
-    assert files.count() == 3 and urls.count() == 1
+def test_every_install_is_kept_with_its_own_lists(spark):
+    """Nameless and repeated installs keep place, record and lists; a source that runs replaces each of its installs."""
+    installs = spark.createDataFrame(
+        [("c", 0, None, "A", "flat", "a", '{"label":"A"}'), ("c", 1, None, "B", None, None, None), ("c", 2, "u", "C", "nested", "", '{"kept":1,"url":"u"}'),
+         ("c", 3, "run", "first", "flat", "p", "{}"), ("c", 4, "u", "D", "flat", "d", '{"url":"u"}'), ("c", 5, "run", "second", "flat", "q", "{}")],
+        "collection string, pos int, source_url string, source_label string, layout string, path_prefix string, source string")
+    managed = spark.createDataFrame([("c", 0, None, "a"), ("c", 1, None, "b"), ("c", 2, "u", "c.md"), ("c", 4, "u", "d.md"), ("c", 3, "run", "old1.md"),
+                                     ("c", 5, "run", "old2.md")], "collection string, pos int, source_url string, path string")
+    urls = spark.createDataFrame([("c", 0, None, "https://x/1", (0, 0)), ("c", 1, None, "https://x/2", (0, 0)), ("c", 5, "run", "https://x/3", (0, 0))],
+                                 f"collection string, pos int, source_url string, url string, ord {SY.ORD}")
+    schema = ("collection string, source_url string, url string, line_pos int, match_pos int, ok boolean, path string, "
+              "content_sha string, reason string")
+    runs = "collection string, source_url string, source_label string, layout string, path_prefix string, seq long"
+    # two links of one line are selected; a new source is appended
+    fetched = spark.createDataFrame([("c", "run", "https://x/a", 3, 1, True, "a.md", "h", None), ("c", "run", "https://x/b", 3, 0, True, "b.md", "h", None),
+                                     ("c", "new", "https://x/n", 0, 0, True, "n.md", "h", None)], schema)
+    sources = spark.createDataFrame([("c", "run", "R", "nested", "p", 1), ("c", "new", "N", "nested", "n", 2)], runs)
+    corpus = spark.createDataFrame([], "collection string, path string, content_sha string")
+    for failed, old in ((False, set()), (True, {"old1.md"})):
+        docs = fetched.unionByName(spark.createDataFrame([("c", "run", "https://x/f", 9, 0, False, None, None, "gone")], schema)) if failed else fetched
+        plan = SY.install_plan(docs, installs, managed, corpus)
+        new, files, chosen = SY.upsert_manifest(installs, managed, urls, docs, docs, SY.plan_summary(plan, docs, installs), sources)
+        assert sorted((r.pos, r.source_label, r.layout, r.path_prefix, r.source) for r in new.collect()) == [
+            (0, "A", "flat", "a", '{"label":"A"}'), (1, "B", "nested", "", "{}"), (2, "C", "nested", "", '{"kept":1,"url":"u"}'),
+            (3, "R", "nested", "p", '{"label":"R","url":"run"}'), (4, "D", "flat", "d", '{"url":"u"}'),
+            (5, "R", "nested", "p", '{"label":"R","url":"run"}'), (6, "N", "nested", "n", '{"label":"N","url":"new"}')]
+        lists = {}
+        for r in files.collect():
+            lists.setdefault(r.pos, set()).add(r.path)
+        own = {"a.md", "b.md"} | old
+        assert lists == {0: {"a"}, 1: {"b"}, 2: {"c.md"}, 3: own, 4: {"d.md"}, 5: own, 6: {"n.md"}}
+        order = {}
+        for r in chosen.orderBy("pos", "ord").collect():
+            order.setdefault(r.pos, []).append(r.url)
+        own = ["https://x/b", "https://x/a"] + ["https://x/f"] * failed
+        assert order == {0: ["https://x/1"], 1: ["https://x/2"], 3: own, 5: own, 6: ["https://x/n"]}
+        # what comes out goes in again
+        assert [new.schema[c].dataType for c in installs.columns] == [f.dataType for f in installs.schema]
+        assert [chosen.schema[c].dataType for c in urls.columns] == [f.dataType for f in urls.schema]
+        again = SY.upsert_manifest(new, files, chosen, docs.limit(0), docs.limit(0), SY.plan_summary(plan.limit(0), docs.limit(0), new), sources.limit(0))
+        assert again[1].count() == files.count() and again[2].count() == chosen.count()
 
 
 def test_padded_port(spark):

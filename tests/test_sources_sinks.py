@@ -73,7 +73,7 @@ def test_manifest_keeps_json_types(spark):
     assert sorted((r.collection, r.pos, r.source_url, r.layout, r.path_prefix) for r in t["installs"].collect()) == [
         ("a", 0, "u", None, None), ("b", 0, None, None, None), ("g", 0, None, None, None)]
     assert sorted(r.path for r in t["managed_files"].collect()) == ["a", "b"]
-    assert sorted((r.ord, r.url) for r in t["selected_urls"].collect()) == [(0, "y"), (1, "x")]
+    assert sorted((r.pos, r.ord.line_pos, r.url) for r in t["selected_urls"].collect()) == [(0, 0, "y"), (0, 1, "x")]
 
 
 def test_positions(spark):

@@ -6,11 +6,11 @@ SRC = "https://e.com/llms.txt"
 
 
 def sync_tables(spark, same_source=True, fail=False):
-    installs = spark.createDataFrame([("c", 0, SRC, "E", "nested", "")] if same_source else [],
+    installs = spark.createDataFrame([("c", 0, SRC, "E", "nested", "", "{}")] if same_source else [],
                                      "collection string, pos int, source_url string, source_label string, "
-                                     "layout string, path_prefix string")
-    managed = spark.createDataFrame([("c", SRC, p) for p in ("keep.md", "change.md", "remove.md")],
-                                    "collection string, source_url string, path string")
+                                     "layout string, path_prefix string, source string")
+    managed = spark.createDataFrame([("c", 0, SRC, p) for p in ("keep.md", "change.md", "remove.md")],
+                                    "collection string, pos int, source_url string, path string")
     corpus = spark.createDataFrame([("c", "keep.md", "k"), ("c", "change.md", "old"), ("c", "remove.md", "r")],
                                    "collection string, path string, content_sha string")
     rows = [("c", SRC, "u1", 0, 0, True, "keep.md", "k", None), ("c", SRC, "u2", 1, 0, True, "change.md", "new", None)]
@@ -46,7 +46,7 @@ def test_summary_apply_and_manifest(spark):
     run_sources = spark.createDataFrame([("c", SRC, "E", "nested", "", 1)],
                                         "collection string, source_url string, source_label string, layout string, "
                                         "path_prefix string, seq long")
-    sel_urls = spark.createDataFrame([], "collection string, source_url string, url string, ord long")
+    sel_urls = spark.createDataFrame([], f"collection string, pos int, source_url string, url string, ord {SY.ORD}")
     selected = fetched.select("collection", "source_url", "url", "line_pos", "match_pos")
     inst, man, sel = SY.upsert_manifest(installs, managed, sel_urls, fetched, selected, summary, run_sources)
     assert sorted(r["path"] for r in man.collect()) == ["change.md", "keep.md", "remove.md"]  # union with failures
@@ -68,9 +68,9 @@ def test_previous_selection(spark):
     installs, *_ = sync_tables(spark)
     entries = spark.createDataFrame([("c", SRC, "one", 0, 0), ("c", SRC, "two", 1, 0)],
                                     "collection string, source_url string, url string, line_pos long, match_pos int")
-    prev = spark.createDataFrame([("c", SRC, "two", 0)], "collection string, source_url string, url string, ord long")
+    prev = spark.createDataFrame([("c", 0, SRC, "two", (0, 0))], f"collection string, pos int, source_url string, url string, ord {SY.ORD}")
     assert [r["url"] for r in SY.select_previous(entries, installs, prev).collect()] == ["two"]
-    none = spark.createDataFrame([("c", SRC, "gone", 0)], "collection string, source_url string, url string, ord long")
+    none = spark.createDataFrame([("c", 0, SRC, "gone", (0, 0))], f"collection string, pos int, source_url string, url string, ord {SY.ORD}")
     assert sorted(r["url"] for r in SY.select_previous(entries, installs, none).collect()) == ["one", "two"]
     assert [r["url"] for r in SY.select_explicit(entries, prev).collect()] == ["two"]
 
