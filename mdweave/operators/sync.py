@@ -182,6 +182,25 @@ def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary:
     return kept.unionByName(written)
 
 
+def corpus_delta(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary: DataFrame) -> DataFrame:
+    """S6 as changes for ``sources.log``: what ``apply_plan`` makes different from ``corpus``, (collection, path, content_sha[, content],
+    deleted).  Documents are chosen and compared by hash; contents are joined to the rows that are written and to no other."""
+    active = summary.filter(~F.col("up_to_date")).select(*SRC)
+    docs = fetched.filter("ok").join(active, SRC, "left_semi")
+    there = corpus.select("collection", "path", F.col("content_sha").alias("__old"))
+    chosen = first_documents(docs)
+    written = chosen.join(there, ["collection", "path"], "left").filter("__old IS NULL OR __old <> content_sha").drop("__old")
+    cols = ["collection", "path", "content_sha"]
+    if "content" in fetched.columns:
+        cols.append("content")
+        body = docs.select(*SRC, "path", "url", "content").join(written.select(*SRC, "path", "url"), [*SRC, "path", "url"], "left_semi")
+        written = written.join(body.dropDuplicates([*SRC, "path", "url"]), [*SRC, "path", "url"])
+    removed = (plan.filter(F.col("change") == "removed").join(active, SRC, "left_semi").select("collection", "path").distinct()
+               .join(chosen.select("collection", "path"), ["collection", "path"], "left_anti")
+               .join(there.select("collection", "path"), ["collection", "path"], "left_semi").withColumn("deleted", F.lit(True)))
+    return written.select(*cols, F.lit(False).alias("deleted")).unionByName(removed, allowMissingColumns=True)
+
+
 def normalised(installs: DataFrame) -> DataFrame:
     """U4 on install rows: layout 'flat' or 'nested', prefix default '', source default {}."""
     layout = F.when(F.col("layout") == "flat", F.lit("flat")).otherwise(F.lit("nested"))

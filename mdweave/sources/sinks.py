@@ -1,41 +1,32 @@
 """Sinks: corpus snapshot (S6), manifest (S7) and review reports.
 
 Snapshots are never overwritten in place: each run writes a new version
-directory, then adds a small pointer file.  Readers take the newest
+directory, then adds a small pointer file (``sources.pointers``).  Readers take the newest
 pointer first, so a failed or running write is never observed, and the
-previous version stays readable while the next one is written.
+previous version stays readable while the next one is written.  ``sources.log`` writes changes only.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import pointers
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """The newest pointer of ``root``; None only if it has no pointers yet."""
-    try:
-        pointers = spark.read.text(f"{root}/pointers")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    row = pointers.agg(F.max("value")).first()
-    return row[0].split("\t")[1] if row and row[0] else None
+    """The newest version of ``root``; None only if it has none yet."""
+    _, lines = pointers.newest(spark, root)
+    return lines[0] if lines else None
 
 
 def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Add a pointer file; the ones before stay as they are, and a pointer
-    appears as a whole or not at all."""
-    try:
-        number = spark.read.text(f"{root}/pointers").count() + 1
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        number = 1
-    spark.createDataFrame([(f"{number:012d}\tv={version}",)], "value string").coalesce(1) \
-        .write.mode("append").text(f"{root}/pointers")
+    """Add a pointer to ``version``; of two runs that end at once, each gets a number of its own."""
+    while True:
+        try:
+            pointers.publish(spark, root, [f"v={version}"])
+            return
+        except pointers.Conflict:
+            continue
 
 
 def write_snapshot(df: DataFrame, root: str, version: str, partition_by=("collection",)) -> str:

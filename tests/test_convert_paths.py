@@ -203,3 +203,50 @@ def test_html_keeps_all_text():
     assert md("<ul><li>a<ul><li><p>b</p></li></ul></li><li>c</li></ul>") == "- a\n\n  - b\n\n- c"
     assert md("<a href='/x'><h2>T</h2></a>") == "## [T](/x)"
     assert md("<p>k</p><script>var x</script><p>l</p>") == "k\n\nl"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-3, 25), max_size=40), st.integers(0, 30), st.integers(0, 40))
+def test_what_a_range_of_forms_passes_over(needs, before, cut):
+    """One function for many forms, and the functions of two ranges one after the other."""
+    def one_by_one(needs, passed):
+        for need in needs:
+            passed += passed < need
+        return passed
+
+    def function(needs):
+        f = PA.PassedOver()
+        for need in needs:
+            f.add(need)
+        assert all(a[1] + 1 < b[0] for a, b in zip(f.intervals, f.intervals[1:]))
+        return PA.PassedOver(f.intervals)
+
+    assert function(needs)(before) == one_by_one(needs, before)
+    assert function(needs[cut:])(function(needs[:cut])(before)) == one_by_one(needs, before)
+
+
+def test_a_name_dealt_to_several_tasks(spark, monkeypatch):
+    """Names with many claimants or forms, in ranges, as the others."""
+    monkeypatch.setattr(PA, "HOT_NAME", 4)
+    rng = random.Random(3)
+    lists = [["a.md"] + [f"a-{k}.md" for k in rng.sample(range(2, 60), 30)] + ["a.md"] * 20 + [f"a-{k}.md" for k in rng.sample(range(2, 90), 30)]
+             + ["a-7-2.md"] * 3]
+    forms = [f"a{x}{y}.md" for x in ["", *(f"-{k}" for k in range(1, 9))] for y in ["", "-2", "-3", "-2-2"]]
+    lists += [rng.choices(forms, k=60) for _ in range(6)]
+    for names in lists[:1]:
+        rng.shuffle(names)
+    got = numbered_all(spark, lists)
+    assert got == [sequential(names) for names in lists]
+
+
+def test_many_trailing_numbers(spark, monkeypatch):
+    """The work follows the chains of forms that occur, not the numbers in a name; a long chain takes few steps."""
+    from mdweave import session
+    written, write = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda *a, **k: written.append(1) or write(*a, **k))
+    deep = "a" + "-2" * 4000
+    assert numbered(spark, [f"{deep}.md", f"{deep}.md", f"{deep}-2.md"]) == [f"{deep}.md", f"{deep}-2.md", f"{deep}-2-2.md"]
+    assert len(written) <= 10
+    written.clear()
+    chain = ["a.md"] + ["a" + "-2" * k + ".md" for k in range(40)]  # each is taken by the one above
+    assert numbered(spark, chain) == sequential(chain) and len(written) <= 16
