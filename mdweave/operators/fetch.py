@@ -65,7 +65,7 @@ def first_success(entries: DataFrame, resources: DataFrame) -> DataFrame:
     """J2 + A8 for entries keyed by (source_url, href).
 
     Where the snapshot has several rows of one URL, one that is ok counts; if none
-    is, each different reason is listed.
+    is, the first of their reasons (by code points) is the URL's.
 
     Output: entry columns + ok, fetched_url, via, rank, reason (null when ok).
     """
@@ -85,29 +85,37 @@ def first_success(entries: DataFrame, resources: DataFrame) -> DataFrame:
     picked = (probed.groupBy(*ENTRY_KEYS, *carried)
               .agg(F.min(F.when(is_ok, F.struct(F.col("rank"), F.col("candidate_url")))).alias("w"),
                    F.array_sort(F.collect_set(F.struct(F.col("rank"), msg.alias("m")))).alias("fails")))
+    one_each = F.expr("filter(fails, (x, i) -> i = 0 OR x.rank <> fails[i - 1].rank)")
     result = picked.select(
         *ENTRY_KEYS, *carried,
         F.col("w").isNotNull().alias("ok"),
         F.col("w.candidate_url").alias("fetched_url"),
         F.col("w.rank").alias("rank"),
-        F.when(F.col("w").isNull(), F.array_join(F.transform("fails", lambda x: x["m"]), "; ")).alias("reason"),
+        F.when(F.col("w").isNull(), F.array_join(F.transform(one_each, lambda x: x["m"]), "; ")).alias("reason"),
     ).withColumn("via", F.when(F.col("ok") & (F.col("fetched_url") != F.col("href")), F.col("fetched_url"))
                  .when(F.col("ok"), F.lit("")))
     return result
 
 
-def fetch_bodies(fetched: DataFrame, resources: DataFrame) -> DataFrame:
-    """Second join: body and content type for the winners only.
+def fetch_bodies(fetched: DataFrame, resources: DataFrame, entries_without: bool = False) -> DataFrame:
+    """Second join: body and content type for the winners only (``entries_without``: the
+    other entries too, with neither).
 
     Of several ok rows of one URL, the first by content type and body hash is
     taken.  The reduction is grouped by the join key and the entry's columns, so
     after a sort-merge join it needs no further shuffle of the bodies."""
     res = resources.filter("ok").select(F.col("url").alias("fetched_url"), "content_type", "body")
     keys = ["fetched_url", *(c for c in fetched.columns if c != "fetched_url")]
-    found = fetched.filter("ok").join(res, "fetched_url", "inner")
+    if entries_without:
+        # an entry without a winner has a key of its own, so that they don't meet in one task
+        own = F.coalesce("fetched_url", F.concat(F.lit("none "), "source_url", F.lit(" "), "href"))
+        found = fetched.withColumn("__url", own).join(res.withColumnRenamed("fetched_url", "__url"), "__url", "left")
+        keys = ["__url", *keys]
+    else:
+        found = fetched.filter("ok").join(res, "fetched_url", "inner")
     order = F.struct("content_type", F.sha2("body", 256))
     return (found.groupBy(*keys).agg(F.min_by(F.struct("content_type", "body"), order).alias("__r"))
-            .select(*keys, "__r.*"))
+            .select(*(k for k in keys if k != "__url"), "__r.*"))
 
 
 def failure_preview(failures: DataFrame, keys=("source_url",), k: int = 5) -> DataFrame:

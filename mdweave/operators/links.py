@@ -126,21 +126,22 @@ def apply_host_policy(unique_links: DataFrame, allow_external=False) -> DataFram
     return df.withColumn("allowed", F.coalesce(allowed, F.lit(False)))
 
 
-def link_stats(resolved: DataFrame, policy: DataFrame, selected: DataFrame | None = None,
+def link_stats(resolved: DataFrame | None, policy: DataFrame, selected: DataFrame | None = None,
                keys=("source_url",)) -> DataFrame:
     """A6 per source: links found, unique URLs, selected and blocked docs, and
     how many hosts are blocked (``blocked_hosts`` lists them).
 
-    ``resolved`` is the resolved link table (per ``source_url``), ``policy`` the
-    deduped table with ``allowed``, ``selected`` the entries left after the
+    ``resolved`` is the resolved link table (per ``source_url``; without it, links are counted by the
+    ``occurrences`` of ``policy``), ``policy`` the deduped table with ``allowed``, ``selected`` the entries left after the
     previous selection (J4; without it, all allowed ones).  ``keys`` are
     ``source_url``, with ``collection`` where a source is in several.
     """
     keys = list(keys)
-    found = (resolved.filter(F.col("status") == "ok").groupBy("source_url")
-             .agg(F.count(F.lit(1)).alias("links_found")))
+    found = None if resolved is None else (resolved.filter(F.col("status") == "ok").groupBy("source_url")
+                                           .agg(F.count(F.lit(1)).alias("links_found")))
+    counted = [] if resolved is not None else [F.sum("occurrences").alias("links_found")]
     per = (policy.groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("unique_urls"),
+           .agg(*counted, F.count(F.lit(1)).alias("unique_urls"),
                 F.count_if(F.col("allowed")).alias("selected_docs"),
                 F.count_if(~F.col("allowed")).alias("blocked_docs")))
     hosts = blocked_hosts(policy, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("blocked_hosts"))
@@ -149,7 +150,7 @@ def link_stats(resolved: DataFrame, policy: DataFrame, selected: DataFrame | Non
         left = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("__selected"))
         per = (per.join(left, keys, "left")
                .withColumn("selected_docs", F.coalesce("__selected", F.lit(0).cast("long"))).drop("__selected"))
-    return found.join(per, "source_url", "left")
+    return per if found is None else found.join(per, "source_url", "left")
 
 
 def blocked_hosts(policy: DataFrame, keys=("source_url",)) -> DataFrame:

@@ -18,7 +18,7 @@ entries  (collection, source_url, url, line_pos, match_pos, ...)   before select
 fetched  (collection, source_url, url, line_pos, match_pos, ok, path, content_sha, reason)
 corpus   (collection, path, content_sha)                           previous snapshot
 
-Contents never enter a join: documents are compared by ``content_sha``.
+Documents are compared by ``content_sha``; contents enter one join, with the rows that are written.
 Everything is keyed by ``(collection, source_url[, path])``; per-source facts
 (same source, failure count) are small aggregates joined back on the source key.
 """
@@ -161,44 +161,52 @@ def plan_preview(plan: DataFrame, k: int = 25) -> DataFrame:
     return top.join(totals, keys, "inner").withColumn("more", F.greatest(F.col("total") - k, F.lit(0)))
 
 
-def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary: DataFrame) -> DataFrame:
+def _written(fetched: DataFrame, summary: DataFrame) -> DataFrame:
+    """The document at each path that the sources which are not up to date (A11) write, the first one where paths clash."""
+    return first_documents(fetched.join(summary.filter(~F.col("up_to_date")).select(*SRC), SRC, "left_semi"))
+
+
+def _removed(plan: DataFrame, summary: DataFrame) -> DataFrame:
+    active = summary.filter(~F.col("up_to_date")).select(*SRC)
+    return plan.filter(F.col("change") == "removed").join(active, SRC, "left_semi").select("collection", "path").distinct()
+
+
+def _with_contents(written: DataFrame, contents: DataFrame | None) -> DataFrame:
+    """``written`` (narrow) with the ``content`` of its documents; of one URL, one body.  The only join that carries contents."""
+    columns = ["collection", "path", "content_sha"]
+    if contents is None:
+        return written.select(*columns)
+    # an entry is one row of ``contents``, so nothing has to be dropped after the join
+    return written.join(contents.select(*SRC, "url", "content"), [*SRC, "url"]).select(*columns, "content")
+
+
+def apply_plan(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Next snapshot = previous corpus without (written paths and removed
     paths) + every successful doc of the sources that are not up to date
-    (the first one where paths clash, see ``path_clashes``).  Up-to-date sources
-    write nothing (A11).  Where ``corpus`` and ``fetched`` have ``content``, the snapshot
-    has it too; it is joined to the documents chosen on narrow rows."""
-    active = summary.filter(~F.col("up_to_date")).select(*SRC)
-    docs = fetched.filter("ok").join(active, SRC, "left_semi")
-    written = first_documents(docs)
-    cols = ["collection", "path", "content_sha"]
-    if "content" in fetched.columns and "content" in corpus.columns:
-        cols.append("content")
-        body = docs.select(*SRC, "path", "url", "content").dropDuplicates(SRC + ["path", "url"])  # of one URL, one body
-        written = written.join(body, SRC + ["path", "url"])
-    written = written.select(*cols)
-    removed = plan.filter(F.col("change") == "removed").join(active, SRC, "left_semi").select("collection", "path")
-    gone = written.select("collection", "path").unionByName(removed)
-    kept = corpus.select(*cols).join(gone, ["collection", "path"], "left_anti")
-    return kept.unionByName(written)
-
-
-def corpus_delta(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary: DataFrame) -> DataFrame:
+    (the first one where paths clash, see ``path_clashes``).  With ``contents`` (collection,
+    source_url, url, content; one row per entry) the snapshot has them; they are joined once, to the documents chosen on narrow rows."""
+    written = _written(fetched, summary)
+    gone = written.select("collection", "path").unionByName(_removed(plan, summary))
+    columns = ["collection", "path", "content_sha"] + ["content"] * (contents is not None)
+    kept = corpus.select(*columns).join(gone, ["collection", "path"], "left_anti")
+    return kept.unionByName(_with_contents(written, contents))
+
+
+def changed_documents(corpus: DataFrame, fetched: DataFrame, summary: DataFrame) -> DataFrame:
+    """(collection, path, source_url, url, content_sha) of the documents that ``corpus`` doesn't have as they are."""
+    there = corpus.select("collection", "path", F.col("content_sha").alias("__old"))
+    return (_written(fetched, summary).join(there, ["collection", "path"], "left")
+            .filter("__old IS NULL OR __old <> content_sha").drop("__old"))
+
+
+def corpus_delta(corpus: DataFrame, fetched: DataFrame, plan: DataFrame, summary: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """S6 as changes for ``sources.log``: what ``apply_plan`` makes different from ``corpus``, (collection, path, content_sha[, content],
     deleted).  Documents are chosen and compared by hash; contents are joined to the rows that are written and to no other."""
-    active = summary.filter(~F.col("up_to_date")).select(*SRC)
-    docs = fetched.filter("ok").join(active, SRC, "left_semi")
-    there = corpus.select("collection", "path", F.col("content_sha").alias("__old"))
-    chosen = first_documents(docs)
-    written = chosen.join(there, ["collection", "path"], "left").filter("__old IS NULL OR __old <> content_sha").drop("__old")
-    cols = ["collection", "path", "content_sha"]
-    if "content" in fetched.columns:
-        cols.append("content")
-        body = docs.select(*SRC, "path", "url", "content").join(written.select(*SRC, "path", "url"), [*SRC, "path", "url"], "left_semi")
-        written = written.join(body.dropDuplicates([*SRC, "path", "url"]), [*SRC, "path", "url"])
-    removed = (plan.filter(F.col("change") == "removed").join(active, SRC, "left_semi").select("collection", "path").distinct()
-               .join(chosen.select("collection", "path"), ["collection", "path"], "left_anti")
-               .join(there.select("collection", "path"), ["collection", "path"], "left_semi").withColumn("deleted", F.lit(True)))
-    return written.select(*cols, F.lit(False).alias("deleted")).unionByName(removed, allowMissingColumns=True)
+    key = ["collection", "path"]
+    removed = (_removed(plan, summary).join(_written(fetched, summary).select(*key), key, "left_anti")
+               .join(corpus.select(*key), key, "left_semi").withColumn("deleted", F.lit(True)))
+    changed = _with_contents(changed_documents(corpus, fetched, summary), contents)
+    return changed.withColumn("deleted", F.lit(False)).unionByName(removed, allowMissingColumns=True)
 
 
 def normalised(installs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@
     install plan vs previous snapshot -> per-source summary
 
 Every step is a DataFrame transformation from ``operators``; stage outputs
-read by several later steps are materialised (``session.materialize``).
+read by several later steps are materialised (``session.materialize``).  What a caller
+doesn't ask for is not built (``Tables``).  ``plans.incremental`` runs the same steps for what has changed.
 Shuffles: dedupe (source, href), candidate probe (url), winner bodies (url),
 collision numbering (source, root), plan (collection, source, path).
 """
@@ -24,16 +25,106 @@ from ..operators import sync as SY
 from ..session import materialize
 
 SRC = ["collection", "source_url"]
+ENTRY = ["collection", "source_url", "href", "url", "line_pos", "match_pos", "title", "scheme", "host", "path", "query",
+         "layout", "path_prefix", "local_root_dir"]
+STATE = {  # the previous manifest and corpus, before the first run
+    "installs": {"collection": "string", "pos": "int", "source_url": "string", "source_label": "string",
+                 "layout": "string", "path_prefix": "string", "source": "string"},
+    "managed_files": {"collection": "string", "pos": "int", "source_url": "string", "path": "string"},
+    "selected_urls": {"collection": "string", "pos": "int", "source_url": "string", "url": "string", "ord": SY.ORD},
+    "corpus": {"collection": "string", "path": "string", "content_sha": "string", "content": "string"}}
 
 
-def _empty_like(df: DataFrame, cols: dict) -> DataFrame:
-    return df.sparkSession.createDataFrame([], ", ".join(f"{k} {v}" for k, v in cols.items()))
+class Tables(dict):
+    """Named DataFrames; those in ``later`` are built when they are first asked for."""
+
+    def __init__(self, now: dict, later: dict):
+        super().__init__(now)
+        self.later = later
+
+    def __missing__(self, name: str):
+        self.update(self.later[name]())
+        return self[name]
+
+
+def state_of(spark, **given) -> dict:
+    """The tables of ``STATE``, empty where none is given."""
+    def empty(columns):
+        return spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in columns.items()))
+    return {k: given[k] if given.get(k) is not None else empty(c) for k, c in STATE.items()}
+
+
+def _with_root(sources: DataFrame) -> DataFrame:
+    return sources if "local_root_dir" in sources.columns else sources.withColumn("local_root_dir", F.lit(None).cast("string"))
+
+
+def entries_of(index_lines: DataFrame, sources: DataFrame, state: dict, chosen: DataFrame | None = None):
+    """The unique links of each source with ``allowed``, and those of them to fetch (both written)."""
+    unique = L.dedupe_links(L.valid_links(L.resolve_links(L.extract_links(index_lines))))
+    opts = sources.select("source_url", "collection", "layout", "path_prefix", "allow_external", "local_root_dir")
+    policy = materialize(L.apply_host_policy(unique.join(opts, "source_url", "inner"), "allow_external"))
+    entries = policy.filter("allowed").withColumn("url", F.col("href"))
+    selected = (SY.select_explicit(entries, chosen) if chosen is not None
+                else SY.select_previous(entries, state["installs"], state["selected_urls"]))
+    return policy, materialize(selected.select(*ENTRY))
+
+
+def documents_of(entries: DataFrame, resources: DataFrame) -> DataFrame:
+    """Each entry with what became of it: ok, reason, fetched_url, content, content_sha (written).
+    The bodies of the winners are joined once; entries without one take part with a key of their own."""
+    fetched = FE.first_success(entries, resources).withColumnsRenamed({"url": "entry_url", "ok": "fetched_ok", "reason": "fetch_reason"})
+    bodies = FE.fetch_bodies(fetched, resources, entries_without=True).withColumnRenamed("fetched_url", "url")
+    out = CV.to_markdown(bodies, url="url").withColumnsRenamed({"url": "fetched_url", "entry_url": "url"})
+    return materialize(out.withColumn("reason", F.when(F.col("fetched_ok"), F.col("reason")).otherwise(F.col("fetch_reason")))
+                       .withColumn("ok", F.col("ok") & F.col("fetched_ok")).drop("fetched_ok", "fetch_reason"))
+
+
+def results_of(documents: DataFrame, sources: DataFrame, state: dict) -> DataFrame:
+    """One row per entry with its place (written): W1 within the source, W2 prefixes, P10."""
+    narrow = documents.filter("ok").drop("content")  # names need no contents
+    tree = narrow.filter(F.col("layout") != "flat")
+    nested = (PA.add_remote_paths(tree.filter(F.col("local_root_dir").isNull()))
+              .unionByName(PA.add_local_paths(tree.filter(F.col("local_root_dir").isNotNull()))))
+    flat = PA.add_flat_paths(narrow.filter(F.col("layout") == "flat"))
+    named = nested.unionByName(flat).select(*SRC, "url", "line_pos", "match_pos", "path_prefix", "content_sha", "rel_path")
+    # W1 is independent of the prefix: number first, then assign prefixes
+    numbered = PA.unique_paths(materialize(named), SRC, path="rel_path", out="doc_path")
+    # (a one-row probe of the small sources table decides whether W2 runs)
+    if not sources.filter(F.col("path_prefix").isNull()).isEmpty():
+        numbered = materialize(numbered)
+        prefixes = _prefixes(sources, state["installs"], state["corpus"], numbered)
+        numbered = numbered.drop("path_prefix").join(prefixes, SRC, "left")
+    docs = numbered.withColumn("path", PA.with_prefix("doc_path", "path_prefix"))
+    failed = documents.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
+    return materialize(
+        docs.select(*SRC, "url", "line_pos", "match_pos", F.lit(True).alias("ok"), "path", "content_sha",
+                    F.lit(None).cast("string").alias("reason"), "path_prefix")
+        .unionByName(failed.withColumn("ok", F.lit(False)), allowMissingColumns=True))
+
+
+def finish(results: DataFrame, sources: DataFrame, selected: DataFrame, state: dict) -> Tables:
+    """Plan and summary (written) against the previous state; the manifest tables follow when asked for."""
+    narrow = results.drop("path_prefix")
+    plan = materialize(SY.install_plan(narrow, state["installs"], state["managed_files"], state["corpus"]))
+    summary = materialize(SY.plan_summary(plan, narrow, state["installs"]))
+
+    def manifest():
+        seq = (F.col("seq") if "seq" in sources.columns else F.xxhash64("source_url")).cast("long")
+        label = (F.col("source_label") if "source_label" in sources.columns else F.col("source_url"))
+        given = results.filter("ok").groupBy(*SRC).agg(F.first("path_prefix", ignorenulls=True).alias("__prefix"))
+        runs = (sources.join(given, SRC, "left")
+                .select(*SRC, label.alias("source_label"), "layout",
+                        F.coalesce("path_prefix", "__prefix", F.lit("")).alias("path_prefix"), seq.alias("seq")))
+        tables = SY.upsert_manifest(state["installs"], state["managed_files"], state["selected_urls"], narrow, selected, summary, runs)
+        return dict(zip(("installs", "managed_files", "selected_urls"), tables))
+
+    return Tables({"plan": plan, "summary": summary}, dict.fromkeys(("installs", "managed_files", "selected_urls"), manifest))
 
 
 def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
            installs: DataFrame | None = None, managed_files: DataFrame | None = None,
            selected_urls: DataFrame | None = None, corpus: DataFrame | None = None,
-           chosen: DataFrame | None = None) -> dict:
+           chosen: DataFrame | None = None) -> Tables:
     """Run the import for every source of ``sources``.
 
     index_lines (source_url, line_pos, line)
@@ -46,79 +137,28 @@ def ingest(index_lines: DataFrame, sources: DataFrame, resources: DataFrame,
     chosen      explicit selection (collection, source_url, url), instead of the previous one
     Returns the named intermediate and final DataFrames.
     """
-    installs = installs if installs is not None else _empty_like(
-        index_lines, {"collection": "string", "pos": "int", "source_url": "string", "source_label": "string",
-                      "layout": "string", "path_prefix": "string", "source": "string"})
-    managed_files = managed_files if managed_files is not None else _empty_like(
-        index_lines, {"collection": "string", "pos": "int", "source_url": "string", "path": "string"})
-    selected_urls = selected_urls if selected_urls is not None else _empty_like(
-        index_lines, {"collection": "string", "pos": "int", "source_url": "string", "url": "string", "ord": SY.ORD})
-    corpus = corpus if corpus is not None else _empty_like(
-        index_lines, {"collection": "string", "path": "string", "content_sha": "string", "content": "string"})
-    if "local_root_dir" not in sources.columns:
-        sources = sources.withColumn("local_root_dir", F.lit(None).cast("string"))
-
-    resolved = materialize(L.resolve_links(L.extract_links(index_lines)))
-    unique = L.dedupe_links(L.valid_links(resolved))
-    opts = sources.select("source_url", "collection", "layout", "path_prefix", "allow_external", "local_root_dir")
-    policy = materialize(L.apply_host_policy(unique.join(opts, "source_url", "inner"), "allow_external"))
-    entries = policy.filter("allowed").withColumn("url", F.col("href"))
-    selected = (SY.select_explicit(entries, chosen) if chosen is not None
-                else SY.select_previous(entries, installs, selected_urls))
-    stats = L.link_stats(resolved, policy, selected, SRC)
-    fetched = materialize(FE.first_success(
-        selected.select("collection", "source_url", "href", "url", "line_pos", "match_pos", "title", "scheme",
-                        "host", "path", "query", "layout", "path_prefix", "local_root_dir"),
-        resources))
-    bodies = FE.fetch_bodies(fetched, resources).withColumnRenamed("fetched_url", "fetched")
-    converted = CV.to_markdown(bodies.withColumnRenamed("url", "entry_url").withColumnRenamed("fetched", "url"),
-                               url="url")
-    converted = materialize(converted.withColumnRenamed("url", "fetched_url").withColumnRenamed("entry_url", "url"))
-
-    docs_ok = converted.filter("ok")
-    narrow = docs_ok.drop("content")  # names need no contents
-    tree = narrow.filter(F.col("layout") != "flat")
-    nested = (PA.add_remote_paths(tree.filter(F.col("local_root_dir").isNull()))
-              .unionByName(PA.add_local_paths(tree.filter(F.col("local_root_dir").isNotNull()))))
-    flat = PA.add_flat_paths(narrow.filter(F.col("layout") == "flat"))
-    named = materialize(nested.unionByName(flat))
-    # W1 is independent of the prefix: number first, then assign prefixes
-    numbered = PA.unique_paths(named.drop("path"), SRC, path="rel_path", out="doc_path")
-    # (a one-row probe of the small sources table decides whether W2 runs)
-    if sources.filter(F.col("path_prefix").isNull()).limit(1).count() > 0:
-        numbered = materialize(numbered)
-        prefixes = _prefixes(sources, installs, corpus, numbered)
-        numbered = numbered.drop("path_prefix").join(prefixes, SRC, "left")
-    docs = numbered.withColumn("path", PA.with_prefix("doc_path", "path_prefix")).drop("doc_path")
-
-    fetch_fail = fetched.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
-    convert_fail = converted.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason")
-    failures = fetch_fail.unionByName(convert_fail)
-
-    results = (docs.select(*SRC, "url", "line_pos", "match_pos", F.lit(True).alias("ok"), "path",
-                           "content_sha", F.lit(None).cast("string").alias("reason"))
-               .unionByName(failures.select(*SRC, "url", "line_pos", "match_pos", F.lit(False).alias("ok"),
-                                            F.lit(None).cast("string").alias("path"),
-                                            F.lit(None).cast("string").alias("content_sha"), "reason")))
-    results = materialize(results)
-    plan = materialize(SY.install_plan(results, installs, managed_files, corpus))
-    summary = materialize(SY.plan_summary(plan, results, installs))
-    # the snapshot holds the documents; their contents join the rows chosen by hash
-    full = results.join(docs_ok.select(*SRC, "url", "content"), [*SRC, "url"], "left") if "content" in corpus.columns else results
-    snapshot = SY.apply_plan(corpus, full, plan, summary)
-    seq = (F.col("seq") if "seq" in sources.columns else F.xxhash64("source_url")).cast("long")
-    label = (F.col("source_label") if "source_label" in sources.columns else F.col("source_url"))
-    given = docs.groupBy(*SRC).agg(F.first("path_prefix", ignorenulls=True).alias("__prefix"))
-    run_sources = (sources.join(given, SRC, "left")
-                   .select(*SRC, label.alias("source_label"), "layout",
-                           F.coalesce("path_prefix", "__prefix", F.lit("")).alias("path_prefix"), seq.alias("seq")))
-    new_installs, new_managed, new_selected = SY.upsert_manifest(
-        installs, managed_files, selected_urls, results, selected, summary, run_sources)
-    return {"source_failures": source_failures(sources, index_lines, resolved, policy),
-            "path_clashes": SY.path_clashes(results), "snapshot": snapshot, "installs": new_installs,
-            "managed_files": new_managed, "selected_urls": new_selected, "sources": sources.select(*SRC),
-            "resolved": resolved, "policy": policy, "stats": stats, "selected": selected, "fetched": fetched,
-            "docs": docs, "failures": failures, "results": results, "plan": plan, "summary": summary}
+    state = state_of(index_lines.sparkSession, installs=installs, managed_files=managed_files, selected_urls=selected_urls, corpus=corpus)
+    sources = _with_root(sources)
+    policy, selected = entries_of(index_lines, sources, state, chosen)
+    documents = documents_of(selected, resources)
+    results = results_of(documents, sources, state)
+    out = finish(results, sources, selected, state)
+    narrow = results.drop("path_prefix")
+
+    def snapshot():
+        # the snapshot holds the documents; their contents join the rows chosen by hash
+        contents = documents.filter("ok").select(*SRC, "url", "content") if "content" in state["corpus"].columns else None
+        return {"snapshot": SY.apply_plan(state["corpus"], narrow, out["plan"], out["summary"], contents)}
+
+    out.later |= {
+        "snapshot": snapshot,
+        "stats": lambda: {"stats": L.link_stats(None, policy, selected, SRC)},
+        "resolved": lambda: {"resolved": L.resolve_links(L.extract_links(index_lines))},
+        "source_failures": lambda: {"source_failures": source_failures(sources, index_lines, None, policy)},
+        "path_clashes": lambda: {"path_clashes": SY.path_clashes(narrow)}}
+    out.update(sources=sources.select(*SRC), policy=policy, selected=selected, outcomes=documents, results=narrow,
+               docs=results.filter("ok").drop("ok", "reason"), failures=narrow.filter(~F.col("ok")).select(*SRC, "url", "line_pos", "match_pos", "reason"))
+    return out
 
 
 def _prefixes(sources: DataFrame, installs: DataFrame, corpus: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -150,10 +190,12 @@ def _prefixes(sources: DataFrame, installs: DataFrame, corpus: DataFrame, number
     return given.unionByName(assigned)
 
 
-def source_failures(sources: DataFrame, index_lines: DataFrame, resolved: DataFrame, policy: DataFrame) -> DataFrame:
-    """Sources that give no document to fetch: (collection, source_url, reason)."""
+def source_failures(sources: DataFrame, index_lines: DataFrame, resolved: DataFrame | None, policy: DataFrame) -> DataFrame:
+    """Sources that give no document to fetch: (collection, source_url, reason).  Links are those of
+    ``resolved``, or without it those of ``policy``, which has each of a source's links once."""
     has_lines = index_lines.select("source_url").distinct().withColumn("__lines", F.lit(True))
-    has_links = resolved.filter(F.col("status") == "ok").select("source_url").distinct().withColumn("__links", F.lit(True))
+    links = policy if resolved is None else resolved.filter(F.col("status") == "ok")
+    has_links = links.select("source_url").distinct().withColumn("__links", F.lit(True))
     has_docs = policy.filter("allowed").select(*SRC).distinct().withColumn("__docs", F.lit(True))
     reason = (F.when(F.col("__lines").isNull(), F.lit("no index"))
               .when(F.col("__links").isNull(), F.lit("no links in the index"))

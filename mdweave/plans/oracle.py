@@ -17,6 +17,7 @@ from ..functions.text import WS
 from .views import MANIFEST_FORMS
 
 # --- fixed values (same as plans/views.py) ----------------------------------
+LOG_RUNS = 4
 CRAWL_INDEX_URL = "https://crawl.example.org/llms.txt"
 EXTRA_LINE_BASE = 1_000_000_000
 LOCAL_EXTENSIONS = (".html", ".HTM", ".md", ".MDX", ".markdown", ".txt", "")
@@ -1135,6 +1136,56 @@ SELECT 'site:' || regexp_extract(source_url, '://([^/]+)/', 1) AS collection,
 FROM numbered"""
 
 
+def q_corpus_log() -> str:
+    """Each document at each run; the last run that changed it wrote it."""
+    return _with(sync_ctes().split("installed AS")[0].rstrip().rstrip(",")) + f""",
+runs AS (
+  SELECT b.*, r.run, (doc_id + run) % 9 <> 0 AS there,
+         content || CASE WHEN doc_id % 10 BETWEEN 2 AND run THEN 'second' ELSE 'first' END AS edition
+  FROM base b CROSS JOIN (SELECT unnest(range(1, {LOG_RUNS + 1})) AS run) r
+),
+steps AS (
+  SELECT *, lag(there) OVER w AS there_before, lag(edition) OVER w AS before FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+),
+written AS (
+  SELECT doc_id, max(run) AS seq FROM steps WHERE there AND (there_before IS DISTINCT FROM true OR before <> edition) GROUP BY 1
+)
+SELECT collection, path, sha256(edition) AS content_sha, CAST(seq AS BIGINT) AS seq
+FROM runs JOIN written USING (doc_id) WHERE run = {LOG_RUNS} AND there"""
+
+
+def q_changed_import() -> str:
+    """The documents of both crawls, each from all its pages; one that is gone stays while its source has failures."""
+    body = site_selected_ctes() + "," + CANDIDATES + "," + RESOURCES + "," + FIRST_SUCCESS + f""",
+named AS (
+  SELECT fs.source_url, fs.line_pos, fs.match_pos, coalesce(fs.ok AND {shown_text('r.body')} <> '', false) AS ok, {shown_text('r.body')} AS t,
+         {remote_path('s.path', title_clean('s.title'))} AS nested
+  FROM fs JOIN sel s ON s.source_url = fs.source_url AND s.href = fs.href
+  LEFT JOIN resources r ON r.url = fs.fetched_url AND r.ok
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source_url, nested ORDER BY line_pos, match_pos) AS k FROM named WHERE ok
+),
+failing AS (SELECT source_url, count_if(NOT ok) AS failures FROM named GROUP BY 1)
+SELECT source_url, CASE WHEN k = 1 THEN nested ELSE regexp_replace(nested, '\.md$', '-' || CAST(k AS VARCHAR) || '.md') END AS path,
+       sha256(t) AS text_sha, failures
+FROM failing LEFT JOIN numbered USING (source_url)"""
+    later = ("pages AS (SELECT page_id, url, CASE WHEN page_id % 40 = 3 THEN html || '<p>second edition</p>' ELSE html END AS html "
+             "FROM all_pages WHERE page_id % 50 <> 7)")
+    return f"""
+WITH all_pages AS (SELECT page_id, url, html FROM pages),
+first_run AS (WITH pages AS (SELECT * FROM all_pages), {body}),
+second_run AS (WITH {later}, {body}),
+facts AS (SELECT DISTINCT source_url, failures FROM second_run),
+kept AS (
+  SELECT f.source_url, f.path, f.text_sha FROM first_run f LEFT JOIN facts USING (source_url)
+  WHERE f.path IS NOT NULL AND coalesce(facts.failures, 1) > 0
+    AND NOT EXISTS (SELECT 1 FROM second_run s WHERE s.source_url = f.source_url AND s.path = f.path)
+)
+SELECT 'site:' || regexp_extract(source_url, '://([^/]+)/', 1) AS collection, path, text_sha
+FROM (SELECT source_url, path, text_sha FROM second_run WHERE path IS NOT NULL UNION ALL SELECT * FROM kept)"""
+
+
 def q_source_failures() -> str:
     return _with(site_selected_ctes()) + """
 SELECT 'site:' || regexp_extract(v.source_url, '://([^/]+)/', 1) AS collection, v.source_url,
@@ -1181,6 +1232,8 @@ FROM sums"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "corpus_log": q_corpus_log(),
+        "changed_import": q_changed_import(),
         "manifest_selection": q_manifest_selection(),
         "manifest_scan": q_manifest_scan(),
         "manifest_lists": q_manifest_lists(),

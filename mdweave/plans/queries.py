@@ -16,8 +16,11 @@ from ..operators import paths as PA
 from ..operators import review as RV
 from ..operators import sync as SY
 from ..operators import links as L
-from ..session import materialize
+from ..session import materialize, scratch_folder
+from ..sources import log as LG
 from ..sources import manifest as MF
+from ..sources import sinks as SK
+from . import incremental as IC
 from . import ingest as IN
 from . import views as V
 
@@ -379,7 +382,36 @@ def source_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IN.source_failures(sources, lines, resolved, policy)
 
 
+def corpus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus that several runs leave in a log, each of which writes its changes only, with a
+    compaction after each: path, hash of the content, and the run that wrote it."""
+    root, key = scratch_folder(spark, "log"), ["collection", "path"]
+    for run in range(1, V.LOG_RUNS + 1):
+        before = LG.read(spark, root, key)
+        LG.append(LG.changes(None if before is None else before.drop("seq"), V.corpus_at(spark, sf_dir, run), key), root, key)
+        LG.compact(spark, root, key, fan=3)
+    return LG.read(spark, root, key).select("collection", "path", "content_sha", "seq")
+
+
+def changed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after a second crawl, from the first import and what has changed since: path, and a hash of the text."""
+    lines, resources = V.host_index_lines(spark, sf_dir), V.crawl_resources(spark, sf_dir)
+    later = V.later_pages(spark, sf_dir)
+    new_lines, new_resources = V.host_index_lines(spark, sf_dir, later), V.crawl_resources(spark, sf_dir, later)
+    sources = _site_sources(lines)
+    first = IN.ingest(lines, sources, resources)
+    corpus = materialize(first["snapshot"])
+    second = IC.ingest_changes({**first, "sources": sources}, new_lines, sources, new_resources, IC.changed_sources(lines, new_lines),
+                               IC.changed_urls(resources, new_resources), *(materialize(first[k]) for k in SK.MANIFEST_TABLES), corpus)
+    delta = materialize(second["delta"])
+    out = (corpus.join(delta.select("collection", "path"), ["collection", "path"], "left_anti")
+           .unionByName(delta.filter("NOT deleted").drop("deleted")))
+    return out.select("collection", "path", F.sha2(_shown("content"), 256).alias("text_sha"))
+
+
 QUERIES = {
+    "corpus_log": corpus_log,
+    "changed_import": changed_import,
     "extract_links": extract_links,
     "resolve_links": resolve_links,
     "link_rejects": link_rejects,

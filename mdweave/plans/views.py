@@ -68,14 +68,14 @@ def _page_lines(pages: DataFrame, source_url) -> DataFrame:
                         (F.col("page_id") + 1).cast("long").alias("line_pos"), line.alias("line"))
 
 
-def host_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def host_index_lines(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """V2: one index per site (last three host labels) at
     ``https://<domain>/llms.txt``, listing every page of the site's hosts in
     ``page_id`` order (sub-domain pages are external for the host policy),
     plus a header, a ``mailto:`` link, a broken link and a repeat of the
     site's first page.  Returned as lines (source_url, line_pos, line): a site
     index is never assembled into one string."""
-    pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = (load_table(spark, sf_dir, "pages") if pages is None else pages).select("page_id", "url", "html")
     src = F.concat(F.lit("https://"), page_domain(), F.lit("/llms.txt"))
     listed = _page_lines(pages, src)
     sites = (pages.groupBy(page_domain().alias("domain"))
@@ -99,13 +99,13 @@ def crawl_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_lines(pages, F.lit(CRAWL_INDEX_URL))
 
 
-def crawl_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crawl_resources(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """V3: the crawl snapshot.  Each page is stored under one of its candidate
     URLs by ``page_id % 5`` (original, ``.md``, ``/index.md``, ``.html.md``);
     the fifth variant is a failed fetch (HTTP 404 for even ids, a transport
     error for odd ids).  Content type by ``page_id % 3``: ``text/html``,
     missing, ``application/octet-stream``."""
-    pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = (load_table(spark, sf_dir, "pages") if pages is None else pages).select("page_id", "url", "html")
     parsed = parse_urls(pages, "url", "u")
     variant = F.col("page_id") % 5
     cands = candidate_urls(F.col("u.href"), F.col("u.path"), F.col("u.query"))
@@ -128,6 +128,26 @@ def crawl_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def later_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a second crawl: those with ``page_id % 50 = 7`` are gone (from the indexes too), and those
+    with ``page_id % 40 = 3`` have one more paragraph."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url", "html").filter(F.col("page_id") % 50 != 7)
+    more = F.concat("html", F.lit("<p>second edition</p>"))
+    return pages.withColumn("html", F.when(F.col("page_id") % 40 == 3, more).otherwise(F.col("html")))
+
+
+LOG_RUNS = 4
+
+
+def corpus_at(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:
+    """The corpus after ``run`` (from 1) of several: a document is missing in it if ``(doc_id + run) % 9 = 0``, and its
+    content is another from the run on that ``doc_id % 10`` names (2 to ``LOG_RUNS``)."""
+    base = _doc_base(spark, sf_dir).filter((F.col("doc_id") + run) % 9 != 0)
+    edition = F.when((F.col("doc_id") % 10).between(2, run), F.lit("second")).otherwise(F.lit("first"))
+    content = F.concat("content", edition)
+    return base.select("collection", "path", F.sha2(content, 256).alias("content_sha"), content.alias("content"))
+
+
 def doc_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: ``documents`` as fetched text resources at
     ``https://<source>.example.org/<lang>/<doc_id>``; content type by

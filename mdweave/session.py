@@ -75,8 +75,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name (not created) beside the stage tables of this application; ``remove_stages`` removes it."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/mdweave-stages/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def remove_stages(spark: SparkSession) -> bool:
-    """Delete the stage tables of this application under ``spark.checkpoint.dir``, and
+    """Delete the stage tables and scratch folders of this application under ``spark.checkpoint.dir``, and
     say whether there were any.  For the end of a run, once its results are
     written: DataFrames that still read stage tables can't be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(

@@ -51,6 +51,13 @@ def read(spark: SparkSession, root: str, key: list[str]) -> DataFrame | None:
     return None if rows is None else rows.filter("NOT deleted").drop("deleted")
 
 
+def since(spark: SparkSession, root: str, seq: int, key: list[str]) -> DataFrame | None:
+    """The keys that runs after ``seq`` changed or removed; only segments with such runs are read."""
+    newer = [s for s in segments(spark, root)[1] if s["last"] > seq]
+    parts = [_rows(spark, root, s).filter(F.col("seq") > seq).select(*key) for s in newer]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else None
+
+
 def append(changes: DataFrame, root: str, key: list[str], after: int | None = None) -> int:
     """Write the changes of a run (one row per ``key``, with ``deleted``) as its segment and publish it; its sequence
     number.  ``after`` is the pointer that the changes were made against: ``pointers.Conflict`` if another run came first."""

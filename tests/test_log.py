@@ -107,9 +107,9 @@ def test_delta_of_a_plan(spark):
     plan = spark.createDataFrame([("c", "s1", "gone", "removed"), ("c", "s1", "taken", "removed"), ("c", "s1", "nowhere", "removed")],
                                  "collection string, source_url string, path string, change string")
     summary = spark.createDataFrame([("c", "s1", False), ("c", "s2", False), ("c", "s3", True)], "collection string, source_url string, up_to_date boolean")
-    delta = SY.corpus_delta(corpus, fetched, plan, summary)
+    delta = SY.corpus_delta(corpus, fetched, plan, summary, fetched)
     assert sorted((r.path, r.content, r.deleted) for r in delta.collect()) == [
         ("both", "B1", False), ("edit", "N", False), ("gone", None, True), ("taken", "T2", False)]
     folded = corpus.join(delta.select(*KEY), KEY, "left_anti").unionByName(delta.filter("NOT deleted").drop("deleted"))
-    full = SY.apply_plan(corpus, fetched, plan, summary)
+    full = SY.apply_plan(corpus, fetched, plan, summary, fetched)
     assert sorted(map(tuple, folded.select(*full.columns).collect())) == sorted(map(tuple, full.collect()))
