@@ -12,10 +12,8 @@ Supported subset (stated, everything else is ``invalid`` rather than wrong):
   * scheme-relative ``//host``, path-absolute ``/p``, query-only ``?q``,
     fragment-only ``#f``, empty and path-relative references, dot segments
     including the ``%2e`` spellings;
-  * hosts: ASCII registered names (lower-cased), bracketed IPv6 literals (kept
-    as written, lower-cased), dotted-quad IPv4.  Hosts that would need IDNA
-    (non-ASCII), percent-decoding or the WHATWG IPv4 number forms are
-    ``invalid``;
+  * hosts of special schemes as ``functions.hosts`` parses them: names in lower case, percent-decoded, international
+    ones in Punycode (without Unicode normalisation), IPv4 numbers, IPv6 in its shortest form;
   * ports: digits, <= 65535, scheme default dropped;
   * percent-encoding: the WHATWG path and special-query sets (UTF-8).
 
@@ -29,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hosts import host_sql
+
 # --- fixed values (WHATWG URL standard) -------------------------------------
 SPECIAL_SCHEMES = ("ftp", "file", "http", "https", "ws", "wss")
 DEFAULT_PORTS = {"ftp": "21", "http": "80", "https": "443", "ws": "80", "wss": "443"}
@@ -37,8 +37,6 @@ SUPPORTED_PROTOCOLS = ("file", "http", "https")
 PATH_ENCODE = r'[^\x21-\x7E]|["<>`{}]'
 # characters percent-encoded in a special query: C0, space, non-ASCII, " < > '
 QUERY_ENCODE = r"""[^\x21-\x7E]|["<>']"""
-# forbidden host code points (plus % since percent-decoding is out of scope)
-FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]|[^\x00-\x7F]"
 # ---------------------------------------------------------------------------
 
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -57,8 +55,6 @@ def percent_encode(x: str, charset: str) -> Column:
     return F.expr(_encode_sql(x, charset))
 
 
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_QUAD = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
 _SPECIAL_SQL = ", ".join(f"'{x}'" for x in SPECIAL_SCHEMES)
 _SUPPORTED_SQL = ", ".join(f"'{x}'" for x in SUPPORTED_PROTOCOLS)
 
@@ -125,7 +121,7 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
     v = {k: f"`{t}{k}`" for k in (
         "r0 has_scheme r_scheme after b_scheme b_ok scheme special is_file same_scheme body opaque authority "
         "auth_body auth auth_rest userinfo_a hostport pq_src host_a port_rest p0 q0 host0 userinfo port_str "
-        "port_junk path_raw query_raw rel_possible host port_num path_abs default_port nseg port_ok path_dots "
+        "port_junk host1 path_raw query_raw rel_possible host port_num path_abs default_port nseg port_ok path_dots "
         "host_ok path query port status").split()}
     scheme_re = _raw(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
     df = _stage(df, {t + "r0": f"regexp_replace(regexp_replace(`{ref}`, {_raw(r'[\t\n\r]')}, ''), "
@@ -178,7 +174,7 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
     if has_base:
         cross = f"({hs} AND NOT {same})"
         st10 = {
-            t + "host0": f"CASE WHEN {au} THEN lower({v['host_a']}) WHEN {cross} THEN '' ELSE {B}.host END",
+            t + "host0": f"CASE WHEN {au} THEN {v['host_a']} WHEN {cross} THEN '' ELSE {B}.host END",
             t + "userinfo": f"CASE WHEN {au} THEN regexp_replace({v['userinfo_a']}, {_raw(r':\z')}, '') "
                             f"WHEN {cross} THEN '' ELSE {B}.userinfo END",
             t + "port_str": f"CASE WHEN {au} THEN {port_a} WHEN {cross} THEN NULL ELSE {B}.port END",
@@ -193,7 +189,7 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
         }
     else:
         st10 = {
-            t + "host0": f"CASE WHEN {au} THEN lower({v['host_a']}) ELSE '' END",
+            t + "host0": f"CASE WHEN {au} THEN {v['host_a']} ELSE '' END",
             t + "userinfo": f"CASE WHEN {au} THEN regexp_replace({v['userinfo_a']}, {_raw(r':\z')}, '') ELSE '' END",
             t + "port_str": f"CASE WHEN {au} THEN {port_a} END",
             t + "path_raw": f"CASE WHEN {au} THEN {p0} WHEN startswith({p0}, '/') THEN {p0} ELSE concat('/', {p0}) END",
@@ -205,8 +201,10 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
     ps = v["port_str"]
     port_re = _raw(r"^0*[0-9]{1,5}\z")  # WHATWG accepts zeros in front
     default_port = "CASE " + " ".join(f"WHEN {v['scheme']} = '{k}' THEN '{p}'" for k, p in DEFAULT_PORTS.items()) + " END"
+    # a host that the base has parsed already, or one of another scheme, stays
+    df = _stage(df, {t + "host1": f"CASE WHEN {au} AND {sp} AND {v['host0']} <> '' THEN {host_sql(v['host0'])} ELSE lower({v['host0']}) END"})
     df = _stage(df, {
-        t + "host": f"CASE WHEN {fi} AND {v['host0']} = 'localhost' THEN '' ELSE {v['host0']} END",
+        t + "host": f"CASE WHEN {fi} AND {v['host1']} = 'localhost' THEN '' ELSE {v['host1']} END",
         t + "port_num": f"CASE WHEN {ps} RLIKE {port_re} THEN try_cast({ps} AS INT) END",
         t + "path_abs": f"CASE WHEN {sp} AND {v['path_raw']} = '' THEN '/' ELSE {v['path_raw']} END",
         t + "default_port": default_port,
@@ -223,11 +221,7 @@ def resolve_urls(df: DataFrame, ref: str, out: str, base: str | None = None,
             f"WHEN x.s RLIKE {d1} THEN (CASE WHEN x.i = {v['nseg']} - 1 THEN concat(acc, array('')) ELSE acc END) "
             f"ELSE concat(acc, array(x.s)) END), '/'))")
     host = v["host"]
-    host_ok = (f"CASE WHEN {host} = '' THEN ({fi} OR NOT {sp}) "
-               f"WHEN startswith({host}, '[') THEN {host} RLIKE {_raw(r'^\[[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\]\z')} "
-               f"ELSE NOT ({host} RLIKE {_raw(FORBIDDEN_HOST)}) AND "
-               f"(NOT (regexp_extract({host}, {_raw(r'([^.]*)\.?\z')}, 1) RLIKE {_raw(r'^(0[xX][0-9A-Fa-f]*|[0-9]+)\z')})"
-               f" OR {host} RLIKE {_raw(_QUAD)}) END")
+    host_ok = f"CASE WHEN {host} = '' THEN ({fi} OR NOT {sp}) ELSE {host} IS NOT NULL END"
     df = _stage(df, {
         t + "port_ok": f"{ps} IS NULL OR {ps} = '' OR ({v['port_num']} IS NOT NULL AND {v['port_num']} <= 65535)",
         t + "path_dots": (f"CASE WHEN startswith({pa}, '/') AND {pa} RLIKE {_raw(r'(?i)/(\.|%2e){1,2}(/|\z)')} "
@@ -302,7 +296,13 @@ def is_private_hostname(host) -> Column:
     v4_private = ((a == 0) | (a == 10) | (a == 127) | ((a == 169) & (b2 == 254))
                   | ((a == 172) & (b2 >= 16) & (b2 <= 31)) | ((a == 192) & (b2 == 168)))
     ipv6 = h.contains(":") & h.rlike(r"^[0-9a-f:.]+\z")
-    v6_private = (h == "::1") | h.startswith("fc") | h.startswith("fd") | h.startswith("fe80:")
+    # an IPv4 address written as IPv6 (::ffff:7f00:1, as the host parser writes it)
+    mapped = F.regexp_extract(h, r"^::ffff:([0-9a-f]{1,4}):[0-9a-f]{1,4}\z", 1)
+    high = F.when(mapped != "", F.conv(mapped, 16, 10).cast("int"))
+    m1, m2 = F.shiftright(high, 8), high % 256
+    mapped_private = F.coalesce((m1 == 0) | (m1 == 10) | (m1 == 127) | ((m1 == 169) & (m2 == 254))
+                                | ((m1 == 172) & (m2 >= 16) & (m2 <= 31)) | ((m1 == 192) & (m2 == 168)), F.lit(False))
+    v6_private = (h == "::1") | h.startswith("fc") | h.startswith("fd") | h.startswith("fe80:") | mapped_private
     return (F.when((h == "localhost") | h.endswith(".local") | h.endswith(".internal"), F.lit(True))
             .when(ipv4, v4_private)
             .when(ipv6, v6_private)

@@ -193,9 +193,9 @@ def review(registry: DataFrame, resources: DataFrame) -> DataFrame:
     rank = F.struct((~F.col("r_ok")).alias("failed"), *(c for c in values if c != "r_ok"))
     res = res.groupBy("parsed_href").agg(F.min_by(F.struct(*values), rank).alias("__r")).select("parsed_href", "__r.*")
     probe = s.withColumn("__fetch", F.size("issues") == 0)
-    # entries with issues pass the join by: no reducer gets them all under a null key
-    d = (probe.filter("__fetch").join(res, "parsed_href", "left")
-         .unionByName(probe.filter("NOT __fetch"), allowMissingColumns=True))
+    # an entry with issues has a key of its own that no URL is equal to: it finds nothing, and they don't meet in one task
+    key = F.when(F.col("__fetch"), F.col("parsed_href")).otherwise(F.concat(F.lit("none "), F.col("line_no").cast("string")))
+    d = probe.withColumn("__key", key).join(res.withColumnRenamed("parsed_href", "__key"), "__key", "left").drop("__key")
     fetched = F.col("__fetch") & F.col("r_ok").isNotNull()
     ok = fetched & F.col("r_ok")
     header_len = F.when(fetched, F.coalesce(F.col("r_len"), F.lit(0))).otherwise(F.lit(0)).cast("long")

@@ -914,6 +914,28 @@ SELECT line_no, label, row_number() OVER (ORDER BY icu_sort_key(label, 'en'), li
 FROM reg_v WHERE valid"""
 
 
+#: published pairs of an international label and its ASCII form
+INTERNATIONAL = (("b\u00fccher", "xn--bcher-kva"), ("fa\u00df", "xn--fa-hia"), ("\u4f8b\u3048", "xn--r8jz45g"),
+                 ("\u30c6\u30b9\u30c8", "xn--zckzah"), ("\u2603", "xn--n3h"))
+
+
+def q_parsed_hosts() -> str:
+    labels, codes = ("[" + ", ".join(f"'{x[k]}'" for x in INTERNATIONAL) + "]" for k in (0, 1))
+    dotted = "format('{}.{}.{}.{}', %s >> 24, (%s >> 16) & 255, (%s >> 8) & 255, %s & 255)"
+    four, two = "(n * 7919 + 65536) % 4294967296", "(2130706432 + (n * 31) % 16777216)"
+    pairs = [("h", "h"), ("upper(h)", "h"), ("'ex%61mple-' || n || '.com'", "'example-' || n || '.com'"),
+             (f"CAST({four} AS VARCHAR)", dotted.replace("%s", f"({four})")), ("'0x7F.' || (n * 31) % 16777216", dotted.replace("%s", two)),
+             ("'0' || format('{:o}', n % 256) || '.0.0.1'", "n % 256 || '.0.0.1'"), ("'10.0.7.' || n % 256 || '.'", "'10.0.7.' || n % 256"),
+             ("'[2001:DB8:0:0:0:0:0:' || format('{:X}', n % 65535 + 1) || ']'", "'[2001:db8::' || format('{:x}', n % 65535 + 1) || ']'"),
+             ("'[::ffff:1.2.' || n % 256 || '.4]'", "'[::ffff:102:' || format('{:x}', (n % 256) * 256 + 4) || ']'"),
+             (f"{labels}[1 + n % {len(INTERNATIONAL)}] || '.' || h", f"{codes}[1 + n % {len(INTERNATIONAL)}] || '.' || h"),
+             ("'\uff25\uff58' || n || '\u3002com'", "'ex' || n || '.com'"), ("'1.2.3.' || (n % 100 + 256)", "NULL"), ("'ex%20ample' || n", "NULL")]
+    rows = " UNION ALL ".join(f"SELECT n AS page_id, {k} AS form, {a} AS host, CAST({b} AS VARCHAR) AS parsed FROM p" for k, (a, b) in enumerate(pairs))
+    return f"""
+WITH p AS (SELECT page_id AS n, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS h FROM pages)
+{rows}"""
+
+
 def q_private_hosts() -> str:
     host = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
     return f"""WITH p AS (
@@ -1232,6 +1254,7 @@ FROM sums"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "parsed_hosts": q_parsed_hosts(),
         "corpus_log": q_corpus_log(),
         "changed_import": q_changed_import(),
         "manifest_selection": q_manifest_selection(),

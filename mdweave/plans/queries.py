@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import guess_local_content_type, is_private_hostname
+from ..functions.urls import guess_local_content_type, is_private_hostname, parse_urls
 from ..operators import convert as CV
 from ..operators import fetch as FE
 from ..operators import paths as PA
@@ -299,6 +299,12 @@ def registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PA.positions(reg, RV.label_order()).select("line_no", "label", "position")
 
 
+def parsed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a URL makes of its host; null where that makes the URL invalid."""
+    urls = V.host_forms(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), "host", F.lit("/")))
+    return parse_urls(urls, "url", "u").select("page_id", "form", "host", F.when(F.col("u.status") == "ok", F.col("u.host")).alias("parsed"))
+
+
 def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.private_host_names(spark, sf_dir).select("page_id", "form", "host", is_private_hostname("host").alias("private"))
 
@@ -445,6 +451,7 @@ QUERIES = {
     "manifest_lists": manifest_lists,
     "registry_scan": registry_scan,
     "registry_order": registry_order,
+    "parsed_hosts": parsed_hosts,
     "private_hosts": private_hosts,
     "local_content_types": local_content_types,
     "source_resolution": source_resolution,

@@ -333,6 +333,27 @@ def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(F.lit("m-"), F.col("id")).alias("collection"), text.alias("text"))
 
 
+#: published pairs of an international label and its ASCII form
+INTERNATIONAL = (("b\u00fccher", "xn--bcher-kva"), ("fa\u00df", "xn--fa-hia"), ("\u4f8b\u3048", "xn--r8jz45g"),
+                 ("\u30c6\u30b9\u30c8", "xn--zckzah"), ("\u2603", "xn--n3h"))
+
+
+def host_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, 13 per page: its own, and forms with numbers from ``page_id`` that a URL parser rewrites or refuses."""
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url")
+    n, text = F.col("page_id"), F.col("page_id").cast("string")
+    byte = (n % 256).cast("string")
+    label = F.get(F.array(*[F.lit(a) for a, _ in INTERNATIONAL]), (n % len(INTERNATIONAL)).cast("int"))
+    forms = [page_host(), F.upper(page_host()), F.concat(F.lit("ex%61mple-"), text, F.lit(".com")),
+             ((n * 7919 + 65536) % 4294967296).cast("string"), F.concat(F.lit("0x7F."), ((n * 31) % 16777216).cast("string")),
+             F.concat(F.lit("0"), F.conv(byte, 10, 8), F.lit(".0.0.1")), F.concat(F.lit("10.0.7."), byte, F.lit(".")),
+             F.concat(F.lit("[2001:DB8:0:0:0:0:0:"), F.hex(n % 65535 + 1), F.lit("]")),
+             F.concat(F.lit("[::ffff:1.2."), byte, F.lit(".4]")), F.concat(label, F.lit("."), page_host()),
+             F.concat(F.lit("\uff25\uff58"), text, F.lit("\u3002com")), F.concat(F.lit("1.2.3."), (n % 100 + 256).cast("string")),
+             F.concat(F.lit("ex%20ample"), text)]
+    return pages.select("page_id", F.posexplode(F.array(*forms)).alias("form", "host"))
+
+
 def private_host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host names, 14 per page: its own, and private, public and malformed forms with
     numbers from ``page_id``."""

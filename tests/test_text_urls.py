@@ -54,7 +54,7 @@ CASES = [
     ("https://example.com/a%2e%2E/b", "https://x.org/", "ok", "https://example.com/a%2e%2E/b"),
     ("https://example.com/%2e%2E/b", "https://x.org/", "ok", "https://example.com/b"),
     ("https://ex ample.com/", "https://x.org/", "invalid", "https://ex ample.com/"),
-    ("https://127.1/", "https://x.org/", "invalid", "https://127.1/"),
+    ("https://127.1/", "https://x.org/", "ok", "https://127.0.0.1/"),
     ("https://[fe80::1]/x", "https://x.org/", "ok", "https://[fe80::1]/x"),
     ("https://example.com:99999/", "https://x.org/", "invalid", "https://example.com:99999/"),
     ("ftp://example.com/a", "https://x.org/", "unsupported", "ftp://example.com/a"),
