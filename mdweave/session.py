@@ -81,10 +81,22 @@ def scratch_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/mdweave-stages/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
+def scratch_table(spark: SparkSession) -> str:
+    """A new catalog name for a table under a ``scratch_folder`` (only tables keep buckets); ``remove_stages`` drops it."""
+    import uuid
+    return f"{_table_prefix(spark)}{uuid.uuid4().hex}"
+
+
+def _table_prefix(spark: SparkSession) -> str:
+    return "mdweave_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId).lower() + "_"
+
+
 def remove_stages(spark: SparkSession) -> bool:
-    """Delete the stage tables and scratch folders of this application under ``spark.checkpoint.dir``, and
+    """Delete the stage tables, scratch folders and scratch tables of this application, and
     say whether there were any.  For the end of a run, once its results are
     written: DataFrames that still read stage tables can't be used afterwards."""
+    for row in spark.sql(f"SHOW TABLES LIKE '{_table_prefix(spark)}*'").collect():
+        spark.sql(f"DROP TABLE IF EXISTS `{row.tableName}`")
     path = spark._jvm.org.apache.hadoop.fs.Path(
         f"{ensure_checkpoint_dir(spark).rstrip('/')}/mdweave-stages/{spark.sparkContext.applicationId}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from mdweave import session
 from mdweave.operators import review as RV
 from mdweave.operators import paths as PA
 from mdweave.sources import link_index as LI
@@ -90,6 +91,14 @@ def test_stage_tables_are_removed(spark):
     assert remove_stages(spark) and not remove_stages(spark)
 
 
+def test_scratch_tables_are_dropped(spark):
+    name = session.scratch_table(spark)
+    spark.range(3).write.option("path", session.scratch_folder(spark, "t")).saveAsTable(name)
+    assert spark.table(name).count() == 3
+    session.remove_stages(spark)
+    assert not spark.catalog.tableExists(name)
+
+
 def test_no_scratch_folder_on_a_cluster():
     import types
 
