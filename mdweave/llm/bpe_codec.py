@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_table
 from .common import parts_of, shared_folder, shuffle_partitions, slices, texts_of, worker_cache
 from .pretokens import split_spaced
 from .wordtokens import Numbered, gather
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # an external table, because only tables keep their buckets: the join back then leaves it in place
-    name = f"mdweave_pretokens_{uuid.uuid4().hex}"
+    name = scratch_table(spark)
     (exploded(rows, buckets).write.format("parquet").option("path", shared_folder(spark, "pretokens"))
      .bucketBy(buckets, "block").saveAsTable(name))
     blocks = spark.table(name)

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize, scratch_folder
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir`` (not created)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/mdweave-{what}/{uuid.uuid4().hex}"
+    """A new folder name under ``spark.checkpoint.dir`` (not created), removed with the stage tables."""
+    return scratch_folder(spark, what)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -97,8 +97,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
 def pack(parts: DataFrame, length: int = 2048, open_sequences: int = 512) -> DataFrame:
     """Add ``sequence_id, offset`` to rows with ``doc_id, piece, length`` (and any others).
 
-    Rows are dealt by a hash of document and piece, in its order, so that copies
-    spread and a repeated task packs alike; AQE joins small partitions, and the
+    Rows are dealt by a hash of document, piece and place in the input, in its order, so that copies
+    spread, rows repeated with one id too, and a repeated task packs alike; AQE joins small partitions, and the
     few sequences that each one leaves open are the only waste of the split."""
     schema = StructType(list(parts.schema.fields)).add("sequence_id", "long").add("offset", "long")
 
@@ -112,7 +112,7 @@ def pack(parts: DataFrame, length: int = 2048, open_sequences: int = 512) -> Dat
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                                                  names=schema.names)
 
-    order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id() % 4096)
     return (parts.withColumn("__order", order).repartition("__order")
             .sortWithinPartitions("__order").mapInArrow(run, schema))
 

@@ -165,18 +165,24 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     return shards.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
 
 
+RANGES = 64
+
+
 def read_token_files(shards: DataFrame, documents_per_task: int = 4096) -> DataFrame:
     """Documents of the files: ``doc_id, start`` (ids before it in the data set),
-    ``ids`` (array).  Every task reads some ranges of documents through the index."""
+    ``ids`` (array).  Every task reads some ranges of documents through the index, which it
+    reads once for ``RANGES`` of them."""
     last = F.greatest(F.floor((F.col("documents") - 1) / documents_per_task), F.lit(0)).cast("long")
     ranges = shards.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), last))) \
-        .repartition(shuffle_partitions(shards.sparkSession), "path", "range")
+        .repartition(shuffle_partitions(shards.sparkSession), "path", F.expr(f"range div {RANGES}")).sortWithinPartitions("path", "range")
 
     def read(batches):
+        opened, index = None, None
         for batch in batches:
             for row in batch.to_pylist():
                 filesystem, path = open_filesystem(row["path"])
-                index = BoundaryIndex(filesystem.open_input_file(f"{path}.idx").read())
+                if path != opened:
+                    opened, index = path, BoundaryIndex(filesystem.open_input_file(f"{path}.idx").read())
                 begin = row["range"] * documents_per_task
                 end = min(begin + documents_per_task, index.documents)
                 at = index.offsets(begin, end)

@@ -124,7 +124,8 @@ def test_exact_dedup(docs, empty):
 
 def test_bloom_filter_finds_every_repeat(spark):
     keys = spark.range(3000).select(F.unhex(F.sha2((F.col("id") % 2000).cast("string"), 256)).alias("sha"))
-    bits = exact_dedup.filter_bits(3000, 1 << 28)
+    bits, ranges = exact_dedup.filter_bits(3000, 1 << 28)
+    assert ranges == 1
     table = np.frombuffer(exact_dedup.repeated_bits(keys.repartition(7), bits), np.uint8)
     hit = []
     for i in range(2000):
@@ -133,6 +134,30 @@ def test_bloom_filter_finds_every_repeat(spark):
     assert all(hit[:1000]) and sum(hit[1000:]) < 100
 
 
+def test_filters_by_range_of_the_hashes(spark, monkeypatch):
+    """With more rows than a filter suits, each range of the hashes has its own, and rows still pass straight through."""
+    monkeypatch.setattr(exact_dedup, "SEGMENT_BITS", 1 << 10)
+    assert exact_dedup.filter_bits(10**9, 1 << 26) == (1 << 26, 256) and exact_dedup.filter_bits(900, 1 << 12) == (1 << 12, 4)
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, most_bits=1 << 12).collect()}
+    assert got == {i: (i % 700, 2 if i % 700 < 200 else 1, i < 700) for i in range(900)}
+    keys = exact_dedup.keys_by_range(docs, "doc_id", "text", 4)
+    assert sum(k.count() for k in keys) == 900 and min(k.count() for k in keys) > 150
+    assert sum(exact_dedup.flagged_rows(k, 1 << 12).where("maybe").count() for k in keys) < 450  # 400 are repeated
+
+
+def test_rows_repeated_with_one_id_spread(spark):
+    """Equal rows are dealt to many tasks, and packed as others are."""
+    rows = spark.range(0, 8000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                             F.lit(100).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r.sequence_id, r.offset) for r in packing.pack(rows).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(set(got)) == 8000 and len({s >> 40 for s, _ in got}) == 4
+
+
 def fingerprint(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text(t)))
     if not words:
