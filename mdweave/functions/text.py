@@ -1,19 +1,15 @@
 """Text expressions (E1, E3, E4, E7, E9, E18 and the whitespace class).
 
-Everything here returns a native Column except ``fold_accents`` (pandas UDF),
-which callers apply only to the rows that contain non-ASCII text
-(see ``with_folded``): a ``when`` around a Python UDF does not stop rows from
-being shipped to Python, a ``filter`` does.
+Everything here returns a native Column.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # --- fixed values (must equal the reference's semantics) --------------------
 # JavaScript's String.prototype.trim / \s whitespace: tab, LF, VT, FF, CR, space,
@@ -61,21 +57,6 @@ def normalize_href(col) -> Column:
     return F.when(h2.rlike(titled), F.regexp_extract(h2, titled, 1)).otherwise(h2)
 
 
-def sanitize_ascii(col) -> Column:
-    """E3 after the NFKD fold: the native part of sanitizeSegment.
-
-    Order: drop combining marks U+0300-036F; ``%hh`` -> ``-``; runs outside
-    ``[A-Za-z0-9._-]`` -> ``-``; collapse ``-``; strip leading/trailing ``-._``;
-    lower-case.
-    """
-    s = F.regexp_replace(_c(col), "[\\x{0300}-\\x{036F}]", "")
-    s = F.regexp_replace(s, "%[0-9A-Fa-f]{2}", "-")
-    s = F.regexp_replace(s, "[^A-Za-z0-9._-]+", "-")
-    s = F.regexp_replace(s, "-+", "-")
-    s = F.regexp_replace(s, "^[-._]+|[-._]+\\z", "")
-    return F.lower(s)
-
-
 def strip_document_extension(col) -> Column:
     """One trailing document extension, case-insensitive."""
     return F.regexp_replace(_c(col), f"(?i){DOC_EXTENSIONS}\\z", "")
@@ -98,25 +79,58 @@ def escape_table(col) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(col), "\\|", "\\\\|"), "\\r?\\n", " ")
 
 
-@F.pandas_udf(StringType())
-def fold_accents(s: pd.Series) -> pd.Series:
-    """NFKD followed by removal of U+0300..U+036F (the Unicode half of E3)."""
-    def one(v):
-        if v is None:
-            return None
-        return "".join(ch for ch in unicodedata.normalize("NFKD", v)
-                       if not ("\u0300" <= ch <= "\u036f"))
-    return s.map(one)
+@functools.lru_cache(1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Code points whose fold is one code point or none (as the two texts of ``translate``), and
+    those with a longer one, by the rule itself; Hangul syllables follow from their number (``_hangul``)."""
+    one, target, none, many = [], [], [], {}
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]):
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+        if len(folded) > 1:
+            many[c] = folded
+        elif not folded:
+            none.append(c)
+        elif folded != c:
+            one.append(c)
+            target.append(folded)
+    return "".join(one + none), "".join(target), many
+
+
+def _class_of(characters) -> str:
+    """A regular expression class of the characters, in ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def fold_accents(col) -> Column:
+    """NFKD of every code point followed by removal of U+0300..U+036F (the Unicode half of E3; marks
+    outside that range keep their order, which no path shows).  ASCII texts pass as they are."""
+    c = _c(col)
+    source, target, many = _folds()
+    # names and values as one constant text each, which the optimizer turns into one constant map
+    names, values = ("\x01".join(x) for x in (many.keys(), many.values()))
+    table = F.map_from_arrays(F.split(F.lit(names), "\x01"), F.split(F.lit(values), "\x01"))
+    longer = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), _hangul(x), x)), "")
+    some = c.rlike(_class_of([*many, *map(chr, range(0xAC00, 0xD7A4))]))
+    return (F.when(some, F.translate(longer, source, target)).when(c.rlike(NON_ASCII), F.translate(c, source, target)).otherwise(c))
+
+
+def _hangul(x: Column) -> Column:
+    """The letters of a Hangul syllable; null for other characters."""
+    n = F.ascii(x) - 0xAC00
+
+    def letter(k):
+        return F.decode(F.unhex(F.lpad(F.hex(k.cast("long")), 4, "0")), "UTF-16BE")
+    last = F.when(n % 28 > 0, letter(n % 28 + 0x11A7)).otherwise(F.lit(""))
+    return F.when(F.ascii(x).between(0xAC00, 0xD7A3), F.concat(
+        letter(F.floor(n / 588) + 0x1100), letter(F.floor((n % 588) / 28) + 0x1161), last))
 
 
 def with_folded(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Add ``dst`` = NFKD-folded ``src``.
-
-    ASCII rows (the vast majority) stay in Catalyst; only rows with non-ASCII
-    text go through the Arrow-batched UDF.  Both branches are narrow (no
-    shuffle), so the union keeps the input partitioning work local.
-    """
-    non_ascii = F.col(src).rlike(NON_ASCII)
-    native = df.filter(F.col(src).isNull() | ~non_ascii).withColumn(dst, F.col(src))
-    python = df.filter(non_ascii).withColumn(dst, fold_accents(F.col(src)))
-    return native.unionByName(python)
+    """Add ``dst`` = NFKD-folded ``src``, in expressions only."""
+    return df.withColumn(dst, fold_accents(src))

@@ -1158,6 +1158,12 @@ SELECT 'site:' || regexp_extract(source_url, '://([^/]+)/', 1) AS collection,
 FROM numbered"""
 
 
+def q_index_file_lines() -> str:
+    return _with(V2_LINES) + """
+SELECT regexp_extract(source_url, '//([^/]+)/', 1) AS site, row_number() OVER (PARTITION BY source_url ORDER BY line_pos) - 1 AS line_pos, line
+FROM v2_lines"""
+
+
 def q_corpus_log() -> str:
     """Each document at each run; the last run that changed it wrote it."""
     return _with(sync_ctes().split("installed AS")[0].rstrip().rstrip(",")) + f""",
@@ -1255,6 +1261,7 @@ FROM sums"""
 def oracle_sql() -> dict[str, str]:
     return {
         "parsed_hosts": q_parsed_hosts(),
+        "index_file_lines": q_index_file_lines(),
         "corpus_log": q_corpus_log(),
         "changed_import": q_changed_import(),
         "manifest_selection": q_manifest_selection(),

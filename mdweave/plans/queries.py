@@ -17,6 +17,7 @@ from ..operators import review as RV
 from ..operators import sync as SY
 from ..operators import links as L
 from ..session import materialize, scratch_folder
+from ..sources import link_index as LI
 from ..sources import log as LG
 from ..sources import manifest as MF
 from ..sources import sinks as SK
@@ -399,6 +400,16 @@ def corpus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LG.read(spark, root, key).select("collection", "path", "content_sha", "seq")
 
 
+def index_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the site indexes, written as a file each and read in byte ranges."""
+    folder = scratch_folder(spark, "indexes")
+    site = F.regexp_extract("source_url", "//([^/]+)/", 1)
+    (V.host_index_lines(spark, sf_dir).withColumn("site", site).repartition("site").sortWithinPartitions("site", "line_pos")
+     .select("site", "line").write.partitionBy("site").text(folder))
+    lines = LI.read_index_lines(spark, folder)
+    return lines.select(F.regexp_extract("source_url", "site=([^/]+)/", 1).alias("site"), "line_pos", "line")
+
+
 def changed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus after a second crawl, from the first import and what has changed since: path, and a hash of the text."""
     lines, resources = V.host_index_lines(spark, sf_dir), V.crawl_resources(spark, sf_dir)
@@ -416,6 +427,7 @@ def changed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "index_file_lines": index_file_lines,
     "corpus_log": corpus_log,
     "changed_import": changed_import,
     "extract_links": extract_links,

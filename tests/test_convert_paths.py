@@ -61,24 +61,14 @@ def test_remote_flat_prefix(spark):
 
 
 def test_local_paths(spark):
-    rows = [("", "file", "", "/tmp/project/pages/guide/auth.md", "/tmp/project"),
-            ("", "file", "", "/tmp/project/docs/file.md", None),
-            ("", "file", "", "/elsewhere/file.md", "/tmp/project"),
-            ("", "file", "", "/tmp/project/%20/file.md", "/tmp/project"),
-            ("", "file", "", "/tmp/project/docs/%20.md", "/tmp/project"),
-            ("", "file", "", "/tmp/project/%20/", "/tmp/project"),
-            ("", "file", "", "/tmp/project/docs/", "/tmp/project"),
-            ("", "file", "", "/tmp/project/f%C3%BCr.md", "/tmp/project")]
-    df = spark.createDataFrame(rows, "title string, scheme string, host string, path string, local_root_dir string")
-    got = {r["path"]: r["rel_path"] for r in PA.add_local_paths(df).collect()}
-    assert got == {"/tmp/project/pages/guide/auth.md": "pages/guide/auth.md",
-                   "/tmp/project/docs/file.md": "tmp/project/docs/file.md",
-                   "/elsewhere/file.md": "elsewhere-file.md",
-                   "/tmp/project/%20/file.md": "section/file.md",
-                   "/tmp/project/docs/%20.md": "docs/document.md",
-                   "/tmp/project/%20/": "section/index.md",
-                   "/tmp/project/docs/": "docs/index.md",
-                   "/tmp/project/f%C3%BCr.md": "fur.md"}
+    """Inside the root, outside, without one; names that clean to nothing; decoded and folded."""
+    root = "/var/notes"
+    expected = {("/var/notes/garden/Beds.markdown", root): "garden/beds.md", ("/var/notes/garden/", root): "garden/index.md",
+                ("/var/notes/%21%21/soil.html", root): "section/soil.md", ("/var/notes/%21%21/", root): "section/index.md",
+                ("/var/notes/garden/%2D.md", root): "garden/document.md", ("/srv/other/soil.md", root): "srv-other-soil.md",
+                ("/srv/other/soil.md", None): "srv/other/soil.md", ("/var/notes/b%C3%A4ume+1.md", root): "baume-1.md"}
+    df = spark.createDataFrame([("", "file", "", p, r) for p, r in expected], "title string, scheme string, host string, path string, local_root_dir string")
+    assert {(r["path"], r["local_root_dir"]): r["rel_path"] for r in PA.add_local_paths(df).collect()} == expected
 
 
 def test_default_prefix(spark):

@@ -110,3 +110,26 @@ def test_no_scratch_folder_on_a_cluster():
     except RuntimeError:
         return
     raise AssertionError("a machine-local folder was accepted")
+
+
+def test_index_files_in_byte_ranges(spark, tmp_path):
+    """The line numbers of one reader, wherever the borders are: between \\r and \\n, in long and empty lines, without a last line end."""
+    import re
+    files = {"a": "# x\r\n\r\n- [one](./1)\r\n" * 40 + "tail\r", "b": "\n\n" + "y" * 300 + "\nlast", "c": "", "d": "only", "e": "é\r\n" * 50 + "lone\rreturn\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    expected = sorted((f"file://{tmp_path}/{n}", k, line) for n, t in files.items() for k, line in enumerate(re.split("\r?\n", t)) if line)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("17b", "64b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = LI.read_index_lines(spark, str(tmp_path))
+            # (a lone \\r at the very end is no line end for the reader of whole texts)
+            rows = sorted((r.source_url, r.line_pos, r.line) for r in got.collect() if r.line)
+            assert [(u, k, x.rstrip("\r")) for u, k, x in expected] == rows
+            if size == "17b":
+                assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -111,3 +111,16 @@ def test_percent_encoding_matches_model(spark):
         sql = U._encode_sql("v", charset)
         got = [r["e"] for r in df.selectExpr("v", f"{sql} AS e").collect()]
         assert got == [_model_encode(x, charset) for x in samples], charset
+
+
+def test_folds_of_all_code_points(spark):
+    """As the standard library folds them, one by one."""
+    import unicodedata
+    every = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x110000)]]
+    rows = ["".join(every[k:k + 256]) for k in range(0, len(every), 256)]
+    expected = ["".join(x for c in r for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f") for r in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, v string")
+    got = {r.n: r.f for r in T.with_folded(df, "v", "f").collect()}
+    assert [n for n in range(len(rows)) if got[n] != expected[n]] == []
+    plan = T.with_folded(df, "v", "f")._jdf.queryExecution().toString()
+    assert "Python" not in plan
