@@ -24,7 +24,8 @@ def lazy(spark):
 
 
 @pytest.mark.parametrize("name", ["resolve_links", "dedupe_links", "candidate_urls",
-                                  "install_plan", "registry_review", "markdown_docs"])
+                                  "install_plan", "registry_review", "markdown_docs", "nested_paths", "flat_paths",
+                                  "local_paths", "parsed_hosts"])
 def test_no_python_in_native_queries(lazy, name):
     p = plan_of(Q.QUERIES[name](lazy, SF))
     assert "Python" not in p and "ArrowEval" not in p, name
@@ -51,13 +52,41 @@ def test_materialize_uses_checkpoint_dir(spark):
     assert d.rstrip("/") in " ".join(df.inputFiles())
 
 
-def test_python_only_behind_filters(lazy):
-    # nested paths fold titles only for rows without a usable stem and only
-    # when the title is non-ASCII: the Python node sits above both filters
-    p = plan_of(Q.QUERIES["nested_paths"](lazy, SF))
-    py = p[p.index("ArrowEvalPython"):]
-    below = py[py.index("+-"):]
-    assert below.lstrip("+- ").startswith("Filter") and "[^\\x00-\\x7F]" in below.split("\n")[0]
+def test_stages_of_the_import(spark, monkeypatch):
+    """How many tables an import writes, and that contents go through one join."""
+    from mdweave import session
+    from mdweave.operators import convert, fetch, links, paths, sync
+    from mdweave.plans import ingest
+    written, write = [], session.materialize
+    for module in (session, ingest, convert, fetch, links, paths, sync):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", lambda *a, **k: written.append(1) or write(*a, **k))
+    lines, resources = V.host_index_lines(spark, SF), V.crawl_resources(spark, SF)
+    out = ingest.ingest(lines, Q._site_sources(lines), resources)
+    assert len(written) <= 9  # links, entries, documents, names (three), results, plan, summary
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(out["snapshot"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [part.split("\n")[1] for part in p.split("Exchange hashpartitioning")[1:]]
+    assert 1 <= sum("content#" in m for m in moved) <= 2  # the documents, and the previous corpus
+
+
+def test_bucketed_snapshot_is_not_shuffled(spark, tmp_path):
+    from mdweave import session
+    from mdweave.sources import resources
+    name = session.scratch_table(spark)
+    snapshot = spark.createDataFrame([(f"u{k}", True, "text/plain", "b") for k in range(50)], "url string, ok boolean, content_type string, body string")
+    resources.write_bucketed_snapshot(snapshot, name, 4, str(tmp_path / "snapshot"))
+    fetched = spark.createDataFrame([("s", "h", True, "u7")], "source_url string, href string, ok boolean, fetched_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = FE.fetch_bodies(fetched, spark.table(name))
+        assert plan_of(df).count("Exchange") == 1 and df.first().body == "b"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
 
 
 def test_bodies_shuffle_once(spark):
