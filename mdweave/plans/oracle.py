@@ -1182,6 +1182,12 @@ SELECT collection, path, sha256(edition) AS content_sha, CAST(seq AS BIGINT) AS
 FROM runs JOIN written USING (doc_id) WHERE run = {LOG_RUNS} AND there"""
 
 
+def q_document_tree() -> str:
+    return _with(sync_ctes().split("installed AS")[0].rstrip().rstrip(",")) + """
+SELECT collection, path, sha256(content || CASE WHEN doc_id % 10 = 2 THEN 'second' ELSE 'first' END) AS content_sha
+FROM base WHERE (doc_id + 2) % 9 <> 0"""
+
+
 def q_changed_import() -> str:
     """The documents of both crawls, each from all its pages; one that is gone stays while its source has failures."""
     body = site_selected_ctes() + "," + CANDIDATES + "," + RESOURCES + "," + FIRST_SUCCESS + f""",
@@ -1262,6 +1268,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "parsed_hosts": q_parsed_hosts(),
         "index_file_lines": q_index_file_lines(),
+        "document_tree": q_document_tree(),
         "corpus_log": q_corpus_log(),
         "changed_import": q_changed_import(),
         "manifest_selection": q_manifest_selection(),

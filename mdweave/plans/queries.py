@@ -21,6 +21,7 @@ from ..sources import link_index as LI
 from ..sources import log as LG
 from ..sources import manifest as MF
 from ..sources import sinks as SK
+from ..sources import tree as TR
 from . import incremental as IC
 from . import ingest as IN
 from . import views as V
@@ -400,6 +401,15 @@ def corpus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LG.read(spark, root, key).select("collection", "path", "content_sha", "seq")
 
 
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that two runs leave, the second of which writes its changes only: path, hash of the file."""
+    root, key = scratch_folder(spark, "tree"), ["collection", "path"]
+    first, second = V.corpus_at(spark, sf_dir, 1), V.corpus_at(spark, sf_dir, 2)
+    TR.write_tree(LG.changes(None, first, key), root)
+    TR.write_tree(LG.changes(first, second, key), root)
+    return TR.read_tree(spark, root).select("collection", "path", F.sha2("content", 256).alias("content_sha"))
+
+
 def index_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: the site indexes, written as a file each and read in byte ranges."""
     folder = scratch_folder(spark, "indexes")
@@ -427,6 +437,7 @@ def changed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "document_tree": document_tree,
     "index_file_lines": index_file_lines,
     "corpus_log": corpus_log,
     "changed_import": changed_import,
