@@ -741,6 +741,16 @@ SELECT i.collection, i.pos, i.source_url, i.source_label, i.layout, i.path_prefi
 FROM new_installs i LEFT JOIN m USING (collection, pos) LEFT JOIN u USING (collection, pos)"""
 
 
+def q_manifest_files() -> str:
+    return upsert_ctes() + """,
+m AS (SELECT collection, pos, count(*) AS n_managed FROM new_managed GROUP BY 1, 2),
+u AS (SELECT collection, pos, count(*) AS n_selected FROM new_sel GROUP BY 1, 2)
+SELECT i.collection, CAST(row_number() OVER (PARTITION BY i.collection ORDER BY i.pos) - 1 AS INTEGER) AS pos, i.source_url,
+       json_extract_string(i.source, '$.label') AS source_label, i.path_prefix, i.source,
+       coalesce(m.n_managed, 0) AS n_managed, coalesce(u.n_selected, 0) AS n_selected
+FROM new_installs i LEFT JOIN m USING (collection, pos) LEFT JOIN u USING (collection, pos)"""
+
+
 def q_manifest_selection() -> str:
     return upsert_ctes() + """
 SELECT collection, pos, source_url, url, CAST(line_pos AS BIGINT) AS line_pos, 0 AS match_pos FROM new_sel"""
@@ -1269,6 +1279,7 @@ def oracle_sql() -> dict[str, str]:
         "parsed_hosts": q_parsed_hosts(),
         "index_file_lines": q_index_file_lines(),
         "document_tree": q_document_tree(),
+        "manifest_files": q_manifest_files(),
         "corpus_log": q_corpus_log(),
         "changed_import": q_changed_import(),
         "manifest_selection": q_manifest_selection(),

@@ -20,6 +20,7 @@ from ..session import materialize, scratch_folder
 from ..sources import link_index as LI
 from ..sources import log as LG
 from ..sources import manifest as MF
+from ..sources import manifest_file as MW
 from ..sources import sinks as SK
 from ..sources import tree as TR
 from . import incremental as IC
@@ -265,6 +266,22 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_managed", "first_managed", "last_managed", "n_selected"))
 
 
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after the upsert as JSON files, read back: installs by their place in the file, with the
+    numbers of entries in their lists."""
+    d = _sync(spark, sf_dir)
+    tables = SY.upsert_manifest(d["installs"], d["managed_files"], d["selected_urls"], d["fetched"], d["selected"], _summary(d), d["run_sources"])
+    tables = {k: materialize(t) for k, t in zip(SK.MANIFEST_TABLES, tables)}
+    root = scratch_folder(spark, "manifests")
+    MW.write_manifest_files(tables, tables["installs"].select("collection"), root, "manifest.json", "2030-01-01T00:00:00.000Z")
+    texts = spark.read.text(f"{root}/*/manifest.json", wholetext=True).select(
+        F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1).alias("collection"), F.col("value").alias("text"))
+    back = MF.manifest_tables(texts)
+    counts = [back[t].groupBy("collection", "pos").agg(F.count(F.lit(1)).alias(n)) for t, n in (("managed_files", "n_managed"), ("selected_urls", "n_selected"))]
+    out = back["installs"].join(counts[0], ["collection", "pos"], "left").join(counts[1], ["collection", "pos"], "left")
+    return out.fillna(0, ["n_managed", "n_selected"]).select("collection", "pos", "source_url", "source_label", "path_prefix", "source", "n_managed", "n_selected")
+
+
 def manifest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: the selected URLs after the upsert, each with its place in the list."""
     d = _sync(spark, sf_dir)
@@ -469,6 +486,7 @@ QUERIES = {
     "plan_preview": plan_preview,
     "apply_plan": apply_plan,
     "manifest_upsert": manifest_upsert,
+    "manifest_files": manifest_files,
     "manifest_selection": manifest_selection,
     "manifest_scan": manifest_scan,
     "manifest_lists": manifest_lists,
