@@ -1211,7 +1211,7 @@ numbered AS (
   SELECT *, row_number() OVER (PARTITION BY source_url, nested ORDER BY line_pos, match_pos) AS k FROM named WHERE ok
 ),
 failing AS (SELECT source_url, count_if(NOT ok) AS failures FROM named GROUP BY 1)
-SELECT source_url, CASE WHEN k = 1 THEN nested ELSE regexp_replace(nested, '\.md$', '-' || CAST(k AS VARCHAR) || '.md') END AS path,
+SELECT source_url, CASE WHEN k = 1 THEN nested ELSE regexp_replace(nested, '\\.md$', '-' || CAST(k AS VARCHAR) || '.md') END AS path,
        sha256(t) AS text_sha, failures
 FROM failing LEFT JOIN numbered USING (source_url)"""
     later = ("pages AS (SELECT page_id, url, CASE WHEN page_id % 40 = 3 THEN html || '<p>second edition</p>' ELSE html END AS html "
