@@ -232,22 +232,24 @@ def upsert_manifest(installs: DataFrame, managed_files: DataFrame, selected_urls
 
     ``run_sources``: (collection, source_url, source_label, layout, path_prefix, seq).
     """
+    from ..session import materialize
     from .paths import numbered_within
 
     active = summary.filter(~F.col("up_to_date")).select(*SRC, "failures")
     record = F.to_json(F.struct(F.col("source_label").alias("label"), F.col("source_url").alias("url")))
-    runs = run_sources.join(active, SRC, "inner").withColumn("source", record)
+    # one row per source that ran: written, as nearly every step below reads it
+    runs = materialize(run_sources.join(active, SRC, "inner").withColumn("source", record))
     kept = normalised(installs).join(runs.select(*SRC), SRC, "left_anti")
     replaced = runs.join(installs.select(*INSTALL, "source_url"), SRC, "inner")
     last = installs.groupBy("collection").agg(F.max("pos").alias("__last"))
-    new = runs.join(installs.select(*SRC).distinct(), SRC, "left_anti")
+    new = materialize(runs.join(installs.select(*SRC).distinct(), SRC, "left_anti"))
     appended = (numbered_within(new, ["collection"], ["seq", "source_url"], "__place").join(last, "collection", "left")
                 .withColumn("pos", (F.coalesce("__last", F.lit(-1)) + F.col("__place")).cast("int")))
     cols = [*SRC, "pos", "source_label", "layout", "path_prefix", "source"]
     new_installs = kept.select(*cols).unionByName(replaced.select(*cols)).unionByName(appended.select(*cols))
 
     # the lists of a run go to every place of its source
-    places = replaced.select(*SRC, "pos", "failures").unionByName(appended.select(*SRC, "pos", "failures"))
+    places = materialize(replaced.select(*SRC, "pos", "failures").unionByName(appended.select(*SRC, "pos", "failures")))
     run_paths = fetched.filter("ok").select(*SRC, "path").join(places.select(*SRC, "pos"), SRC)
     prev_paths = managed_paths(installs, managed_files).join(places.filter(F.col("failures") > 0).select(*SRC, "pos"), SRC)
     paths = [*INSTALL, "source_url", "path"]

@@ -298,8 +298,9 @@ def sync_inputs(spark: SparkSession, sf_dir: str) -> dict:
               .unionByName(ghost.select("collection", "path", F.sha2(F.lit("ghost\n"), 256).alias("content_sha")))
               .unionByName(base.filter((F.col("k") % 10 == 0) & (F.col("k") % 3 == 0))
                            .select("collection", "path", F.sha2(F.lit("unmanaged\n"), 256).alias("content_sha"))))
-    out = {"entries": entries, "installs": installs, "managed_files": managed_files,
-           "selected_urls": selected_urls, "corpus": corpus, "run_sources": run_sources}
+    # the previous run's tables are tables, not plans that each step would run again
+    out = {"entries": entries, "installs": materialize(installs), "managed_files": materialize(managed_files),
+           "selected_urls": materialize(selected_urls), "corpus": corpus, "run_sources": run_sources}
     return out
 
 
