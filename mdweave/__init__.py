@@ -19,7 +19,7 @@ __version__ = "0.1.0"
 
 def _ship_by_value() -> None:
     """Pickle this package's functions by value, so that executors run the
-    pandas steps (html conversion, NFKD fold, greedy numbering) without having
+    Python steps (html conversion, NFKD fold, greedy numbering) without having
     the package installed or on their path."""
     import sys
 

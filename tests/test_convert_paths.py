@@ -240,3 +240,25 @@ def test_many_trailing_numbers(spark, monkeypatch):
     written.clear()
     chain = ["a.md"] + ["a" + "-2" * k + ".md" for k in range(40)]  # each is taken by the one above
     assert numbered(spark, chain) == sequential(chain) and len(written) <= 16
+
+
+def test_a_worker_holds_few_bodies_at_once(spark, monkeypatch):
+    """Memory of a Python worker over 4,000 bodies of 50,000 characters, against that over one of 50,000."""
+    def resident(body):
+        with open("/proc/self/statm") as f:
+            return f"{len(body)} {int(f.read().split()[1]) * 4096 // 2**20}"
+
+    monkeypatch.setattr(CV, "html_to_markdown_text", resident)
+
+    def most(n):
+        df = spark.range(0, n, 1, 1).select(F.lit("html").alias("kind"), F.repeat(F.lit("<p>x</p> y"), 5000).alias("body"))
+        out = CV.convert_html_rows(df).select(F.split(F.trim(F.regexp_replace("content", "\n", "")), " ").alias("x"))
+        got = out.agg(F.count("*"), F.min(F.col("x")[0].cast("int")), F.max(F.col("x")[1].cast("int"))).first()
+        assert (got[0], got[1]) == (n, 50_000)
+        return got[2]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # Spark's default
+    try:
+        assert most(4000) - most(1) < 48
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
