@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import pointers
 
 
@@ -136,7 +137,8 @@ def changes(old: DataFrame | None, new: DataFrame, key: list[str]) -> DataFrame:
     side = lambda df, a: df.select(*[F.col(k).alias(f"{a}_{k}") for k in key], digest.alias(f"{a}_digest"))
     same = reduce(lambda a, b: a & b, [F.col(f"o_{k}").eqNullSafe(F.col(f"n_{k}")) for k in key])
     both = side(old, "o").join(side(new, "n"), same, "full")
-    touched = both.filter("o_digest IS NULL OR n_digest IS NULL OR o_digest <> n_digest")
+    # read twice below: else each use compares all rows again, and takes digests twice to push its filters down
+    touched = materialize(both.filter("o_digest IS NULL OR n_digest IS NULL OR o_digest <> n_digest"))
     gone = touched.filter("n_digest IS NULL").select(*[F.col(f"o_{k}").alias(k) for k in key]).withColumn("deleted", F.lit(True))
     there = touched.filter("n_digest IS NOT NULL").select(*[F.col(f"n_{k}").alias(f"n_{k}") for k in key])
     at = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in key])

@@ -10,11 +10,12 @@ commit is completed by the next one (``complete``).  The driver sees one short m
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ..session import materialize
 
 STAGING = ".staging"
+#: names in a batch of a listing; files and bytes that a task reads, and bytes of contents that it holds at once
+NAMES, FILES, BYTES, HELD = 4096, 2048, 32 << 20, 4 << 20
 
 
 def _filesystem(uri: str):
@@ -35,6 +38,10 @@ def _exists(filesystem, path: str) -> bool:
     return filesystem.get_file_info(path).type != fs.FileType.NotFound
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
 def checked(path: str) -> str:
     """A relative path that stays below its root."""
     parts = path.split("/")
@@ -110,6 +117,7 @@ def _each(df: DataFrame, act) -> int:
 def _move_into(root: str, run: str, tasks: DataFrame) -> None:
     def act(names):
         filesystem, base = _filesystem(root)
+        made = set()
         for name in names:
             folder = f"{base}/{STAGING}/{run}/{name}"
             with filesystem.open_input_stream(f"{folder}/paths") as f:
@@ -120,7 +128,9 @@ def _move_into(root: str, run: str, tasks: DataFrame) -> None:
                     if _exists(filesystem, target):
                         filesystem.delete_file(target)
                 elif _exists(filesystem, f"{folder}/{number}"):  # else it was moved before the run broke off
-                    filesystem.create_dir(target.rpartition("/")[0], recursive=True)
+                    if (parent := target.rpartition("/")[0]) not in made:
+                        filesystem.create_dir(parent, recursive=True)
+                        made.add(parent)
                     filesystem.move(f"{folder}/{number}", target)
     _each(tasks, act)
 
@@ -166,7 +176,8 @@ def complete(spark: SparkSession, root: str) -> int:
         if _exists(filesystem, f"{folder}/committed"):
             with filesystem.open_input_stream(f"{folder}/committed") as f:
                 names = f.read().decode().split()
-            tasks = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)), "name")
+            # by range: a folder in each task, where hashes would put several into one
+            tasks = spark.createDataFrame([(n,) for n in names], "name string").repartitionByRange(max(1, len(names)), "name")
             _move_into(root, run, tasks)
             _prune(root, run, tasks)
             done += 1
@@ -187,17 +198,63 @@ def write_tree(changes: DataFrame, root: str) -> None:
     complete(spark, root)
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of the files below ``root``.  Jobs list the folders, a level at a time: the driver sees how many there are,
+    and a task the names in a folder, of which it hands on ``NAMES`` at once."""
+    from pyarrow import fs
+
+    def listed(batches):
+        filesystem, base = _filesystem(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = filesystem.get_file_info(fs.FileSelector(f"{base}/{folder}"))
+                for k in range(0, len(found), NAMES):
+                    some = [i for i in found[k:k + NAMES] if i.type in (fs.FileType.File, fs.FileType.Directory) and not _hidden(i.base_name)]
+                    yield pa.RecordBatch.from_arrays([pa.array([folder + i.base_name for i in some], pa.string()),
+                                                      pa.array([i.size if i.is_file else None for i in some], pa.int64())], ["path", "size"])
+
+    files, folders = [], spark.createDataFrame([("",)], "path string")
+    while True:
+        level = materialize(folders.mapInArrow(listed, "path string, size long"), "table")
+        files.append(level.filter("size > 0"))
+        folders = level.filter("size IS NULL").select(F.concat("path", F.lit("/")).alias("path"))
+        n = folders.count()
+        if not n:
+            return reduce(lambda a, b: a.unionByName(b), files)
+        folders = folders.repartition(min(n, 200 + n // 1000), "path")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame | None:
-    """(collection, path, content) of the files; None if there is no tree.  (Spark passes by files whose name begins
-    with a dot or an underscore, which cleaned path segments don't, and empty ones, which no document is.)"""
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """(collection, path, content) of the files; None if there is no tree.  (As in Spark's readers, files and folders whose name begins
+    with a dot or an underscore, which cleaned path segments don't, are passed by, and empty files, which no document is.)
+
+    Spark's ``binaryFile`` lists all files in the driver and reads 32 in a task, so that millions of documents are as
+    many entries there and 100,000s of tasks; here a task reads up to ``FILES`` files or ``BYTES`` on average."""
+    filesystem, base = _filesystem(root)
+    if not _exists(filesystem, base):
         return None
-    base = F.lit("/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/")
-    below = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    relative = F.substring(below, F.length(base) + 1, F.length(below))
-    return files.select(F.substring_index(relative, "/", 1).alias("collection"), F.regexp_replace(relative, "^[^/]*/", "").alias("path"),
-                        F.decode("content", "UTF-8").alias("content"))
+    files = _files(spark, root)
+    count, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+
+    def read(batches):
+        filesystem, base = _filesystem(root)
+
+        def some():
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["relative", "content"])
+
+        for batch in batches:
+            paths, contents, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with filesystem.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    contents.append(f.read())
+                paths.append(path)
+                held += len(contents[-1])
+                if held >= HELD:
+                    yield some()
+                    paths, contents, held = [], [], 0
+            yield some()
+
+    tasks = max(1, math.ceil(count / FILES), math.ceil(size / BYTES))
+    rows = files.select("path").repartition(tasks, "path").mapInArrow(read, "relative string, content binary")
+    return rows.select(F.substring_index("relative", "/", 1).alias("collection"), F.regexp_replace("relative", "^[^/]*/", "").alias("path"),
+                       F.decode("content", "UTF-8").alias("content"))

@@ -64,3 +64,46 @@ def test_a_run_that_broke_off_is_completed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(TR, "_move_into", move)
     assert TR.complete(spark, root) == 1 and TR.complete(spark, root) == 0
     assert files(root) == {f"a/y/{k}.md": "new" for k in range(8)} and folders(root) == ["a", "a/y"]
+
+
+def test_many_files_are_read_in_few_tasks(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    rows = [(f"c{k % 3}", f"{k % 7}/{k % 2}/{k}.md" if k % 5 else f"{k}.md", f"{k} é\n", False) for k in range(400)]
+    TR.write_tree(spark.createDataFrame(rows, SCHEMA).repartition(4), root)
+    for name in (".hidden/x.md", "c0/_own/y.md", "c0/.z.md", "c0/_z.md", "c1/none.md", "top.md"):
+        path = tmp_path / "tree" / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("" if "none" in name else name)
+    got = TR.read_tree(spark, root)
+    assert sorted(map(tuple, got.collect())) == sorted([(c, p, t) for c, p, t, _ in rows] + [("top.md", "top.md", "top.md")])
+    assert got.rdd.getNumPartitions() == 1  # binaryFile: one for 32 files
+    TR.write_tree(spark.createDataFrame([(c, p, None, True) for c, p, _, _ in rows], SCHEMA), str(tmp_path / "tree"))
+    assert [tuple(r) for r in TR.read_tree(spark, root).collect()] == [("top.md", "top.md", "top.md")]
+    (tmp_path / "bare").mkdir()
+    assert TR.read_tree(spark, str(tmp_path / "bare")).collect() == []
+
+
+def test_contents_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TR, "HELD", 1000)
+    monkeypatch.setattr(TR, "FILES", 20)
+    monkeypatch.setattr(TR, "BYTES", 5000)
+    monkeypatch.setattr(TR, "NAMES", 3)
+    root = str(tmp_path / "tree")
+    rows = [("a", f"{k}.md", "é" * (k * 30 + 1), False) for k in range(50)]
+    TR.write_tree(spark.createDataFrame(rows, SCHEMA), root)
+    got = TR.read_tree(spark, root)
+    assert sorted(map(tuple, got.collect())) == sorted((c, p, t) for c, p, t, _ in rows)
+    assert got.rdd.getNumPartitions() == 15  # 73,600 bytes
+
+
+def test_each_task_moves_one_folder(spark, tmp_path, monkeypatch):
+    seen, move = [], TR._move_into
+
+    def spied(root, run, tasks):
+        seen.extend(r["count"] for r in tasks.groupBy(F.spark_partition_id()).count().collect())
+        move(root, run, tasks)
+
+    monkeypatch.setattr(TR, "_move_into", spied)
+    rows = [("a", f"{k}.md", "new", False) for k in range(64)]
+    TR.write_tree(spark.createDataFrame(rows, SCHEMA).repartition(16), str(tmp_path / "tree"))
+    assert seen == [1] * 16
